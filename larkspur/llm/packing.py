@@ -27,10 +27,9 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.llm.words import WORD_CACHE, WordMemo, slices
 from larkspur.shared import materialise
 
-#: Distinct words whose ids a Python worker remembers; beyond it the memory starts anew.
-WORD_CACHE = 600_000
 #: Splits lower-cased text as the vocabulary's own pre-tokenizer does.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Characters on which Python and the tokenizer may differ (controls, special-token marks, contextual case, marks that compose).
@@ -45,7 +44,7 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class WordEncoder:
+class WordEncoder(WordMemo):
     """Ids of whole texts from ids of their space-separated words.
 
     The vocabulary's pre-tokenizer never joins text across white space and its
@@ -55,7 +54,8 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, cache: int = WORD_CACHE):
-        self.path, self.cache, self.known, self.pieces = path, cache, {"": b""}, {}
+        super().__init__(self._learn, cache)
+        self.path, self.pieces = path, {}
         self.ends: np.ndarray | None = None
 
     def _slow(self, words: list[str]) -> list[bytes]:
@@ -78,35 +78,16 @@ class WordEncoder:
             else:
                 self.pieces |= dict(zip(some, self._slow(some), strict=True))
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, as bytes: little-endian unsigned 32-bit numbers."""
+        if len(self.pieces) > self.cache:
+            self.pieces = {}
         odd = [w for w in words if UNUSUAL.search(w)]
-        self.known |= dict(zip(odd, self._slow(odd), strict=True))
-        if odd:
-            words = [w for w in words if w not in self.known]
-        cut = [PRETOKEN.findall(w.lower()) for w in words]
+        slow = dict(zip(odd, self._slow(odd), strict=True))
+        cut = [() if w in slow else PRETOKEN.findall(w.lower()) for w in words]
         self._learn_pieces(list({p for c in cut for p in c if p not in self.pieces}))
         pieces = self.pieces
-        for word, c in zip(words, cut, strict=True):
-            self.known[word] = pieces[c[0]] if len(c) == 1 else b"".join([pieces[p] for p in c])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > self.cache:
-            self.known = {"": b""}
-        if len(self.pieces) > self.cache:
-            self.pieces = {}
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        out: list[bytes | None] = []
-        known, missing = self.known, set()
-        for words in split:
-            try:
-                out.append(b"".join([known[w] for w in words]))
-            except KeyError:
-                out.append(None)
-                missing.update([w for w in words if w not in known])
-        if missing:
-            self._learn(list(missing))
-        return [b"".join([known[w] for w in words]) if ids is None else ids for ids, words in zip(out, split, strict=True)]
+        return [slow[w] if w in slow else b"".join([pieces[p] for p in c]) for w, c in zip(words, cut, strict=True)]
 
 
 def vocabulary_path(vocabulary: str) -> str:
@@ -135,7 +116,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacit
             rows = batch.to_pydict()
             out = []
             texts = [t or "" for t in rows["text"]]
-            encoded = (ids for at in range(0, len(texts), 256) for ids in encoder.encode(texts[at : at + 256]))
+            encoded = (ids for start, stop in slices(texts) for ids in encoder.encode(texts[start:stop]))
             for doc, part, ids in zip(rows["doc_id"], rows["part"], encoded, strict=True):
                 ids += end
                 total = len(ids) // 4
