@@ -163,12 +163,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: floa
 
 SQL = r"""
 WITH words AS (
-  SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), x -> x <> '') AS w FROM documents
+  SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w FROM documents
   UNION ALL
-  SELECT 'b', item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), x -> x <> '') FROM benchmark
+  SELECT 'b', item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '') FROM benchmark
 ), shingled AS (
   SELECT kind, id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END)) AS s FROM words
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM words
 ), sizes AS (
   SELECT id AS item_id, count(*) AS n FROM shingled WHERE kind = 'b' GROUP BY id
 ), shared AS (
