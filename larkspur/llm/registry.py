@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import decontaminate, language, packing, simhash, toxicity
-from larkspur.shared import table
+from larkspur.llm import decontaminate, language, packing, rollups, simhash, toxicity, urls
+from larkspur.shared import shared_path, table
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,14 +32,30 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = rollups.RollupStore(spark, shared_path(spark, "rollups"))
+    for name, changes in rollups.corpus_changes(table(spark, sf_dir, "documents")).items():
+        store.commit(name, changes)
+        store.commit(name, changes)  # comes again and changes nothing
+    return store.totals()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_language_id": op6_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_url_filters": op8_url_filters,
+    "op10_token_rollups": op10_token_rollups,
 }
 
 SQL: dict[str, str] = {
     "op4_benchmark_decontamination": decontaminate.SQL,
+    "op8_url_filters": urls.SQL,
+    "op10_token_rollups": rollups.SQL,
 }
