@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import decontaminate, language, packing, rollups, simhash, toxicity, urls
+from larkspur.llm import decontaminate, language, mpeg, packing, rollups, simhash, toxicity, urls
 from larkspur.shared import shared_path, table
 
 
@@ -23,6 +23,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg.describe(mpeg.media_table(table(spark, sf_dir, "documents")))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.fit_on_fold(docs))
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_mpeg_media": op5_mpeg_media,
     "op6_language_id": op6_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_url_filters": op8_url_filters,
