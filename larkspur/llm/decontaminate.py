@@ -40,7 +40,9 @@ MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, j, 1 << 64) for j in range(1, 65
 
 
 def word_hashes(words: list[str]) -> list[bytes]:
-    return [b"".join([xxhash.xxh64_digest(w) for w in WORD.findall(x.lower())]) for x in words]
+    digest = xxhash.xxh64_digest
+    lowered = [x.lower() for x in words]
+    return [digest(x) if x.isalpha() else b"".join([digest(w) for w in WORD.findall(x)]) for x in lowered]
 
 
 def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
