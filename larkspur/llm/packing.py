@@ -36,6 +36,19 @@ PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+
 UNUSUAL = regex.compile(r"[\x00-\x08\x0e-\x1f\x7f-\xa0<\u03a3\u0130\p{M}]|[^\x00-\u024f]")
 
 
+#: Letters up to here have one lower-case form each, but for U+0130.
+LATIN = "\u024f"
+
+
+def pretokens(word: str) -> list[str]:
+    """Lower-cased pre-tokens of a word, with short cuts for letters and for one mark after them."""
+    if word.isalpha():
+        return [word.lower()]
+    if word[:-1].isalpha() and word[-1] in ".,;:!?|)":
+        return [word[:-1].lower(), word[-1]]
+    return PRETOKEN.findall(word.lower())
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -82,9 +95,9 @@ class WordEncoder(WordMemo):
         """Ids of each word, as bytes: little-endian unsigned 32-bit numbers."""
         if len(self.pieces) > self.cache:
             self.pieces = {}
-        odd = [w for w in words if UNUSUAL.search(w)]
+        odd = [w for w in words if not w.isascii() and (max(w) > LATIN or "\u0130" in w) or not w[:-1].isalpha() and UNUSUAL.search(w)]
         slow = dict(zip(odd, self._slow(odd), strict=True))
-        cut = [() if w in slow else PRETOKEN.findall(w.lower()) for w in words]
+        cut = [() if w in slow else pretokens(w) for w in words]
         self._learn_pieces(list({p for c in cut for p in c if p not in self.pieces}))
         pieces = self.pieces
         return [slow[w] if w in slow else b"".join([pieces[p] for p in c]) for w, c in zip(words, cut, strict=True)]

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-#: Distinct words that a worker remembers; beyond it the memory starts anew.
+#: Distinct words in either of a worker's two generations: a full one becomes the
+#: older, from which words still in use come back without being learned again.
 WORD_CACHE = 600_000
 
 
@@ -17,11 +18,11 @@ class WordMemo:
     """
 
     def __init__(self, learn: Callable[[list[str]], list[bytes]], cache: int = WORD_CACHE):
-        self.learn, self.cache, self.known = learn, cache, {"": b""}
+        self.learn, self.cache, self.known, self.older = learn, cache, {"": b""}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.cache:
-            self.known = {"": b""}
+            self.known, self.older = {"": b""}, self.known
         split = [t.replace("\n", " ").split(" ") for t in texts]
         out: list[bytes | None] = []
         known, missing = self.known, set()
@@ -32,7 +33,9 @@ class WordMemo:
                 out.append(None)
                 missing.update([w for w in words if w not in known])
         if missing:
-            new = list(missing)
+            older = self.older
+            known |= {w: older[w] for w in missing if w in older}
+            new = [w for w in missing if w not in older]
             known |= dict(zip(new, self.learn(new), strict=True))
         return [b"".join([known[w] for w in words]) if x is None else x for x, words in zip(out, split, strict=True)]
 
