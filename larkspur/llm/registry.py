@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import decontaminate, language, mpeg, packing, rollups, simhash, toxicity, urls, wrappers
+from larkspur.llm import decontaminate, language, mpeg, ngrams, packing, rollups, simhash, toxicity, urls, wrappers
 from larkspur.shared import shared_path, table
 
 
@@ -44,6 +44,11 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ngrams.score(docs, ngrams.build_on_fold(docs))
+
+
 def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = rollups.RollupStore(spark, shared_path(spark, "rollups"))
     for name, changes in rollups.corpus_changes(table(spark, sf_dir, "documents")).items():
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_url_filters": op8_url_filters,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_token_rollups": op10_token_rollups,
 }
 
