@@ -1,19 +1,50 @@
-"""From raw documents to packed training sequences, one stage after another."""
+"""From raw documents to packed training sequences, one stage after another.
+
+Every stage works on all that its predecessor kept. Models are fitted on what the
+stage is given, as for the operators alone: language and toxicity on the rows
+outside their held-out folds.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import packing
+from larkspur.llm import decontaminate, language, packing, simhash, toxicity
 from larkspur.shared import materialise, table
 
 
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a letter and texts that resemble no learned language."""
+    return language.accepted(docs, language.fit_on_fold(docs))
+
+
+def without_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that score 0.5 or more."""
+    return toxicity.accepted(docs, toxicity.fit_on_fold(docs, table(spark, sf_dir, "labels")))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of near copies."""
+    return simhash.deduplicated(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 4096 tokens."""
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack_sequences)]
+STAGES = [
+    ("language", known_languages),
+    ("toxicity", without_toxicity),
+    ("near-dedup", without_near_copies),
+    ("decontamination", without_benchmark),
+    ("packing", packed),
+]
 
 #: Tokenisation, suffix automata and fitted models have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
