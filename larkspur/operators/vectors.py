@@ -96,7 +96,7 @@ def scaled(hits: DataFrame) -> DataFrame:
 def sign_bits(vector: Column) -> Column:
     """One bit a dimension: whether it is positive, 32 of them a word."""
     words = F.sequence(F.lit(0), F.size(vector) - 1, F.lit(32))
-    bit = F.transform(vector, lambda x, i: F.when(x > 0, F.shiftleft(F.lit(1).cast("long"), (i % 32).cast("int"))).otherwise(F.lit(0).cast("long")))
+    bit = F.transform(vector, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), (i % 32).cast("int"))).otherwise(F.lit(0).cast("long")))
     return F.transform(words, lambda w: F.aggregate(F.slice(bit, w + 1, F.lit(32)), F.lit(0).cast("long"), lambda s, x: s + x))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.plans import relational
+from larkspur.plans import relational, retrieval
 
-QUERIES = relational.QUERIES
-SQL = relational.SQL
+QUERIES = relational.QUERIES | retrieval.QUERIES
+SQL = relational.SQL | retrieval.SQL

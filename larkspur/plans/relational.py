@@ -19,7 +19,7 @@ STATEMENTS = {
     "q3_fetch_by_ids": """
         SELECT o_orderkey, left(o_orderpriority, 4) AS preview FROM {orders} o
         WHERE o_orderkey IN (SELECT min(l_orderkey) FROM {lineitem} GROUP BY l_suppkey)""",
-    "q4_ilike_any": "SELECT p_partkey, p_name, p_type FROM {part} WHERE lower(p_name) LIKE '%1%' OR lower(p_type) LIKE '%brass%' OR lower(p_type) LIKE '%steel%'",
+    "q4_ilike_any": "SELECT p_partkey, p_name, p_type, p_brand FROM {part} WHERE p_name ILIKE '%green%' OR p_type ILIKE '%promo%' OR p_brand ILIKE '%#1%'",
     "q5_one_hop_top10": """
         SELECT s.s_suppkey, s.s_name, n.n_name, r.r_name FROM {supplier} s JOIN {nation} n ON n.n_nationkey = s.s_nationkey JOIN {region} r ON r.r_regionkey = n.n_regionkey
         ORDER BY s.s_acctbal DESC, s.s_suppkey LIMIT 10""",

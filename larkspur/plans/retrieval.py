@@ -1,0 +1,340 @@
+"""Search, fusion, reranking, caches and the agent over documents and vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from larkspur.functions import models
+from larkspur.operators import cache, fusion, lexical, vectors
+from larkspur.plans import agent
+from larkspur.plans import shapes as x
+from larkspur.shared import materialise
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def docs(spark, sf):
+    return x.t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang")
+
+
+def items(spark, sf):
+    return x.t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def corpus(spark, sf):
+    return x.t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+def probes(spark, sf):
+    """The stated query set: every vector whose id is divisible by 50."""
+    return corpus(spark, sf).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+
+
+COS = "Z AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score, e.label FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)"
+RANKED = "R AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM Z)"
+
+
+@query("vec_topk", f"WITH {COS}, {RANKED} SELECT query_id, id, round(score, 4) AS score, rank::INTEGER AS rank FROM R WHERE rank <= 10")
+def vec_topk(spark, sf):
+    return vectors.search(probes(spark, sf), corpus(spark, sf), 10).withColumn("score", F.round("score", 4))
+
+
+@query("vec_topk_threshold", f"WITH {COS}, {RANKED} SELECT query_id, id, round(score, 4) AS score, rank::INTEGER AS rank FROM R WHERE rank <= 10 AND score >= 0.2")
+def vec_threshold(spark, sf):
+    return vectors.search(probes(spark, sf), corpus(spark, sf), 10, least=0.2).withColumn("score", F.round("score", 4))
+
+
+@query("knn_es_scaled", f"WITH {COS}, {RANKED} SELECT query_id, id, round((1 + score) / 2, 4) AS score, rank::INTEGER AS rank FROM R WHERE rank <= 5")
+def knn_scaled(spark, sf):
+    return vectors.scaled(vectors.search(probes(spark, sf), corpus(spark, sf), 5))
+
+
+@query("vec_similarity_join", f"WITH {COS}, N AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM Z WHERE id <> query_id AND score >= 0.3) SELECT query_id, id, round(score, 4) AS weight FROM N WHERE rank <= 2")
+def similarity_join(spark, sf):
+    hits = vectors.search(probes(spark, sf), corpus(spark, sf), 2, least=0.3, exclude_self=True)
+    return hits.select("query_id", "id", F.round("score", 4).alias("weight"))
+
+
+@query("pairwise_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND b.vec_id % 50 = 0 AND a.vec_id < b.vec_id")
+def pairwise(spark, sf):
+    some = corpus(spark, sf).where("id % 50 = 0")
+    n = some.count()
+    hits = vectors.search(probes(spark, sf), some, max(n, 1))
+    return hits.where("query_id < id").select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.round("score", 6).alias("score"))
+
+
+@query("bq_rescore")
+def bq_rescore(spark, sf):
+    first = probes(spark, sf).orderBy("query_id").limit(1).collect()
+    return vectors.rescored(list(first[0]["query_vector"]), corpus(spark, sf), 10) if first else spark.createDataFrame([], "id long, score double, distance int")
+
+
+@query("multi_target_min", """
+    WITH T AS (SELECT label, list(embedding::DOUBLE[] ORDER BY vec_id) AS l FROM embeddings WHERE vec_id % 50 = 0 GROUP BY label),
+    Q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0 ORDER BY vec_id LIMIT 2),
+    M AS (SELECT vec_id AS id, round(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT e FROM Q ORDER BY vec_id LIMIT 1)), 9) AS a, round(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT e FROM Q ORDER BY vec_id DESC LIMIT 1)), 9) AS b FROM embeddings)
+    SELECT id, round(least(a, b), 6) AS minimum, round(a + b, 6) AS total, round((a + b) / 2, 6) AS average, round(0.7 * a + 0.3 * b, 6) AS manual FROM M""")
+def multi_target(spark, sf):
+    rows = probes(spark, sf).orderBy("query_id").limit(2).collect()
+    a, b = (F.array(*[F.lit(float(v)) for v in r["query_vector"]]) for r in rows)
+    d = {k: F.round(1 - vectors.cosine(F.col("vector"), v), 9) for k, v in (("a", a), ("b", b))}
+    out = corpus(spark, sf).select("id", *[c.alias(k) for k, c in d.items()])
+    named = {k: F.col(k) for k in d}
+    ways = (("minimum", "minimum"), ("total", "sum"), ("average", "average"), ("manual", "manual"))
+    return out.select("id", *[F.round(vectors.joined_targets(named, how, {"a": 0.7, "b": 0.3}), 6).alias(n) for n, how in ways])
+
+
+def bm25_sql(docs_sql: str, queries_sql: str, suffix: str = "") -> str:
+    """CTEs that end in M<suffix>(query_id, id, score)."""
+    s = suffix
+    return rf"""
+    DD{s} AS ({docs_sql}), QQ{s} AS ({queries_sql}),
+    TK{s} AS (SELECT id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS ws FROM DD{s}),
+    ST{s} AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM TK{s}),
+    QT{s} AS (SELECT query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(query, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''))) AS term FROM QQ{s}),
+    TF{s} AS (SELECT id, length, term, count(*) AS tf FROM (SELECT id, len(ws) AS length, unnest(ws) AS term FROM TK{s}) WHERE term IN (SELECT term FROM QT{s}) GROUP BY ALL),
+    DF{s} AS (SELECT term, count(*) AS df FROM TF{s} GROUP BY term),
+    M{s} AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score
+      FROM TF{s} JOIN DF{s} USING (term) JOIN QT{s} USING (term), ST{s} GROUP BY query_id, id)"""
+
+
+DOCS, ITEMS = "SELECT doc_id AS id, text, source, lang FROM documents", "SELECT item_id AS query_id, text AS query FROM benchmark"
+BEST = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)"
+
+
+@query("bm25_topk", f"WITH {bm25_sql(DOCS, ITEMS)} SELECT query_id, id, round(score, 4) AS score, rank::INTEGER AS rank FROM (SELECT *, {BEST} AS rank FROM M) WHERE rank <= 3")
+def bm25_topk(spark, sf):
+    return lexical.search(docs(spark, sf), items(spark, sf), 3)
+
+
+TITLED = "SELECT doc_id AS id, left(text, 60) AS text FROM documents"
+
+
+@query("bm25_multifield", f"WITH {bm25_sql(TITLED, ITEMS, '1')}, {bm25_sql(DOCS, ITEMS, '2')}, M AS (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, score * 2 AS score FROM M1 UNION ALL SELECT query_id, id, score FROM M2) GROUP BY ALL) SELECT query_id, id, round(score, 4) AS score, rank::INTEGER AS rank FROM (SELECT *, {BEST} AS rank FROM M) WHERE rank <= 4")
+def bm25_multifield(spark, sf):
+    titled = docs(spark, sf).withColumn("title", F.left("text", F.lit(60)))
+    return lexical.best_field(titled, items(spark, sf), {"title": 2.0, "text": 1.0}, 4)
+
+
+EVERY = "SELECT doc_id AS id, source || ' ' || lang || ' ' || text AS text FROM documents"
+
+
+@query("bm25_all_fields", f"WITH {bm25_sql(EVERY, ITEMS)} SELECT query_id, id, round(score, 4) AS score, rank::INTEGER AS rank FROM (SELECT *, {BEST} AS rank FROM M) WHERE rank <= 4")
+def bm25_all(spark, sf):
+    every = docs(spark, sf).select("id", F.concat_ws(" ", "source", "lang", "text").alias("text"))
+    return lexical.search(every, items(spark, sf), 4)
+
+
+HALF = "SELECT item_id AS query_id, left(text, 100) AS query FROM benchmark"
+TWO = f"{bm25_sql(DOCS, ITEMS, '1')}, {bm25_sql(DOCS, HALF, '2')}, LISTS AS (SELECT query_id, 'a' AS list_id, id, {BEST} AS rank FROM M1 QUALIFY rank <= 8 UNION ALL SELECT query_id, 'b', id, {BEST} AS rank FROM M2 QUALIFY rank <= 8)"
+
+
+def two_lists(spark, sf, k: int = 8):
+    """Hits of whole items and of their first hundred characters."""
+    d, q = docs(spark, sf), items(spark, sf)
+    half = q.withColumn("query", F.left("query", F.lit(100)))
+    parts = [lexical.search(d, part, k).withColumn("list_id", F.lit(name)) for name, part in (("a", q), ("b", half))]
+    return parts[0].unionByName(parts[1])
+
+
+def rrf_sql(base: int, k: int) -> str:
+    return f"""WITH {TWO}, FU AS (SELECT query_id, id, sum(1.0::DOUBLE / (rank - 1 + {base} + 60)) AS raw, min((list_id, rank)) AS first FROM LISTS GROUP BY query_id, id)
+    SELECT query_id, id, round(raw, 6) AS score, position::INTEGER AS position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 12) DESC, first) AS position FROM FU) WHERE position <= {k}"""
+
+
+@query("multi_list_rrf_rank0", rrf_sql(0, 5))
+def rrf0(spark, sf):
+    return fusion.reciprocal_rank(two_lists(spark, sf), 5)
+
+
+@query("hybrid_rrf_rank1", rrf_sql(1, 4))
+def rrf1(spark, sf):
+    return fusion.reciprocal_rank(two_lists(spark, sf), 4, rank_base=1)
+
+
+@query("hybrid_alpha", f"""WITH {TWO}, S2 AS (SELECT l.query_id, list_id, l.id, round(CASE list_id WHEN 'a' THEN M1.score ELSE M2.score END, 4) AS score FROM LISTS l LEFT JOIN M1 ON M1.query_id = l.query_id AND M1.id = l.id LEFT JOIN M2 ON M2.query_id = l.query_id AND M2.id = l.id),
+    NO AS (SELECT *, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS v FROM S2 WINDOW w AS (PARTITION BY query_id, list_id)),
+    FU AS (SELECT query_id, id, 0.5 * coalesce(max(CASE WHEN list_id = 'a' THEN v END), 0) + 0.5 * coalesce(max(CASE WHEN list_id = 'b' THEN v END), 0) AS score FROM NO GROUP BY ALL)
+    SELECT query_id, id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, {BEST} AS rank FROM FU) WHERE rank <= 5""")
+def hybrid_alpha(spark, sf):
+    lists = two_lists(spark, sf)
+    return fusion.weighted(lists.where("list_id = 'a'"), lists.where("list_id = 'b'"))
+
+
+@query("multi_query_fanout", f"""WITH VAR AS (SELECT item_id * 10 + v AS query_id, CASE v WHEN 0 THEN text WHEN 1 THEN left(text, 100) WHEN 2 THEN substr(text, 51) ELSE lower(text) END AS query FROM benchmark, (SELECT unnest([0, 1, 2, 3]) AS v)),
+    {bm25_sql(DOCS, 'SELECT * FROM VAR')}, LI AS (SELECT query_id // 10 AS q, query_id % 10 AS list_id, id, {BEST} AS rank FROM M QUALIFY rank <= 5),
+    FU AS (SELECT q AS query_id, id, sum(1.0::DOUBLE / (rank - 1 + 60)) AS raw, min((list_id, rank)) AS first FROM LI GROUP BY ALL)
+    SELECT query_id, id, round(raw, 6) AS score, position::INTEGER AS position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 12) DESC, first) AS position FROM FU) WHERE position <= 5""")
+def fanout(spark, sf):
+    q = items(spark, sf)
+    variants = F.array(F.col("query"), F.left("query", F.lit(100)), F.expr("substring(query, 51)"), F.lower("query"))
+    asked = q.select("query_id", F.posexplode(variants).alias("list_id", "query")).select((F.col("query_id") * 10 + F.col("list_id")).alias("query_id"), "query")
+    hits = lexical.search(docs(spark, sf), asked, 5)
+    lists = hits.select(F.floor(F.col("query_id") / 10).cast("long").alias("query_id"), (F.col("query_id") % 10).alias("list_id"), "rank", "id")
+    return fusion.reciprocal_rank(lists, 5)
+
+
+@query("merge_dedup", "SELECT id, title FROM (SELECT doc_id AS id, lang AS title, row_number() OVER (PARTITION BY lang, left(text, 200) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
+def merge_dedup(spark, sf):
+    rows = docs(spark, sf).withColumn("title", F.col("lang"))
+    return fusion.merged(rows, ["id"], [F.col("title"), F.left("text", F.lit(200))]).select("id", "title")
+
+
+@query("overlap_report", f"""WITH {TWO}, A AS (SELECT DISTINCT query_id, id FROM LISTS WHERE list_id = 'a'), B AS (SELECT DISTINCT query_id, id FROM LISTS WHERE list_id = 'b')
+    SELECT count(*) FILTER (A.id IS NOT NULL AND B.id IS NOT NULL) AS common, count(*) FILTER (B.id IS NULL) AS only_a, count(*) FILTER (A.id IS NULL) AS only_b, count(*) FILTER (A.id IS NOT NULL AND B.id IS NOT NULL) >= 2 AS consistent
+    FROM A FULL JOIN B ON A.query_id = B.query_id AND A.id = B.id""")
+def overlap(spark, sf):
+    lists = two_lists(spark, sf)
+    return fusion.overlap(lists.where("list_id = 'a'"), lists.where("list_id = 'b'"), ["query_id", "id"])
+
+
+SUBSCORES = {"relevance": "doc_id % 11", "specificity": "(doc_id * 3) % 11", "completeness": "(doc_id * 7) % 11", "practicality": "(doc_id * 5) % 12", "constraint_fit": "n_chars % 11"}
+
+
+@query("rerank_weighted", f"""WITH S AS (SELECT doc_id AS id, lang AS query_id, {', '.join(f'{v} AS {k}' for k, v in SUBSCORES.items())} FROM documents),
+    W AS (SELECT *, CASE WHEN practicality <= 10 THEN round(relevance / 10.0::DOUBLE * 0.6 + specificity / 10.0::DOUBLE * 0.15 + completeness / 10.0::DOUBLE * 0.1 + practicality / 10.0::DOUBLE * 0.1 + constraint_fit / 10.0::DOUBLE * 0.05, 9) ELSE 0 END AS s FROM S)
+    SELECT query_id, id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id)::INTEGER AS rank FROM W WHERE s >= 0.3""")
+def rerank(spark, sf):
+    rows = x.t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("query_id"), *[F.expr(v).alias(k) for k, v in SUBSCORES.items()])
+    out = fusion.reranked(rows, fusion.weighted_score(), 0.3)
+    return out.select("query_id", "id", F.round("rerank_score", 6).alias("score"), F.col("rerank_rank").alias("rank"))
+
+
+@query("cross_encoder_rerank")
+def cross_encoder(spark, sf):
+    hits = two_lists(spark, sf).select("query_id", "id").distinct().join(items(spark, sf), "query_id").join(docs(spark, sf).select("id", "text"), "id")
+    return fusion.reranked(hits, models.scored(F.col("query"), F.col("text")), 0.0, 4).select("query_id", "id", "rerank_score", "rerank_rank")
+
+
+@query("context_pack", f"""WITH {bm25_sql(DOCS, ITEMS)}, R AS (SELECT *, {BEST} AS rank FROM M QUALIFY rank <= 3)
+    SELECT query_id, string_agg('[' || rank || '] ' || lang || chr(10) || left(text, 80), chr(10) || chr(10) ORDER BY rank) AS context FROM R JOIN documents ON doc_id = id GROUP BY query_id""")
+def context_pack(spark, sf):
+    hits = lexical.search(docs(spark, sf), items(spark, sf), 3).join(docs(spark, sf).select("id", F.col("lang").alias("title"), F.left("text", F.lit(80)).alias("text")), "id")
+    return fusion.context(hits, ["query_id"], ["rank"])
+
+
+@query("semantic_cache_lookup", f"""WITH {COS}, K AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM Z WHERE id <> query_id AND label <> 5)
+    SELECT query_id AS request_id, round(greatest(score, 0), 6) AS best_score, score >= 0.4 AS hit, CASE WHEN score >= 0.4 THEN 'label ' || label END AS answer FROM K WHERE n = 1""")
+def cache_lookup(spark, sf):
+    rows = corpus(spark, sf)
+    # an entry must not answer its own request: each request is asked of the others' entries
+    hits = vectors.search(probes(spark, sf), rows.where("label <> 5"), 1, exclude_self=True).join(rows.select("id", F.concat(F.lit("label "), F.col("label").cast("string")).alias("answer")), "id")
+    score = F.greatest("score", F.lit(0.0))
+    return hits.select(F.col("query_id").alias("request_id"), F.round(score, 6).alias("best_score"), (score >= 0.4).alias("hit"), F.when(score >= 0.4, F.col("answer")).alias("answer"))
+
+
+@query("semantic_cache_exact", "SELECT vec_id AS request_id, 1.0::DOUBLE AS best_score, true AS hit, 'a' || vec_id AS answer FROM embeddings WHERE vec_id % 50 = 0")
+def cache_exact(spark, sf):
+    rows = corpus(spark, sf)
+    entries = rows.where("id % 50 = 0").select("id", "vector", F.concat(F.lit("a"), F.col("id").cast("string")).alias("answer"))
+    return cache.lookup(rows.where("id % 50 = 0").select(F.col("id").alias("request_id"), "vector"), entries, 0.85)
+
+
+@query("cache_store_upsert", """
+    WITH U AS (SELECT lang || '/' || source AS query, doc_id AS created_at, n_chars AS cost, 0 AS age FROM documents UNION ALL SELECT lang || '/' || source, doc_id, 0, 1 FROM documents WHERE lang = 'de')
+    SELECT left(md5(query), 12) AS key, query, cost::BIGINT AS cost FROM (SELECT *, row_number() OVER (PARTITION BY left(md5(query), 12) ORDER BY age DESC, created_at DESC) AS n FROM U) WHERE n = 1""")
+def cache_upsert(spark, sf):
+    rows = x.t(spark, sf, "documents").select(F.concat_ws("/", "lang", "source").alias("query"), F.col("doc_id").alias("created_at"), F.col("n_chars").alias("cost"), "lang")
+    new = rows.where("lang = 'de'").withColumn("cost", F.lit(0).cast("long"))
+    return cache.upserted(rows.drop("lang"), new.drop("lang")).select("key", "query", "cost")
+
+
+@query("cache_ttl_summary", "SELECT count(*) AS n_entries, round(sum(value), 6) AS total_cost FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
+def cache_ttl(spark, sf):
+    e = x.t(spark, sf, "events").select(F.col("ts").alias("created_at"), F.col("value").alias("cost"))
+    now = e.agg(F.max("created_at")).first()[0]
+    return cache.summary(cache.live(e, F.lit(now)))
+
+
+@query("cache_hit_ratio", "SELECT count(*) AS n_calls, (count(*) - count(DISTINCT text))::BIGINT AS n_hits, round((count(*) - count(DISTINCT text)) / count(*), 6) AS hit_ratio FROM documents")
+def hit_ratio(spark, sf):
+    rows = x.t(spark, sf, "documents").select("doc_id", F.md5("text").alias("hash"))
+    first = F.row_number().over(Window.partitionBy("hash").orderBy("doc_id"))
+    return cache.hit_ratio(rows.select((first > 1).alias("cached")))
+
+
+LOCAL = f"""{x.E}, {x.V}, HI AS (SELECT 's' || l_suppkey AS id, sum(l_extendedprice) AS score FROM lineitem GROUP BY l_suppkey),
+    KE AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM HI QUALIFY rank <= 5),
+    LO AS (SELECT E.src, E.dst, 0 AS list_id, row_number() OVER (ORDER BY KE.rank, E.src, E.dst) AS rank FROM KE JOIN E ON E.src = KE.id OR E.dst = KE.id),
+    GL AS (SELECT src, dst, 1 AS list_id, row_number() OVER (ORDER BY weight DESC, src, dst) AS rank FROM E QUALIFY rank <= 40)"""
+
+
+def keyword_entities(spark, sf, k: int = 5):
+    hits = x.t(spark, sf, "lineitem").groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("id")).agg(F.sum("l_extendedprice").alias("score"))
+    return hits.orderBy(F.desc("score"), "id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+
+
+def local_edges(spark, sf):
+    """Relations of the entities nearest to the keywords."""
+    e = materialise(x.edges(spark, sf).select("src", "dst", "weight"), "edges")
+    k = F.broadcast(keyword_entities(spark, sf).select(F.col("id").alias("k"), F.col("rank").alias("krank")))  # five rows
+    at = e.join(k, F.col("src") == F.col("k")).unionByName(e.join(k, (F.col("dst") == F.col("k")) & (F.col("src") != F.col("k"))))
+    return at.select("src", "dst", F.lit(0).alias("list_id"), F.row_number().over(Window.orderBy("krank", "src", "dst")).alias("rank"))
+
+
+def global_edges(spark, sf, k: int = 40):
+    """Relations nearest to the keywords."""
+    top = x.edges(spark, sf).orderBy(F.desc("weight"), "src", "dst").limit(k)
+    return top.select("src", "dst", F.lit(1).alias("list_id"), F.row_number().over(Window.orderBy(F.desc("weight"), "src", "dst")).alias("rank"))
+
+
+@query("graph_local", f"WITH {LOCAL} SELECT src, dst, rank::INTEGER AS rank FROM LO")
+def graph_local(spark, sf):
+    return local_edges(spark, sf).select("src", "dst", "rank")
+
+
+@query("graph_global", f"WITH {LOCAL} SELECT GL.rank::INTEGER AS rank, GL.src, GL.dst, a.name AS src_name, b.name AS dst_name FROM GL JOIN V a ON a.id = GL.src JOIN V b ON b.id = GL.dst")
+def graph_global(spark, sf):
+    v = x.vertices(spark, sf)
+    out = global_edges(spark, sf).join(v.select(F.col("id").alias("src"), F.col("name").alias("src_name")), "src").join(v.select(F.col("id").alias("dst"), F.col("name").alias("dst_name")), "dst")
+    return out.select("rank", "src", "dst", "src_name", "dst_name")
+
+
+HYBRID = f"WITH {LOCAL}, AL AS (SELECT * FROM LO UNION ALL SELECT * FROM GL), FI AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY rank, list_id) AS n FROM AL)"
+
+
+def hybrid_edges(spark, sf):
+    lists = local_edges(spark, sf).unionByName(global_edges(spark, sf)).withColumn("query_id", F.lit(0)).withColumn("pair", F.concat_ws("|", "src", "dst"))
+    return fusion.round_robin(lists, "pair")
+
+
+@query("graph_hybrid", f"{HYBRID} SELECT src, dst, row_number() OVER (ORDER BY rank, list_id)::INTEGER AS position FROM FI WHERE n = 1")
+def graph_hybrid(spark, sf):
+    return hybrid_edges(spark, sf).select("src", "dst", "position")
+
+
+@query("context_only", f"{HYBRID}, PO AS (SELECT src, dst, row_number() OVER (ORDER BY rank, list_id) AS position FROM FI WHERE n = 1) SELECT 'relation' AS kind, src || '->' || dst AS item FROM PO WHERE position <= 20 UNION SELECT 'entity', src FROM PO WHERE position <= 20 UNION SELECT 'entity', dst FROM PO WHERE position <= 20")
+def context_only(spark, sf):
+    top = materialise(hybrid_edges(spark, sf).where("position <= 20").select("src", "dst"), "context")
+    relations = top.select(F.lit("relation").alias("kind"), F.concat("src", F.lit("->"), "dst").alias("item"))
+    return relations.union(top.select(F.lit("entity"), "src")).union(top.select(F.lit("entity"), "dst")).distinct()
+
+
+@query("mode_comparison", f"{HYBRID} SELECT 'local' AS mode, count(*) AS n FROM LO UNION ALL SELECT 'global', count(*) FROM GL UNION ALL SELECT 'hybrid', count(*) FROM FI WHERE n = 1")
+def modes(spark, sf):
+    found = {"local": local_edges(spark, sf), "global": global_edges(spark, sf), "hybrid": hybrid_edges(spark, sf)}
+    out = None
+    for name, rows in found.items():
+        part = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("mode"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("agent_loop")
+def agent_loop(spark, sf):
+    requests = items(spark, sf).select(F.col("query_id").alias("request_id"), "query")
+    return agent.answered(requests, docs(spark, sf))[0]
+
+
