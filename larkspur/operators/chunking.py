@@ -1,8 +1,8 @@
 """Structure-aware chunking and chunk metadata.
 
 What depends on order alone runs as windows or array functions. Folds whose every
-step depends on the one before (heading stacks, packing) run per document with
-applyInPandas; documents are independent of each other.
+step depends on the one before (heading stacks, packing) stream through the
+documents of a partition; documents are independent of each other.
 """
 
 from __future__ import annotations
@@ -10,10 +10,11 @@ from __future__ import annotations
 import bisect
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators.folds import folded
+
 
 def merged_runs(sections: DataFrame) -> DataFrame:
     """Neighbouring sections (doc_id, pos, header, level, content) with equal header and level as one, a blank line between."""
@@ -100,12 +101,11 @@ def even_cuts(counts: list[int], most: int) -> list[tuple[int, int]]:
 def even_split(items: DataFrame, most: int) -> DataFrame:
     """Items (doc_id, pos, n_tokens) with ``part``, the range that they fall into."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        parts = [n for n, (a, b) in enumerate(even_cuts(rows["n_tokens"].tolist(), most)) for _ in range(b - a)]
-        return pd.DataFrame({"doc_id": rows["doc_id"], "pos": rows["pos"], "n_tokens": rows["n_tokens"], "part": parts})
+    def fold(rows: list[tuple]) -> list[tuple]:
+        parts = [n for n, (a, b) in enumerate(even_cuts([r[2] for r in rows], most)) for _ in range(b - a)]
+        return [(*r, part) for r, part in zip(rows, parts, strict=True)]
 
-    return items.select("doc_id", "pos", "n_tokens").groupBy("doc_id").applyInPandas(run, "doc_id long, pos long, n_tokens long, part long")
+    return folded(items.select("doc_id", "pos", "n_tokens"), "doc_id", ["pos"], fold, "doc_id long, pos long, n_tokens long, part long")
 
 
 def heading_stack(items: DataFrame) -> DataFrame:
@@ -114,42 +114,40 @@ def heading_stack(items: DataFrame) -> DataFrame:
     A heading takes the place of the one of its level and clears deeper ones.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: list[tuple]) -> list[tuple]:
         stack: dict[int, str] = {}
         out = []
-        for level, text in rows.sort_values("pos")[["level", "text"]].itertuples(index=False):
-            if not pd.isna(level):
-                stack = {k: v for k, v in stack.items() if k < level} | {int(level): text}
-            out.append([stack[k] for k in sorted(stack)])
-        ordered = rows.sort_values("pos")
-        return pd.DataFrame({"doc_id": ordered["doc_id"], "pos": ordered["pos"], "headings": out})
+        for doc, pos, level, text in rows:
+            if level is not None:
+                stack = {k: v for k, v in stack.items() if k < level} | {level: text}
+            out.append((doc, pos, [stack[k] for k in sorted(stack)]))
+        return out
 
-    return items.select("doc_id", "pos", "level", "text").groupBy("doc_id").applyInPandas(run, "doc_id long, pos long, headings array<string>")
+    return folded(items.select("doc_id", "pos", "level", "text"), "doc_id", ["pos"], fold, "doc_id long, pos long, headings array<string>")
 
 
 def packed(sections: DataFrame, most: int = 1024, short: int = 30) -> DataFrame:
-    """Sections (doc_id, pos, level, last_level, text, n_tokens, n_items) packed into chunks.
+    """Sections (doc_id, pos, level, last_level, text, n_tokens, n_items, is_header) packed into chunks.
 
     A lone short header goes into the section after it, unless that one stands
     higher. A chunk ends before the section that would overflow it, or that stands
     higher than its last level. Every section is split before (see even_split).
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [{"texts": [r.text], "tokens": int(r.n_tokens), "first": int(r.level), "last": int(r.last_level), "lone": bool(r.is_header and r.n_items == 1 and len(r.text) <= short), "pos": [int(r.pos)]} for r in rows.sort_values("pos").itertuples()]
+    def fold(rows: list[tuple]) -> list[tuple]:
+        parts = [{"texts": [text], "tokens": n, "first": level, "last": last, "lone": is_header and items == 1 and len(text) <= short, "pos": [pos]} for _, pos, level, last, text, n, items, is_header in rows]
         for at in range(len(parts) - 2, -1, -1):
             a, b = parts[at], parts[at + 1]
             if a["lone"] and not 0 <= b["first"] < a["last"]:
                 parts[at : at + 2] = [{"texts": a["texts"] + b["texts"], "tokens": a["tokens"] + b["tokens"], "first": a["first"], "last": b["last"], "lone": False, "pos": a["pos"] + b["pos"]}]
-        chunks, held = [], None
+        chunks: list[dict] = []
         for p in parts:
-            if held and (held["tokens"] + p["tokens"] > most or 0 <= p["first"] < held["last"]):
-                chunks.append(held)
-                held = None
-            held = p if held is None else {**held, "texts": held["texts"] + p["texts"], "tokens": held["tokens"] + p["tokens"], "last": p["last"], "pos": held["pos"] + p["pos"]}
-        if held:
-            chunks.append(held)
-        doc = rows["doc_id"].iloc[0]
-        return pd.DataFrame({"doc_id": [doc] * len(chunks), "chunk_no": range(len(chunks)), "n_tokens": [c["tokens"] for c in chunks], "first_pos": [c["pos"][0] for c in chunks], "n_sections": [len(c["pos"]) for c in chunks], "text": ["\n".join(c["texts"]) for c in chunks]})
-
-    return sections.groupBy("doc_id").applyInPandas(run, "doc_id long, chunk_no long, n_tokens long, first_pos long, n_sections long, text string")
+            held = chunks[-1] if chunks else None
+            if held is None or held["tokens"] + p["tokens"] > most or 0 <= p["first"] < held["last"]:
+                chunks.append(p)
+            else:
+                chunks[-1] = held | {"texts": held["texts"] + p["texts"], "tokens": held["tokens"] + p["tokens"], "last": p["last"], "pos": held["pos"] + p["pos"]}
+        return [(rows[0][0], n, c["tokens"], c["pos"][0], len(c["pos"]), "\n".join(c["texts"])) for n, c in enumerate(chunks)]
+
+    columns = sections.select("doc_id", "pos", "level", "last_level", "text", "n_tokens", "n_items", "is_header")
+    return folded(columns, "doc_id", ["pos"], fold, "doc_id long, chunk_no long, n_tokens long, first_pos long, n_sections long, text string")

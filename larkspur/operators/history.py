@@ -81,14 +81,17 @@ def compacted(messages: DataFrame, summaries: DataFrame) -> DataFrame:
 def detected(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(id, kind, names): dictionary names (kind, name) in texts (id, text), whatever their case.
 
-    Texts are searched word by word: a name is looked up under its first word, so
-    no text is compared with every name.
+    A name is looked up under its first word among the distinct words of each text,
+    so no text is compared with every name and no text is copied per word. Only
+    names of several words are then looked for in the text itself.
     """
     word = r"[^\p{L}\p{N}]+"
     names = dictionary.where("name <> ''").select("kind", "name", F.lower("name").alias("low")).distinct().withColumn("first", F.filter(F.split("low", word), lambda x: x != "")[0])
     rows = texts.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("low_text"))
-    held = rows.select("id", "low_text", F.explode(F.array_distinct(F.split("low_text", word))).alias("first")).where("first <> ''")
-    hits = held.join(names, "first").where(F.contains("low_text", F.col("low")))
+    held = rows.select("id", F.explode(F.array_distinct(F.split("low_text", word))).alias("first")).where("first <> ''")
+    met = held.join(names, "first")
+    several = met.where("low <> first").join(rows, "id").where(F.contains("low_text", F.col("low")))
+    hits = met.where("low = first").select("id", "kind", "name").unionByName(several.select("id", "kind", "name"))
     return hits.groupBy("id", "kind").agg(F.array_sort(F.collect_set("name")).alias("names"))
 
 
