@@ -229,20 +229,25 @@ def read(raw: bytes) -> Stream:
     while at + 4 <= stop:
         info = header(raw[at : at + 4])
         end = at + info.size if info else 0
-        # a header counts if its frame ends where another begins, or where the stream does
-        if not info or end > stop or end + 4 <= stop and header(raw[end : end + 4]) is None and end != stop:
+        start = at + 4 + 2 * info.protected + info.side * (info.layer == 3) if info else at
+        sound = None
+        if info and end <= stop and info.protected and info.layer == 3:
+            covered = raw[at + 2 : at + 4] + raw[at + 6 : start]
+            if (value := good.get(covered)) is None:
+                value = crc16(covered)
+                if len(good) < 10_000:
+                    good[covered] = value
+            sound = value == int.from_bytes(raw[at + 4 : at + 6], "big")
+        # a header counts if its checksum holds, or its frame ends where another begins or the stream does
+        if not info or end > stop or not sound and end + 4 <= stop and header(raw[end : end + 4]) is None:
             found = raw.find(b"\xff", at + 1, stop)
             found = stop if found < 0 else found
             out.skipped += found - at
             at = found
             continue
-        start = at + 4 + 2 * info.protected + info.side * (info.layer == 3)
-        if info.protected and info.layer == 3:
-            covered = raw[at + 2 : at + 4] + raw[at + 6 : start]
-            if covered not in good and len(good) < 10_000:
-                good[covered] = crc16(covered)
+        if sound is not None:
             out.checked += 1
-            out.wrong += (good.get(covered) if covered in good else crc16(covered)) != int.from_bytes(raw[at + 4 : at + 6], "big")
+            out.wrong += not sound
         if not out.offsets and not out.table and (table := _table(raw[at:end], info)):
             out.table = table
         else:
