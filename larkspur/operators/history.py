@@ -86,7 +86,7 @@ def detected(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
     names of several words are then looked for in the text itself.
     """
     word = r"[^\p{L}\p{N}]+"
-    names = dictionary.where("name <> ''").select("kind", "name", F.lower("name").alias("low")).distinct().withColumn("first", F.filter(F.split("low", word), lambda x: x != "")[0])
+    names = dictionary.where("name <> ''").select("kind", "name", F.lower("name").alias("low")).distinct().withColumn("first", F.get(F.filter(F.split("low", word), lambda x: x != ""), 0))
     rows = texts.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("low_text"))
     held = rows.select("id", F.explode(F.array_distinct(F.split("low_text", word))).alias("first")).where("first <> ''")
     met = held.join(names, "first")
