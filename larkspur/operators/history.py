@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import token_estimate
+from larkspur.shared import spread
 
 # Fixed values that prompts carry.
 LABELS = {"user": "[사용자]", "assistant": "[어시스턴트]", "system": "[시스템]", "human": "[사용자]", "ai": "[어시스턴트]"}
@@ -87,7 +88,7 @@ def detected(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
     """
     word = r"[^\p{L}\p{N}]+"
     names = dictionary.where("name <> ''").select("kind", "name", F.lower("name").alias("low")).distinct().withColumn("first", F.get(F.filter(F.split("low", word), lambda x: x != ""), 0))
-    rows = texts.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("low_text"))
+    rows = spread(texts.select("id", "text")).select("id", F.lower(F.coalesce("text", F.lit(""))).alias("low_text"))
     held = rows.select("id", F.explode(F.array_distinct(F.split("low_text", word))).alias("first")).where("first <> ''")
     met = held.join(names, "first")
     several = met.where("low <> first").join(rows, "id").where(F.contains("low_text", F.col("low")))

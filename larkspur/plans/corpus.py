@@ -80,9 +80,9 @@ def date_parse(spark, sf):
     return x.t(spark, sf, "orders").select("o_orderkey", given.alias("given")).withColumn("date_key", text.date_key(F.col("given")))
 
 
-@query("glyph_count", r"SELECT doc_id, len(regexp_extract_all(replace(text, 'an', 'GLYPH'), 'GLYPH\w*')) AS n, len(regexp_extract_all(replace(text, 'an', 'GLYPH'), 'GLYPH\w*')) > 10 AS needs_ocr FROM documents WHERE lang = 'en'")
+@query("glyph_count", r"SELECT doc_id, len(regexp_extract_all(replace(text, 'an', 'GLYPH'), 'GLYPH\w*')) AS n, len(regexp_extract_all(replace(text, 'an', 'GLYPH'), 'GLYPH\w*')) > 10 AS needs_ocr FROM documents")
 def glyph_count(spark, sf):
-    rows = docs(spark, sf).where("lang = 'en'").select("doc_id", text.glyph_noise(F.replace("text", F.lit("an"), F.lit("GLYPH"))).alias("n"))
+    rows = docs(spark, sf).select("doc_id", text.glyph_noise(F.replace("text", F.lit("an"), F.lit("GLYPH"))).alias("n"))
     return rows.withColumn("needs_ocr", F.col("n") > 10)
 
 

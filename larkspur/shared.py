@@ -48,6 +48,20 @@ def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores; one that already has a split for each stays as it is.
+
+    Meant for scans that heavy expressions follow: a Parquet file of one row group
+    is one task, whatever it costs. The choice rests on the optimiser's estimate, so
+    nothing is run for it.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = df._jdf.sparkSession().sessionState().conf().filesMaxPartitionBytes()
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < cores * split
+    return df.repartition(cores) if small else df
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Removes a table that :func:`shared_path` named."""
     jvm = spark.sparkContext._jvm
