@@ -1,7 +1,7 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 Tokens are words of the text with A-Z lower-cased, then one end token; a token is
-known by the XXH64 of its bytes. The model is an interpolated, absolutely
+known by a 64-bit polynomial hash of its bytes over random values. The model is an interpolated, absolutely
 discounted trigram model over one class for all unknown words:
 
     P1(w)     = (1 - m) (c(w) - d1) / (N - d1 V), unknown words together m
@@ -39,31 +39,104 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.eliasfano import EliasFano, forget, map_arrays, write_arrays
-from larkspur.llm.words import WordMemo
 from larkspur.shared import materialise, shared_path
 
-#: Hashes of the end of a text and of what stands before its first word; no word has a line feed.
-END, START = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"\n", b"\n\n"))
 FINGERPRINT_BITS, SUCCESSOR_BITS = 48, 40
 #: Codes of probabilities: STEP of them a factor of ten, the last means none.
 STEP, NONE = 4096, 65535
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
-def word_hashes(words: list[str]) -> list[bytes]:
-    digest = xxhash.xxh64_intdigest
-    out = []
-    for word in words:
-        raw = word.encode().lower()
-        parts = raw.split()
-        out.append(b"".join([digest(p).to_bytes(8, "little") for p in parts]))
-    return out
+#: A random value for each byte; letters A-Z have those of a-z. No text holds bytes 254 and 255 (UTF-8 has neither).
+VALUES = np.random.default_rng(20240229).integers(1, 2**64, 256, dtype=np.uint64)
+VALUES[65:91] = VALUES[97:123]
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BASE = 0x9E3779B97F4A7C15 | 5
+BLOCK = 1 << 20
+
+
+class Powers:
+    """Powers of BASE and of its inverse modulo 2^64."""
+
+    up = np.ones(0, np.uint64)
+    down = np.ones(0, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            made = []
+            for base in (BASE, pow(BASE, -1, 1 << 64)):
+                factors = np.full(n, base, np.uint64)
+                factors[0] = 1
+                made.append(np.cumprod(factors, dtype=np.uint64))
+            cls.up, cls.down = made
+        return cls.up, cls.down
+
+
+def finished(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(29)
+
+
+def _block_hashes(raw: np.ndarray) -> np.ndarray:
+    """Hashes of the words of a block that begins and ends with white space."""
+    up, down = Powers.of(len(raw))
+    edges = np.flatnonzero(np.diff(SPACE[raw])) + 1
+    start, stop = edges[::2], edges[1::2]
+    total = np.cumsum(VALUES[raw] * up[: len(raw)], dtype=np.uint64)
+    return finished((total[stop - 1] - total[start - 1]) * down[start])
+
+
+def _long_hash(word: bytes) -> np.ndarray:
+    """The hash of one word of any length, block by block."""
+    total, up = 0, Powers.of(BLOCK)[0]
+    for at in range(0, len(word), BLOCK):
+        part = VALUES[np.frombuffer(word[at : at + BLOCK], np.uint8)]
+        total += int((part * up[: len(part)]).sum(dtype=np.uint64)) * pow(BASE, at, 1 << 64)
+    return finished(np.array([total % (1 << 64)], np.uint64))
+
+
+def hash_words(raw: bytes) -> np.ndarray:
+    """Hashes of all words (runs of other bytes than ASCII white space), with A-Z as a-z."""
+    out, at = [], 0
+    while at < len(raw):
+        part = raw[at : at + BLOCK]
+        if at + BLOCK < len(raw):
+            cut = max(part.rfind(c) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+            if cut < 0:  # a word that no block holds
+                stop = next((i for i in range(at + BLOCK, len(raw)) if SPACE[raw[i]]), len(raw))
+                out.append(_long_hash(raw[at:stop]))
+                at = stop
+                continue
+            part = part[: cut + 1]
+        at += len(part)
+        out.append(_block_hashes(np.frombuffer(b" " + part + b" ", np.uint8)))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+#: The end of a text and what stands before its first word.
+END_MARK, START_MARK = b"\xff", b"\xfe"
+END, START = (hash_words(m)[0] for m in (END_MARK, START_MARK))
+
+
+def unique(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct sorted keys, a place of each, and each place's number among them."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, bool)
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return keys[new], order[new], number
 
 
 def mixed(words: list[np.ndarray]) -> np.ndarray:
@@ -95,11 +168,10 @@ class Tokens:
     starts: np.ndarray
 
     @staticmethod
-    def of(texts: list[str], memo: WordMemo) -> Tokens:
-        end = int(END).to_bytes(8, "little")
-        raw = [r + end for r in memo.encode(texts)]
-        now = np.frombuffer(b"".join(raw), np.uint64)
-        starts = np.concatenate([[0], np.cumsum([len(r) // 8 for r in raw])])[:-1].astype(np.int64)
+    def of(texts: list[bytes]) -> Tokens:
+        mark = b" " + END_MARK + b" "
+        now = hash_words(mark.join([*texts, b""]))
+        starts = np.concatenate([[0], np.flatnonzero(now == END)[:-1] + 1]).astype(np.int64)
         one = np.concatenate([[START], now[:-1]]).astype(np.uint64)
         one[starts] = START
         two = np.concatenate([[START], one[:-1]]).astype(np.uint64)
@@ -114,7 +186,11 @@ class Tokens:
         return mask
 
 
-def token_slices(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
+def utf8(batch: pa.RecordBatch) -> list[bytes]:
+    return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+
+
+def token_slices(texts: list[bytes], chars: int) -> Iterator[tuple[int, int]]:
     start = size = 0
     for at, text in enumerate(texts):
         if at > start and size + len(text) > chars:
@@ -148,6 +224,15 @@ class Layout:
         """Ranges of fingerprints, so that sorted fingerprints are sorted by shard."""
         return ((fp >> np.uint64(FINGERPRINT_BITS - 24)) * np.uint64(self.filters) >> np.uint64(24)).astype(np.int64)
 
+    def filtered(self, fp: np.ndarray) -> dict[str, np.ndarray]:
+        """Arrays of the fingerprints of one shard, counted from its first."""
+        base = fp[:1] if len(fp) else np.zeros(1, np.uint64)
+        return EliasFano.build(fp - base, int(fp[-1] - fp[0]) + 1 if len(fp) else 1, "prints") | {"base": base}
+
+    def within(self, h: np.ndarray) -> np.ndarray:
+        """Hashes without the bits that number their unigram shard."""
+        return h & np.uint64((1 << 64 - self.unigram_bits) - 1)
+
     def trie_shard(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return ((mixed([b, a]) >> np.uint64(40)) % np.uint64(self.tries)).astype(np.int64)
 
@@ -198,15 +283,15 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([np.frombuffer(raw, np.uint64, 1, 1), steps]), dtype=np.uint64)
 
 
-def count_runs(docs: DataFrame, layout: Layout, chars: int = 8_000_000) -> DataFrame:
+def count_runs(docs: DataFrame, layout: Layout, chars: int = 6_000_000) -> DataFrame:
     """Runs of unigrams (kind 1) and of fingerprints of bigrams and trigrams (2, 3)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, part = WordMemo(word_hashes), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = utf8(batch)
             for a, b in token_slices(texts, chars):
-                t = Tokens.of(texts[a:b], memo)
+                t = Tokens.of(texts[a:b])
                 rows = []
                 found, n = np.unique(np.append(t.now, START), return_counts=True)
                 n[np.searchsorted(found, START)] -= 1  # listed as a context, never counted
@@ -249,13 +334,13 @@ def add_up(runs: DataFrame, layout: Layout, keep: int) -> DataFrame:
             part = part[first]
             if kind == 1:
                 large = np.flatnonzero(counts >= 255)
-                arrays = EliasFano.build(keys, 1 << 64, "words") | {"counts": np.minimum(counts, 255).astype(np.uint8), "large": large, "large_counts": counts[large]}
+                arrays = EliasFano.build(layout.within(keys), 1 << 64 - layout.unigram_bits, "words") | {"counts": np.minimum(counts, 255).astype(np.uint8), "large": large, "large_counts": counts[large]}
                 write_arrays(f"{layout.path}/unigrams-{shard}", arrays)
                 out.append((kind, int(counts.sum()), int((counts > 0).sum()), int((counts == 1).sum()), int((counts == 2).sum())))
             else:
                 often = counts >= keep
                 counts = np.minimum(counts[often], 2**32 - 1)
-                write_arrays(f"{layout.path}/filter-{kind}-{shard}", EliasFano.build(keys[often], 1 << FINGERPRINT_BITS, "prints") | {"counts": counts.astype(np.uint32), "part": part[often].astype(np.int32)})
+                write_arrays(f"{layout.path}/filter-{kind}-{shard}", layout.filtered(keys[often]) | {"counts": counts.astype(np.uint32), "part": part[often].astype(np.int32)})
                 out.append((kind, int(counts.sum()), int(often.sum()), 0, 0))
         columns = list(zip(*out, strict=True)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["kind", "n", "types", "single", "double"])
@@ -278,7 +363,7 @@ class Unigrams:
                 arrays = map_arrays(f"{self.layout.path}/unigrams-{shard}")
             except FileNotFoundError:
                 continue  # no training word has such a hash
-            place = EliasFano(arrays, "words").find(words[at])
+            place = EliasFano(arrays, "words").find(self.layout.within(words[at]))
             hit = np.flatnonzero(place >= 0)
             place = place[hit]
             n = arrays["counts"][place].astype(np.int64)
@@ -293,27 +378,34 @@ class Unigrams:
 GRAMS = "kind int, shard long, words binary, counts binary"
 
 
-def kept_grams(docs: DataFrame, layout: Layout, chars: int = 8_000_000) -> DataFrame:
+def kept_grams(docs: DataFrame, layout: Layout, chars: int = 6_000_000) -> DataFrame:
     """The words of n-grams in the filters, each from one task that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, part = WordMemo(word_hashes), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = utf8(batch)
             for a, b in token_slices(texts, chars):
-                t = Tokens.of(texts[a:b], memo)
+                t = Tokens.of(texts[a:b])
                 inner, rows = t.inner, []
                 for kind, words in ((2, [t.one, t.now]), (3, [t.two[inner], t.one[inner], t.now[inner]])):
-                    fp, first = np.unique(mixed(words) >> np.uint64(64 - FINGERPRINT_BITS), return_index=True)
+                    every = mixed(words) >> np.uint64(64 - FINGERPRINT_BITS)
+                    fp = unique(every)
                     n = np.zeros(len(fp), np.uint32)
                     for shard, at in by_shard(layout.filter_shard(fp)):
                         arrays = map_arrays(f"{layout.path}/filter-{kind}-{shard}")
-                        place = EliasFano(arrays, "prints").find(fp[at])
+                        place = EliasFano(arrays, "prints").find(fp[at] - arrays["base"][0])
                         hit = np.flatnonzero(place >= 0)
                         hit = hit[arrays["part"][place[hit]] == part]
                         n[at.start + hit] = arrays["counts"][place[hit]]
                     own = np.flatnonzero(n)
-                    grams = np.stack([w[first[own]] for w in words], axis=1)
+                    # where they stand: those that share leading bits are compared in full
+                    near = np.zeros(1 << 22, bool)
+                    near[(fp[own] & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+                    maybe = np.flatnonzero(near[(every & np.uint64((1 << 22) - 1)).astype(np.int64)])
+                    there, first, _ = distinct(every[maybe])
+                    first = maybe[first][np.isin(there, fp[own], assume_unique=True)]
+                    grams = np.stack([w[first] for w in words], axis=1)
                     shard = layout.trie_shard(grams[:, 0], grams[:, 1])
                     order = np.argsort(shard, kind="stable")
                     grams, n = grams[order], n[own][order]
@@ -419,7 +511,7 @@ def write_backoff(masses: DataFrame, layout: Layout) -> None:
                 return
             weights = np.ones(EliasFano(arrays, "words").n, np.float32)
             words_, mass_ = np.concatenate(words), np.concatenate(mass)
-            place = EliasFano(arrays, "words").find(words_)
+            place = EliasFano(arrays, "words").find(layout.within(words_))
             weights[place[place >= 0]] = np.clip(1 - mass_[place >= 0], 0, 1)
             write_arrays(f"{layout.path}/backoff-{shard}", {"weights": weights})
 
@@ -443,7 +535,7 @@ def write_backoff(masses: DataFrame, layout: Layout) -> None:
     summed_.select("word", "mass", "shard").union(every).repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "n long").count()
 
 
-def build(docs: DataFrame, keep: int = 2, discount: float = 0.75, shard_tokens: int = 4_000_000) -> Layout:
+def build(docs: DataFrame, keep: int = 2, discount: float = 0.75, shard_tokens: int = 3_000_000, trie_grams: int = 1_500_000) -> Layout:
     """Builds a model of the texts of ``docs`` (null: empty) in the shared folder."""
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -455,7 +547,7 @@ def build(docs: DataFrame, keep: int = 2, discount: float = 0.75, shard_tokens:
         return layout
     layout.tokens, layout.types, layout.single, layout.double = (sums[1][c] for c in ("n", "types", "single", "double"))
     layout.starts = int(Unigrams(layout, False).look(np.array([END]))[0][0])
-    layout.tries = 1 + sum(sums[k]["types"] for k in (2, 3) if k in sums) // shard_tokens
+    layout.tries = 1 + sum(sums[k]["types"] for k in (2, 3) if k in sums) // min(trie_grams, shard_tokens)
     layout.facts = {k: sums[k]["types"] for k in sums}
     masses = materialise(build_tries(kept_grams(docs, layout), layout), "ngram-masses")
     write_backoff(masses, layout)
@@ -466,7 +558,7 @@ class Scorer:
     """Scores documents with a built model."""
 
     def __init__(self, layout: Layout):
-        self.layout, self.memo, self.unigrams = layout, WordMemo(word_hashes), Unigrams(layout, True)
+        self.layout, self.unigrams = layout, Unigrams(layout, True)
         forget(layout.path)
 
     def tries(self, shard: np.ndarray) -> Iterator[tuple[dict, np.ndarray]]:
@@ -478,11 +570,11 @@ class Scorer:
             except FileNotFoundError:
                 continue  # no n-gram was kept there
 
-    def score(self, texts: list[str]) -> list[tuple[int, int, float, float]]:
+    def score(self, texts: list[bytes]) -> list[tuple[int, int, float, float]]:
         """(tokens, known tokens, base score, model score) of each text."""
         L = self.layout
-        t = Tokens.of(texts, self.memo)
-        words, back = np.unique(np.append(t.now, START), return_inverse=True)
+        t = Tokens.of(texts)
+        words, _, back = distinct(np.append(t.now, START))
         counts, weights = self.unigrams.look(words)
         n, context = counts[back[:-1]], np.concatenate([[1.0], weights[back[:-2]]])
         context[t.starts] = weights[back[-1]]
@@ -500,8 +592,7 @@ class Scorer:
         L = self.layout
         known = (n > 0) & ((t.one == START) | np.concatenate([[False], n[:-1] > 0]))
         ask = np.flatnonzero(known)
-        pairs = mixed([t.one[ask], t.now[ask]])
-        _, first, back = np.unique(pairs, return_index=True, return_inverse=True)
+        _, first, back = distinct(mixed([t.one[ask], t.now[ask]]))
         a, b = t.one[ask][first], t.now[ask][first]
         place, gain = np.full(len(first), -1, np.int64), np.zeros(len(first))
         shard = L.trie_shard(a, b)
@@ -524,7 +615,7 @@ class Scorer:
         for arrays, at in self.tries(home[ask]):
             at = ask[at]
             pointers, own = EliasFano(arrays, "pointers3"), node[at]
-            nodes, back = np.unique(own, return_inverse=True)
+            nodes, _, back = distinct(own)
             some = (pointers.access(nodes + 1) > pointers.access(nodes))[back]
             at, own = at[some], own[some]
             found = EliasFano(arrays, "level3").find((own.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successor(t.now[at]))
@@ -549,7 +640,7 @@ def score(docs: DataFrame, layout: Layout, fold: int = 0, folds: int = 10, chars
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(layout)
         for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
+            texts = utf8(batch)
             out = [row for a, b in token_slices(texts, chars) for row in scorer.score(texts[a:b])]
             size, known, base, own = (list(c) for c in zip(*out, strict=True)) if out else ([], [], [], [])
             columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array([layout.tokens] * len(out), pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())]
