@@ -283,7 +283,7 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([np.frombuffer(raw, np.uint64, 1, 1), steps]), dtype=np.uint64)
 
 
-def count_runs(docs: DataFrame, layout: Layout, chars: int = 6_000_000) -> DataFrame:
+def count_runs(docs: DataFrame, layout: Layout, chars: int = 4_000_000) -> DataFrame:
     """Runs of unigrams (kind 1) and of fingerprints of bigrams and trigrams (2, 3)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +345,7 @@ def add_up(runs: DataFrame, layout: Layout, keep: int) -> DataFrame:
         columns = list(zip(*out, strict=True)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["kind", "n", "types", "single", "double"])
 
-    dealt = runs.repartition("kind", "shard").sortWithinPartitions("kind", "shard", "part")
+    dealt = runs.repartition(2 * layout.filters + (1 << layout.unigram_bits), "kind", "shard").sortWithinPartitions("kind", "shard", "part")
     return dealt.mapInArrow(run, "kind long, n long, types long, single long, double long")
 
 
@@ -378,7 +378,7 @@ class Unigrams:
 GRAMS = "kind int, shard long, words binary, counts binary"
 
 
-def kept_grams(docs: DataFrame, layout: Layout, chars: int = 6_000_000) -> DataFrame:
+def kept_grams(docs: DataFrame, layout: Layout, chars: int = 3_000_000) -> DataFrame:
     """The words of n-grams in the filters, each from one task that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -494,7 +494,7 @@ def build_tries(grams: DataFrame, layout: Layout) -> DataFrame:
         if at is not None:
             yield done()
 
-    return grams.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "word long, mass double")
+    return grams.repartition(layout.tries, "shard").sortWithinPartitions("shard").mapInArrow(run, "word long, mass double")
 
 
 def write_backoff(masses: DataFrame, layout: Layout) -> None:
@@ -532,7 +532,7 @@ def write_backoff(masses: DataFrame, layout: Layout) -> None:
             done(at, words, mass)
         yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["n"])
 
-    summed_.select("word", "mass", "shard").union(every).repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "n long").count()
+    summed_.select("word", "mass", "shard").union(every).repartition(1 << layout.unigram_bits, "shard").sortWithinPartitions("shard").mapInArrow(run, "n long").count()
 
 
 def build(docs: DataFrame, keep: int = 2, discount: float = 0.75, shard_tokens: int = 3_000_000, trie_grams: int = 1_500_000) -> Layout:
@@ -628,7 +628,7 @@ class Scorer:
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, layout: Layout, fold: int = 0, folds: int = 10, chars: int = 2_500_000) -> DataFrame:
+def score(docs: DataFrame, layout: Layout, fold: int = 0, folds: int = 10, chars: int = 1_500_000) -> DataFrame:
     """Scores every document with a built model.
 
     Null and empty texts are one end token; equal texts get equal scores; without
