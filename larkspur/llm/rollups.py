@@ -120,8 +120,9 @@ def corpus_changes(docs: DataFrame) -> dict[str, DataFrame]:
     def batch(rows: DataFrame, tokenizer: str, column: str, op: str) -> DataFrame:
         return rows.select("doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(column).alias("n_tokens"), F.lit(op).alias("op"))
 
-    first = counted.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = counted.join(first, "digest").where("doc_id <> first")
+    # by doc_id rather than digest, so that a text with many copies is no hot key
+    kept = counted.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    copies = counted.join(kept, "doc_id", "left_anti")
     return {
         "load": batch(counted, "words", "words_v1", "insert"),
         "recount": batch(counted.where("words_v1 <> words_v2"), "words", "words_v2", "revise"),
