@@ -9,9 +9,11 @@ discounted trigram model over one class for all unknown words:
     P3(w|u,v) = q((c(uvw) - d) / c(uv)) + g(u,v) P2(w|v)
 
 with m the share of tokens that occur once (Good-Turing). Only bigrams and trigrams
-that occur ``keep`` times or more have a first term; q rounds down to a 16-bit
-code, and g is what the kept terms of a context leave of 1, so each distribution
-sums to 1 whatever was rounded or left out. Unigram counts are exact.
+that occur ``keep`` times or more have a first term (op9 keeps all); q rounds down
+to a 16-bit code, and g is what the kept terms of a context leave of 1, so each
+distribution sums to 1 whatever was rounded or left out. Unigram counts are exact.
+The discount of an order is given or estimated from how many of its n-grams occur
+once and twice.
 
 Building counts in three passes without shuffling single n-grams:
 
@@ -214,7 +216,7 @@ class Layout:
     single: int = 0
     double: int = 0
     starts: int = 0
-    discount: float = 0.75
+    discounts: dict = field(default_factory=lambda: {2: 0.75, 3: 0.75})
     facts: dict = field(default_factory=dict)
 
     def unigram_shard(self, h: np.ndarray) -> np.ndarray:
@@ -339,9 +341,10 @@ def add_up(runs: DataFrame, layout: Layout, keep: int) -> DataFrame:
                 out.append((kind, int(counts.sum()), int((counts > 0).sum()), int((counts == 1).sum()), int((counts == 2).sum())))
             else:
                 often = counts >= keep
+                few = [int((counts == n).sum()) for n in (1, 2)]
                 counts = np.minimum(counts[often], 2**32 - 1)
                 write_arrays(f"{layout.path}/filter-{kind}-{shard}", layout.filtered(keys[often]) | {"counts": counts.astype(np.uint32), "part": part[often].astype(np.int32)})
-                out.append((kind, int(counts.sum()), int(often.sum()), 0, 0))
+                out.append((kind, int(counts.sum()), int(often.sum()), *few))
         columns = list(zip(*out, strict=True)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["kind", "n", "types", "single", "double"])
 
@@ -446,7 +449,7 @@ def build_tries(grams: DataFrame, layout: Layout) -> DataFrame:
         contexts, first, owner = np.unique(grams[:, 0], return_index=True, return_inverse=True)
         known, _ = Unigrams(layout, False).look(contexts)
         known = np.where(contexts == START, layout.starts, known).astype(float)
-        codes = encode_probability((counts - layout.discount) / np.maximum(known[owner], counts))
+        codes = encode_probability((counts - layout.discounts[2]) / np.maximum(known[owner], counts))
         mass = np.bincount(owner, PROBABILITY[codes], len(contexts))
         keys = (owner.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successor(grams[:, 1])
         arrays = EliasFano.build(contexts, 1 << 64, "contexts")
@@ -464,7 +467,7 @@ def build_tries(grams: DataFrame, layout: Layout) -> DataFrame:
         three, n3, below = three[order], n3[order], below[order]
         keep = _without_twins(below, three[:, 2])
         three, n3, below = three[keep], n3[keep], below[keep]
-        codes3 = encode_probability((n3 - layout.discount) / np.maximum(counts[below], n3))
+        codes3 = encode_probability((n3 - layout.discounts[3]) / np.maximum(counts[below], n3))
         left = 1 - np.bincount(below, PROBABILITY[codes3], len(grams))
         keys3 = (below.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successor(three[:, 2])
         arrays |= EliasFano.build(np.searchsorted(below, np.arange(len(grams) + 1)), len(three) + 1, "pointers3")
@@ -535,12 +538,20 @@ def write_backoff(masses: DataFrame, layout: Layout) -> None:
     summed_.select("word", "mass", "shard").union(every).repartition(1 << layout.unigram_bits, "shard").sortWithinPartitions("shard").mapInArrow(run, "n long").count()
 
 
-def build(docs: DataFrame, keep: int = 2, discount: float = 0.75, shard_tokens: int = 3_000_000, trie_grams: int = 1_500_000) -> Layout:
-    """Builds a model of the texts of ``docs`` (null: empty) in the shared folder."""
+def estimated_discount(single: int, double: int) -> float:
+    """Absolute discount from counts of counts; 0.75 if none occurs once or none twice."""
+    return single / (single + 2 * double) if single and double else 0.75
+
+
+def build(docs: DataFrame, keep: int = 2, discount: float | None = 0.75, shard_tokens: int = 3_000_000, trie_grams: int = 1_500_000) -> Layout:
+    """Builds a model of the texts of ``docs`` (null: empty) in the shared folder.
+
+    Without ``discount`` each order has its own, estimated from its counts of counts.
+    """
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = chars // (6 * shard_tokens) + 1
-    layout = Layout(shared_path(spark, "ngrams"), max(0, (shards // 2).bit_length()), shards, discount=discount)
+    layout = Layout(shared_path(spark, "ngrams"), max(0, (shards // 2).bit_length()), shards)
     runs = count_runs(docs, layout)
     sums = {r["kind"]: r for r in materialise(add_up(runs, layout, keep), "ngram-sums").groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("n", "types", "single", "double")]).collect()}
     if 1 not in sums:
@@ -549,6 +560,7 @@ def build(docs: DataFrame, keep: int = 2, discount: float = 0.75, shard_tokens:
     layout.starts = int(Unigrams(layout, False).look(np.array([END]))[0][0])
     layout.tries = 1 + sum(sums[k]["types"] for k in (2, 3) if k in sums) // min(trie_grams, shard_tokens)
     layout.facts = {k: sums[k]["types"] for k in sums}
+    layout.discounts = {k: estimated_discount(sums[k]["single"], sums[k]["double"]) if discount is None and k in sums else 0.75 if discount is None else discount for k in (2, 3)}
     masses = materialise(build_tries(kept_grams(docs, layout), layout), "ngram-masses")
     write_backoff(masses, layout)
     return layout

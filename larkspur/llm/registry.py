@@ -46,7 +46,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return ngrams.score(docs, ngrams.build_on_fold(docs))
+    return ngrams.score(docs, ngrams.build_on_fold(docs, keep=1, discount=None))
 
 
 def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from larkspur.llm import decontaminate, language, mpeg, ngrams, packing, simhash, toxicity, wrappers
+from larkspur.llm import decontaminate, language, mpeg, ngrams, packing, registry, simhash, toxicity, wrappers
 from larkspur.llm.eliasfano import EliasFano, map_arrays, write_arrays
 from larkspur.llm.packing import WordEncoder, plan_bins, vocabulary_path
 from larkspur.llm.words import WordMemo
@@ -320,6 +320,40 @@ def test_language_model_against_counts(spark, shard_tokens):
         assert r.n_tokens == len(k) - 1 and r.n_known == sum(one[w] > 0 for w in k[1:])
 
 
+def test_language_model_keeps_what_occurs_once(spark, monkeypatch):
+    train = ["a b c", "a b d", "a b c", "e f g", "h i", "h i"]
+    rows = [(i, t) for i, t in zip((i for i in range(1000) if zlib.crc32(str(i).encode()) % 10), train, strict=False)]
+    rows += [(next(i for i in range(1000) if not zlib.crc32(str(i).encode()) % 10), "e f g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(registry, "table", lambda *_: docs)
+    one, two, three = Counter(), Counter(), Counter()
+    for t in train:
+        k = ["^", *t.split(), "\n"]
+        one.update(k)
+        two.update(zip(k, k[1:], strict=False))
+        three.update(zip(k, k[1:], k[2:], strict=False))
+    context, words = one.copy(), one - Counter({"^": len(train)})
+    N, V = sum(words.values()), len(words)
+
+    def discount(c):
+        n1, n2 = (sum(n == m for n in c.values()) for m in (1, 2))
+        return n1 / (n1 + 2 * n2)
+
+    d1, d2, d3 = map(discount, (words, two, three))
+    unseen = sum(c == 1 for c in words.values()) / (N + 1)
+    k, total = ["^", "e", "f", "g", "\n"], 0.0
+    for j in range(1, len(k)):
+        v, w = k[j - 1], k[j]
+        p = (1 - unseen) * (words[w] - d1) / (N - d1 * V)
+        p = p * sum(d2 for g in two if g[0] == v) / context[v] + (two[v, w] - d2) / context[v]
+        if j > 1:
+            u = k[j - 2]
+            p = p * sum(d3 for g in three if g[:2] == (u, v)) / two[u, v] + (three[u, v, w] - d3) / two[u, v]
+        total += math.log10(p)
+    got = [r.score for r in registry.op9_lm_scoring(spark, "").collect() if r.held_out]
+    assert len(got) == 1 and math.isclose(got[0], total, rel_tol=5e-3)
+
+
 def test_wrapper_cuts_what_pages_share(spark):
     def page(n):
         return f"<html><body><div><p>Welcome to the site</p><p>Story {n} about things</p></div><div><a href=/>home</a> <a href=/x>more</a></div><p>All rights reserved</p></body></html>"
