@@ -9,13 +9,13 @@ all pages of a host (pages equal to the reference tell nothing and are left out)
 summed per task before it is shuffled, so a host of any size costs a few rows a
 task.
 
-The article is taken from an element that declares itself one (article, then main,
-then a named content container); menus, headers, footers, sidebars, notices,
-adverts, forms, comments and the like are cut by element and by words of class, id
-and role. On pages without such an element the wrapper decides: template nodes are
-cut and, of the slots, blocks that are mostly links; all other slots are content.
-An article element outranks the statistics, as licence lines that many articles of
-a host share are still their text.
+The article is looked for in an element that declares itself one (article, then main,
+then a named content container), on pages without such an element in the whole page;
+menus, headers, footers, sidebars, notices, adverts, forms, comments and the like are
+cut by element and by words of class, id and role. There the wrapper decides: template
+nodes without a slot below them are cut, also inside an article element, and slots
+are content. Inline elements within a text of their own block stay with it. Without
+an article element, blocks that are mostly links are cut, too.
 
 References and wrappers are broadcast while their summed size is below
 ``broadcast_bytes``, else joined by host with the hot hosts' rows salted.
@@ -295,21 +295,34 @@ def article(root: Node, wrapper: tuple[Reference, list[int]] | None) -> str:
     named = [n for n in order if n.tag == "article"] or [n for n in order if n.tag == "main" or "main" in n.words and n.tag in BLOCKS]
     if not named:
         named = [n for n in order if n.words & CONTENT_WORDS and n.tag in ("div", "section", "td")]
+    skip = _constant(root, wrapper) if wrapper else set()
     if named:
         inner = {id(x) for n in named for x in _below(n)}
         tops = [n for n in named if id(n) not in inner]
-        return "\n".join(t for n in tops for t in blocks(n))
-    skip: set[int] = set()
-    if wrapper:
-        reference, template = wrapper
-        fixed = reference.fixed(template)
-        for place, s in reference.align(shape(root)):
-            if place in fixed:
-                skip |= {id(n) for n in s.nodes if own_text(n) in fixed[place] and not any(not isinstance(c, str) and c.tag in BLOCKS for c in n.children)}
+        return "\n".join(t for n in tops for t in blocks(n, skip=frozenset(skip)))
     skip |= {id(n) for n in order if n.tag in ("header", "ul", "ol", "div", "p", "table") and _mostly_links(n)}
     return "\n".join(blocks(root, skip=frozenset(skip)))
 
 
+def _constant(root: Node, wrapper: tuple[Reference, list[int]]) -> set[int]:
+    """Ids of a page's template nodes: their text and all text below them is the template's."""
+    reference, template = wrapper
+    fixed = reference.fixed(template)
+    same = {id(n) for place, s in reference.align(shape(root)) if place in fixed for n in s.nodes if own_text(n) in fixed[place]}
+    order, todo = [], [(root, False)]
+    while todo:  # parents first
+        node, prose = todo.pop()
+        order.append((node, prose))
+        inside = bool(own_text(node)) or prose and node.tag not in BLOCKS
+        todo += [(c, inside) for c in node.children if not isinstance(c, str)]
+    slots: set[int] = set()  # with text that varies, in themselves or below
+    for node, _ in reversed(order):
+        if not node.cut and (id(node) not in same and own_text(node) or any(not isinstance(c, str) and id(c) in slots for c in node.children)):
+            slots.add(id(node))
+    # an inline element in running text is part of it
+    return {id(n) for n, prose in order if id(n) in same and id(n) not in slots and (n.tag in BLOCKS or not prose)}
+
+
 def _below(node: Node) -> Iterator[Node]:
     todo = [c for c in node.children if not isinstance(c, str)]
     while todo:

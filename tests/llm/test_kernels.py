@@ -362,6 +362,14 @@ def test_wrapper_cuts_what_pages_share(spark):
     assert {r.page_id: r.text for r in wrappers.extract(pages).collect()} == {i: f"Story {i} about things" for i in range(12)}
 
 
+def test_wrapper_cuts_what_articles_share(spark):
+    def page(n):
+        return f"<body><article><h1>Story {n}</h1><p>Things <b>of note</b> number {n}</p><div class=x><span>Pass it on</span></div><div class=y>Written by <i>Author {n}</i></div><div class=z>Our shop is open</div></article><footer>f</footer></body>"
+
+    pages = spark.createDataFrame([(i, f"http://h.com/{i}", page(i)) for i in range(12)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in wrappers.extract(pages).collect()} == {i: f"Story {i}\nThings of note number {i}\nWritten by Author {i}" for i in range(12)}
+
+
 def test_tree_matching_keeps_order():
     a, b = (wrappers.shape(wrappers.parse(h)) for h in ("<div><h1>x</h1><p>a</p><ul><li>1</ul></div>", "<div><p>b</p><h1>y</h1><ul><li>2<li>3</ul></div>"))
     pairs = [(x.label, y.label) for x, y in wrappers.match(a, b)]
