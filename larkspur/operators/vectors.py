@@ -93,22 +93,57 @@ def scaled(hits: DataFrame) -> DataFrame:
     return hits.withColumn("score", F.round((1 + F.col("score")) / 2, 4))
 
 
-def sign_bits(vector: Column) -> Column:
-    """One bit a dimension: whether it is positive, 32 of them a word."""
-    words = F.sequence(F.lit(0), F.size(vector) - 1, F.lit(32))
-    bit = F.transform(vector, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), (i % 32).cast("int"))).otherwise(F.lit(0).cast("long")))
-    return F.transform(words, lambda w: F.aggregate(F.slice(bit, w + 1, F.lit(32)), F.lit(0).cast("long"), lambda s, x: s + x))
+RESCORED = "query_id long, id long, score double, distance int"
 
 
-def hamming(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def rescored(queries: DataFrame, corpus: DataFrame, k: int, oversample: int = 4, block: int = 1024) -> DataFrame:
+    """The k rows of ``corpus`` (id, vector) most alike to each of ``queries``, by sign bits and exact cosines.
 
+    Every batch scores the ``k * oversample`` rows nearest by differing sign bits, then
+    the others whose bound reaches the k-th score found: where signs differ, products
+    are not positive, so a cosine is at most the length of the unit query over the
+    dimensions whose signs agree. No row of the exact answer is lost. Ranked by cosine
+    rounded to six places, then by id.
+    """
+    parts = []
+    send = corpus.sparkSession.sparkContext.broadcast
+    for ids, matrix in _blocks(queries, block):
+        sent = send((ids, _unit(matrix)))
 
-def rescored(query: list[float], corpus: DataFrame, k: int, oversample: int = 4) -> DataFrame:
-    """Search by sign bits, then by exact cosine among the nearest ``k * oversample``."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    near = corpus.withColumn("distance", hamming(sign_bits(F.col("vector")), sign_bits(q))).orderBy("distance", "id").limit(k * oversample)
-    return near.select("id", F.round(cosine(F.col("vector"), q), 6).alias("score"), "distance").orderBy(F.desc("score"), "id").limit(k)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, wanted = sent.value
+            signs = np.packbits(wanted > 0, axis=1)
+            weights = np.where(wanted > 0, wanted, -wanted) * wanted  # signed squares
+            for batch in batches:
+                vectors = batch.column("vector")
+                sizes = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+                fits = np.flatnonzero(sizes == wanted.shape[1])
+                if not len(fits):
+                    continue
+                rows = _unit(vectors.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), -1))
+                own = batch.column("id").to_numpy(zero_copy_only=False)[fits]
+                positive = rows > 0
+                bits = np.packbits(positive, axis=1)
+                bounds = np.sqrt(np.maximum(((wanted**2).sum(axis=1) + np.where(positive, 1.0, -1.0) @ weights.T) / 2, 0))
+                found = []
+                for q in range(len(names)):
+                    distance = np.bitwise_count(bits ^ signs[q]).sum(axis=1, dtype=np.int32)
+                    order = np.lexsort((own, distance))
+                    near, far = order[: k * oversample], order[k * oversample :]
+                    scores = np.round(rows[near] @ wanted[q], 6)
+                    if len(far):
+                        least = np.sort(scores)[-k]
+                        far = far[bounds[far, q] >= least - 1e-6]
+                        near, scores = np.append(near, far), np.append(scores, np.round(rows[far] @ wanted[q], 6))
+                    best = np.lexsort((own[near], -scores))[:k]
+                    found.append((np.full(len(best), names[q]), own[near[best]], scores[best], distance[near[best]]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["query_id", "id", "score", "distance"])
+
+        parts.append(corpus.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(run, RESCORED))
+    if not parts:
+        return corpus.sparkSession.createDataFrame([], f"{RESCORED}, rank int")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return reduce(DataFrame.unionAll, parts).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def joined_targets(distances: dict[str, Column], how: str, weights: dict[str, float] | None = None) -> Column:

@@ -2,12 +2,13 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import models, text
 from larkspur.operators import cache, chunking, fusion, graph, heal, history, lexical, market, usage, vectors
-from larkspur.plans import agent
+from larkspur.plans import agent, retrieval
 from larkspur.sources import sinks
 
 SUB = ("relevance", "specificity", "completeness", "practicality", "constraint_fit")
@@ -221,3 +222,20 @@ def test_batch_round_trip(spark):
     answers = [json.dumps({"custom_id": c, "response": {"body": {"choices": [{"message": {"content": " ok "}}]}}}) for c in ("chunk-3", "other-1")] + ["broken", ""]
     got = sinks.batch_results(spark.createDataFrame([(a,) for a in answers], "value string")).collect()
     assert [(r.i, r.content) for r in got] == [(3, "ok")]
+
+
+def test_rescored_search_loses_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    m = np.round(rng.normal(size=(700, 16)), 3)
+    m[:5], m[5] = np.abs(m[:5]), 0
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(900, None), (901, [1.0])], "vec_id long, embedding array<double>").withColumn("label", F.lit(0)).repartition(3)
+    monkeypatch.setattr(retrieval.x, "t", lambda *_: rows)
+    unit = m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
+    want = {}
+    for q in range(0, 700, 50):
+        scores = np.round(unit @ unit[q], 6)
+        want[q] = [(int(i), float(scores[i]), int(((m[i] > 0) != (m[q] > 0)).sum())) for i in np.lexsort((np.arange(700), -scores))[:10]]
+    got = {}
+    for r in sorted(retrieval.bq_rescore(spark, "").collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append((r.id, r.score, r.distance))
+    assert {q: [(i, round(s, 5), d) for i, s, d in v] for q, v in got.items()} == {q: [(i, round(s, 5), d) for i, s, d in v] for q, v in want.items()}
