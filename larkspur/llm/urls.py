@@ -10,9 +10,8 @@ Mined rules are matched by inverted index: each is listed under its rarest token
 and only the token sets that hold this token are compared with it. Each distinct
 token set is judged once; numbers in URLs are one token, so these sets are few.
 
-Everything runs as DataFrame operations. Fitting reads at most about
-``sample_urls`` labelled URLs (an even share of URL hashes) and at most
-``fit_tokens`` tokens of a URL; every URL is judged by all its tokens.
+Everything runs as DataFrame operations. Fitting reads all labelled URLs, of each at
+most ``fit_tokens`` tokens; every URL is judged by all its tokens.
 """
 
 from __future__ import annotations
@@ -64,19 +63,16 @@ def tokens(host: Column, path: Column, rest: Column) -> Column:
     return F.array_sort(F.array_distinct(every))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8, largest: int = 2, fit_tokens: int = 12, sample_urls: int = 1_000_000) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8, largest: int = 2, fit_tokens: int = 12) -> DataFrame:
     """Rules (tokens, verdict, held, right) from rows (url, tokens, verdict).
 
     ``held`` labelled URLs hold all the tokens, ``right`` of them have the verdict.
     Rules of one to ``largest`` tokens need a share ``min_support`` of all and a
     confidence of ``min_confidence``.
     """
-    total = labelled.count()
-    share = min(1.0, sample_urls / max(total, 1))
-    some = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))) if share < 1 else labelled
     items = F.concat(F.slice("tokens", 1, fit_tokens), F.array(F.concat(F.lit("="), "verdict")))
     growth = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence)
-    sets = growth.fit(some.select(items.alias("items"))).freqItemsets.select(F.array_sort("items").alias("items"), "freq")
+    sets = growth.fit(labelled.select(items.alias("items"))).freqItemsets.select(F.array_sort("items").alias("items"), "freq")
     sets = materialise(sets.where(F.size("items") <= largest + 1), "url-itemsets")
     outcome = F.filter("items", lambda x: x.startswith("="))
     implied = sets.where((F.size("items") > 1) & (F.size(outcome) == 1))

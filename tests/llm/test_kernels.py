@@ -11,7 +11,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from larkspur.llm import decontaminate, language, mpeg, ngrams, packing, registry, simhash, toxicity, wrappers
+from larkspur.llm import decontaminate, language, mpeg, ngrams, packing, registry, simhash, toxicity, urls, wrappers
 from larkspur.llm.eliasfano import EliasFano, map_arrays, write_arrays
 from larkspur.llm.packing import WordEncoder, plan_bins, vocabulary_path
 from larkspur.llm.words import WordMemo
@@ -379,3 +379,9 @@ def test_tree_matching_keeps_order():
 def test_article_skips_what_is_not_text():
     html = '<header>h</header><div class="cookie-notice">c</div><main><h1>T</h1><p>a <b>b</b><br>c<script>x</script><aside>s</aside><form><input>f</form><div id="comments"><p>n</div><p style="display:none">z</p><p>&eacute;&#33;</main>'
     assert wrappers.article(wrappers.parse(html), None) == "T\na b c\né!"
+
+
+def test_rules_are_mined_from_all_labelled_urls(spark):
+    n = 1_000_500
+    labelled = spark.range(n).selectExpr("concat('http://a/', id) as url", "array('h:a') as tokens", "'block' as verdict")
+    assert [(r.tokens, r.held, r.right) for r in urls.mine(labelled).collect()] == [(["h:a"], n, n)]
