@@ -3,7 +3,8 @@
 Words are runs of letters, digits and underscores of the lower-cased text;
 shingles are five consecutive words (fewer words: the whole sequence; none: no
 shingle). An item is found in a document that holds at least ``threshold`` of
-its distinct shingles.
+its distinct shingles. So an item below five words is found only in a document of
+exactly these words, never inside a longer one (the SQL does the same).
 
 Items are partitioned by size (powers of two of their distinct shingles). An
 item's sketch is its k smallest shingle hashes, k being one more than the misses
