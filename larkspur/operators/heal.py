@@ -82,8 +82,10 @@ def relinked(vertices: DataFrame, proposals: DataFrame, confidence: float = 0.6)
     return sure.join(names, "key").where(F.col("source_id") != F.col("dst")).select(F.col("source_id").alias("src"), "dst", F.col("confidence").alias("weight"), F.col("relation").alias("relation_name"))
 
 
-def healed(vertices: DataFrame, edges: DataFrame, threshold: float = 0.75, k: int = 2, proposals: DataFrame | None = None, dry_run: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A, B and C in order, each on what the one before left; returns vertices, edges and a report.
+def healed(vertices: DataFrame, edges: DataFrame, threshold: float = 0.75, k: int = 2, proposals: DataFrame | None = None, dry_run: bool = False, named: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A, B, C and D in order, each on what the one before left; returns vertices, edges and a report.
+
+    C takes ``proposals``, D relations by name (``named``) of vertices that are left.
 
     The report has a row before and after each step: nodes, edges, isolated nodes
     and the share of those at the start that are resolved. A dry run changes nothing.
@@ -107,6 +109,10 @@ def healed(vertices: DataFrame, edges: DataFrame, threshold: float = 0.75, k: in
         if proposals is not None:
             e = materialise(e.unionByName(accepted(v, proposals).select(*columns)), "heal-e")
             note("propose")
+        if named is not None:
+            left = named.join(v.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+            e = materialise(e.unionByName(relinked(v, left).select(*columns)), "heal-e")
+            note("relink")
     rows = [(s, a, b, n, round(100 * (start - n) / start, 4) if start else 0.0) for s, a, b, n in report]
     return v, e, spark.createDataFrame(rows, "step string, n_nodes long, n_edges long, n_isolated long, resolved_pct double")
 

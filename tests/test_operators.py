@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import models, text
 from larkspur.operators import cache, chunking, fusion, graph, heal, history, lexical, market, usage, vectors
-from larkspur.plans import agent, retrieval
+from larkspur.plans import agent, relational, retrieval
 from larkspur.sources import sinks
 
 SUB = ("relevance", "specificity", "completeness", "practicality", "constraint_fit")
@@ -246,3 +246,15 @@ def test_semantic_cache_holds_all_rows(spark, monkeypatch):
     monkeypatch.setattr(retrieval.x, "t", lambda *_: rows)
     got = {r.request_id: (r.best_score, r.hit, r.answer) for r in retrieval.cache_exact(spark, "").collect()}
     assert got == {0: (1.0, True, "a0"), 50: (1.0, True, "a1"), 100: (1.0, True, "a2")}
+
+
+def test_heal_pipeline_runs_all_steps(spark, monkeypatch):
+    # 20 and 16 to 19 have no edges: 20 says nothing, 16 is alike to 1 to 15, 17 to 19 are unlike them
+    alike = {16: [0.0, 1.0]}
+    rows = spark.createDataFrame([(i, alike.get(i, [0.0, -1.0]) if i > 15 else [0.0, 1.0], 3 if i > 15 else 1) for i in range(1, 21)], "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(relational.x, "t", lambda *_: rows)
+    got = {r.step: (r.n_nodes, r.n_edges, r.n_isolated) for r in relational.heal_pipeline(spark, "").collect()}
+    assert list(got) == ["start", "prune", "embed", "propose", "relink"]
+    assert got["start"][0] == 20 and got["prune"][0] == 19 and got["prune"][2] == 4 and got["embed"][2] == 3
+    # 16 to 18 propose the next vertex with 0.6 to 0.8, 19 the pruned 20; 16 and 17 find the one after that by name
+    assert got["propose"] == (19, got["embed"][1] + 3, 0) and got["relink"] == (19, got["propose"][1] + 2, 0)
