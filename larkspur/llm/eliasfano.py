@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import mmap
 import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -47,6 +46,7 @@ class EliasFano:
         bits[(values >> np.uint64(width)).astype(np.int64) + np.arange(n)] = 1
         high = np.packbits(bits, bitorder="little").view(np.uint64)
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
+        kind = np.uint32 if len(high) < 1 << 26 else np.int64
         low = np.zeros(n * width // 64 + 2, np.uint64)
         if width:
             shifts = np.arange(width, dtype=np.uint64)
@@ -54,9 +54,10 @@ class EliasFano:
                 part = (values[at : at + 65536, None] >> shifts & np.uint64(1)).astype(np.uint8).ravel()
                 packed = np.packbits(np.pad(part, (0, -len(part) % 64)), bitorder="little").view(np.uint64)
                 low[at * width // 64 : at * width // 64 + len(packed)] = packed
-        return {f"{name}.shape": np.array([n, width, buckets]), f"{name}.low": low, f"{name}.high": high, f"{name}.ones": ones, f"{name}.zeros": np.arange(len(ones)) * 64 - ones}
+        return {f"{name}.shape": np.array([n, width, buckets]), f"{name}.low": low, f"{name}.high": high, f"{name}.ones": ones.astype(kind), f"{name}.zeros": (np.arange(len(ones)) * 64 - ones).astype(kind)}
 
     def _select(self, counts: np.ndarray, k: np.ndarray, ones: bool) -> np.ndarray:
+        k = k.astype(counts.dtype)  # or the counts would be copied to the type of k
         word = np.searchsorted(counts, k, side="right") - 1
         bits = self.high[word]
         return word * 64 + nth_bit(bits if ones else ~bits, k - counts[word])
@@ -121,7 +122,11 @@ def located(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
-    """Writes arrays as one file that can be mapped; a file system that renames gets it at once."""
+    """Writes arrays as one file that can be mapped.
+
+    It is written under a name of its own and then renamed, on any store: of several
+    attempts of a task each leaves a whole file, and equal ones at that.
+    """
     store, path = located(uri)
     entries, at = {}, 0
     for name, a in arrays.items():
@@ -129,38 +134,45 @@ def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
         at += -(-a.nbytes // 64) * 64
     head = json.dumps(entries).encode()
     head += b" " * (-(len(head) + 8) % 64)
-    local = isinstance(store, fs.LocalFileSystem)
     store.create_dir(os.path.dirname(path), recursive=True)
-    target = f"{path}.{uuid.uuid4().hex}" if local else path
-    with store.open_output_stream(target) as out:
+    own = f"{path}.{uuid.uuid4().hex}"
+    with store.open_output_stream(own) as out:
         out.write(len(head).to_bytes(8, "little") + head)
         for a in arrays.values():
             raw = np.ascontiguousarray(a).tobytes()
             out.write(raw + bytes(-len(raw) % 64))
-    if local:
-        os.replace(target, path)
+    try:
+        store.move(own, path)
+    except OSError:  # some stores do not rename onto a file: another attempt's is there
+        if store.get_file_info(path).type != fs.FileType.File:
+            raise
+        store.delete_file(own)
 
 
-_MAPPED: dict[str, dict[str, np.ndarray]] = {}
+#: Arrays by file, the latest used last, and how many bytes of them are held in memory.
+_MAPPED: dict[str, tuple[dict[str, np.ndarray], int]] = {}
+#: Bytes of files of remote stores that a worker holds, and the number of mapped files.
+HELD_BYTES, HELD_FILES = 256 << 20, 10_000
 
 
 def map_arrays(uri: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, mapped; from a remote store by way of an unnamed local file."""
-    if uri not in _MAPPED:
+    """The arrays of a file: mapped, or held in memory within HELD_BYTES where the store has no local path."""
+    if (found := _MAPPED.pop(uri, None)) is None:
         store, path = located(uri)
         if isinstance(store, fs.LocalFileSystem):
             with open(path, "rb") as f:
-                raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+                raw, held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), 0
         else:
-            with tempfile.TemporaryFile() as f, store.open_input_stream(path) as source:
-                while part := source.read(1 << 24):
-                    f.write(part)
-                f.flush()
-                raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+            with store.open_input_stream(path) as source:
+                raw = source.read()
+            held = len(raw)
         size = int.from_bytes(raw[:8], "little")
         entries = json.loads(raw[8 : 8 + size])
-        _MAPPED[uri] = {k: np.frombuffer(raw, np.dtype(d), int(np.prod(shape)), 8 + size + at).reshape(shape) for k, (d, shape, at) in entries.items()}
-    return _MAPPED[uri]
+        found = {k: np.frombuffer(raw, np.dtype(d), int(np.prod(shape)), 8 + size + at).reshape(shape) for k, (d, shape, at) in entries.items()}, held
+        while _MAPPED and (len(_MAPPED) >= HELD_FILES or sum(n for _, n in _MAPPED.values()) + held > HELD_BYTES):
+            del _MAPPED[next(iter(_MAPPED))]
+    _MAPPED[uri] = found
+    return found[0]
 
 
 def forget(prefix: str) -> None:

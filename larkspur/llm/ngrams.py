@@ -10,27 +10,32 @@ discounted trigram model over one class for all unknown words:
 
 with m the share of tokens that occur once (Good-Turing). Only bigrams and trigrams
 that occur ``keep`` times or more have a first term (op9 keeps all); q rounds down
-to a 16-bit code, and g is what the kept terms of a context leave of 1, so each
-distribution sums to 1 whatever was rounded or left out. Unigram counts are exact.
+to one of 256 probabilities that each shard chooses for each order, and g is what the
+kept terms of a context leave of 1, so each distribution sums to 1 whatever was
+rounded or left out. All counts are exact, up to 64-bit collisions of words.
 The discount of an order is given or estimated from how many of its n-grams occur
 once and twice.
 
-Building counts in three passes without shuffling single n-grams:
+Building takes two passes over the texts:
 
-1. Every task counts its unigrams and 48-bit fingerprints of its n-grams and sends
-   sorted runs of them to shards by range, one binary row a run. Shards add them
-   up; unigram shards and the fingerprints that occur often enough become
-   Elias-Fano files in the shared folder. Two n-grams with one fingerprint (odds
-   of about 1e-7 for a billion) would be counted together, for this model only.
-2. The tasks read the texts again and send the words of those n-grams, each by one
-   task that had it, to trie shards. A bigram's trigrams are in its shard; shards
-   are dealt by hash of both words, so a frequent word is spread over all of them.
-3. Each trie shard is a file of levels: contexts, pointers, successors relative to
-   their context, codes; and the same below each bigram. What a word's bigrams
-   leave for its back-off is summed over the shards.
+1. Tasks send sorted runs of (word hash, count) to shards by range of the hash, one
+   binary row a run. A shard's words become an Elias-Fano file; a word's id is its
+   place in the order of hashes over all shards.
+2. Tasks send sorted runs of trigrams of ids to trie shards, dealt by the first word
+   and, where that word is frequent, the second, so that no shard holds more than
+   its share. Texts end in one more mark, so that the count of a bigram is the sum of its
+   trigrams' counts, all of them in its own shard: no other n-gram is shuffled.
+   Beyond ``direct`` shards, runs go by way of groups of shards and are merged
+   there, so that they stay long however many shards there are.
+
+A trie shard is a file of levels: contexts, pointers, successors relative to their
+context; and the same below each bigram. When all shards have told how many n-grams
+occur once and twice, each writes its probabilities beside, and what a word's bigrams
+leave for its back-off is summed over the shards. What a shard holds is the same
+wherever its runs come from and in whatever order.
 
 Scoring maps the files and looks up all n-grams of many documents at once by
-context-relative successor search; only pages that are used are in memory. Sizes
+context-relative successor search; only pages that are used are in memory. Numbers
 of shards follow from the length of the input, so no task grows with it.
 """
 
@@ -41,17 +46,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.eliasfano import EliasFano, forget, map_arrays, write_arrays
 from larkspur.shared import materialise, shared_path
 
-FINGERPRINT_BITS, SUCCESSOR_BITS = 48, 40
-#: Codes of probabilities: STEP of them a factor of ten, the last means none.
-STEP, NONE = 4096, 65535
-ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+#: Probabilities that a level of a shard may use.
+LEVELS = 256
+#: Tokens that are worked on at once; three local numbers of words fit in 64 bits.
+WINDOW = 1 << 20
 
 
 #: A random value for each byte; letters A-Z have those of a-z. No text holds bytes 254 and 255 (UTF-8 has neither).
@@ -126,11 +131,6 @@ END_MARK, START_MARK = b"\xff", b"\xfe"
 END, START = (hash_words(m)[0] for m in (END_MARK, START_MARK))
 
 
-def unique(keys: np.ndarray) -> np.ndarray:
-    keys = np.sort(keys)
-    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
-
-
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct sorted keys, a place of each, and each place's number among them."""
     order = np.argsort(keys)
@@ -141,51 +141,41 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[new], order[new], number
 
 
-def mixed(words: list[np.ndarray]) -> np.ndarray:
-    """A 64-bit hash of each n-gram from the hashes of its words, in order."""
-    total = np.zeros(len(words[0]), np.uint64)
-    for w in words:
-        total = (total ^ w) * ODD[0]
-        total ^= total >> np.uint64(29)
-    total *= ODD[1]
-    return total ^ total >> np.uint64(32)
-
+def starts_of(now: np.ndarray) -> np.ndarray:
+    """Where texts start in a sequence of tokens."""
+    return np.concatenate([[0], np.flatnonzero(now == END)[:-1] + 1]).astype(np.int64)
 
-def encode_probability(p: np.ndarray) -> np.ndarray:
-    """Codes of probabilities, rounded down."""
-    with np.errstate(divide="ignore"):
-        return np.minimum(np.ceil(-np.log10(p) * STEP - 1e-9), NONE).astype(np.uint16)
 
-
-PROBABILITY = np.append(10.0 ** (-np.arange(NONE) / STEP), 0.0)
+def tokens_of(texts: list[bytes]) -> np.ndarray:
+    """Hashes of the tokens of all texts, each with its end."""
+    return hash_words((b" " + END_MARK + b" ").join([*texts, b""]))
 
 
 @dataclass
-class Tokens:
-    """Token hashes of some documents, with the two before each."""
+class Window:
+    """Consecutive tokens by their number among ``words``, with the two before each."""
 
+    at: slice
+    words: np.ndarray
+    start: int
     now: np.ndarray
     one: np.ndarray
     two: np.ndarray
-    starts: np.ndarray
-
-    @staticmethod
-    def of(texts: list[bytes]) -> Tokens:
-        mark = b" " + END_MARK + b" "
-        now = hash_words(mark.join([*texts, b""]))
-        starts = np.concatenate([[0], np.flatnonzero(now == END)[:-1] + 1]).astype(np.int64)
-        one = np.concatenate([[START], now[:-1]]).astype(np.uint64)
-        one[starts] = START
-        two = np.concatenate([[START], one[:-1]]).astype(np.uint64)
-        two[starts] = 0
-        return Tokens(now, one, two, starts)
+    first: np.ndarray
 
-    @property
-    def inner(self) -> np.ndarray:
-        """Tokens with a token before them, for which a trigram is defined."""
-        mask = np.ones(len(self.now), bool)
-        mask[self.starts] = False
-        return mask
+
+def windows(now: np.ndarray, starts: np.ndarray) -> Iterator[Window]:
+    mark = np.zeros(len(now), bool)
+    mark[starts] = True
+    for a in range(0, len(now), WINDOW):
+        low, b = max(a - 2, 0), min(a + WINDOW, len(now))
+        words, _, number = distinct(np.append(now[low:b], START))
+        local, start = number[:-1], int(number[-1])
+        one = np.concatenate([[start], local[:-1]])
+        one[mark[low:b]] = start
+        two = np.concatenate([[start], one[:-1]])
+        cut = a - low
+        yield Window(slice(a, b), words, start, local[cut:], one[cut:], two[cut:], mark[a:b])
 
 
 def utf8(batch: pa.RecordBatch) -> list[bytes]:
@@ -209,34 +199,34 @@ class Layout:
 
     path: str
     unigram_bits: int
-    filters: int
+    #: Id of the first word of each unigram shard, and the number of all.
+    firsts: np.ndarray = field(default_factory=lambda: np.zeros(2, np.int64))
     tries: int = 1
     tokens: int = 0
     types: int = 0
     single: int = 0
     double: int = 0
     starts: int = 0
+    start_id: int = -1
     discounts: dict = field(default_factory=lambda: {2: 0.75, 3: 0.75})
     facts: dict = field(default_factory=dict)
 
+    @property
+    def words(self) -> int:
+        return int(self.firsts[-1])
+
     def unigram_shard(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - self.unigram_bits)).astype(np.int64) if self.unigram_bits else np.zeros(len(h), np.int64)
 
-    def filter_shard(self, fp: np.ndarray) -> np.ndarray:
-        """Ranges of fingerprints, so that sorted fingerprints are sorted by shard."""
-        return ((fp >> np.uint64(FINGERPRINT_BITS - 24)) * np.uint64(self.filters) >> np.uint64(24)).astype(np.int64)
-
-    def filtered(self, fp: np.ndarray) -> dict[str, np.ndarray]:
-        """Arrays of the fingerprints of one shard, counted from its first."""
-        base = fp[:1] if len(fp) else np.zeros(1, np.uint64)
-        return EliasFano.build(fp - base, int(fp[-1] - fp[0]) + 1 if len(fp) else 1, "prints") | {"base": base}
-
     def within(self, h: np.ndarray) -> np.ndarray:
         """Hashes without the bits that number their unigram shard."""
         return h & np.uint64((1 << 64 - self.unigram_bits) - 1)
 
-    def trie_shard(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return ((mixed([b, a]) >> np.uint64(40)) % np.uint64(self.tries)).astype(np.int64)
+    def trie_shard(self, u: np.ndarray, often: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Shards of bigrams: by range of the first word, over more shards the more often it occurs."""
+        spread = np.clip(often * (8 * self.tries) // max(self.tokens, 1), 1, self.tries)
+        turn = (v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+        return (u * self.tries // max(self.words, 1) + turn % spread) % self.tries
 
     @property
     def unseen(self) -> float:
@@ -256,286 +246,357 @@ def by_shard(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(shard[a]), slice(a, b)
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct sorted keys, their summed counts, and where each first stood."""
-    order = np.argsort(keys, kind="stable")
+def changes(keys: np.ndarray) -> np.ndarray:
+    """Where a sorted array has a new value."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+
+
+def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys and their summed counts (how often each is there, if none are given)."""
+    if counts is None:
+        keys = np.sort(keys)
+        first = changes(keys)
+        return keys[first], np.diff(np.append(first, len(keys)))
+    order = np.argsort(keys)
     keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts[:0], order[first]
+    first = changes(keys)
+    return keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts[:0]
 
 
-RUN = "kind int, shard long, part int, keys binary, counts binary"
+def packed(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of numbers below 2^64 as compressed planes of bytes."""
+    out, sizes = [], []
+    for a in arrays:
+        a = a.astype("<u8")
+        top = int(a.max(initial=0))
+        width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
+        out.append(a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
+        sizes += [len(a), width]
+    return np.array([len(arrays), *sizes], "<i8").tobytes() + zstandard.compress(b"".join(out), 1)
 
 
-def _run(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 5
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "shard", "part", "keys", "counts"])
+def unpacked(raw: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    sizes = np.frombuffer(raw, "<i8", 2 * n, 8).tolist()
+    data, at, out = zstandard.decompress(raw[8 + 16 * n :]), 0, []
+    for size, width in zip(sizes[::2], sizes[1::2], strict=True):
+        planes = np.frombuffer(data, np.uint8, size * width, at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.uint64))
+        at += size * width
+    return out
 
 
-def _packed(keys: np.ndarray) -> bytes:
-    """Sorted keys: the first, then their steps in 32 bits where they fit."""
-    steps = np.diff(keys)
-    wide = len(steps) and steps.max() >= 2**32
-    return bytes([int(wide)]) + keys[:1].tobytes() + steps.astype("<u8" if wide else "<u4").tobytes()
+def steps(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Differences within groups; the first of each group as it is."""
+    out = np.diff(values, prepend=values[:1])
+    out[first] = values[first]
+    return out
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    steps = np.frombuffer(raw, "<u8" if raw[0] else "<u4", offset=9).astype(np.uint64)
-    return np.cumsum(np.concatenate([np.frombuffer(raw, np.uint64, 1, 1), steps]), dtype=np.uint64)
+def from_steps(out: np.ndarray, first: np.ndarray) -> np.ndarray:
+    total = np.cumsum(out, dtype=np.uint64)
+    base = total[first] - out[first]
+    return total - np.repeat(base, np.diff(np.append(first, len(out))))
 
 
-def count_runs(docs: DataFrame, layout: Layout, chars: int = 4_000_000) -> DataFrame:
-    """Runs of unigrams (kind 1) and of fingerprints of bigrams and trigrams (2, 3)."""
+RUN = "shard int, run binary"
+
+
+def _rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([r for _, r in rows], pa.binary())], names=["shard", "run"])
+
+
+def word_runs(docs: DataFrame, layout: Layout, chars: int = 4_000_000, hold: int = 2_000_000) -> DataFrame:
+    """Runs of (word, count) of each task by unigram shard."""
+
+    def emitted(held: list[tuple]) -> pa.RecordBatch:
+        keys, counts = summed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        return _rows([(s, packed([np.diff(keys[at], prepend=np.uint64(0)), counts[at]])) for s, at in by_shard(layout.unigram_shard(keys))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        held: list[tuple] = []
         for batch in batches:
             texts = utf8(batch)
             for a, b in token_slices(texts, chars):
-                t = Tokens.of(texts[a:b])
-                rows = []
-                found, n = np.unique(np.append(t.now, START), return_counts=True)
-                n[np.searchsorted(found, START)] -= 1  # listed as a context, never counted
-                jobs = [(1, found, n, layout.unigram_shard(found))]
-                inner = t.inner
-                for kind, words in ((2, [t.one, t.now]), (3, [t.two[inner], t.one[inner], t.now[inner]])):
-                    fp, n = np.unique(mixed(words) >> np.uint64(64 - FINGERPRINT_BITS), return_counts=True)
-                    jobs.append((kind, fp, n, layout.filter_shard(fp)))
-                for kind, keys, n, shard in jobs:
-                    rows += [(kind, s, part, _packed(keys[at]), n[at].astype("<u4").tobytes()) for s, at in by_shard(shard)]
-                yield _run(rows)
+                keys, counts = summed(np.append(tokens_of(texts[a:b]), START))
+                counts[np.searchsorted(keys, START)] -= 1  # it has an id, but is never counted
+                held.append((keys, counts))
+                if sum(len(k) for k, _ in held) > hold:
+                    yield emitted(held)
+                    held = []
+        if held:
+            yield emitted(held)
 
     return docs.select("text").mapInArrow(run, RUN)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[tuple]]]:
-    """(kind, shard, runs) of a partition that is sorted by kind and shard."""
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """(shard, runs) of a partition that is sorted by shard."""
     at, held = None, []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
-            if row[:2] != at:
+        for shard, run in zip(batch.column("shard").to_pylist(), batch.column("run"), strict=True):
+            if shard != at:
                 if held:
-                    yield *at, held
-                at, held = row[:2], []
-            held.append(row[2:])
+                    yield at, held
+                at, held = shard, []
+            held.append(run.as_py())
     if held:
-        yield *at, held
+        yield at, held
+
+
+SUMS = "shard long, words long, n long, types long, single long, double long"
+
+
+def _sums(out: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*out, strict=True)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["shard", "words", "n", "types", "single", "double"])
+
+
+def dealt(runs: DataFrame, shards: int) -> DataFrame:
+    """Every shard's runs in a partition of their own."""
+    return runs.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
+
+
+def compact(counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts as bytes, with the large ones apart."""
+    large = np.flatnonzero(counts >= 255)
+    return {"counts": np.minimum(counts, 255).astype(np.uint8), "large": large.astype(np.int64), "large_counts": counts[large].astype(np.int64)}
+
 
+def counted(arrays: dict[str, np.ndarray], place: np.ndarray | slice) -> np.ndarray:
+    """Counts at sorted or unsorted places of :func:`compact`'s arrays."""
+    if isinstance(place, slice):
+        place = np.arange(len(arrays["counts"]))[place]
+    n = arrays["counts"][place].astype(np.int64)
+    big = np.flatnonzero(n == 255)
+    n[big] = arrays["large_counts"][np.searchsorted(arrays["large"], place[big])]
+    return n
 
-def add_up(runs: DataFrame, layout: Layout, keep: int) -> DataFrame:
-    """Writes unigram and filter files; one row of sums a shard."""
+
+def add_words(runs: DataFrame, layout: Layout) -> DataFrame:
+    """Writes the unigram files; one row of sums a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for kind, shard, rows in _gathered(batches):
-            keys = np.concatenate([_unpacked(r[1]) for r in rows])
-            counts = np.concatenate([np.frombuffer(r[2], "<u4") for r in rows]).astype(np.int64)
-            part = np.repeat([r[0] for r in rows], [len(r[2]) // 4 for r in rows])
-            keys, counts, first = summed(keys, counts)
-            part = part[first]
-            if kind == 1:
-                large = np.flatnonzero(counts >= 255)
-                arrays = EliasFano.build(layout.within(keys), 1 << 64 - layout.unigram_bits, "words") | {"counts": np.minimum(counts, 255).astype(np.uint8), "large": large, "large_counts": counts[large]}
-                write_arrays(f"{layout.path}/unigrams-{shard}", arrays)
-                out.append((kind, int(counts.sum()), int((counts > 0).sum()), int((counts == 1).sum()), int((counts == 2).sum())))
-            else:
-                often = counts >= keep
-                few = [int((counts == n).sum()) for n in (1, 2)]
-                counts = np.minimum(counts[often], 2**32 - 1)
-                write_arrays(f"{layout.path}/filter-{kind}-{shard}", layout.filtered(keys[often]) | {"counts": counts.astype(np.uint32), "part": part[often].astype(np.int32)})
-                out.append((kind, int(counts.sum()), int(often.sum()), *few))
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["kind", "n", "types", "single", "double"])
-
-    dealt = runs.repartition(2 * layout.filters + (1 << layout.unigram_bits), "kind", "shard").sortWithinPartitions("kind", "shard", "part")
-    return dealt.mapInArrow(run, "kind long, n long, types long, single long, double long")
+        for shard, rows in _gathered(batches):
+            parts = [unpacked(r) for r in rows]
+            keys, counts = summed(np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in parts]), np.concatenate([c for _, c in parts]).astype(np.int64))
+            write_arrays(f"{layout.path}/unigrams-{shard}", EliasFano.build(layout.within(keys), 1 << 64 - layout.unigram_bits, "words") | compact(counts))
+            out.append((shard, len(keys), int(counts.sum()), int((counts > 0).sum()), int((counts == 1).sum()), int((counts == 2).sum())))
+        yield _sums(out)
+
+    return dealt(runs, 1 << layout.unigram_bits).mapInArrow(run, SUMS)
 
 
 class Unigrams:
-    """Exact counts and back-off weights of words, by mapped shards."""
+    """Ids, exact counts and back-off weights of words, by mapped shards."""
 
     def __init__(self, layout: Layout, backoff: bool):
         self.layout, self.backoff = layout, backoff
 
-    def look(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count and back-off weight of sorted distinct words."""
-        counts, weights = np.zeros(len(words), np.int64), np.ones(len(words))
+    def look(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Id (-1: unknown), count and back-off weight of sorted distinct words."""
+        ids, counts, weights = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64), np.ones(len(words))
         for shard, at in by_shard(self.layout.unigram_shard(words)):
-            try:
-                arrays = map_arrays(f"{self.layout.path}/unigrams-{shard}")
-            except FileNotFoundError:
+            if self.layout.firsts[shard] == self.layout.firsts[shard + 1]:
                 continue  # no training word has such a hash
+            arrays = map_arrays(f"{self.layout.path}/unigrams-{shard}")
             place = EliasFano(arrays, "words").find(self.layout.within(words[at]))
             hit = np.flatnonzero(place >= 0)
             place = place[hit]
-            n = arrays["counts"][place].astype(np.int64)
-            big = np.flatnonzero(n == 255)
-            n[big] = arrays["large_counts"][np.searchsorted(arrays["large"], place[big])]
-            counts[at.start + hit] = n
+            ids[at.start + hit] = self.layout.firsts[shard] + place
+            counts[at.start + hit] = counted(arrays, place)
             if self.backoff:
                 weights[at.start + hit] = map_arrays(f"{self.layout.path}/backoff-{shard}")["weights"][place]
-        return counts, weights
+        return ids, counts, weights
+
+    def counts_of(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of sorted ids; the start mark counts the texts."""
+        out = np.zeros(len(ids), np.int64)
+        for shard, at in by_shard(np.searchsorted(self.layout.firsts, ids, side="right") - 1):
+            out[at] = counted(map_arrays(f"{self.layout.path}/unigrams-{shard}"), ids[at] - self.layout.firsts[shard])
+        out[ids == self.layout.start_id] = self.layout.starts
+        return out
+
+
+def _runs(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, shard: np.ndarray) -> list[tuple[int, bytes]]:
+    """Runs by shard of trigrams that are sorted within each shard."""
+    order = np.argsort(shard.astype(np.uint32), kind="stable")
+    u, v, w, n, out = u[order], v[order], w[order], n[order], []
+    for s, at in by_shard(shard[order]):
+        a, b, c = u[at], v[at], w[at]
+        pairs = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        a, b = a[pairs], b[pairs]
+        heads = changes(a)
+        out.append((s, packed([np.diff(a[heads], prepend=np.uint64(0)), np.diff(np.append(heads, len(a))), steps(b, heads), np.diff(np.append(pairs, len(c))), steps(c, pairs), n[at]])))
+    return out
+
+
+def _trigrams(raw: bytes) -> list[np.ndarray]:
+    """First, second and third words and counts of a run."""
+    heads, many2, second, many3, third, n = unpacked(raw)
+    many2, many3 = many2.astype(np.int64), many3.astype(np.int64)
+    b = from_steps(second, np.cumsum(many2) - many2)
+    c = from_steps(third, np.cumsum(many3) - many3)
+    return [np.repeat(np.repeat(np.cumsum(heads, dtype=np.uint64), many2), many3), np.repeat(b, many3), c, n.astype(np.int64)]
+
+
+def _merged(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct first words; bigrams (place of the first, second); trigrams (place of the bigram, third, count)."""
+    u, v, w, n = (np.concatenate(c) for c in zip(*map(_trigrams, runs), strict=True))
+    heads, _, place = distinct(u)
+    bits = np.uint64(int(max(v.max(initial=0), w.max(initial=0))).bit_length())
+    pairs, _, place = distinct(place.astype(np.uint64) << bits | v)
+    keys, n = summed(place.astype(np.uint64) << bits | w, n)
+    mask = np.uint64((1 << int(bits)) - 1)
+    return heads, (pairs >> bits).astype(np.int64), pairs & mask, (keys >> bits).astype(np.int64), keys & mask, n
+
+
+def gram_runs(docs: DataFrame, layout: Layout, fan: int, chars: int = 8_000_000) -> DataFrame:
+    """Runs of trigrams by trie shard, or by group of ``fan`` shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unigrams, bits = Unigrams(layout, False), np.uint64(21)
+        mask = np.uint64((1 << 21) - 1)
+        for batch in batches:
+            texts = utf8(batch)
+            for a, b in token_slices(texts, chars):
+                now = tokens_of(texts[a:b])
+                for x in windows(now, starts_of(now)):
+                    ids, often, _ = unigrams.look(x.words)
+                    often[x.start] = layout.starts
+                    one, two, own = (k.astype(np.uint64) for k in (x.one, x.two, x.now))
+                    ends = np.flatnonzero(now[x.at] == END)
+                    inner = np.flatnonzero(~x.first)
+                    keys = np.concatenate([((two << bits | one) << bits | own)[inner], ((one << bits | own) << bits | np.uint64(x.start))[ends]])
+                    keys, n = summed(keys)
+                    u, v, w = (ids[(k & mask).astype(np.int64)] for k in (keys >> bits + bits, keys >> bits, keys))
+                    shard = layout.trie_shard(u, often[(keys >> bits + bits).astype(np.int64)], v) // fan
+                    yield _rows(_runs(u.astype(np.uint64), v.astype(np.uint64), w.astype(np.uint64), n, shard))
 
+    return docs.select("text").mapInArrow(run, RUN)
 
-GRAMS = "kind int, shard long, words binary, counts binary"
 
+def regrouped(runs: DataFrame, layout: Layout, fan: int, salts: int, hold: int = 24 << 20) -> DataFrame:
+    """Runs by trie shard from runs by group of shards: those of a group meet, in parts, and are merged."""
 
-def kept_grams(docs: DataFrame, layout: Layout, chars: int = 3_000_000) -> DataFrame:
-    """The words of n-grams in the filters, each from one task that has it."""
+    def split(held: list[bytes]) -> pa.RecordBatch:
+        heads, first, v, pair, w, n = _merged(held)
+        u, v = heads[first][pair], v[pair]
+        often = Unigrams(layout, False).counts_of(heads.astype(np.int64))
+        return _rows(_runs(u, v, w, n, layout.trie_shard(u.astype(np.int64), often[first][pair], v.astype(np.int64))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for batch in batches:
-            texts = utf8(batch)
-            for a, b in token_slices(texts, chars):
-                t = Tokens.of(texts[a:b])
-                inner, rows = t.inner, []
-                for kind, words in ((2, [t.one, t.now]), (3, [t.two[inner], t.one[inner], t.now[inner]])):
-                    every = mixed(words) >> np.uint64(64 - FINGERPRINT_BITS)
-                    fp = unique(every)
-                    n = np.zeros(len(fp), np.uint32)
-                    for shard, at in by_shard(layout.filter_shard(fp)):
-                        arrays = map_arrays(f"{layout.path}/filter-{kind}-{shard}")
-                        place = EliasFano(arrays, "prints").find(fp[at] - arrays["base"][0])
-                        hit = np.flatnonzero(place >= 0)
-                        hit = hit[arrays["part"][place[hit]] == part]
-                        n[at.start + hit] = arrays["counts"][place[hit]]
-                    own = np.flatnonzero(n)
-                    # where they stand: those that share leading bits are compared in full
-                    near = np.zeros(1 << 22, bool)
-                    near[(fp[own] & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-                    maybe = np.flatnonzero(near[(every & np.uint64((1 << 22) - 1)).astype(np.int64)])
-                    there, first, _ = distinct(every[maybe])
-                    first = maybe[first][np.isin(there, fp[own], assume_unique=True)]
-                    grams = np.stack([w[first] for w in words], axis=1)
-                    shard = layout.trie_shard(grams[:, 0], grams[:, 1])
-                    order = np.argsort(shard, kind="stable")
-                    grams, n = grams[order], n[own][order]
-                    rows += [(kind, s, grams[at].tobytes(), n[at].tobytes()) for s, at in by_shard(shard[order])]
-                columns = list(zip(*rows, strict=True)) or [()] * 4
-                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "shard", "words", "counts"])
-
-    return docs.select("text").mapInArrow(run, GRAMS)
-
-
-def _distinct(rows: list[tuple[bytes, bytes]], order: int) -> tuple[np.ndarray, np.ndarray]:
-    grams = np.concatenate([np.frombuffer(w, np.uint64).reshape(-1, order) for w, _ in rows] or [np.empty((0, order), np.uint64)])
-    counts = np.concatenate([np.frombuffer(c, np.uint32) for _, c in rows] or [np.empty(0, np.uint32)]).astype(np.float64)
-    place = np.lexsort(grams.T[::-1])
-    grams, counts = grams[place], counts[place]
-    new = np.concatenate([[True], (grams[1:] != grams[:-1]).any(axis=1)]) if len(grams) else np.empty(0, bool)
-    return grams[new], counts[new]
-
-
-def successor(words: np.ndarray) -> np.ndarray:
-    return words >> np.uint64(64 - SUCCESSOR_BITS)
-
-
-def _without_twins(context: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Of successors that share their leading bits within a context, the first."""
-    short = successor(words)
-    return np.concatenate([[True], (context[1:] != context[:-1]) | (short[1:] != short[:-1])]) if len(words) else np.empty(0, bool)
-
-
-def build_tries(grams: DataFrame, layout: Layout) -> DataFrame:
-    """Writes trie files; rows (word, mass) that its kept bigrams take in a shard."""
-
-    def built(pairs: tuple, triples: tuple) -> tuple[dict, np.ndarray, np.ndarray]:
-        grams, counts = pairs
-        keep = _without_twins(grams[:, 0], grams[:, 1])
-        grams, counts = grams[keep], counts[keep]
-        contexts, first, owner = np.unique(grams[:, 0], return_index=True, return_inverse=True)
-        known, _ = Unigrams(layout, False).look(contexts)
-        known = np.where(contexts == START, layout.starts, known).astype(float)
-        codes = encode_probability((counts - layout.discounts[2]) / np.maximum(known[owner], counts))
-        mass = np.bincount(owner, PROBABILITY[codes], len(contexts))
-        keys = (owner.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successor(grams[:, 1])
-        arrays = EliasFano.build(contexts, 1 << 64, "contexts")
-        arrays |= EliasFano.build(np.append(first, len(grams)), len(grams) + 1, "pointers2")
-        arrays |= EliasFano.build(keys, max(len(contexts), 1) << SUCCESSOR_BITS, "level2")
-        # trigrams hang below their bigram, by its place
-        three, n3 = triples
-        place = np.searchsorted(contexts, three[:, 0])
-        place = np.minimum(place, max(len(contexts) - 1, 0))
-        level2 = EliasFano(arrays, "level2")
-        below = level2.find((place.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successor(three[:, 1])) if len(contexts) else np.full(len(three), -1)
-        fits = np.flatnonzero((below >= 0) & (contexts[place] == three[:, 0])) if len(contexts) else np.empty(0, np.int64)
-        three, n3, below = three[fits], n3[fits], below[fits]
-        order = np.lexsort((three[:, 2], below))
-        three, n3, below = three[order], n3[order], below[order]
-        keep = _without_twins(below, three[:, 2])
-        three, n3, below = three[keep], n3[keep], below[keep]
-        codes3 = encode_probability((n3 - layout.discounts[3]) / np.maximum(counts[below], n3))
-        left = 1 - np.bincount(below, PROBABILITY[codes3], len(grams))
-        keys3 = (below.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successor(three[:, 2])
-        arrays |= EliasFano.build(np.searchsorted(below, np.arange(len(grams) + 1)), len(three) + 1, "pointers3")
-        arrays |= EliasFano.build(keys3, max(len(grams), 1) << SUCCESSOR_BITS, "level3")
-        arrays |= {"codes2": codes, "codes3": codes3, "left": np.clip(left, 0, 1).astype(np.float32)}
-        return arrays, contexts, mass
+        for _, rows in _gathered(batches):
+            held: list[bytes] = []
+            for row in rows:
+                held.append(row)
+                if sum(map(len, held)) > hold:
+                    yield split(held)
+                    held = []
+            if held:
+                yield split(held)
+
+    groups = -(-layout.tries // fan)
+    salted = runs.repartitionById(groups * salts, F.col("shard") * salts + F.pmod(F.xxhash64("run"), F.lit(salts)).cast("int"))
+    return salted.sortWithinPartitions("shard").mapInArrow(run, RUN)
+
+
+def build_tries(runs: DataFrame, layout: Layout, keep: int) -> DataFrame:
+    """Writes the trie files with their counts; two rows of sums a shard, ``words`` being the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget(layout.path)
-        held: dict[int, list] = {2: [], 3: []}
-        at = None
-
-        def done() -> pa.RecordBatch:
-            arrays, contexts, mass = built(_distinct(held[2], 2), _distinct(held[3], 3))
-            write_arrays(f"{layout.path}/trie-{at}", arrays)
-            held[2].clear()
-            held[3].clear()
-            return pa.RecordBatch.from_arrays([pa.array(contexts.view(np.int64)), pa.array(mass)], names=["word", "mass"])
+        out = []
+        for shard, rows in _gathered(batches):
+            heads, first, second, pair, third, n = _merged(rows)
+            rows.clear()
+            n2 = np.bincount(pair, n, len(second)).astype(np.int64)
+            real = third != layout.start_id  # what follows an end is no trigram
+            for order, counts in ((2, n2), (3, n[real])):
+                out.append((shard, order, int(counts.sum()), int((counts >= keep).sum()), int((counts == 1).sum()), int((counts == 2).sum())))
+            often = n2 >= keep
+            mine = np.flatnonzero(real & (n >= keep))
+            place = np.cumsum(often) - 1
+            first, second, n2 = first[often], second[often], n2[often]
+            pair, third, n = place[pair[mine]], third[mine], n[mine]
+            arrays = EliasFano.build(heads, layout.words, "contexts")
+            arrays |= EliasFano.build(np.searchsorted(first, np.arange(len(heads) + 1)), len(second) + 1, "pointers2")
+            arrays |= EliasFano.build(first.astype(np.uint64) * np.uint64(layout.words) + second, max(len(heads), 1) * layout.words, "level2")
+            arrays |= EliasFano.build(np.searchsorted(pair, np.arange(len(second) + 1)), len(third) + 1, "pointers3")
+            arrays |= EliasFano.build(pair.astype(np.uint64) * np.uint64(layout.words) + third, max(len(second), 1) * layout.words, "level3")
+            write_arrays(f"{layout.path}/trie-{shard}", arrays)
+            write_arrays(f"{layout.path}/counts-{shard}", {f"{k}{order}": a for order, c in ((2, n2), (3, n)) for k, a in compact(c).items()})
+        yield _sums(out)
+
+    return dealt(runs, layout.tries).mapInArrow(run, SUMS)
+
+
+def palette(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At most LEVELS probabilities and the code of each value, rounded down to one of them.
+
+    Half of them are the most frequent values; the others part the rest evenly.
+    """
+    values, number, many = np.unique(p, return_inverse=True, return_counts=True)
+    if len(values) > LEVELS:
+        most = np.argsort(-many, kind="stable")[: LEVELS // 2]
+        rest = np.delete(np.arange(len(values)), most)
+        chosen = np.union1d(most, rest[np.arange(LEVELS // 2 - 1) * len(rest) // (LEVELS // 2 - 1)])
+        chosen = np.union1d(chosen, [0])
+        return values[chosen], (np.searchsorted(chosen, np.arange(len(values)), side="right") - 1)[number].astype(np.uint8)
+    return values, number.astype(np.uint8)
+
+
+#: Steps of what a context leaves.
+LEFT = 65535
+
+
+def add_probabilities(layout: Layout, spark) -> DataFrame:
+    """Writes the probabilities of every trie shard; runs of (word, mass) by unigram shard that its bigrams take."""
+
+    def shard_masses(shard: int) -> list[tuple[int, bytes]]:
+        try:
+            arrays, counts = (map_arrays(f"{layout.path}/{kind}-{shard}") for kind in ("trie", "counts"))
+        except FileNotFoundError:
+            return []  # no n-gram is there
+        n2, n3 = (counted({k: counts[f"{k}{order}"] for k in ("counts", "large", "large_counts")}, slice(None)) for order in (2, 3))
+        contexts, first2, first3 = (e.access(np.arange(e.n)).astype(np.int64) for e in (EliasFano(arrays, k) for k in ("contexts", "pointers2", "pointers3")))
+        often = Unigrams(layout, False).counts_of(contexts)
+        values2, codes2 = palette((n2 - layout.discounts[2]) / np.maximum(np.repeat(often, np.diff(first2)), n2))
+        values3, codes3 = palette((n3 - layout.discounts[3]) / np.maximum(np.repeat(n2, np.diff(first3)), n3))
+        left = np.ones(len(n2)) - np.bincount(np.repeat(np.arange(len(n2)), np.diff(first3)), values3[codes3], len(n2))
+        write_arrays(f"{layout.path}/probabilities-{shard}", {"values2": values2, "codes2": codes2, "values3": values3, "codes3": codes3, "left": np.round(np.clip(left, 0, 1) * LEFT).astype(np.uint16)})
+        mass = np.bincount(np.repeat(np.arange(len(contexts)), np.diff(first2)), values2[codes2], len(contexts))
+        home = np.searchsorted(layout.firsts, contexts, side="right") - 1
+        return [(s, packed([np.diff(contexts[at], prepend=0), np.round(mass[at] * 2**31).astype(np.int64)])) for s, at in by_shard(home)]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(layout.path)
         for batch in batches:
-            for kind, shard, words, counts in zip(*(batch.column(c).to_pylist() for c in ("kind", "shard", "words", "counts")), strict=True):
-                if shard != at:
-                    if at is not None:
-                        yield done()
-                    at = shard
-                held[kind].append((words, counts))
-        if at is not None:
-            yield done()
+            for shard in batch.column("id").to_pylist():
+                yield _rows(shard_masses(shard))
 
-    return grams.repartition(layout.tries, "shard").sortWithinPartitions("shard").mapInArrow(run, "word long, mass double")
+    return spark.range(0, layout.tries, 1, layout.tries).mapInArrow(run, RUN)
 
 
 def write_backoff(masses: DataFrame, layout: Layout) -> None:
     """Writes the back-off weight of every word beside its unigram file."""
-    shift = F.shiftrightunsigned("word", 64 - layout.unigram_bits) if layout.unigram_bits else F.lit(0).cast("long")
-    summed_ = masses.groupBy("word").agg(F.sum("mass").alias("mass")).withColumn("shard", shift)
-    every = masses.sparkSession.range(1 << layout.unigram_bits).select(F.lit(None).cast("long").alias("word"), F.lit(0.0).alias("mass"), F.col("id").alias("shard"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(shard: int, words: list, mass: list) -> None:
-            try:
-                arrays = map_arrays(f"{layout.path}/unigrams-{shard}")
-            except FileNotFoundError:
-                return
-            weights = np.ones(EliasFano(arrays, "words").n, np.float32)
-            words_, mass_ = np.concatenate(words), np.concatenate(mass)
-            place = EliasFano(arrays, "words").find(layout.within(words_))
-            weights[place[place >= 0]] = np.clip(1 - mass_[place >= 0], 0, 1)
-            write_arrays(f"{layout.path}/backoff-{shard}", {"weights": weights})
-
-        at, words, mass = None, [], []
-        for batch in batches:
-            shard = batch.column("shard").to_numpy()
-            word = batch.column("word").fill_null(0).to_numpy().view(np.uint64)
-            real = batch.column("word").is_valid().to_numpy(zero_copy_only=False)
-            amount = batch.column("mass").to_numpy()
-            for s, rows in by_shard(shard):
-                if s != at:
-                    if at is not None:
-                        done(at, words, mass)
-                    at, words, mass = s, [], []
-                words.append(word[rows][real[rows]])
-                mass.append(amount[rows][real[rows]])
-        if at is not None:
-            done(at, words, mass)
+        for shard, rows in _gathered(batches):
+            if (size := int(layout.firsts[shard + 1] - layout.firsts[shard])) == 0:
+                continue
+            mass = np.zeros(size, np.int64)
+            for row in rows:
+                if row:
+                    words, own = unpacked(row)
+                    np.add.at(mass, np.cumsum(words).astype(np.int64) - layout.firsts[shard], own.astype(np.int64))
+            write_arrays(f"{layout.path}/backoff-{shard}", {"weights": np.clip(1 - mass / 2**31, 0, 1).astype(np.float32)})
         yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["n"])
 
-    summed_.select("word", "mass", "shard").union(every).repartition(1 << layout.unigram_bits, "shard").sortWithinPartitions("shard").mapInArrow(run, "n long").count()
+    # every shard has a file, words without a successor in it included
+    every = masses.sparkSession.range(1 << layout.unigram_bits).select(F.col("id").cast("int").alias("shard"), F.lit(b"").alias("run"))
+    dealt(masses.unionAll(every), 1 << layout.unigram_bits).mapInArrow(run, "n long").count()
 
 
 def estimated_discount(single: int, double: int) -> float:
@@ -543,26 +604,32 @@ def estimated_discount(single: int, double: int) -> float:
     return single / (single + 2 * double) if single and double else 0.75
 
 
-def build(docs: DataFrame, keep: int = 2, discount: float | None = 0.75, shard_tokens: int = 3_000_000, trie_grams: int = 1_500_000) -> Layout:
+def build(docs: DataFrame, keep: int = 2, discount: float | None = 0.75, shard_tokens: int = 3_000_000, trie_grams: int = 3_000_000, direct: int = 2_000) -> Layout:
     """Builds a model of the texts of ``docs`` (null: empty) in the shared folder.
 
     Without ``discount`` each order has its own, estimated from its counts of counts.
     """
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = chars // (6 * shard_tokens) + 1
-    layout = Layout(shared_path(spark, "ngrams"), max(0, (shards // 2).bit_length()), shards)
-    runs = count_runs(docs, layout)
-    sums = {r["kind"]: r for r in materialise(add_up(runs, layout, keep), "ngram-sums").groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("n", "types", "single", "double")]).collect()}
-    if 1 not in sums:
+    layout = Layout(shared_path(spark, "ngrams"), max(0, (chars // (24 * shard_tokens)).bit_length()))
+    found = sorted(materialise(add_words(word_runs(docs, layout), layout), "ngram-words").collect())
+    if not found:
         return layout
-    layout.tokens, layout.types, layout.single, layout.double = (sums[1][c] for c in ("n", "types", "single", "double"))
-    layout.starts = int(Unigrams(layout, False).look(np.array([END]))[0][0])
-    layout.tries = 1 + sum(sums[k]["types"] for k in (2, 3) if k in sums) // min(trie_grams, shard_tokens)
-    layout.facts = {k: sums[k]["types"] for k in sums}
-    layout.discounts = {k: estimated_discount(sums[k]["single"], sums[k]["double"]) if discount is None and k in sums else 0.75 if discount is None else discount for k in (2, 3)}
-    masses = materialise(build_tries(kept_grams(docs, layout), layout), "ngram-masses")
-    write_backoff(masses, layout)
+    sizes = np.zeros(1 << layout.unigram_bits, np.int64)
+    sizes[[r["shard"] for r in found]] = [r["words"] for r in found]
+    layout.firsts = np.concatenate([[0], np.cumsum(sizes)])
+    layout.tokens, layout.types, layout.single, layout.double = (sum(r[c] for r in found) for c in ("n", "types", "single", "double"))
+    (end,), (layout.starts,) = (a.tolist() for a in Unigrams(layout, False).look(np.array([END]))[:2])
+    layout.start_id = int(Unigrams(layout, False).look(np.array([START]))[0][0])
+    layout.tries = 1 + layout.tokens // min(trie_grams, shard_tokens)
+    fan = 1 if layout.tries <= direct else int(layout.tries**0.5)
+    runs = gram_runs(docs, layout, fan)
+    if fan > 1:
+        runs = regrouped(runs, layout, fan, salts=fan)
+    grams = materialise(build_tries(runs, layout, keep), "ngram-sums").groupBy("words").agg(*[F.sum(c).alias(c) for c in ("n", "types", "single", "double")]).collect()
+    layout.facts = {r["words"]: r["types"] for r in grams}
+    layout.discounts = {r["words"]: estimated_discount(r["single"], r["double"]) if discount is None else discount for r in grams}
+    write_backoff(add_probabilities(layout, spark), layout)
     return layout
 
 
@@ -573,74 +640,76 @@ class Scorer:
         self.layout, self.unigrams = layout, Unigrams(layout, True)
         forget(layout.path)
 
-    def tries(self, shard: np.ndarray) -> Iterator[tuple[dict, np.ndarray]]:
-        """(arrays, positions) of each trie shard in use."""
-        order = np.argsort(shard, kind="stable")
+    def shards(self, shard: np.ndarray) -> Iterator[tuple[dict, dict, np.ndarray]]:
+        """(trie, probabilities, positions) of each shard in use."""
+        order = np.argsort(shard.astype(np.uint32), kind="stable")
         for s, at in by_shard(shard[order]):
             try:
-                yield map_arrays(f"{self.layout.path}/trie-{s}"), order[at]
+                yield *(map_arrays(f"{self.layout.path}/{kind}-{s}") for kind in ("trie", "probabilities")), order[at]
             except FileNotFoundError:
                 continue  # no n-gram was kept there
 
     def score(self, texts: list[bytes]) -> list[tuple[int, int, float, float]]:
         """(tokens, known tokens, base score, model score) of each text."""
         L = self.layout
-        t = Tokens.of(texts)
-        words, _, back = distinct(np.append(t.now, START))
-        counts, weights = self.unigrams.look(words)
-        n, context = counts[back[:-1]], np.concatenate([[1.0], weights[back[:-2]]])
-        context[t.starts] = weights[back[-1]]
-        base = np.log10((n + 0.1) / (L.tokens + 0.1 * (L.types + 1)))
-        d = L.first_discount
-        p = np.where(n > 0, (1 - L.unseen) * (n - d) / max(L.tokens - d * L.types, 1e-9), L.unseen) if L.tokens else np.ones(len(n))
-        if L.tokens:
-            p = self._interpolated(t, n, context * p)
-        first = t.starts
-        size = np.diff(np.append(first, len(n)))
-        return list(zip(size.tolist(), np.add.reduceat((n > 0).astype(int), first).tolist(), np.add.reduceat(base, first).tolist(), np.add.reduceat(np.log10(np.maximum(p, 1e-300)), first).tolist(), strict=True))
-
-    def _interpolated(self, t: Tokens, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+        now = tokens_of(texts)
+        starts = starts_of(now)
+        known, base, own = np.zeros(len(now), np.int64), np.zeros(len(now)), np.zeros(len(now))
+        for x in windows(now, starts):
+            ids, counts, weights = self.unigrams.look(x.words)
+            n = counts[x.now]
+            known[x.at] = n > 0
+            base[x.at] = np.log10((n + 0.1) / (L.tokens + 0.1 * (L.types + 1)))
+            if L.tokens:
+                p = np.where(n > 0, (1 - L.unseen) * (n - L.first_discount) / max(L.tokens - L.first_discount * L.types, 1e-9), L.unseen)
+                own[x.at] = np.log10(np.maximum(self._interpolated(x, ids, counts, weights[x.one] * p), 1e-300))
+        size = np.diff(np.append(starts, len(now)))
+        return list(zip(size.tolist(), *(np.add.reduceat(c, starts).tolist() for c in (known, base, own)), strict=True))
+
+    def _interpolated(self, x: Window, ids: np.ndarray, counts: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Adds bigrams to what back-off leaves, then trigrams."""
         L = self.layout
-        known = (n > 0) & ((t.one == START) | np.concatenate([[False], n[:-1] > 0]))
-        ask = np.flatnonzero(known)
-        _, first, back = distinct(mixed([t.one[ask], t.now[ask]]))
-        a, b = t.one[ask][first], t.now[ask][first]
-        place, gain = np.full(len(first), -1, np.int64), np.zeros(len(first))
-        shard = L.trie_shard(a, b)
-        for arrays, at in self.tries(shard):
-            context = EliasFano(arrays, "contexts").find(a[at])
-            hit = np.flatnonzero(context >= 0)
-            key = (context[hit].astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successor(b[at[hit]])
-            found = EliasFano(arrays, "level2").find(key)
-            hit, found = hit[found >= 0], found[found >= 0]
-            place[at[hit]] = found
-            gain[at[hit]] = PROBABILITY[arrays["codes2"][found]]
-        p = p.copy()
-        p[ask] += gain[back]
-        # trigrams: the bigram that ends at the token before, if it has any below it
-        node, home = np.full(len(n), -1, np.int64), np.zeros(len(n), np.int64)
-        node[ask], home[ask] = place[back], shard[back]
-        node, home = np.concatenate([[-1], node[:-1]]), np.concatenate([[0], home[:-1]])
-        node[t.starts] = -1
-        ask = np.flatnonzero(node >= 0)
-        for arrays, at in self.tries(home[ask]):
+        bits = np.uint64(len(x.words).bit_length())
+        mask = np.uint64((1 << int(bits)) - 1)
+        now, one, two = (k.astype(np.uint64) for k in (x.now, x.one, x.two))
+        # bigrams in the order of their ids; the last is that before the first token
+        pairs, _, back = distinct(np.append(one << bits | now, two[:1] << bits | one[:1]))
+        u, v = (pairs >> bits).astype(np.int64), (pairs & mask).astype(np.int64)
+        often = counts.copy()
+        often[x.start] = L.starts
+        place, gain, home = np.full(len(pairs), -1, np.int64), np.zeros(len(pairs)), np.zeros(len(pairs), np.int64)
+        ask = np.flatnonzero((often[u] > 0) & (counts[v] > 0))
+        home[ask] = L.trie_shard(ids[u[ask]], often[u[ask]], ids[v[ask]])
+        for trie, given, at in self.shards(home[ask]):
             at = ask[at]
-            pointers, own = EliasFano(arrays, "pointers3"), node[at]
-            nodes, _, back = distinct(own)
-            some = (pointers.access(nodes + 1) > pointers.access(nodes))[back]
-            at, own = at[some], own[some]
-            found = EliasFano(arrays, "level3").find((own.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successor(t.now[at]))
-            gain = np.where(found >= 0, PROBABILITY[arrays["codes3"][np.maximum(found, 0)]], 0.0) if len(arrays["codes3"]) else np.zeros(len(at))
-            gain[n[at] == 0] = 0.0
-            p[at] = gain + arrays["left"][own] * p[at]
+            first = changes(u[at])
+            context = np.repeat(EliasFano(trie, "contexts").find(ids[u[at[first]]]), np.diff(np.append(first, len(at))))
+            hit = np.flatnonzero(context >= 0)
+            found = EliasFano(trie, "level2").find(context[hit].astype(np.uint64) * np.uint64(L.words) + ids[v[at[hit]]].astype(np.uint64))
+            hit, found = at[hit[found >= 0]], found[found >= 0]
+            place[hit], gain[hit] = found, given["values2"][given["codes2"][found]]
+        p = p + gain[back[:-1]]
+        # trigrams below the bigram that ends at the token before
+        node = np.concatenate([back[-1:], back[:-2]])
+        ask = np.flatnonzero(~x.first & (place[node] >= 0))
+        keys, _, back = distinct(node[ask].astype(np.uint64) << bits | now[ask])
+        node, w = (keys >> bits).astype(np.int64), (keys & mask).astype(np.int64)
+        gain, left = np.zeros(len(keys)), np.zeros(len(keys))
+        for trie, given, at in self.shards(home[node]):
+            own = place[node[at]]
+            left[at] = given["left"][own] / LEFT
+            at, own = at[counts[w[at]] > 0], own[counts[w[at]] > 0]
+            found = EliasFano(trie, "level3").find(own.astype(np.uint64) * np.uint64(L.words) + ids[w[at]].astype(np.uint64))
+            hit, found = at[found >= 0], found[found >= 0]
+            gain[hit] = given["values3"][given["codes3"][found]]
+        p[ask] = gain[back] + left[back] * p[ask]
         return p
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, layout: Layout, fold: int = 0, folds: int = 10, chars: int = 1_500_000) -> DataFrame:
+def score(docs: DataFrame, layout: Layout, fold: int = 0, folds: int = 10, chars: int = 4_000_000) -> DataFrame:
     """Scores every document with a built model.
 
     Null and empty texts are one end token; equal texts get equal scores; without
