@@ -9,13 +9,18 @@ all pages of a host (pages equal to the reference tell nothing and are left out)
 summed per task before it is shuffled, so a host of any size costs a few rows a
 task.
 
-The article is looked for in an element that declares itself one (article, then main,
-then a named content container), on pages without such an element in the whole page;
-menus, headers, footers, sidebars, notices, adverts, forms, comments and the like are
-cut by element and by words of class, id and role. There the wrapper decides: template
-nodes without a slot below them are cut, also inside an article element, and slots
-are content. Inline elements within a text of their own block stay with it. Without
-an article element, blocks that are mostly links are cut, too.
+The wrapper decides: template nodes without a slot below them are cut, slots are
+content. An element that declares itself the article (article, then main, then a named
+content container) is a prior only: slots outside it are left out as long as those
+inside hold at least as much text, else it is overruled. Pages of hosts with too few
+pages for a wrapper are read by their elements alone. ``decided`` says which it was.
+
+Menus, page headers, footers, sidebars, notices, adverts, forms, comments and the like
+are cut by element and by words of class, id and role, also if their text varies. Words
+that tell a state (has-sidebar, with-share) name nothing, headings are not cut by
+words, and no element is cut that holds the article. Inline elements within a text of
+their own block stay with it. Without an article element, blocks that are mostly links
+are cut, too.
 
 References and wrappers are broadcast while their summed size is below
 ``broadcast_bytes``, else joined by host with the hot hosts' rows salted.
@@ -53,6 +58,10 @@ CUT_WORDS = frozenset(
     "replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget widgets alert complementary contentinfo".split()
 )
 CONTENT_WORDS = frozenset("article content entry post story main body text".split())
+#: Words of a class that tell a state of the page, not what the element is.
+STATE_WORDS = frozenset("has with no without on off".split())
+#: Elements that words of class, id or role never cut.
+KEPT_TAGS = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -80,8 +89,10 @@ def _attributes(tag: str, raw: str) -> tuple[str, bool, frozenset]:
         name, value = name.lower(), value.strip("\"'")
         hidden |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and bool(HIDDEN.search(value))
         found[name] = value
-    words = frozenset(w.lower() for name in ("class", "id", "role") for w in WORDS.findall(found.get(name, "")))
-    return f"{tag}.{found.get('class', '')}#{found.get('id', '')}".rstrip("#."), hidden or tag in CUT_TAGS or bool(words & CUT_WORDS), words
+    named = [{w.lower() for w in WORDS.findall(part)} for name in ("class", "id", "role") for part in found.get(name, "").split()]
+    words = frozenset(w for part in named if not part & STATE_WORDS for w in part)
+    cut = tag not in KEPT_TAGS and bool(words & CUT_WORDS) and not (tag == "article" and words & CONTENT_WORDS)
+    return f"{tag}.{found.get('class', '')}#{found.get('id', '')}".rstrip("#."), hidden or tag in CUT_TAGS or cut, words
 
 
 _ATTRIBUTES: dict[tuple[str, str], tuple[str, bool, frozenset]] = {}
@@ -138,9 +149,9 @@ def parse(html: str) -> Node:
     return root
 
 
-def blocks(node: Node, out: list[str] | None = None, skip: frozenset = frozenset()) -> list[str]:
-    """Texts of the blocks below a node, in page order, without what is cut and without ``skip`` (ids of nodes)."""
-    out = [] if out is None else out
+def blocks(node: Node, skip: frozenset = frozenset(), only: frozenset = frozenset()) -> list[str]:
+    """Texts of the blocks below a node, in page order, without ``skip`` and what is cut but for ``only`` (ids of nodes)."""
+    out: list[str] = []
     held: list[str] = []
 
     def flush() -> None:
@@ -157,7 +168,7 @@ def blocks(node: Node, out: list[str] | None = None, skip: frozenset = frozenset
             flush()
         elif isinstance(item, str):
             held.append(item)
-        elif item.cut and item is not node or id(item) in skip:
+        elif item.cut and item is not node and id(item) not in only or id(item) in skip:
             if item.tag in BLOCKS:
                 flush()
         elif item.tag == "br":
@@ -180,6 +191,7 @@ class Shape:
     key: str
     nodes: list
     children: list
+    size: int = 1
 
 
 def shape(root: Node) -> Shape:
@@ -201,7 +213,7 @@ def shape(root: Node) -> Shape:
             else:
                 own.append(s)
         key = f"{node.label}({''.join(c.key for c in own)})"
-        made[id(node)] = Shape(node.label, key if len(key) < 2000 else xxhash.xxh64_hexdigest(key), [node], own)
+        made[id(node)] = Shape(node.label, key if len(key) < 2000 else xxhash.xxh64_hexdigest(key), [node], own, 1 + sum(c.size for c in own))
     return made[id(root)]
 
 
@@ -223,28 +235,58 @@ def listing(root: Shape) -> list[Shape]:
     return out
 
 
-def match(a: Shape, b: Shape, deepest: int = 60) -> list[tuple[Shape, Shape]]:
-    """Simple tree matching: the pairs of the largest order-keeping alignment of two trees."""
-    if a.label != b.label or not deepest:
+def match(a: Shape, b: Shape) -> list[tuple[Shape, Shape]]:
+    """Simple tree matching: the pairs of the largest order-keeping alignment of two trees.
+
+    Trees of any depth: pairs are listed parents first and weighed children first.
+    """
+    if a.label != b.label:
         return []
-    if a.key == b.key:
-        return list(zip(listing(a), listing(b), strict=True))
-    m, n = len(a.children), len(b.children)
-    found = {(i, j): p for i, x in enumerate(a.children) for j, y in enumerate(b.children) if x.label == y.label and (p := match(x, y, deepest - 1))}
-    best = np.zeros((m + 1, n + 1), np.int64)
-    for i in range(m):
-        for j in range(n):
-            best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + len(found.get((i, j), ())))
-    pairs, i, j = [], m, n
-    while i and j:
-        if best[i, j] == best[i - 1, j]:
-            i -= 1
-        elif best[i, j] == best[i, j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs = found[i, j] + pairs
-    return [(a, b), *pairs]
+    pairs: list[tuple[Shape, Shape]] = [(a, b)]
+    below: list[dict[tuple[int, int], int]] = []  # of each pair: the pairs of its children
+    for x, y in pairs:
+        found: dict[tuple[int, int], int] = {}
+        below.append(found)
+        if x.key == y.key:
+            continue
+        places: dict[str, list[int]] = {}
+        for j, child in enumerate(y.children):
+            places.setdefault(child.label, []).append(j)
+        for i, child in enumerate(x.children):
+            for j in places.get(child.label, ()):
+                found[i, j] = len(pairs)
+                pairs.append((child, y.children[j]))
+    weights = [0] * len(pairs)
+    chosen: list[list[int]] = [[] for _ in pairs]
+    for at in range(len(pairs) - 1, -1, -1):
+        x, y = pairs[at]
+        if x.key == y.key:
+            weights[at] = x.size
+            continue
+        m, n, found = len(x.children), len(y.children), below[at]
+        gain = np.zeros((m, n), np.int64)
+        for (i, j), k in found.items():
+            gain[i, j] = weights[k]
+        best = np.zeros((m + 1, n + 1), np.int64)
+        for i in range(m):
+            best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + gain[i]))
+        i, j = m, n
+        while i and j:
+            if best[i, j] == best[i - 1, j]:
+                i -= 1
+            elif best[i, j] == best[i, j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                chosen[at].append(found[i, j])
+        weights[at] = 1 + int(best[m, n])
+    out, todo = [], [0]
+    while todo:
+        at = todo.pop()
+        x, y = pairs[at]
+        out += zip(listing(x), listing(y), strict=True) if x.key == y.key else [(x, y)]
+        todo += chosen[at]  # the last child first, so that the first is on top
+    return out
 
 
 def own_text(node: Node) -> str:
@@ -285,23 +327,86 @@ class Reference:
 
 def article(root: Node, wrapper: tuple[Reference, list[int]] | None) -> str:
     """The main text of a parsed page."""
-    order, todo = [], [root]
-    while todo:  # page order; nothing below what is cut
-        node = todo.pop()
-        if node.cut:
+    return main_text(root, wrapper)[0]
+
+
+def main_text(root: Node, wrapper: tuple[Reference, list[int]] | None) -> tuple[str, str]:
+    """The main text of a parsed page, and what decided: wrapper, element or page."""
+    tops = _declared(root)
+    template = _constant(root, wrapper) if wrapper else set()
+    skip = frozenset(template)
+    inner = [t for n in tops for t in blocks(n, skip=skip)]
+    if tops and not wrapper:
+        return "\n".join(inner), "element"
+    if tops and not template and not _outside(root, tops):
+        return "\n".join(inner), "wrapper"  # all slots but those of menus and the like are inside
+    whole = blocks(root, skip=skip | _furniture(root, tops), only=_holding(root, tops))
+    if tops and 2 * sum(map(len, inner)) >= sum(map(len, whole)):
+        return "\n".join(inner), "wrapper"
+    return "\n".join(whole), "wrapper" if wrapper else "page"
+
+
+def _declared(root: Node) -> list[Node]:
+    """The outermost elements that declare themselves the article."""
+    free, inside, todo = [], [], [(root, False)]
+    while todo:  # page order; nothing below what is cut by its element, second choice below what is cut by words
+        node, cut = todo.pop()
+        if node.cut and (node.tag in CUT_TAGS or node.tag == "article" or "comments" in node.words or "comment" in node.words):
             continue
+        cut = cut or node.cut
+        (inside if cut else free).append(node)
+        todo += [(c, cut) for c in reversed(node.children) if not isinstance(c, str)]
+    kinds = (
+        lambda n: n.tag == "article",
+        lambda n: n.tag == "main" or "main" in n.words and n.tag in BLOCKS and n.tag not in ("html", "body", "header"),
+        lambda n: bool(n.words & CONTENT_WORDS) and n.tag in ("div", "section", "td"),
+    )
+    for order in (free, inside):
+        for kind in kinds[: 3 if order is free else 2]:
+            if named := [n for n in order if kind(n) and not (n.cut and n.tag != "article")]:
+                held = {id(x) for n in named for x in _below(n)}
+                return [n for n in named if id(n) not in held]
+    return []
+
+
+def _holding(root: Node, tops: list[Node]) -> frozenset:
+    """Ids of the elements that hold the declared article: they are not cut."""
+    wanted, order, todo = {id(n) for n in tops}, [], [root]
+    while todo:
+        node = todo.pop()
         order.append(node)
-        todo += [c for c in reversed(node.children) if not isinstance(c, str)]
-    named = [n for n in order if n.tag == "article"] or [n for n in order if n.tag == "main" or "main" in n.words and n.tag in BLOCKS]
-    if not named:
-        named = [n for n in order if n.words & CONTENT_WORDS and n.tag in ("div", "section", "td")]
-    skip = _constant(root, wrapper) if wrapper else set()
-    if named:
-        inner = {id(x) for n in named for x in _below(n)}
-        tops = [n for n in named if id(n) not in inner]
-        return "\n".join(t for n in tops for t in blocks(n, skip=frozenset(skip)))
-    skip |= {id(n) for n in order if n.tag in ("header", "ul", "ol", "div", "p", "table") and _mostly_links(n)}
-    return "\n".join(blocks(root, skip=frozenset(skip)))
+        todo += [c for c in node.children if not isinstance(c, str)]
+    held: set[int] = set()
+    for node in reversed(order):
+        if any(not isinstance(c, str) and (id(c) in wanted or id(c) in held) for c in node.children):
+            held.add(id(node))
+    return frozenset(held)
+
+
+def _outside(root: Node, tops: list[Node]) -> bool:
+    """Whether any text stands outside the article and what is cut."""
+    wanted, todo = {id(n) for n in tops}, [root]
+    while todo:
+        node = todo.pop()
+        for c in node.children:
+            if isinstance(c, str):
+                if not c.isspace():
+                    return True
+            elif not c.cut and id(c) not in wanted:
+                todo.append(c)
+    return False
+
+
+def _furniture(root: Node, tops: list[Node]) -> frozenset:
+    """Ids of page headers and blocks that are mostly links, outside the article."""
+    out, wanted, todo = set(), {id(n) for n in tops}, [(root, False)]
+    while todo:
+        node, inside = todo.pop()
+        inside = inside or id(node) in wanted or node.tag in ("article", "main", "section")
+        if node.tag == "header" and not inside or node.tag in ("header", "ul", "ol", "div", "p", "table") and not (tops and inside) and _mostly_links(node):
+            out.add(id(node))
+        todo += [(c, inside) for c in node.children if not isinstance(c, str) and not c.cut]
+    return frozenset(out - _holding(root, tops))
 
 
 def _constant(root: Node, wrapper: tuple[Reference, list[int]]) -> set[int]:
@@ -381,7 +486,8 @@ def induce(pages: DataFrame, least_pages: int = 3, agreement: float = 0.7, broad
     """(host, reference, template) of every host, and the bytes of all references.
 
     ``template`` lists the elements of the reference whose text the share
-    ``agreement`` of at least ``least_pages`` aligned pages repeat.
+    ``agreement`` of at least ``least_pages`` aligned pages repeat; it is null for
+    hosts with fewer pages, which have no wrapper, and empty if all text varies.
     """
     rows = hosted(pages).where("html is not null")
     first = F.min_by("html", F.struct(F.xxhash64("page_id", "url"), F.xxhash64("html"))).alias("reference")
@@ -413,16 +519,20 @@ def induce(pages: DataFrame, least_pages: int = 3, agreement: float = 0.7, broad
 
     counted = _beside(rows, chosen, size, broadcast_bytes).select("host", "html", "reference").mapInArrow(count, "host string, place int, same boolean, n long")
     counted = counted.groupBy("host", "place").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)).alias("same"))
-    fixed = counted.where((F.col("n") >= least_pages) & (F.col("same") >= agreement * F.col("n"))).groupBy("host").agg(F.sort_array(F.collect_list("place")).alias("template"))
-    return materialise(chosen.join(fixed, "host", "left"), "wrappers"), size
+    constant = F.when((F.col("n") >= least_pages) & (F.col("same") >= agreement * F.col("n")), F.col("place"))
+    fixed = counted.groupBy("host").agg(F.sort_array(F.collect_list(constant)).alias("template"), F.max("n").alias("n")).where(F.col("n") >= least_pages)
+    return materialise(chosen.join(fixed.drop("n"), "host", "left"), "wrappers"), size
+
+
+EXTRACTED = "page_id long, url string, text string, n_chars long, decided string"
 
 
 def extract(pages: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page.
+    """(page_id, url, text, n_chars, decided) of every page.
 
-    Null html is empty text, as is html without an article; equal rows give equal
-    rows; an empty table gives none; pages without a host are one host; other
-    columns are ignored.
+    Null html is empty text (decided by nothing: null), as is html without an article;
+    equal rows give equal rows; an empty table gives none; pages without a host are one
+    host; other columns are ignored.
     """
     wrappers, size = induce(pages, broadcast_bytes=broadcast_bytes)
     joined = _beside(hosted(pages), wrappers, size, broadcast_bytes).select("page_id", "url", "html", "host", "reference", "template")
@@ -431,11 +541,13 @@ def extract(pages: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
         references = _References()
         for batch in batches:
             columns = {c: batch.column(c).to_pylist() for c in ("html", "host", "reference", "template")}
-            texts = []
+            found = []
             for html, host, other, template in zip(*columns.values(), strict=True):
-                wrapper = (references.get(host, other), template) if other and template else None
-                texts.append(article(parse(html), wrapper) if html else "")
+                wrapper = (references.get(host, other), template) if other and template is not None else None
+                found.append(main_text(parse(html), wrapper) if html else ("", None))
+            texts = [t for t, _ in found]
             for a, b in slices(texts):
-                yield pa.RecordBatch.from_arrays([batch.column("page_id").slice(a, b - a), batch.column("url").slice(a, b - a), pa.array(texts[a:b], pa.string()), pa.array(list(map(len, texts[a:b])), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                own = [pa.array(texts[a:b], pa.string()), pa.array(list(map(len, texts[a:b])), pa.int64()), pa.array([d for _, d in found[a:b]], pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column("page_id").slice(a, b - a), batch.column("url").slice(a, b - a), *own], names=["page_id", "url", "text", "n_chars", "decided"])
 
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.mapInArrow(run, EXTRACTED)
