@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from larkspur.shared import materialise
 
@@ -196,7 +197,7 @@ def links(prints: DataFrame, radius: int = 4, blocks: int = 6, shard_size: int =
 def components(edges: DataFrame, ids: DataFrame, rounds: int = 60) -> DataFrame:
     """(fp, label) of every linked fingerprint: the smallest ``first`` of its group.
 
-    ``ids`` has (fp, first). Labels fall along links and are then followed to the
+    ``ids`` has (fp, first), ``first`` being of any type that can be ordered. Labels fall along links and are then followed to the
     label of their label, so that chains close in few rounds.
     """
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")), "simhash-links")
@@ -227,11 +228,25 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-RESULT = "doc_id long, fingerprint string, component_id long"
+def grouped(docs: DataFrame, radius: int, blocks: int, shard_size: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, label) of every fingerprint.
+
+    ``label`` is the smallest (doc_id, fp) of the group, so that groups that share a
+    doc_id stay apart; its doc_id is null if no row of the group has one.
+    """
+    prints = materialise(fingerprints(docs), "simhash-prints")
+    lowest = F.struct(F.coalesce(F.min("doc_id"), F.lit(2**63 - 1)).alias("id"), "fp").alias("first")
+    ids = materialise(prints.groupBy("fp").agg(lowest), "simhash-distinct")
+    edges = materialise(links(ids, radius, blocks, shard_size), "simhash-edges")
+    owner = ids.select("fp", F.col("first").alias("label"))
+    if not edges.isEmpty():
+        owner = owner.join(components(edges, ids).withColumnRenamed("label", "joined"), "fp", "left").select("fp", F.coalesce("joined", "label").alias("label"))
+    named = F.when(F.col("label.id") < 2**63 - 1, F.col("label.id"))
+    return prints, owner.select("fp", F.struct(named.alias("id"), F.col("label.fp").alias("fp")).alias("label"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, blocks: int = 6, shard_size: int = 2000) -> DataFrame:
-    """Fingerprint and group of every document.
+    """(doc_id, fingerprint, component_id) of every document.
 
     ``component_id`` is the smallest doc_id that links reach. Null and empty texts
     have fingerprint zero and link like any other; rows without doc_id neither
@@ -239,31 +254,38 @@ def near_duplicates(docs: DataFrame, radius: int = 4, blocks: int = 6, shard_siz
     doc_id there (null if there is none); equal rows give equal rows; an empty
     table gives none; other columns are ignored.
     """
-    prints = materialise(fingerprints(docs), "simhash-prints")
-    ids = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("n")), "simhash-distinct")
-    ids = ids.select("fp", F.col("lowest").alias("first"))
-    edges = materialise(links(ids, radius, blocks, shard_size), "simhash-edges")
-    named = ids.select("fp", F.coalesce("first", F.lit(2**63 - 1)).alias("first"))
-    if edges.isEmpty():
-        owner = ids.select("fp", F.col("first").alias("component_id"))
-    else:
-        joined = components(edges, named)
-        owner = named.join(joined, "fp", "left").select("fp", F.coalesce("label", "first").alias("component_id"))
-        owner = owner.select("fp", F.when(F.col("component_id") < 2**63 - 1, F.col("component_id")).alias("component_id"))
-    return prints.join(owner, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints, owner = grouped(docs, radius, blocks, shard_size)
+    return prints.join(owner, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("label.id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, radius: int = 4, blocks: int = 6, shard_size: int = 2000) -> DataFrame:
     """The documents, with all their columns, of which one of each group stays.
 
-    The smallest doc_id stays; where rows repeat it, one of them. Rows without
-    doc_id cannot be named as copies and stay.
+    The smallest doc_id of a group stays. Where a doc_id names several rows, they are
+    told apart by their fingerprints: rows that share a doc_id but no group lose
+    nothing, and of equal or near-equal rows of one doc_id one stays (the smallest
+    fingerprint; any of those that share that). Rows without doc_id cannot be named as
+    copies and stay. Null and empty texts are copies of each other; an empty table
+    gives none.
     """
-    found = near_duplicates(docs, radius, blocks, shard_size)
-    groups = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component"), F.count("*").alias("n"))
-    groups = materialise(groups, "simhash-groups")
-    dropped = groups.where("doc_id <> component").select("doc_id")
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    if groups.where("n > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    prints, owner = grouped(docs, radius, blocks, shard_size)
+    rows = prints.where("doc_id is not null").groupBy("doc_id", "fp").agg(F.count("*").alias("n"))
+    rows = materialise(rows.join(owner, "fp").select("doc_id", "fp", "n", (F.col("label.id") == F.col("doc_id")).alias("own"), (F.col("label.fp") == F.col("fp")).alias("first")), "simhash-rows")
+    if rows.groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 1").isEmpty():
+        dropped = rows.where("not own").select("doc_id")
+        return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    column = "simhash of the text"
+    while column in docs.columns:  # a name that no column has
+        column += "_"
+    names, text = [*docs.columns, column], docs.columns.index("text")
+    schema = StructType([*docs.schema.fields, StructField(column, LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.fromiter((fingerprint(t.as_py() or b"") for t in batch.column(text).cast(pa.binary())), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=names)
+
+    known = materialise(docs.mapInArrow(run, schema), "simhash-named")
+    kept = rows.where("own and first").select("doc_id", F.col("fp").alias(column))
+    named = known.where("doc_id is not null").join(kept, ["doc_id", column], "left_semi").dropDuplicates(["doc_id", column])
+    return named.unionByName(known.where("doc_id is null")).select(*docs.columns)
