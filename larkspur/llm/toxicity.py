@@ -13,8 +13,8 @@ root of sum p exp(lambda s) = 1 over the scores of clean text, a segment of scor
 S in a text of n tokens is expected K n exp(-lambda S) times by chance; K is
 fitted to the best segments of clean documents (a Gumbel law). Segments expected
 less than once are significant passages. A text's evidence is the sum of their
--ln E, and a logistic curve fitted to a histogram of that evidence turns it into
-a probability.
+-ln E, all of it, and a logistic curve in the logarithm of 1 + evidence, fitted to a
+histogram, turns it into a probability.
 
 Fitting reads at most about ``sample_docs`` labelled documents (an even share of
 doc_id hashes; exact copies count once). The model keeps at most ``max_features``
@@ -38,10 +38,10 @@ from larkspur.shared import materialise
 
 TOKEN = re.compile(r"\w+")
 SHORTEST, LONGEST = 3, 8
-#: Score of a token that tells nothing, and the largest score of one that tells much.
-DRIFT, LARGEST = -0.7, 6.0
-#: Evidence is counted in steps of 1 / STEPS up to MOST for the final curve.
-STEPS, MOST = 4, 100
+#: Score of a token that tells nothing.
+DRIFT = -0.7
+#: For the final curve ln(1 + evidence) is counted in steps of 1 / STEPS.
+STEPS = 16
 
 
 def features(token: str) -> list[str]:
@@ -99,11 +99,15 @@ class Model:
         return sum(e for *_, e in self.segments(scores) if e > 0)
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.minimum(evidence, MOST) + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.log1p(evidence) + self.shift, -30, 30)))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, fold: int = 0, folds: int = 5, sample_docs: int = 20_000) -> DataFrame:
-    """Labelled documents outside the fold: (text, toxic), without exact copies."""
+    """Labelled documents outside the fold: (text, toxic), without exact copies.
+
+    Labels without doc_id or value are left out; of labels that contradict each other
+    for a doc_id the toxic one holds; null texts are empty.
+    """
     key = F.crc32(F.col("doc_id").cast("string"))
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (key % folds != fold)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = min(1.0, sample_docs / max(1, known.count()))
@@ -145,7 +149,7 @@ def fit(rows: DataFrame, min_docs: int = 8, min_z: float = 3.2, prior: float = 5
     delta = F.log((F.col("y") + own) / (totals[0] + prior - F.col("y") - own)) - F.log((F.col("n") + own) / (totals[1] + prior - F.col("n") - own))
     scored = counts.withColumn("delta", delta).withColumn("z", F.col("delta") / F.sqrt(1 / (F.col("y") + own) + 1 / (F.col("n") + own)))
     telling = scored.where(F.col("z") >= min_z).orderBy(F.desc("z"), "feature").limit(max_features // 2)
-    scores = {r["feature"]: min(r["delta"], LARGEST) for r in telling.collect()}
+    scores = {r["feature"]: r["delta"] for r in telling.collect()}
     # what begins like a telling stem and is itself well known as harmless
     stems = telling.where(F.col("feature").endswith("~")).select("feature")
     plain = scored.where(F.col("z") < min_z).withColumn("word", F.rtrim("feature", F.lit("~")))
@@ -192,12 +196,12 @@ def calibrate(model: Model, rows: DataFrame) -> Model:
     levelled = send(model)
 
     def steps(texts: list[str], toxic: list[int]) -> pa.RecordBatch:
-        found = Counter((int(min(levelled.value.evidence(np.frombuffer(x, "<f4")), MOST) * STEPS), int(y == 1)) for x, y in zip(levelled.value.memo().encode(texts), toxic, strict=True))
+        found = Counter((int(math.log1p(levelled.value.evidence(np.frombuffer(x, "<f4"))) * STEPS), int(y == 1)) for x, y in zip(levelled.value.memo().encode(texts), toxic, strict=True))
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64()), pa.array(list(found.values()), pa.int64())], names=["step", "y", "n"])
 
     bins = _per_text(rows, steps, "step long, y long, n long").groupBy("step", "y").agg(F.sum("n").alias("n")).collect()
     x, y, n = (np.array([r[c] for r in bins], float) for c in ("step", "y", "n"))
-    x = np.minimum((x + 0.5 * (x > 0)) / STEPS, MOST)
+    x = (x + 0.5 * (x > 0)) / STEPS
     slope, shift = 1.0, -2.0
     for _ in range(50):  # Newton steps of a logistic regression with a small ridge
         p = 1 / (1 + np.exp(-np.clip(slope * x + shift, -30, 30)))
@@ -238,7 +242,11 @@ PASSAGE = "doc_id long, start long, stop long, segment_score double, surprise do
 
 
 def passages(docs: DataFrame, model: Model) -> DataFrame:
-    """Every significant passage: token positions, score, -ln E and its tokens."""
+    """Every significant passage: token positions, score, -ln E and its tokens.
+
+    Null and empty texts have none; equal rows give theirs as often as they occur; an
+    empty table gives none; other columns are ignored.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +266,11 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
-    """The documents, with all their columns, that score below ``most``."""
+    """The documents, with all their columns, that score below ``most``.
+
+    Null and empty texts have no evidence and stay (unless the model's lowest score
+    is above ``most``); equal rows stay or go together; an empty table gives none.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     column = docs.columns.index("text")
 
