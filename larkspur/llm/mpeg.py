@@ -264,10 +264,14 @@ def read(raw: bytes) -> Stream:
 
 def payload_of(stream: Stream) -> tuple[bytes, int]:
     """The payload and its data bytes, verified against the tag."""
-    payload = stream.data[: int(stream.tags["payload_bytes"])]
-    if stream.wrong or zlib.crc32(payload) != int(stream.tags["payload_crc32"]):
+    own = [stream.tags.get(k, "") for k in ("payload_bytes", "payload_crc32", "data_bytes")]
+    if not all(x.isdecimal() for x in own):
+        raise ValueError("the stream holds no payload")
+    size, crc, data = map(int, own)
+    payload = stream.data[:size]
+    if stream.wrong or len(payload) != size or zlib.crc32(payload) != crc:
         raise ValueError("the stream is damaged")
-    return payload, int(stream.tags["data_bytes"])
+    return payload, data
 
 
 def feature(stream: Stream) -> str:
@@ -293,25 +297,40 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, media binary")
 
 
-DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_samples long, sample_rate long, frame_offsets array<long>, problem string"
+
+
+def described(raw: bytes | None) -> tuple:
+    """What :func:`describe` says of one stream."""
+    if raw is None:
+        return (None,) * 10 + ("no media",)
+    stream = read(raw)
+    try:
+        payload, n_bytes = payload_of(stream)
+        own, problem = (n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:])), None
+    except ValueError as e:
+        own, problem = (None,) * 4, str(e)
+    return (*own, len(raw), hashlib.sha256(raw).hexdigest(), feature(stream), stream.samples, stream.rate, stream.offsets, problem)
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """Reads stored streams back: digests and features, one row each."""
+    """Reads stored streams back: digests, features and the offset of every frame, one row each.
+
+    The exact duration is ``duration_samples / sample_rate`` seconds. A stream without
+    a payload of ours (foreign, damaged or cut) has null payload columns and says so in
+    ``problem``, as does a null one; its frames are told all the same. Equal streams
+    give equal values; an empty table gives none; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in DIGESTS.split(", ")]
-        kinds = [pa.string() if c.endswith("string") else pa.int64() for c in DIGESTS.split(", ")]
+        kinds = [pa.string() if c.endswith("string") else pa.list_(pa.int64()) if c.endswith("array<long>") else pa.int64() for c in DIGESTS.split(", ")]
         for batch in batches:
-            out = []
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), (x.as_py() for x in batch.column("media")), strict=True):
-                stream = read(raw)
-                payload, n_bytes = payload_of(stream)
-                out.append((doc, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(stream)))
+            out = [(doc, *described(raw.as_py())) for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("media"), strict=True)]
             columns = list(zip(*out, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return media.mapInArrow(run, DIGESTS)
+    return media.select("doc_id", "media").mapInArrow(run, DIGESTS)
 
 
 def media_table(docs: DataFrame) -> DataFrame:
