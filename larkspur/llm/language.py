@@ -6,20 +6,22 @@ follows transitions until none is left, then starts again at its root); the
 language that needs the fewest phrases per character wins. Letters are
 lower-cased and every run of other characters is one space.
 
-A greedy parse needs no suffix links, so an automaton becomes a dense transition
-table whose entries also hold the phrases that a step closes. Texts are cut into
-segments of ``SEGMENT`` characters (a phrase ends where a segment does, in every
-language alike) and thousands of segments advance together, one table lookup a
-character.
-
-Fitting is bounded: at most ``sample_docs`` documents (the smallest hashes of
-doc_id) of up to ``longest`` characters and ``sample_chars`` characters a
-language, and at most ``max_languages`` languages, the most frequent.
+A greedy parse needs no suffix links, so an automaton becomes a table of transitions:
+dense ones (whose entries also hold the phrases that a step closes) while all of
+them together stay below ``dense_bytes``, else rows laid over each other, which
+take a few bytes a transition however large the alphabet is. Both give the same
+phrases. Texts are cut into segments of ``SEGMENT`` characters (a phrase ends where a
+segment does, in every language alike) and thousands of segments advance together.
+
+All letters of the samples have codes of their own and all languages are learned.
+Fitting is bounded: of each language at most ``sample_docs`` documents (the smallest
+hashes of doc_id), of each of these at most the first ``longest`` characters, and
+together at most ``sample_chars`` characters or an even share of ``total_chars``, if
+that is less. So the model, which is broadcast, has a bound.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,19 +33,80 @@ from larkspur.llm.words import slices
 
 SEGMENT = 512
 UNKNOWN = "und"
-#: Codes besides those of letters: white space and the like, letters of no sample, the end of a text.
+#: Codes besides those of letters: white space and the like, letters that no sample has, the end of a text.
 SPACE, OTHER, END = 0, 1, 2
 
 
+class Dense:
+    """Rows by state, columns by code: next state * 4 + phrases closed."""
+
+    def __init__(self, follow: list[dict[int, int]], width: int):
+        root = follow[0]
+        again = np.array([root.get(c, 0) * 4 + (1 if c in root else 2) for c in range(width)], np.int32)
+        table = np.tile(again, (len(follow), 1))
+        for state, out in enumerate(follow):
+            for code, to in out.items():
+                table[state, code] = to * 4
+        table[0, [c for c in range(width) if c not in root]] = 1  # a phrase of its own
+        table[:, END] = 1
+        table[0, END] = 0
+        self.width, self.table = width, table.ravel()
+
+    def step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return self.table[state * self.width + codes]
+
+
+class Sparse:
+    """Rows laid over each other: a transition is where its state's base and its code add up to."""
+
+    def __init__(self, follow: list[dict[int, int]], width: int):
+        root, many = follow[0], sum(map(len, follow))
+        self.again = np.array([root.get(c, 0) * 4 + (1 if c in root else 2) for c in range(width)], np.int32)
+        self.again[END] = 1
+        self.base = np.zeros(len(follow), np.int32)
+        used = np.zeros(2 * (many + width) + width, bool)
+        free, block = 0, np.arange(512)
+        for state in sorted((s for s, out in enumerate(follow) if len(out) > 1), key=lambda s: (-len(follow[s]), s)):
+            codes, at = np.array(list(follow[state])), free
+            while True:  # first fit, many places at a time
+                while at + len(block) + width > len(used):
+                    used = np.append(used, np.zeros(len(used), bool))
+                fits = ~used[(at + block)[:, None] + codes].any(axis=1)
+                if fits.any():
+                    break
+                at += len(block)
+            if at > free + 4 * len(block):  # what lies this far back is left to single transitions
+                free = at
+            at += int(fits.argmax())
+            used[at + codes] = True
+            self.base[state] = at
+        single = [(s, *out.items()) for s, out in enumerate(follow) if len(out) == 1]
+        slots = np.flatnonzero(~used[width:])[: len(single)] + width
+        slots = np.append(slots, len(used) + np.arange(len(single) - len(slots)))
+        for (state, (code, _)), slot in zip(single, slots.tolist(), strict=True):
+            self.base[state] = slot - code
+        size = int(self.base.max(initial=0)) + width
+        self.owner, self.next = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+        for state, out in enumerate(follow):
+            for code, to in out.items():
+                self.owner[self.base[state] + code], self.next[self.base[state] + code] = state, to * 4
+
+    def step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        at = self.base[state] + codes
+        return np.where(self.owner[at] == state, self.next[at], self.again[codes] - (state == 0))
+
+
 class Parser:
     """Transition tables of all languages over one alphabet."""
 
-    def __init__(self, samples: dict[str, str], letters: int = 90):
+    def __init__(self, samples: dict[str, str], dense_bytes: int = 64 << 20):
         self.languages = sorted(samples)
-        counts = Counter(c for text in samples.values() for c in text.lower() if c.isalpha())
-        self.alphabet = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:letters]]
+        self.alphabet = sorted({c for text in samples.values() for c in text.lower() if c.isalpha()})
         self.codes = None
-        self.tables = [self._table(samples[k]) for k in self.languages]
+        width = len(self.alphabet) + 3
+        links = [self._automaton(samples[k]) for k in self.languages]
+        kind = Dense if sum(4 * width * len(f) for f in links) <= dense_bytes else Sparse
+        self.tables = [kind(f, width) for f in links]
 
     def __getstate__(self):
         return self.__dict__ | {"codes": None}  # made anew where it is used
@@ -51,7 +114,7 @@ class Parser:
     def _lookup(self) -> np.ndarray:
         if self.codes is None:
             code = {c: i + 3 for i, c in enumerate(self.alphabet)}
-            self.codes = np.zeros(0x110000, np.uint8)
+            self.codes = np.zeros(0x110000, np.int32)
             for point in range(1, 0x110000):
                 char = chr(point)
                 if char.isalpha():
@@ -68,8 +131,8 @@ class Parser:
         ends = np.flatnonzero(codes == END)
         return np.delete(codes, ends), ends - np.arange(len(ends))
 
-    def _table(self, text: str) -> np.ndarray:
-        """Rows by state, columns by code: next state * 4 + phrases closed."""
+    def _automaton(self, text: str) -> list[dict[int, int]]:
+        """Transitions of each state of a text's suffix automaton."""
         links, lengths, follow, last = [-1], [0], [{}], 0
         for code in self.encode([text])[0].tolist():
             own = len(links)
@@ -94,37 +157,24 @@ class Parser:
                         at = links[at]
                     links[to] = links[own] = copy
             last = own
-        root = follow[0]
-        width = len(self.alphabet) + 3
-        again = np.array([root.get(c, 0) * 4 + (1 if c in root else 2) for c in range(width)], np.int32)
-        table = np.tile(again, (len(links), 1))
-        for state, out in enumerate(follow):
-            for code, to in out.items():
-                table[state, code] = to * 4
-        table[0, [c for c in range(width) if c not in root]] = 1  # a phrase of its own
-        table[:, END] = 1
-        table[0, END] = 0
-        return table.ravel()
+        return follow
 
     def phrases(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Phrases of each text (rows) in each language (columns)."""
         lengths = np.diff(ends, prepend=0)
         parts = -(-lengths // SEGMENT)
         first = np.concatenate([[0], np.cumsum(parts)[:-1]])
-        grid = np.full(int(parts.sum()) * SEGMENT, END, np.uint8)
+        grid = np.full(int(parts.sum()) * SEGMENT, END, np.int32)
         at = np.arange(len(codes)) + np.repeat(first * SEGMENT - (ends - lengths), lengths)
         grid[at] = codes
-        grid = np.ascontiguousarray(grid.reshape(-1, SEGMENT).T).astype(np.int32)
+        grid = np.ascontiguousarray(grid.reshape(-1, SEGMENT).T)
         out = np.zeros((len(ends), len(self.languages)))
         owner = np.repeat(np.arange(len(ends)), parts)
-        width = len(self.alphabet) + 3
         for k, table in enumerate(self.tables):
             state = np.zeros(grid.shape[1], np.int32)
             closed = np.zeros(grid.shape[1], np.int32)
-            for step in grid:
-                state *= width
-                state += step
-                step = table[state]
+            for codes in grid:
+                step = table.step(state, codes)
                 closed += step & 3
                 state = step >> 2
             closed += state > 0
@@ -147,16 +197,21 @@ class Parser:
         return names, score, np.where(letters > 0, ordered[:, 0], 1.0)
 
 
-def fit(labelled: DataFrame, sample_docs: int = 60, sample_chars: int = 40_000, longest: int = 20_000, max_languages: int = 100) -> Parser:
+def fit(labelled: DataFrame, sample_docs: int = 60, sample_chars: int = 40_000, longest: int = 20_000, total_chars: int = 4_000_000) -> Parser:
     """Fits on rows (doc_id, text, lang); rows without text or lang are ignored."""
-    usable = labelled.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.length("text").between(1, longest))
-    names = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    ranked = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "text")
-    some = usable.where(F.col("lang").isin(names)).withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") <= sample_docs)
+    usable = labelled.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.length("text") > 0))
+    ranked = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    ids = usable.select("lang", "doc_id").distinct().withColumn("hash", F.xxhash64(F.col("doc_id").cast("string")))
+    few = ids.withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") <= sample_docs)
+    # only the texts of these are moved; equal doc_ids are told apart by the start of their texts
+    chosen = usable.join(F.broadcast(few.select(F.col("lang").alias("l"), F.col("doc_id").alias("d"), "nth")), F.col("lang").eqNullSafe(F.col("l")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    ranked = Window.partitionBy("lang").orderBy("nth", "text")
+    some = chosen.select("lang", "nth", F.substring("text", 1, longest).alias("text")).withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") <= sample_docs)
+    found = sorted(some.collect(), key=lambda r: (r["lang"], r["nth"]))
+    most = min(sample_chars, total_chars // max(1, len({r["lang"] for r in found})))
     samples: dict[str, str] = {}
-    for row in sorted(some.collect(), key=lambda r: (r["lang"], r["nth"])):
-        held = samples.get(row["lang"], "")
-        samples[row["lang"]] = (held + "\n" + row["text"])[:sample_chars]
+    for row in found:
+        samples[row["lang"]] = (samples.get(row["lang"], "") + "\n" + row["text"])[:most]
     return Parser(samples)
 
 
