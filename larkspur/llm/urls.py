@@ -6,12 +6,17 @@ and itemsets of tokens that imply a verdict with enough support and confidence
 become rules. Every other URL takes the verdict of the strongest mined rule whose
 tokens it holds, else ``default``.
 
-Mined rules are matched by inverted index: each is listed under its rarest token,
-and only the token sets that hold this token are compared with it. Each distinct
-token set is judged once; numbers in URLs are one token, so these sets are few.
+Fitting reads all tokens of all labelled URLs, and rules are of any length. Tokens
+that are too rare for any rule are left out before mining, and tokens that occur in
+exactly the same URLs (the fixed parts of a frequent URL, say) are mined as one: any of
+them stands for all, as every itemset has the same support with either. So itemsets
+are no more than what really differs.
 
-Everything runs as DataFrame operations. Fitting reads all labelled URLs, of each at
-most ``fit_tokens`` tokens; every URL is judged by all its tokens.
+Mined rules are matched by inverted index: each is listed under the tokens of its
+rarest class, and only the token sets that hold one of these are compared with it. Each
+distinct token set is judged once; numbers in URLs are one token, so these sets are few.
+
+Everything runs as DataFrame operations.
 """
 
 from __future__ import annotations
@@ -24,6 +29,8 @@ from pyspark.sql import functions as F
 
 from larkspur.shared import materialise
 
+#: Rows that one set of tokens gives in a task.
+BLOCK = 10_000
 #: Listed rules: verdict, host, path.
 LISTED = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
@@ -63,22 +70,39 @@ def tokens(host: Column, path: Column, rest: Column) -> Column:
     return F.array_sort(F.array_distinct(every))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8, largest: int = 2, fit_tokens: int = 12) -> DataFrame:
-    """Rules (tokens, verdict, held, right) from rows (url, tokens, verdict).
+def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8) -> DataFrame:
+    """Rules (tokens, classes, verdict, held, right) from rows (url, tokens, verdict).
 
-    ``held`` labelled URLs hold all the tokens, ``right`` of them have the verdict.
-    Rules of one to ``largest`` tokens need a share ``min_support`` of all and a
-    confidence of ``min_confidence``.
+    ``tokens`` are the first of each of ``classes``: a URL that holds one token of
+    each class fits the rule.
+    ``held`` labelled URLs do, ``right`` of them have the verdict. Rules need a share
+    ``min_support`` of all and a confidence of ``min_confidence``.
     """
-    items = F.concat(F.slice("tokens", 1, fit_tokens), F.array(F.concat(F.lit("="), "verdict")))
+    # what is counted by token set is summed before it is shuffled by token
+    sets = materialise(labelled.groupBy("tokens", "verdict").agg(F.count("*").alias("n")), "url-sets")
+    least = F.lit(min_support) * F.lit(sets.agg(F.sum("n")).first()[0] or 0)
+    covers = sets.groupBy("tokens").agg(F.sum("n").alias("n")).select("n", F.xxhash64("tokens").alias("a"), F.xxhash64("tokens", F.lit(1)).alias("b"), F.explode("tokens").alias("token"))
+    covers = covers.groupBy("token").agg(F.sum("n").alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"), F.count("*").alias("sets")).where(F.col("n") >= least)
+    classes = materialise(covers.groupBy("a", "b", "sets").agg(F.array_sort(F.collect_list("token")).alias("members")), "url-classes")
+    # the most that can be frequent is the mean length over the support: small enough to send along
+    named = F.broadcast(classes.select(F.col("members")[0].alias("token")))
+    items = sets.select("tokens", "verdict", "n", F.explode_outer("tokens").alias("token")).join(named.withColumn("item", F.col("token")), "token", "left")
+    items = items.groupBy("tokens", "verdict", "n").agg(F.collect_list("item").alias("items"))
+    # as many rows as there are URLs, dealt in blocks: one set may hold a third of them
+    items = items.select(F.concat("items", F.array(F.concat(F.lit("="), "verdict"))).alias("items"), "n")
+    blocks = items.select("items", "n", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {BLOCK}"))).alias("block")).repartition(F.xxhash64("items", "block"))
+    each = blocks.select("items", F.explode(F.sequence(F.lit(1), F.least(F.lit(BLOCK), F.col("n") - F.col("block") * BLOCK)))).select("items")
     growth = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence)
-    sets = growth.fit(labelled.select(items.alias("items"))).freqItemsets.select(F.array_sort("items").alias("items"), "freq")
-    sets = materialise(sets.where(F.size("items") <= largest + 1), "url-itemsets")
+    sets = materialise(growth.fit(each).freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "url-itemsets")
     outcome = F.filter("items", lambda x: x.startswith("="))
     implied = sets.where((F.size("items") > 1) & (F.size(outcome) == 1))
-    implied = implied.select(F.filter("items", lambda x: ~x.startswith("=")).alias("tokens"), F.substring(outcome[0], 2, 100).alias("verdict"), F.col("freq").alias("right"))
-    held = sets.select(F.col("items").alias("tokens"), F.col("freq").alias("held"))
-    return implied.join(held, "tokens").where(F.col("right") >= min_confidence * F.col("held"))
+    implied = implied.select(F.filter("items", lambda x: ~x.startswith("=")).alias("items"), F.substring(outcome[0], 2, 100).alias("verdict"), F.col("freq").alias("right"))
+    held = sets.select("items", F.col("freq").alias("held"))
+    rules = implied.join(held, "items").where(F.col("right") >= min_confidence * F.col("held"))
+    known = F.broadcast(classes.select(F.col("members")[0].alias("item"), "members"))
+    rules = rules.select("items", "verdict", "held", "right", F.explode("items").alias("item")).join(known, "item")
+    rules = rules.groupBy("items", "verdict", "held", "right").agg(F.array_sort(F.collect_list("members")).alias("classes"))
+    return rules.select(F.col("items").alias("tokens"), "classes", "verdict", "held", "right")
 
 
 def judge(pages: DataFrame, rules=LISTED, default: str = "allow", **mining) -> DataFrame:
@@ -86,21 +110,22 @@ def judge(pages: DataFrame, rules=LISTED, default: str = "allow", **mining) -> D
 
     Null URLs and those without ``://`` have empty host and path and no tokens, and
     get ``default``; equal rows give equal rows; an empty table gives none; ties
-    between mined rules go to more confidence, more support, then the tokens that
-    sort first; other columns are ignored.
+    between mined rules go to more confidence, more support, fewer tokens, then the
+    tokens that sort first, then ``allow``; other columns are ignored.
     """
     rows = parsed(pages.select("page_id", "url"))
     rule, verdict = listed(F.col("host"), F.col("path"), rules)
     rows = rows.select("page_id", "url", "host", "path", rule.alias("rule"), verdict.alias("listed"), tokens(F.col("host"), F.col("path"), F.col("rest")).alias("tokens"))
-    mined = mine(rows.where(F.col("listed").isNotNull()).select("url", "tokens", F.col("listed").alias("verdict")), **mining)
-    # each rule under its rarest token
-    rare = mined.where(F.size("tokens") == 1).groupBy(F.col("tokens")[0].alias("token")).agg(F.max("held").alias("often"))
-    each = mined.select("tokens", "verdict", "held", "right", F.explode("tokens").alias("token")).join(rare, "token", "left")
-    entry = each.groupBy("tokens", "verdict", "held", "right").agg(F.min_by("token", F.struct(F.coalesce("often", F.col("held")), "token")).alias("token"))
+    mined = materialise(mine(rows.where(F.col("listed").isNotNull()).select("url", "tokens", F.col("listed").alias("verdict")), **mining), "url-rules")
+    # each rule under its rarest class, of which every token leads to it
+    rare = mined.where(F.size("classes") == 1).groupBy(F.col("classes")[0].alias("class")).agg(F.max("held").alias("often"))
+    each = mined.select("classes", "verdict", "held", "right", F.explode("classes").alias("class")).join(rare, "class", "left")
+    entry = each.groupBy("classes", "verdict", "held", "right").agg(F.min_by("class", F.struct(F.coalesce("often", F.col("held")), "class")).alias("class"))
+    entry = entry.select(F.col("classes").alias("wanted"), "verdict", "held", "right", F.explode("class").alias("token"))
     open_ = rows.where(F.col("listed").isNull()).select("tokens").distinct()
-    met = open_.select("tokens", F.explode("tokens").alias("token")).join(entry.withColumnRenamed("tokens", "wanted"), "token")
-    met = met.where(F.size(F.array_except("wanted", "tokens")) == 0)
-    strength = F.struct((-F.col("right") / F.col("held")).alias("c"), (-F.col("right")).alias("s"), F.concat_ws(" ", "wanted").alias("w"), "verdict")
+    met = open_.select("tokens", F.explode("tokens").alias("token")).join(entry, "token")
+    met = met.withColumn("parts", F.transform("wanted", lambda own: F.array_min(F.array_intersect(own, "tokens")))).where(F.forall("parts", lambda x: x.isNotNull()))
+    strength = F.struct((-F.col("right") / F.col("held")).alias("c"), (-F.col("right")).alias("s"), F.size("parts").alias("l"), F.array_sort("parts").alias("w"), "verdict")
     judged = met.groupBy("tokens").agg(F.min(strength)["verdict"].alias("mined"))
     out = rows.join(judged, "tokens", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("listed", "mined", F.lit(default)).alias("verdict"))
@@ -125,10 +150,9 @@ WITH a AS (
 ), d AS (
   SELECT *, CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow' END AS listed FROM c
 ), t AS (
-  SELECT r, listed, unnest(tokens[1:12]) AS token FROM d WHERE listed IS NOT NULL
+  SELECT r, listed, tokens, unnest(range(1, 1::BIGINT << len(tokens))) AS mask FROM d WHERE listed IS NOT NULL
 ), sets AS (
-  SELECT [token] AS wanted, r, listed FROM t
-  UNION ALL SELECT [x.token, y.token], x.r, x.listed FROM t x JOIN t y ON x.r = y.r AND x.token < y.token
+  SELECT list_filter(tokens, lambda x, i: (mask >> (i - 1)::INTEGER) & 1 = 1) AS wanted, r, listed FROM t
 ), counted AS (
   SELECT wanted, count(*) AS held, count(*) FILTER (listed = 'block') AS b, count(*) FILTER (listed = 'allow') AS a FROM sets GROUP BY wanted
 ), mined AS (
@@ -136,7 +160,7 @@ WITH a AS (
     SELECT wanted, 'block' AS verdict, held, b AS rights FROM counted UNION ALL SELECT wanted, 'allow', held, a FROM counted)
   WHERE rights >= ceil(0.01 * (SELECT count(*) FROM d WHERE listed IS NOT NULL)) AND rights > 0 AND rights >= 0.8 * held
 ), best AS (
-  SELECT r, verdict, row_number() OVER (PARTITION BY r ORDER BY -rights / held, -rights, array_to_string(wanted, ' '), verdict) AS n
+  SELECT r, verdict, row_number() OVER (PARTITION BY r ORDER BY -rights / held, -rights, len(wanted), wanted, verdict) AS n
   FROM d JOIN mined ON list_has_all(tokens, wanted) WHERE listed IS NULL
 )
 SELECT page_id, host, path, rule, coalesce(listed, verdict, 'allow') AS verdict
