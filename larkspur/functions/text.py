@@ -15,6 +15,13 @@ FOOTER = r"(?s)사원번호\s*:\s*\d+.*?이 문서는 SK케미칼 보안문서
 APPENDIX_KINDS = ("별지", "별표", "장부")
 SOURCE_MARK, OMITTED_MARK, SUMMARY_MARK = "출처", "(생략)", "문서 요약"
 TRILLION, HUNDRED_MILLION = "조", "억"
+#: Entity names in a prompt: after a field name, and in quotes.
+NAMED_ENTITY = r'(?i)entity[_\s]*name["\s:]*([^"\n,]+)'
+QUOTED_ENTITY = r'"([A-Z][A-Za-z0-9\s\-]{2,30})"'
+#: An appendix's kind and number.
+APPENDIX = r"(별지|별표|장부)(?:제)?([^<>()\[\]]+?)(?=(?:호|서식)|[<>)\]]|$)"
+#: Spellings of a reference: between kind and number, and after the number.
+APPENDIX_SPELLINGS = ((" ", ""), (" 제", "호"), ("", ""), ("제", "호"))
 
 
 def tokens(text: Column) -> Column:
@@ -120,8 +127,8 @@ def with_headers(headers: Column, text: Column) -> Column:
     return F.when(F.size(headers) > 0, F.concat(F.lit("HEADER: "), F.array_join(headers, ", "), F.lit("\n"), text)).otherwise(text)
 
 
-def context_path(hierarchy: Column) -> Column:
-    return F.array_join(hierarchy, " > ")
+def context_path(hierarchy: Column, between: str = " > ") -> Column:
+    return F.array_join(hierarchy, between)
 
 
 def without_fence(raw: Column) -> Column:
@@ -148,8 +155,8 @@ def fenced(raw: Column) -> Column:
 
 def source_names(prompt: Column, most: int = 15) -> Column:
     """Entity names in a prompt, in order of first sight."""
-    named = F.regexp_extract_all(prompt, F.lit(r'(?i)entity[_\s]*name["\s:]*([^"\n,]+)'), F.lit(1))
-    quoted = F.regexp_extract_all(prompt, F.lit(r'"([A-Z][A-Za-z0-9\s\-]{2,30})"'), F.lit(1))
+    named = F.regexp_extract_all(prompt, F.lit(NAMED_ENTITY), F.lit(1))
+    quoted = F.regexp_extract_all(prompt, F.lit(QUOTED_ENTITY), F.lit(1))
     every = F.transform(F.concat(named, quoted), lambda x: F.trim(x))
     return F.slice(F.array_distinct(F.filter(every, lambda x: F.length(x) > 1)), 1, most)
 
@@ -157,10 +164,9 @@ def source_names(prompt: Column, most: int = 15) -> Column:
 def appendix_patterns(content: Column) -> Column:
     """Spellings under which a text may refer to its appendices."""
     flat, kinds = F.regexp_replace(content, r"\s+", ""), "|".join(APPENDIX_KINDS)
-    pattern = rf"({kinds})(?:제)?([^<>()\[\]]+?)(?=(?:호|서식)|[<>)\]]|$)"
-    kind, number = (F.regexp_extract_all(flat, F.lit(pattern), F.lit(g)) for g in (1, 2))
+    kind, number = (F.regexp_extract_all(flat, F.lit(APPENDIX), F.lit(g)) for g in (1, 2))
     pairs = F.arrays_zip(kind.alias("kind"), number.alias("number"))
-    spelled = F.flatten(F.transform(pairs, lambda p: F.array(*[F.concat(p["kind"], F.lit(a), p["number"], F.lit(b)) for a, b in ((" ", ""), (" 제", "호"), ("", ""), ("제", "호"))])))
+    spelled = F.flatten(F.transform(pairs, lambda p: F.array(*[F.concat(p["kind"], F.lit(a), p["number"], F.lit(b)) for a, b in APPENDIX_SPELLINGS])))
     alone = F.regexp_extract_all(flat, F.lit(rf"[(\[]+({kinds})[)\]]+"), F.lit(1))
     return F.transform(F.concat(spelled, alone), lambda p: F.lower(F.trim(p)))
 
@@ -206,3 +212,67 @@ def wiki_links(text: Column) -> Column:
 def normalised_bbox(box: Column, width: Column, height: Column) -> Column:
     """A box in shares of its page."""
     return F.struct(*[(box[k] / (width if k in ("l", "r") else height)).alias(k) for k in ("l", "t", "r", "b")])
+
+
+def packed_lines(text: Column, most: int = 300) -> Column:
+    """Lines joined into pieces of up to ``most`` characters; a longer line is a piece of its own."""
+    def add(held: Column, line: Column) -> Column:
+        last = F.get(held, F.size(held) - 1)
+        fits = (F.size(held) > 0) & (F.length(last) + F.length(line) + 1 <= most)
+        return F.when(fits, F.concat(F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0))), F.array(F.concat(last, F.lit("\n"), line)))).otherwise(F.concat(held, F.array(line)))
+
+    return F.aggregate(F.split(F.coalesce(text, F.lit("")), "\n"), F.array().cast("array<string>"), add)
+
+
+def piecewise_tokens(text: Column, most: int = 300, count=None) -> Column:
+    """Tokens of a text counted piece by piece (see packed_lines); ``count`` is a tokenizer's, by default the estimate by words."""
+    return F.aggregate(packed_lines(text, most), F.lit(0).cast("long"), lambda n, piece: n + (count or word_estimate)(piece))
+
+
+def table_text(markup: Column) -> Column:
+    """Cells of an HTML or Markdown table, row by row, one space between."""
+    html_cells = F.transform(F.regexp_extract_all(markup, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", " "), r"\s+", " ")))
+    rows = F.filter(F.split(markup, "\n"), lambda r: r.contains("|") & ~r.rlike(r"^[\s|:-]+$"))
+    cells = F.transform(F.flatten(F.transform(rows, lambda r: F.split(r, r"\|"))), lambda c: F.trim(c))
+    return F.array_join(F.filter(F.when(markup.rlike(r"(?i)<t[dh]\b"), html_cells).otherwise(cells), lambda c: c != ""), " ")
+
+
+def split_pieces(text: Column, most: int) -> Column:
+    """A text of more than ``most`` words as pieces: sentences and lines, as many as fit, in order; a longer one by its words."""
+    def size(x: Column) -> Column:
+        return F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
+
+    parts = F.filter(F.split(F.trim(text), r"(?<=[.!?。])\s+|\n+"), lambda x: F.trim(x) != "")
+    small = F.flatten(F.transform(parts, lambda x: F.when(size(x) <= most, F.array(F.trim(x))).otherwise(F.transform(windows(F.filter(F.split(x, r"\s+"), lambda w: w != ""), most, 0), lambda ws: F.array_join(ws, " ")))))
+
+    def add(held: Column, x: Column) -> Column:
+        last = F.get(held, F.size(held) - 1)
+        fits = (F.size(held) > 0) & (size(last) + size(x) <= most)
+        return F.when(fits, F.concat(F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0))), F.array(F.concat(last, F.lit(" "), x)))).otherwise(F.concat(held, F.array(x)))
+
+    return F.aggregate(small, F.array().cast("array<string>"), add)
+
+
+def media_list(pictures: Column) -> Column:
+    """JSON of the pictures (ref, image) that have an image: reference and the last part of its path."""
+    kept = F.filter(pictures, lambda p: F.coalesce(p["image"], F.lit("")) != "")
+    return F.to_json(F.transform(kept, lambda p: F.struct(p["ref"].alias("ref"), F.substring_index(p["image"], "/", -1).alias("name"))))
+
+
+def bbox_json(boxes: Column, width: Column, height: Column) -> Column:
+    """JSON of boxes (label, ref, l, t, r, b) in shares of their page."""
+    def share(x: Column, by: Column) -> Column:
+        return F.round(x / by, 6)
+
+    return F.to_json(F.transform(boxes, lambda x: F.struct(x["label"].alias("label"), x["ref"].alias("ref"), *[share(x[k], width if k in ("l", "r") else height).alias(k) for k in ("l", "t", "r", "b")])))
+
+
+def rounded(n: Column, places: int = 2) -> Column:
+    """A number as text; N/A if there is none."""
+    n = n.try_cast("double")
+    return F.when(n.isNull() | F.isnan(n), "N/A").otherwise(F.format_string(f"%.{places}f", n))
+
+
+def percent(share: Column, places: int = 2) -> Column:
+    """A share as percent; a dash if there is none."""
+    return F.when(F.coalesce(share, F.lit(0.0)) == 0, "-").otherwise(F.concat(F.format_string(f"%.{places}f", share * 100), F.lit("%")))

@@ -7,9 +7,7 @@ documents of a partition; documents are independent of each other.
 
 from __future__ import annotations
 
-import bisect
-import math
-
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,28 +72,21 @@ def captions(items: DataFrame, texts: DataFrame) -> DataFrame:
 def even_cuts(counts: list[int], most: int) -> list[tuple[int, int]]:
     """Ranges of items of about equal tokens, as few as ``most`` tokens a range suggest.
 
-    Each cut is the unused prefix sum nearest to its share of the total; without one,
-    the next item.
+    With k ranges the t-th cut wants the prefix sum nearest to t/k of the total (the
+    larger of two as near). Cuts rise, so each is at least one after the one before:
+    cut[t] - t is the running maximum of wanted[t] - t. Cuts past the last item fall away.
     """
-    if not counts:
-        return []
-    total = sum(counts)
+    sums = np.cumsum([0, *counts])
+    n, total = len(counts), int(sums[-1])
     if total <= most:
-        return [(0, len(counts))]
-    sums = [0]
-    for c in counts:
-        sums.append(sums[-1] + c)
-    parts = math.ceil(total / most)
-    cuts = [0]
-    for nth in range(1, parts):
-        goal = nth * total / parts
-        at = bisect.bisect_left(sums, goal)
-        free = [x for x in (at, at - 1) if cuts[-1] < x < len(counts)]
-        if free:
-            cuts.append(min(free, key=lambda x: abs(sums[x] - goal)))
-        elif cuts[-1] + 1 < len(counts):
-            cuts.append(cuts[-1] + 1)
-    return list(zip(cuts, [*cuts[1:], len(counts)], strict=True))
+        return [(0, n)] if n else []
+    t = np.arange(1, -(-total // most))
+    goals = t * total / (len(t) + 1)
+    above = np.searchsorted(sums, goals)
+    wanted = np.minimum(np.where(goals - sums[above - 1] < sums[above] - goals, above - 1, above), n - 1)
+    cuts = t + np.maximum.accumulate(np.maximum(wanted - t, 0))
+    edges = [0, *cuts[cuts < n].tolist(), n]
+    return list(zip(edges, edges[1:], strict=False))
 
 
 def even_split(items: DataFrame, most: int) -> DataFrame:
@@ -151,3 +142,57 @@ def packed(sections: DataFrame, most: int = 1024, short: int = 30) -> DataFrame:
 
     columns = sections.select("doc_id", "pos", "level", "last_level", "text", "n_tokens", "n_items", "is_header")
     return folded(columns, "doc_id", ["pos"], fold, "doc_id long, chunk_no long, n_tokens long, first_pos long, n_sections long, text string")
+
+
+def context_lines(items: DataFrame) -> DataFrame:
+    """Items (doc_id, pos, headings, text) with ``context``: the headings that come before the text, null if none do.
+
+    ``headings`` are those above and at an item, from the highest. Where they differ
+    from those of the item before, what stands above the first that differs is put
+    before the text, with an empty last part for that one, unless the document has had
+    the same line before. The first item starts from no headings.
+    """
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    before = F.coalesce(F.lag("headings").over(order), F.array().cast("array<string>"))
+    own = F.col("headings")
+    # the first place at which the headings differ
+    places = F.sequence(F.lit(0), F.greatest(F.size(own) - 1, F.lit(0)))
+    at = F.array_min(F.filter(places, lambda i: (i < F.size(own)) & ~F.coalesce(F.get(before, i).eqNullSafe(F.get(own, i)), F.lit(False))))
+    line = F.array_join(F.concat(F.slice(own, F.lit(1), at), F.array(F.lit(""))), ", ")
+    rows = items.withColumn("line", F.when(at.isNotNull(), line))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "line").orderBy("pos"))
+    return rows.withColumn("context", F.when(F.col("line").isNotNull() & (nth == 1), F.col("line"))).drop("line")
+
+
+def used_headers(items: DataFrame) -> DataFrame:
+    """(doc_id, chunk_no, headers) of items (doc_id, chunk_no, pos, headings): each heading once, in order of first sight."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "headings"))), lambda x: x["headings"])
+    return items.groupBy("doc_id", "chunk_no").agg(F.array_distinct(F.flatten(listed)).alias("headers"))
+
+
+def kept_together(items: DataFrame, parents: DataFrame) -> DataFrame:
+    """Items (doc_id, pos, id) with ``group_pos``: where the outermost of their parents (id, parent_id) stands, or they themselves.
+
+    Parents are followed two steps: a caption of a picture in a table goes with the table.
+    """
+    up = parents.groupBy("id").agg(F.min("parent_id").alias("parent_id"))
+    twice = up.alias("a").join(up.alias("b"), F.col("a.parent_id") == F.col("b.id"), "left").select(F.col("a.id").alias("id"), F.coalesce("b.parent_id", "a.parent_id").alias("top"))
+    at = items.select("doc_id", F.col("id").alias("top"), F.col("pos").alias("top_pos"))
+    rows = items.join(twice, "id", "left").join(at, ["doc_id", "top"], "left")
+    return rows.select("doc_id", "pos", "id", F.coalesce("top_pos", "pos").alias("group_pos"))
+
+
+def chunked(documents: DataFrame, items: DataFrame, chunker, schema: str) -> DataFrame:
+    """Chunks of each document's guarded items by a plug-in: ordered rows of one document in, rows out.
+
+    A document of which the chunker makes nothing ends the job, naming the document.
+    """
+
+    def fold(rows: list[tuple]) -> list[tuple]:
+        out = chunker(rows)
+        if not out:
+            raise ValueError(f"no chunk was made of document {rows[0][0]}")
+        return out
+
+    rows = guarded(documents, items)
+    return folded(rows.select("doc_id", *[c for c in rows.columns if c != "doc_id"]), "doc_id", ["page", "text"], fold, schema)

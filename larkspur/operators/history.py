@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions import models
 from larkspur.functions.text import token_estimate
 from larkspur.shared import spread
 
@@ -79,20 +80,38 @@ def compacted(messages: DataFrame, summaries: DataFrame) -> DataFrame:
     return heads.unionByName(kept)
 
 
-def detected(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(id, kind, names): dictionary names (kind, name) in texts (id, text), whatever their case.
+def detected(texts: DataFrame, dictionary: DataFrame, only: DataFrame | None = None, gram: int = 3) -> DataFrame:
+    """(id, kind, names): dictionary names (kind, name) that texts (id, text) contain, whatever their case.
 
-    A name is looked up under its first word among the distinct words of each text,
-    so no text is compared with every name and no text is copied per word. Only
-    names of several words are then looked for in the text itself.
+    ``only`` takes the dictionary's place for this call. Names may stand within words
+    (before a particle, say), so the first word of each name is looked for in the
+    distinct words of all texts, by the ``gram`` characters that it begins with; the
+    words that hold one lead from texts to candidates, and names of more than that word
+    are then looked for in the text itself. No text is compared with every name and no
+    text is copied per word. Names without a letter or digit are tried on every text.
     """
     word = r"[^\p{L}\p{N}]+"
-    names = dictionary.where("name <> ''").select("kind", "name", F.lower("name").alias("low")).distinct().withColumn("first", F.get(F.filter(F.split("low", word), lambda x: x != ""), 0))
+    names = (dictionary if only is None else only).where("name <> ''").select("kind", "name", F.lower("name").alias("low")).distinct()
+    names = names.withColumn("first", F.get(F.filter(F.split("low", word), lambda x: x != ""), 0))
     rows = spread(texts.select("id", "text")).select("id", F.lower(F.coalesce("text", F.lit(""))).alias("low_text"))
-    held = rows.select("id", F.explode(F.array_distinct(F.split("low_text", word))).alias("first")).where("first <> ''")
-    met = held.join(names, "first")
+    held = rows.select("id", F.explode(F.array_distinct(F.split("low_text", word))).alias("word")).where("word <> ''")
+    # words of the texts that hold the first word of a name
+    firsts = names.where("first is not null").select("first", F.left("first", F.lit(gram)).alias("gram")).distinct()
+    # in pieces, so that a very long word costs no more than its length times its pieces
+    starts = F.sequence(F.lit(1), F.length("word"), F.lit(256))
+    pieces = held.select("word").distinct().select("word", F.explode(F.transform(starts, lambda i: F.substring("word", i, F.lit(255 + gram)))).alias("piece"))
+    places, sizes = F.sequence(F.lit(1), F.length("piece")), F.sequence(F.lit(1), F.lit(gram))
+    grams = F.array_distinct(F.flatten(F.transform(places, lambda i: F.transform(sizes, lambda n: F.substring("piece", i, n)))))
+    hold = pieces.select("word", F.explode(grams).alias("gram")).join(firsts.hint("shuffle_hash"), "gram").where(F.contains("word", F.col("first"))).select("word", "first").distinct()
+    # hints: what is exploded is larger than the planner takes it for, and must not be broadcast
+    met = held.join(hold.hint("shuffle_hash"), "word").select("id", "first").distinct().join(names, "first").select("id", "kind", "name", "low", "first")
     several = met.where("low <> first").join(rows, "id").where(F.contains("low_text", F.col("low")))
     hits = met.where("low = first").select("id", "kind", "name").unionByName(several.select("id", "kind", "name"))
+    odd = [(r["kind"], r["name"], r["low"]) for r in names.where("first is null").collect()]  # marks alone: a few
+    if odd:
+        listed = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name"), F.lit(x).alias("low")) for k, n, x in odd])
+        marks = rows.select("id", F.explode(F.filter(listed, lambda x: F.contains("low_text", x["low"]))).alias("x"))
+        hits = hits.unionByName(marks.select("id", "x.kind", "x.name"))
     return hits.groupBy("id", "kind").agg(F.array_sort(F.collect_set("name")).alias("names"))
 
 
@@ -104,3 +123,53 @@ def last_by_role(messages: DataFrame) -> DataFrame:
 def rewritten(question, answer):
     """A rewritten question, or the question itself if the model gave nothing."""
     return F.coalesce(F.nullif(F.trim(answer), F.lit("")), question)
+
+
+def rewritten_questions(questions: DataFrame, dialogue: DataFrame, generator: models.Generator | None = None) -> DataFrame:
+    """(conv_id, question, rewritten) of questions by a model that sees the dialogue (conv_id, text).
+
+    Without a model, without a dialogue, or if the call fails or gives nothing, the
+    question stays as it is.
+    """
+    rows = questions.select("conv_id", "question").join(dialogue.select("conv_id", F.col("text").alias("dialogue")), "conv_id", "left")
+    if generator is None:
+        return rows.select("conv_id", "question", F.col("question").alias("rewritten"))
+    prompt = F.concat("dialogue", F.lit("\n\n"), "question")
+    asked = rows.withColumn("answer", models.generated(F.coalesce(prompt, F.lit("")), generator))
+    answer = F.when(F.coalesce("dialogue", F.lit("")) != "", F.col("answer"))
+    return asked.select("conv_id", "question", rewritten(F.col("question"), answer).alias("rewritten"))
+
+
+# What a request context holds.
+CONTEXT = ("all_messages", "known_products", "known_hospitals", "original_input", "analyzed_question", "detected_company_products", "detected_competitive_products", "detected_hospitals")
+
+
+def request_context(messages: DataFrame, questions: DataFrame, known: dict[str, DataFrame], generator: models.Generator | None = None) -> DataFrame:
+    """(conv_id, context): one struct of the parts named in CONTEXT for each of ``questions`` (conv_id, question).
+
+    ``known`` has the names (name) of company_products, competitive_products and
+    hospitals. All parts are branches of one plan, so they run side by side.
+    """
+    dictionary = None
+    for kind, names in known.items():
+        part = names.select(F.lit(kind).alias("kind"), "name")
+        dictionary = part if dictionary is None else dictionary.unionByName(part)
+    talk = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    said = messages.groupBy("conv_id").agg(talk.alias("all_messages"))
+    dialogue = said.select("conv_id", F.array_join(F.transform("all_messages", lambda m: m["text"]), "\n").alias("text"))
+    asked = rewritten_questions(questions, dialogue, generator)
+    found = detected(asked.select(F.col("conv_id").alias("id"), F.col("rewritten").alias("text")), dictionary)
+    found = found.groupBy(F.col("id").alias("conv_id")).agg(F.map_from_entries(F.collect_list(F.struct("kind", "names"))).alias("found"))
+
+    def listed(kinds: tuple[str, ...]):  # one row: a text, however many names there are
+        return dictionary.where(F.col("kind").isin(*kinds)).agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"))
+
+    products, hospitals = listed(("company_products", "competitive_products")), listed(("hospitals",))
+    rows = asked.join(said, "conv_id", "left").join(found, "conv_id", "left")
+    rows = rows.crossJoin(F.broadcast(products.withColumnRenamed("names", "known_products"))).crossJoin(F.broadcast(hospitals.withColumnRenamed("names", "known_hospitals")))
+    empty = F.array().cast("array<string>")
+    parts = {
+        "all_messages": F.col("all_messages"), "known_products": F.col("known_products"), "known_hospitals": F.col("known_hospitals"),
+        "original_input": F.col("question"), "analyzed_question": F.col("rewritten"),
+    } | {f"detected_{k}": F.coalesce(F.try_element_at("found", F.lit(k)), empty) for k in ("company_products", "competitive_products", "hospitals")}
+    return rows.select("conv_id", F.struct(*[parts[k].alias(k) for k in CONTEXT]).alias("context"))

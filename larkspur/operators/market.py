@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PERIODS = ("5d", "1mo", "3mo", "6mo", "1y", "2y", "5y")
+# The periods that can be asked for.
+PERIODS = ("1d", "5d", "1mo", "3mo", "6mo", "1y", "2y", "5y")
 
 
 def checked(tickers: list[str], period: str) -> str | None:
@@ -31,3 +32,20 @@ def changes(prices: DataFrame) -> DataFrame:
     before = F.lag("close").over(Window.partitionBy("ticker").orderBy("ts"))
     rows = prices.withColumn("previous", before)
     return rows.select("ticker", "ts", "close", F.round(F.col("close") - F.col("previous"), 4).alias("change"), F.round(100 * (F.col("close") - F.col("previous")) / F.col("previous"), 4).alias("change_pct"))
+
+
+def history(prices: DataFrame, period: str) -> DataFrame:
+    """Rows of each ticker within a period before its last one."""
+    if period not in PERIODS:
+        raise ValueError(checked(["a", "b"], period))
+    n, unit = int("".join(c for c in period if c.isdigit())), period.lstrip("0123456789")
+    span = F.expr(f"interval {n} {({'d': 'days', 'mo': 'months', 'y': 'years'})[unit]}")
+    last = F.max("ts").over(Window.partitionBy("ticker"))
+    return prices.withColumn("last", last).where(F.col("ts") > F.col("last") - span).drop("last")
+
+
+def described(prices: DataFrame) -> DataFrame:
+    """(ticker, line): last close, its change and the return of a ticker, as an agent says them."""
+    latest = changes(prices).groupBy("ticker").agg(F.max_by("change_pct", "ts").alias("change_pct"))
+    rows = summary(prices).join(latest, "ticker", "left")
+    return rows.select("ticker", F.concat("ticker", F.lit(": "), F.format_string("%.2f", "last_close"), F.lit(" ("), F.coalesce(F.format_string("%+.2f%%", "change_pct"), F.lit("N/A")), F.lit("), return "), F.format_string("%.2f%%", "return_pct")).alias("line"))

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import text
-from larkspur.operators import chunking, history, market, usage
+from larkspur.operators import batches, chunking, history, market, usage
 from larkspur.plans import shapes as x
 from larkspur.plans.shapes import CALLS, PRICES
+from larkspur.shared import shared_path
 from larkspur.sources import sinks
 
 QUERIES: dict = {}
@@ -133,12 +134,10 @@ def node_texts(spark, sf):
     return x.vertices(spark, sf).select("id", text.node_text(F.col("name"), F.col("description")).alias("node_text"))
 
 
-@query("wiki_links", r"SELECT doc_id, count(*) AS n_links, min(l) AS first_link FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(replace(replace(text, ' th', ' [[th'), ',', ']],'), '\[\[([^\]|]+)', 1))) AS l FROM documents) GROUP BY doc_id")
+@query("wiki_links", r"SELECT doc_id, count(*) AS n_links, min(l) AS first_link FROM (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(replace(replace(text, ' th', ' [[th'), ',', ']],'), '\[\[([^\]|]+)', 1), lambda l: trim(l, ' ')))) AS l FROM documents) GROUP BY doc_id")
 def wiki_links(spark, sf):
     marked = F.replace(F.replace("text", F.lit(" th"), F.lit(" [[th")), F.lit(","), F.lit("]],"))
-    # links are compared untrimmed, as both engines split them
-    links = F.array_distinct(F.regexp_extract_all(marked, F.lit(r"\[\[([^\]|]+)"), F.lit(1)))
-    return docs(spark, sf).select("doc_id", F.explode(links).alias("l")).groupBy("doc_id").agg(F.count("*").alias("n_links"), F.min("l").alias("first_link"))
+    return docs(spark, sf).select("doc_id", F.explode(text.wiki_links(marked)).alias("l")).groupBy("doc_id").agg(F.count("*").alias("n_links"), F.min("l").alias("first_link"))
 
 
 # ---- chunks and metadata
@@ -196,6 +195,102 @@ def greedy_pack(spark, sf):
     return chunking.packed(rows, 60).drop("text")
 
 
+HEADED = """H AS (SELECT doc_id, pos, CASE level WHEN 0 THEN ['top', header] ELSE ['top', header, content] END AS headings FROM A)"""
+
+
+def headed(spark, sf):
+    """Lines of orders under two or three headings."""
+    own = F.when(F.col("level") == 0, F.array(F.lit("top"), "header")).otherwise(F.array(F.lit("top"), "header", "content"))
+    return sections(spark, sf).select("doc_id", "pos", own.alias("headings"), F.col("content").alias("text"))
+
+
+@query("context_lines", x.given(SECTIONED, HEADED) + """, B AS (SELECT *, coalesce(lag(headings) OVER (PARTITION BY doc_id ORDER BY pos), []) AS before FROM H),
+    C AS (SELECT *, CASE WHEN before[1] IS DISTINCT FROM headings[1] THEN 1 WHEN before[2] IS DISTINCT FROM headings[2] THEN 2 WHEN len(headings) > 2 AND before[3] IS DISTINCT FROM headings[3] THEN 3 END AS lvl FROM B),
+    L AS (SELECT *, CASE lvl WHEN 1 THEN '' WHEN 2 THEN headings[1] || ', ' WHEN 3 THEN headings[1] || ', ' || headings[2] || ', ' END AS line FROM C)
+    SELECT doc_id, pos, CASE WHEN row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) = 1 THEN line END AS context FROM L""")
+def context_lines(spark, sf):
+    return chunking.context_lines(headed(spark, sf)).select("doc_id", "pos", "context")
+
+
+@query("used_headers", x.given(SECTIONED, HEADED) + """, U AS (SELECT doc_id, pos // 3 AS chunk_no, pos, unnest(headings) AS header, unnest(range(len(headings))) AS place FROM H),
+    F AS (SELECT doc_id, chunk_no, header, min((pos, place)) AS first FROM U GROUP BY ALL)
+    SELECT doc_id, chunk_no::BIGINT AS chunk_no, string_agg(header, '|' ORDER BY first) AS headers FROM F GROUP BY doc_id, chunk_no""")
+def used_headers(spark, sf):
+    rows = headed(spark, sf).withColumn("chunk_no", F.floor(F.col("pos") / 3))
+    return chunking.used_headers(rows).select("doc_id", "chunk_no", F.array_join("headers", "|").alias("headers"))
+
+
+@query("kept_together", x.given(SECTIONED) + """, P AS (SELECT a.doc_id, a.pos, max(b.pos) AS up FROM A a JOIN A b ON a.doc_id = b.doc_id AND b.pos < a.pos AND b.header = 'R' WHERE a.header = 'N' GROUP BY ALL)
+    SELECT A.doc_id, A.pos, coalesce(P.up, A.pos)::INTEGER AS group_pos FROM A LEFT JOIN P ON A.doc_id = P.doc_id AND A.pos = P.pos""")
+def kept_together(spark, sf):
+    rows = sections(spark, sf)
+    last = F.last(F.when(F.col("header") == "R", F.col("pos")), True).over(Window.partitionBy("doc_id").orderBy("pos"))
+
+    def name(pos):
+        return F.concat_ws("/", F.col("doc_id").cast("string"), pos.cast("string"))
+
+    items = rows.select("doc_id", "pos", name(F.col("pos")).alias("id"))
+    up = rows.withColumn("up", last).where("header = 'N' and up is not null").select(name(F.col("pos")).alias("id"), name(F.col("up")).alias("parent_id"))
+    return chunking.kept_together(items, up).select("doc_id", "pos", F.col("group_pos").cast("int").alias("group_pos"))
+
+
+@query("table_text", """SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(replace(l, '|', ' '), ' ')), lambda l: l <> ''), ' ')) AS digest FROM documents WHERE NOT regexp_matches(text, '(?i)<t[dh]\\b|[\\t\\r]')""")
+def table_text(spark, sf):
+    # each line a row of one cell
+    lines = F.array_join(F.transform(F.split("text", "\n"), lambda l: F.concat(F.lit("| "), F.replace(l, F.lit("|"), F.lit(" ")), F.lit(" |"))), "\n")
+    rows = docs(spark, sf).where(~F.col("text").rlike(r"(?i)<t[dh]\b|[\t\r]"))
+    return rows.select("doc_id", F.md5(text.table_text(lines)).alias("digest"))
+
+
+@query("piecewise_tokens")
+def piecewise_tokens(spark, sf):
+    return docs(spark, sf).select("doc_id", text.piecewise_tokens(F.col("text")).alias("n_tokens"))
+
+
+@query("split_pieces")
+def split_pieces(spark, sf):
+    return docs(spark, sf).select("doc_id", F.posexplode(text.split_pieces(F.col("text"), 120)).alias("piece_no", "piece")).select("doc_id", "piece_no", F.md5("piece").alias("digest"))
+
+
+@query("media_list", x.given(SECTIONED) + """, M AS (SELECT doc_id, string_agg('{"ref":"' || pos || '","name":"' || header || pos || '.png"}', ',' ORDER BY pos) AS j FROM A WHERE header <> 'N' GROUP BY doc_id)
+    SELECT DISTINCT A.doc_id, '[' || coalesce(j, '') || ']' AS media FROM A LEFT JOIN M ON M.doc_id = A.doc_id""")
+def media_list(spark, sf):
+    image = F.when(F.col("header") != "N", F.concat(F.lit("img/"), "header", F.col("pos").cast("string"), F.lit(".png")))
+    rows = sections(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("pos").cast("string").alias("ref"), image.alias("image")))).alias("pictures"))
+    return rows.select("doc_id", text.media_list(F.col("pictures")).alias("media"))
+
+
+@query("last_page", x.given(SECTIONED) + "SELECT doc_id, max(CASE WHEN header <> 'N' THEN pos ELSE 0 END)::INTEGER AS e_page FROM A GROUP BY doc_id")
+def last_page(spark, sf):
+    rows = sections(spark, sf).groupBy("doc_id").agg(F.collect_list(F.when(F.col("header") != "N", F.col("pos"))).alias("pages"))
+    return rows.select("doc_id", chunking.last_page(F.col("pages")).cast("int").alias("e_page"))
+
+
+@query("batch_resume", "SELECT md5(c_name) AS hash, 'done ' || c_custkey AS response FROM customer WHERE c_acctbal > 0")
+def batch_resume(spark, sf):
+    c = x.t(spark, sf, "customer").select(F.col("c_custkey").alias("i"), F.col("c_name").alias("prompt"), "c_acctbal")
+    path = shared_path(spark, "batch")
+    batches.submitted(c, path, "offline")
+    choice = F.array(F.struct(F.struct(F.concat(F.lit("done "), F.col("i").cast("string")).alias("content")).alias("message")))
+    line = F.to_json(F.struct(F.concat(F.lit("chunk-"), F.col("i").cast("string")).alias("custom_id"), F.struct(F.struct(choice.alias("choices")).alias("body")).alias("response")))
+    return batches.resumed(path, c.where("c_acctbal > 0").select(line.alias("value")))
+
+
+@query("tool_fanout", x.given(PRICES) + """, A AS (SELECT ticker, count(*) AS n FROM P GROUP BY ticker), B AS (SELECT ticker, max_by(close, ts) AS v FROM P GROUP BY ticker)
+    SELECT 'rows' AS tool, ticker, n::DOUBLE AS value FROM A UNION ALL SELECT 'close', ticker, v FROM B""")
+def tool_fanout(spark, sf):
+    tools = {
+        "rows": lambda p: p.groupBy("ticker").agg(F.count("*").cast("double").alias("value")),
+        "close": lambda p: market.summary(p).select("ticker", F.col("last_close").cast("double").alias("value")),
+    }
+    return batches.fanned_out(x.prices(spark, sf), tools)
+
+
+@query("price_period", x.given(PRICES) + "SELECT ticker, count(*) AS n, min(close) AS low FROM (SELECT *, max(ts) OVER (PARTITION BY ticker) AS last FROM P) WHERE ts > last - INTERVAL 1 MONTH GROUP BY ticker")
+def price_period(spark, sf):
+    return market.history(x.prices(spark, sf), "1mo").groupBy("ticker").agg(F.count("*").alias("n"), F.min("close").alias("low"))
+
+
 @query("summary_inject", "SELECT o_orderkey, CASE WHEN c_acctbal > 0 THEN '[문서 요약: ' || c_name || ']' || chr(10) || chr(10) || o_orderpriority ELSE o_orderpriority END AS text FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
 def summary_inject(spark, sf):
     summaries = x.t(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("summary"))
@@ -286,8 +381,8 @@ def last_message(spark, sf):
 
 
 @query("dictionary_detect", r"""WITH N AS (SELECT DISTINCT 'part' AS kind, p_name AS name FROM part UNION SELECT 'word', w FROM (VALUES ('The Of'), ('Licensed'), ('MIT License'), ('la')) AS v(w)),
-    T AS (SELECT doc_id AS id, lower(text) AS text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM documents)
-    SELECT id, kind, array_to_string(list_sort(list(DISTINCT name)), '|') AS names FROM T JOIN N ON contains(text, lower(name)) AND list_contains(ws, regexp_extract(lower(name), '[\p{L}\p{N}]+')) GROUP BY id, kind""")
+    T AS (SELECT doc_id AS id, lower(text) AS text FROM documents)
+    SELECT id, kind, array_to_string(list_sort(list(DISTINCT name)), '|') AS names FROM T JOIN N ON contains(text, lower(name)) GROUP BY id, kind""")
 def dictionary_detect(spark, sf):
     names = x.t(spark, sf, "part").select(F.lit("part").alias("kind"), F.col("p_name").alias("name")).distinct()
     names = names.union(values(spark, [("word", w) for w in ("The Of", "Licensed", "MIT License", "la")], "kind string, name string"))
@@ -295,6 +390,21 @@ def dictionary_detect(spark, sf):
     return hits.select("id", "kind", F.array_join("names", "|").alias("names"))
 
 
+@query("request_context", """WITH N AS (SELECT DISTINCT 'p' AS kind, p_name AS name FROM part WHERE p_size <= 25 UNION SELECT DISTINCT 'c', p_name FROM part WHERE p_size > 25 UNION SELECT 'h', w FROM (VALUES ('The'), ('la')) AS v(w)),
+    Q AS (SELECT conv_id, max_by(text, turn) AS question FROM conversations WHERE lower(role) = 'user' GROUP BY conv_id),
+    F AS (SELECT conv_id, kind, count(DISTINCT name) AS n FROM Q JOIN N ON contains(lower(question), lower(name)) GROUP BY ALL)
+    SELECT conv_id, (SELECT count(*) FROM conversations c WHERE c.conv_id = Q.conv_id)::INTEGER AS n_messages, md5(question) AS question, coalesce((SELECT n FROM F WHERE F.conv_id = Q.conv_id AND kind = 'p'), 0)::INTEGER AS n_products,
+      coalesce((SELECT n FROM F WHERE F.conv_id = Q.conv_id AND kind = 'c'), 0)::INTEGER AS n_competitive, coalesce((SELECT n FROM F WHERE F.conv_id = Q.conv_id AND kind = 'h'), 0)::INTEGER AS n_hospitals FROM Q""")
+def request_context(spark, sf):
+    part, m = x.t(spark, sf, "part"), messages(spark, sf)
+    small, large = (part.where(c).select(F.col("p_name").alias("name")).distinct() for c in ("p_size <= 25", "p_size > 25"))
+    known = {"company_products": small, "competitive_products": large, "hospitals": values(spark, [("The",), ("la",)], "name string")}
+    asked = m.where(F.lower("role") == "user").groupBy("conv_id").agg(F.max_by("text", "turn").alias("question"))
+    c = F.col("context")
+    sizes = [F.size(c[f"detected_{k}"]).alias(n) for k, n in (("company_products", "n_products"), ("competitive_products", "n_competitive"), ("hospitals", "n_hospitals"))]
+    return history.request_context(m, asked, known).select("conv_id", F.size(c["all_messages"]).alias("n_messages"), F.md5(c["analyzed_question"]).alias("question"), *sizes)
+
+
 # ---- usage
 
 @query("usage_cost_rollup", x.given(CALLS) + """SELECT phase, count(*) AS n_calls, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, sum(tokens_emb)::BIGINT AS tokens_emb,

@@ -25,6 +25,8 @@ STATEMENTS = {
         ORDER BY s.s_acctbal DESC, s.s_suppkey LIMIT 10""",
     "q7_top_weight_edges": """
         SELECT l_partkey, l_suppkey, sum(l_quantity) AS weight FROM {lineitem} GROUP BY l_partkey, l_suppkey ORDER BY sum(l_quantity) DESC, l_partkey, l_suppkey LIMIT 10""",
+    "entity_lookup": "SELECT p_partkey, p_name, p_type, p_brand FROM {part} WHERE p_partkey = 7",
+    "type_filter": "SELECT p_partkey, p_name FROM {part} WHERE p_type = (SELECT max(p_type) FROM {part})",
     "q9_global_stats": """
         SELECT (SELECT count(*) FROM {customer}) AS n_docs, (SELECT count(*) FROM {orders}) AS n_chunks, (SELECT count(*) FROM {part}) AS n_entities,
           (SELECT count(*) FROM {lineitem}) AS n_relations, (SELECT round(avg(o_totalprice), 4) FROM {orders}) AS avg_tokens""",

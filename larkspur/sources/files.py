@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import markdown_sections, skipped_section, title_of, wiki_links, without_footer
+from larkspur.functions.text import SOURCE_MARK, markdown_sections, skipped_section, title_of, wiki_links, without_footer
 
 CHUNK = "text string, chunk_text string, etc array<string>, tables array<string>, product_names array<string>, doc_name string, chunk_id string, refs array<string>"
 SECTIONS = "map<string, array<struct<header:string,level:int,content:string>>>"
@@ -114,7 +115,8 @@ def parsed_sections(spark: SparkSession, path: str) -> DataFrame:
     rows = _whole(spark, path).select(F.explode(F.from_json("value", SECTIONS)).alias("source", "sections")).select("source", F.posexplode("sections").alias("pos", "s"))
     rows = rows.select("source", "pos", F.trim(F.coalesce("s.header", F.lit(""))).alias("header"), F.coalesce("s.level", F.lit(0)).alias("level"), without_footer(F.coalesce("s.content", F.lit(""))).alias("content"))
     text = F.concat_ws("\n", F.when(F.col("header") != "", F.concat(F.repeat(F.lit("#"), F.greatest("level", F.lit(1))), F.lit(" "), "header")), F.when(F.col("content") != "", F.col("content")))
-    return rows.where(~skipped_section(F.col("header"), F.col("content"), F.col("level"))).withColumn("text", text)
+    rows = rows.where(~skipped_section(F.col("header"), F.col("content"), F.col("level")))
+    return rows.withColumn("text", text).withColumn("labelled", F.concat(F.lit(f"[{SOURCE_MARK}: "), "source", F.lit("]\n"), "text"))
 
 
 def query_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -139,21 +141,45 @@ def operation_log(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.regexp_extract("value", pattern, n).alias(c) for n, c in ((1, "ts"), (2, "op"), (3, "subject"))])
 
 
-def parsed_documents(spark: SparkSession, path: str, parser: Callable[[bytes], str]) -> DataFrame:
-    """(path, is_pdf, text, error) of binary files by a pluggable parser; a failure is a row, not a lost job."""
+def parsed_documents(spark: SparkSession, path: str, *parsers: Callable[[bytes], str], ocr: Callable[[bytes], str] | None = None, most_noise: int = 0) -> DataFrame:
+    """(path, is_pdf, text, parser, error) of binary files by pluggable parsers; a failure is a row, not a lost job.
+
+    Parsers are tried in order until one does not raise; ``parser`` is its number. A
+    text with over ``most_noise`` undecoded glyph names is read again by ``ocr``, whose
+    number is -1, if that gives a text.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", (F.substring("content", 1, 5) == F.lit(b"%PDF-")).alias("is_pdf"), "content")
+    noise = re.compile(r"GLYPH\w*")
+
+    def parsed(raw: bytes) -> tuple[str | None, int | None, str | None]:
+        problems = []
+        for number, parser in enumerate(parsers):
+            try:
+                text = parser(raw)
+            except Exception as e:  # noqa: BLE001  parsers may raise anything
+                problems.append(str(e))
+                continue
+            if ocr is not None and len(noise.findall(text or "")) > most_noise:
+                try:
+                    if again := ocr(raw):
+                        return again, -1, None
+                except Exception as e:  # noqa: BLE001
+                    return text, number, str(e)
+            return text, number, None
+        return None, None, "; ".join(problems)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for raw in batch["content"]:
-                try:
-                    out.append((parser(raw), None))
-                except Exception as e:  # noqa: BLE001  parsers may raise anything
-                    out.append((None, str(e)))
-            yield pd.DataFrame({"path": batch["path"], "is_pdf": batch["is_pdf"], "text": [t for t, _ in out], "error": [e for _, e in out]})
+            out = [parsed(raw) for raw in batch["content"]]
+            columns = {c: pd.Series([o[n] for o in out], dtype=kind) for n, (c, kind) in enumerate((("text", object), ("parser", "Int32"), ("error", object)))}
+            yield pd.DataFrame({"path": batch["path"].reset_index(drop=True), "is_pdf": batch["is_pdf"].reset_index(drop=True), **columns})
+
+    return files.mapInPandas(run, "path string, is_pdf boolean, text string, parser int, error string")
+
 
-    return files.mapInPandas(run, "path string, is_pdf boolean, text string, error string")
+def object_count(rows: DataFrame) -> int:
+    """How many objects a store holds."""
+    return rows.count()
 
 
 def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import file_name
+from larkspur.shared import materialise
 
 
 def insert_if_absent(target: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -15,9 +16,47 @@ def insert_if_absent(target: DataFrame, new: DataFrame, keys: list[str], order:
     return first.join(target.select(*keys), keys, "left_anti").select(*new.columns)
 
 
-def create(df: DataFrame, path: str, reset: bool = False, partition_by: list[str] | None = None) -> None:
-    """Writes a table anew, or only where there is none."""
-    df.write.mode("overwrite" if reset else "ignore").partitionBy(*(partition_by or [])).parquet(path)
+def create(df: DataFrame, path: str, reset: bool = False, partition_by: list[str] | None = None, keys: list[str] | None = None) -> None:
+    """Writes a table anew, or only where there is none.
+
+    ``keys`` take the place of an index: rows lie together and sorted by them, so that
+    a lookup skips most row groups by their statistics.
+    """
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*(partition_by or []), *keys) if keys else df
+    rows.write.mode("overwrite" if reset else "ignore").partitionBy(*(partition_by or [])).parquet(path)
+
+
+def indexed_docs(df: DataFrame, order: list[str]) -> DataFrame:
+    """Documents with ``_id`` from 1 in a given order.
+
+    Ranges are numbered within partitions and moved by what the earlier ones hold, so
+    nothing is gathered in one task.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    rows = materialise(rows.withColumn("_nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1), "documents")
+    sizes = rows.groupBy("_part").agg(F.max("_nth").alias("n"))  # a row a partition
+    before = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(before), "_part").withColumn("_id", F.col("_nth") + F.col("_before")).drop("_part", "_nth", "_before")
+
+
+def in_batches(df: DataFrame, key: str, size: int = 100) -> DataFrame:
+    """Rows with ``batch_no``: about ``size`` rows a batch, dealt by hash of the key, each batch in one partition."""
+    batches = max(1, -(-df.count() // size))
+    return df.withColumn("batch_no", F.pmod(F.xxhash64(key), F.lit(batches)).cast("int")).repartition("batch_no")
+
+
+def vector_lines(df: DataFrame) -> DataFrame:
+    """Rows as JSON lines (value), vectors as arrays, null fields included."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def markdown_table(df: DataFrame, order: list[str]) -> DataFrame:
+    """(pos, value): a result as the lines of a Markdown table, the header first."""
+    head = df.sparkSession.createDataFrame([(0, "| " + " | ".join(df.columns) + " |"), (1, "|" + "---|" * len(df.columns))], "pos int, value string")
+    cells = [F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in df.columns]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    # a report is a few rows: numbered in one task
+    return head.unionByName(df.select((F.row_number().over(Window.orderBy(*order)) + 1).alias("pos"), line.alias("value")))
 
 
 def ingest_once(spark: SparkSession, path: str, build, reset: bool = False) -> DataFrame:
@@ -69,8 +108,10 @@ def graphml_lines(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.select(F.lit(1).alias("pos"), node.alias("value")).union(edges.select(F.lit(2), edge))
 
 
-def versioned(df: DataFrame, folder: str, version: str) -> str:
-    """Writes a version beside the earlier ones; nothing is overwritten."""
+def versioned(df: DataFrame, folder: str, version: str, n_changes: int | None = None, dry_run: bool = False) -> str | None:
+    """Writes a version beside the earlier ones; nothing is overwritten, and nothing written on a dry run or without changes."""
+    if dry_run or n_changes == 0:
+        return None
     path = f"{folder}/version={version}"
     df.write.mode("errorifexists").parquet(path)
     return path

@@ -212,7 +212,7 @@ def test_small_functions(spark):
     row = spark.createDataFrame([("n", None, "a\nb", "", "my_file_name.txt", 3.0)], "n string, d string, t string, e string, p string, s double")
     got = row.select(text.node_text(F.col("n"), F.col("d")).alias("a"), text.node_text(F.col("e"), F.col("e")).alias("b"), text.lines(F.col("t")).alias("c"), text.lines(F.col("e")).alias("d"), text.title_of(F.col("p")).alias("e"), text.score_bar(F.col("s"), 3).alias("f"), text.word_estimate(F.col("t")).alias("g")).first()
     assert tuple(got) == ("n", "unknown", 2, 0, "My File Name", "#" * 12, 2)
-    assert market.checked(["a"], "1y") and market.checked(["a", "b"], "1d") and market.checked(["a", "b"], "1y") is None
+    assert market.checked(["a"], "1y") and market.checked(["a", "b"], "1d") is None and market.checked(["a", "b"], "3d") and market.checked(["a", "b"], "1y") is None
     assert spark.range(1).select(usage.winner(F.lit(8.0), F.lit(10.0)).alias("a"), usage.speed_up(F.lit(20.0), F.lit(10.0)).alias("b")).first().asDict() == {"a": "A", "b": "B 2.0x"}
 
 
