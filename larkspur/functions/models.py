@@ -49,8 +49,8 @@ def overlap_scorer(queries: list[str], texts: list[str]) -> list[float]:
     return out
 
 
-def template_generator(template: str = "{prompt}", most: int = 200) -> Generator:
-    """Answers with the template filled by the prompt's first characters."""
+def template_generator(template: str = "{prompt}", most: int | None = None) -> Generator:
+    """Answers with the template filled by the prompt (or its first characters)."""
     return lambda prompts: [template.replace("{prompt}", (p or "")[:most]) for p in prompts]
 
 

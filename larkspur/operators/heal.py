@@ -30,7 +30,8 @@ def similar_edges(vertices: DataFrame, edges: DataFrame, threshold: float = 0.75
     """Edges from isolated vertices to the connected ones most alike; vertices carry ``num`` (a number) and ``vector``."""
     alone = graph.isolated(vertices, edges)
     rest = vertices.join(alone.select("id"), "id", "left_anti")
-    hits = vectors.search(alone.select(F.col("num").alias("query_id"), F.col("vector").alias("query_vector")), rest.select(F.col("num").alias("id"), "vector"), k, threshold)
+    # isolated vertices grow with the graph: no search of each among all
+    hits = vectors.similarity_join(alone.select(F.col("num").alias("query_id"), F.col("vector").alias("query_vector")), rest.select(F.col("num").alias("id"), "vector"), k, threshold)
     left = alone.select(F.col("num").alias("query_id"), F.col("id").alias("src"))
     right = rest.select(F.col("num").alias("hit"), F.col("id").alias("dst"))
     named = hits.withColumnRenamed("id", "hit").join(left, "query_id").join(right, "hit")

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.shared import materialise
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -44,6 +46,25 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norms > 0, norms, 1)
 
 
+def _fitting(batch: pa.RecordBatch, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of the rows of a batch that have the dimension."""
+    vectors = batch.column("vector")
+    sizes = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    fits = np.flatnonzero(sizes == dimensions)
+    own = batch.column("id").to_numpy(zero_copy_only=False)[fits]
+    if not len(fits):
+        return own, np.empty((0, dimensions))
+    return own, _unit(vectors.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), -1))
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores, those of smaller ids first among equals."""
+    some = np.arange(len(scores))
+    if len(scores) > 4 * k:  # all that reach the k-th score, which is found without sorting
+        some = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    return some[np.lexsort((ids[some], -scores[some]))[:k]]
+
+
 SEARCHED = "query_id long, id long, score double"
 
 
@@ -51,7 +72,9 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, least: float | None =
     """The k rows of ``corpus`` (id, vector) most alike to each of ``queries`` (query_id, query_vector).
 
     Ranked by cosine rounded to nine places, then by id. Rows of another dimension
-    or without a vector are left out; ``least`` drops scores below it.
+    or without a vector are left out; ``least`` drops scores below it. Meant for a
+    stated query set: the corpus is read once a block of queries, and each task keeps
+    k rows a query. For queries that grow with the corpus see similarity_join.
     """
     parts = []
     send = corpus.sparkSession.sparkContext.broadcast
@@ -60,26 +83,24 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, least: float | None =
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, wanted = sent.value
+            held = [(np.empty(0, np.int64), np.empty(0)) for _ in names]  # this task's best so far
             for batch in batches:
-                vectors = batch.column("vector")
-                sizes = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-                fits = np.flatnonzero(sizes == wanted.shape[1])
-                if not len(fits):
+                own, rows = _fitting(batch, wanted.shape[1])
+                if not len(own):
                     continue
-                rows = _unit(vectors.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), -1))
-                own = batch.column("id").to_numpy(zero_copy_only=False)[fits]
                 scores = np.round(rows @ wanted.T, 9)
-                out_q, out_i, out_s = [], [], []
-                for q in range(len(names)):
-                    s = scores[:, q]
-                    keep = np.flatnonzero((s >= least) if least is not None else np.ones(len(s), bool))
-                    if exclude_self:
-                        keep = keep[own[keep] != names[q]]
-                    best = keep[np.lexsort((own[keep], -s[keep]))[:k]]
-                    out_q.append(np.full(len(best), names[q]))
-                    out_i.append(own[best])
-                    out_s.append(s[best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_i, out_s)], names=["query_id", "id", "score"])
+                for q, name in enumerate(names):
+                    ids, found = own, scores[:, q]
+                    if least is not None or exclude_self:
+                        keep = np.flatnonzero((found >= (-2 if least is None else least)) & ((ids != name) | (not exclude_self)))
+                        ids, found = ids[keep], found[keep]
+                    if len(held[q][0]) == k and (not len(found) or found.max() < held[q][1].min()):
+                        continue
+                    ids, found = np.append(held[q][0], ids), np.append(held[q][1], found)
+                    best = _best(found, ids, k)
+                    held[q] = ids[best], found[best]
+            columns = [np.repeat(names, [len(i) for i, _ in held]), *(np.concatenate(c) for c in zip(*held, strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "score"])
 
         parts.append(corpus.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(run, SEARCHED))
     if not parts:
@@ -88,6 +109,115 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, least: float | None =
     return reduce(DataFrame.unionAll, parts).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def every_score(queries: DataFrame, corpus: DataFrame, places: int = 9, block: int = 1024) -> DataFrame:
+    """(query_id, id, score): rounded cosines of a stated query set with all rows, block by block.
+
+    Rows of another dimension or without a vector are left out.
+    """
+    parts = []
+    send = corpus.sparkSession.sparkContext.broadcast
+    for ids, matrix in _blocks(queries, block):
+        sent = send((ids, _unit(matrix)))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, wanted = sent.value
+            for batch in batches:
+                own, rows = _fitting(batch, wanted.shape[1])
+                if len(own):
+                    scores = np.round(rows @ wanted.T, places)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(names, len(own))), pa.array(np.repeat(own, len(names))), pa.array(scores.ravel())], names=["query_id", "id", "score"])
+
+        parts.append(corpus.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(run, SEARCHED))
+    return reduce(DataFrame.unionAll, parts) if parts else corpus.sparkSession.createDataFrame([], SEARCHED)
+
+
+def similarity_join(queries: DataFrame, corpus: DataFrame, k: int, least: float, cells: int = 64, piece: int = 20_000, exclude_self: bool = False) -> DataFrame:
+    """As :func:`search` with ``least`` above 0, for queries (query_id, query_vector) that grow with the corpus (id, vector).
+
+    Rows go to the cell of the nearest of ``cells`` pivots (rows of the smallest id
+    hashes, the bound of what is fitted and broadcast). Angles obey the triangle
+    inequality: a query meets a cell only if the angles of its rows to the pivot reach
+    within arccos(least) of the query's own, so nothing is lost. Cells and their queries
+    are split into pieces of about ``piece`` rows, each pair of pieces is a task of its
+    own, and a task keeps k rows a query. The driver sees pivots and counts only.
+    """
+    spark = corpus.sparkSession
+    rows = corpus.select(F.col("id").cast("long").alias("id"), "vector").where("vector is not null")
+    asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col("query_vector").alias("vector")).where("vector is not null")
+    pivots = [r["vector"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(cells).collect()]
+    wide = max((len(v) for v in pivots), default=0)
+    center = _unit(np.array([v for v in pivots if len(v) == wide], np.float64)) if wide else np.empty((0, 0))
+    if not len(center):
+        return spark.createDataFrame([], f"{SEARCHED}, rank int")
+    sent, reach = spark.sparkContext.broadcast(center), float(np.arccos(np.clip(least, -1, 1))) + 1e-6
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, m = _fitting(batch, sent.value.shape[1])
+            angles = np.arccos(np.clip(m @ sent.value.T, -1, 1))
+            cell = angles.argmin(axis=1) if len(ids) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(m), pa.list_(pa.float64())), pa.array(cell, pa.int64()), pa.array(angles[np.arange(len(ids)), cell], pa.float64())], names=["id", "vector", "cell", "angle"])
+
+    held = materialise(rows.mapInArrow(placed, "id long, vector array<double>, cell long, angle double"), "similarity-cells")
+    known = {r["cell"]: r for r in held.groupBy("cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("n")).collect()}
+    low, high = (np.array([known[c][n] if c in known else np.nan for c in range(len(center))]) for n in ("low", "high"))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, m = _fitting(batch, sent.value.shape[1])
+            angles = np.arccos(np.clip(m @ sent.value.T, -1, 1))
+            at, cell = np.nonzero((angles - reach <= high) & (angles + reach >= low))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(list(m[at]), pa.list_(pa.float64())), pa.array(cell, pa.int64())], names=["id", "vector", "cell"])
+
+    wanted = asked.mapInArrow(met, "id long, vector array<double>, cell long")
+    numbers = {r["cell"]: r["n"] for r in wanted.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    sizes = [(c, -(-known[c]["n"] // piece), -(-numbers[c] // piece)) for c in numbers]
+    pieces = F.broadcast(spark.createDataFrame(sizes, "cell long, here int, there int"))  # a row a cell
+
+    def split(rows: DataFrame, own: str, other: str, names: tuple[str, str]) -> DataFrame:
+        mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(names[0])
+        return rows.join(pieces, "cell").select("cell", "id", "vector", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[1]))
+
+    left, right = split(wanted, "there", "here", ("q", "c")), split(held, "here", "there", ("c", "q"))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = []
+        if a.num_rows and b.num_rows:
+            ids, own = a.column("id").to_numpy(), b.column("id").to_numpy()
+            mine, theirs = (np.stack([np.asarray(v) for v in t.column("vector").to_pylist()]) for t in (a, b))
+            for start in range(0, len(ids), 1024):
+                scores = np.round(mine[start : start + 1024] @ theirs.T, 9)
+                for name, found in zip(ids[start : start + 1024].tolist(), scores, strict=True):
+                    keep = np.flatnonzero((found >= least) & ((own != name) | (not exclude_self)))
+                    keep = keep[_best(found[keep], own[keep], k)]
+                    out += [(name, i, x) for i, x in zip(own[keep].tolist(), found[keep].tolist(), strict=True)]
+        columns = list(zip(*out, strict=True)) or [()] * 3
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "id", "score"])
+
+    hits = left.groupBy("cell", "q", "c").cogroup(right.groupBy("cell", "q", "c")).applyInArrow(best, SEARCHED)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def mean_pooled(rows: DataFrame) -> DataFrame:
+    """(id, vector): the mean of the vectors of each id's tokens (id, vector), of length 1; zero stays zero."""
+    each = rows.where("vector is not null").select("id", F.posexplode("vector").alias("at", "x")).groupBy("id", "at").agg(F.avg("x").alias("x"))
+    pooled = each.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("vector"))
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
+    return pooled.select("id", F.transform("vector", lambda x: F.when(norm > 0, x / norm).otherwise(0.0)).alias("vector"))
+
+
+def relative_targets(distances: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Rows with ``relative``: the weighted sum of each target's distances stretched to 0..1 (equal ones are all 0).
+
+    Least and largest distances are one row.
+    """
+    ends = distances.agg(*[f(k).alias(f"_{n}_{k}") for k in weights for n, f in (("low", F.min), ("high", F.max))])
+    rows = distances.crossJoin(F.broadcast(ends))
+    parts = [F.when(F.col(f"_high_{k}") > F.col(f"_low_{k}"), (F.col(k) - F.col(f"_low_{k}")) / (F.col(f"_high_{k}") - F.col(f"_low_{k}"))).otherwise(0.0) * w for k, w in weights.items()]
+    return rows.withColumn("relative", reduce(lambda a, b: a + b, parts)).drop(*ends.columns)
+
+
 def scaled(hits: DataFrame) -> DataFrame:
     """Scores of a store that maps cosines to 0..1."""
     return hits.withColumn("score", F.round((1 + F.col("score")) / 2, 4))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import graph, heal
 from larkspur.plans import shapes as x
-from larkspur.plans.shapes import CHUNKS, SOURCED, START, D, E, S, V, given
+from larkspur.plans.shapes import CHUNKS, EA, SOURCED, START, D, E, S, V, given
 from larkspur.shared import materialise
 from larkspur.sources.sinks import insert_if_absent
 
@@ -56,11 +56,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("q6_two_hop_recursive", given(V, E, START, """R AS (
+@query("q6_two_hop_recursive", given(V, EA, START, """R AS (
     SELECT id AS start, id, 0 AS depth, [id] AS path FROM B
     UNION ALL SELECT R.start, E.dst, R.depth + 1, list_append(R.path, E.dst) FROM R JOIN E ON E.src = R.id WHERE R.depth < 2 AND NOT list_contains(R.path, E.dst))""", recursive=True) + "SELECT start, id, depth, len(path)::INTEGER AS path_len FROM R")
 def q6(spark, sf):
-    found = graph.paths(x.edges(spark, sf), x.starts(spark, sf))
+    found = graph.paths(x.all_edges(spark, sf), x.starts(spark, sf))
     return found.select("start", "id", "depth", F.size("path").alias("path_len"))
 
 
@@ -90,15 +90,15 @@ def absent(spark, sf):
     return insert_if_absent(target, x.t(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], ["o_orderkey"])
 
 
-@query("one_hop_neighbours", given(V, E, START) + "SELECT DISTINCT src AS start, dst AS neighbour FROM E WHERE src IN (SELECT id FROM B)")
+@query("one_hop_neighbours", given(V, EA, START) + "SELECT DISTINCT src AS start, dst AS neighbour FROM E WHERE src IN (SELECT id FROM B)")
 def one_hop(spark, sf):
-    return graph.neighbours(x.edges(spark, sf), x.starts(spark, sf))
+    return graph.neighbours(x.all_edges(spark, sf), x.starts(spark, sf))
 
 
-@query("bfs_two_hop", given(V, E, START, S) + """, H1 AS (SELECT B.id AS start, dst AS id FROM B JOIN S ON src = B.id), H2 AS (SELECT start, S.dst AS id FROM H1 JOIN S ON src = H1.id)
+@query("bfs_two_hop", given(V, EA, START, S) + """, H1 AS (SELECT B.id AS start, dst AS id FROM B JOIN S ON src = B.id), H2 AS (SELECT start, S.dst AS id FROM H1 JOIN S ON src = H1.id)
     SELECT start, id, min(depth)::INTEGER AS depth FROM (SELECT id AS start, id, 0 AS depth FROM B UNION ALL SELECT start, id, 1 FROM H1 UNION ALL SELECT start, id, 2 FROM H2) GROUP BY start, id""")
 def bfs(spark, sf):
-    return graph.reachable(x.edges(spark, sf), x.starts(spark, sf), directed=False)
+    return graph.reachable(x.all_edges(spark, sf), x.starts(spark, sf), directed=False)
 
 
 COMPONENTS = """N AS (SELECT id, id AS component FROM V UNION SELECT S.dst, N.component FROM N JOIN S ON S.src = N.id WHERE S.dst > N.component),
@@ -117,9 +117,9 @@ def connected(spark, sf):
     return graph.components(x.vertices(spark, sf), x.edges(spark, sf))
 
 
-@query("degree_topk", given(V, E, S, D) + "SELECT id, degree FROM D ORDER BY degree DESC, pos LIMIT 20")
+@query("degree_topk", given(V, EA, S, D) + "SELECT id, degree FROM D ORDER BY degree DESC, pos LIMIT 20")
 def degree_topk(spark, sf):
-    return graph.top_degree(x.vertices(spark, sf), x.edges(spark, sf), 20).select("id", "degree")
+    return graph.top_degree(x.vertices(spark, sf), x.all_edges(spark, sf), 20).select("id", "degree")
 
 
 @query("isolated_nodes", given(V, E, S) + "SELECT id, coalesce(type, 'UNKNOWN') AS type, length(coalesce(description, ''))::INTEGER AS n_description, left(replace(coalesce(description, ''), chr(10), ' '), 45) AS preview FROM V WHERE id NOT IN (SELECT src FROM S) ORDER BY pos LIMIT 50")
@@ -127,26 +127,26 @@ def isolated_nodes(spark, sf):
     return graph.isolated_detail(x.vertices(spark, sf), x.edges(spark, sf))
 
 
-@query("top_degree_subgraph", given(V, E, S, D, "T AS (SELECT id FROM D ORDER BY degree DESC, pos LIMIT 200)") + "SELECT src, dst, weight FROM E WHERE src IN (SELECT id FROM T) AND dst IN (SELECT id FROM T)")
+@query("top_degree_subgraph", given(V, EA, S, D, "T AS (SELECT id FROM D ORDER BY degree DESC, pos LIMIT 200)") + "SELECT src, dst, weight FROM E WHERE src IN (SELECT id FROM T) AND dst IN (SELECT id FROM T)")
 def subgraph(spark, sf):
-    v, e = x.vertices(spark, sf), x.edges(spark, sf)
+    v, e = x.vertices(spark, sf), x.all_edges(spark, sf)
     return graph.induced(graph.top_degree(v, e, 200), e).select("src", "dst", "weight")
 
 
-@query("graph_drawing", given(V, E, S, D) + "SELECT id, degree, greatest(least(degree * 3, 40), 10) AS size FROM D ORDER BY degree DESC, pos LIMIT 200")
+@query("graph_drawing", given(V, EA, S, D) + "SELECT id, degree, greatest(least(degree * 3, 40), 10) AS size FROM D ORDER BY degree DESC, pos LIMIT 200")
 def drawing(spark, sf):
-    return graph.drawn(x.vertices(spark, sf), x.edges(spark, sf))[0].select("id", "degree", "size")
+    return graph.drawn(x.vertices(spark, sf), x.all_edges(spark, sf))[0].select("id", "degree", "size")
 
 
-@query("graph_density", given(V, E) + "SELECT n, m, round(2.0 * m / (n * (n - 1)), 9) AS density FROM (SELECT (SELECT count(*) FROM V) AS n, (SELECT count(*) FROM E) AS m)")
+@query("graph_density", given(V, EA) + "SELECT n, m, round(2.0 * m / (n * (n - 1)), 9) AS density FROM (SELECT (SELECT count(*) FROM V) AS n, (SELECT count(*) FROM E) AS m)")
 def density(spark, sf):
-    return graph.density(x.vertices(spark, sf), x.edges(spark, sf))
+    return graph.density(x.vertices(spark, sf), x.all_edges(spark, sf))
 
 
-@query("edge_upsert", given(E, "O AS (SELECT src, dst, weight, pos, 0 AS age FROM E UNION ALL SELECT dst, src, weight / 2, pos, 1 FROM E WHERE keywords = 'R')") + """
+@query("edge_upsert", given(EA, "O AS (SELECT src, dst, weight, pos, 0 AS age FROM E UNION ALL SELECT dst, src, weight / 2, pos, 1 FROM E WHERE keywords = 'R')") + """
     SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY age DESC, pos DESC, src, weight) AS n FROM O) WHERE n = 1 AND age >= 0""")
 def edge_upsert(spark, sf):
-    e = x.edges(spark, sf)
+    e = x.all_edges(spark, sf)
     new = e.where("keywords = 'R'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("weight") / 2).alias("weight"), "pos")
     return graph.upserted(e.select("src", "dst", "weight", "pos"), new).select("src", "dst", "weight")
 
@@ -221,12 +221,12 @@ def heal_pipeline(spark, sf):
     return heal.healed(v, e, threshold=0.3, proposals=given_, named=named)[2]
 
 
-@query("entity_full_pipeline", given(V, E, START, SOURCED, CHUNKS) + """, L AS (SELECT id, unnest(string_split(source_id, '<SEP>')[1:3]) AS chunk_id FROM X),
+@query("entity_full_pipeline", given(V, EA, START, SOURCED, CHUNKS) + """, L AS (SELECT id, unnest(string_split(source_id, '<SEP>')[1:3]) AS chunk_id FROM X),
     T AS (SELECT L.id, left(string_agg(content, chr(10) || '---' || chr(10) ORDER BY chunk_id::BIGINT), 3000) AS evidence FROM L JOIN C USING (chunk_id) GROUP BY L.id)
     SELECT B.id, (SELECT count(DISTINCT dst) FROM E WHERE src = B.id) AS n_neighbours, evidence FROM B LEFT JOIN T ON T.id = B.id""")
 def entity_pipeline(spark, sf):
     b = x.starts(spark, sf)
-    near = graph.neighbours(x.edges(spark, sf), b).groupBy(F.col("start").alias("id")).agg(F.count("*").alias("n_neighbours"))
+    near = graph.neighbours(x.all_edges(spark, sf), b).groupBy(F.col("start").alias("id")).agg(F.count("*").alias("n_neighbours"))
     texts = graph.provenance(x.sourced(spark, sf).join(b, "id", "left_semi"), x.chunks(spark, sf))
     return b.join(near, "id", "left").join(texts, "id", "left").select("id", F.coalesce("n_neighbours", F.lit(0)).alias("n_neighbours"), "evidence")
 

@@ -63,16 +63,15 @@ def knn_scaled(spark, sf):
 
 @query("vec_similarity_join", f"WITH {COS}, N AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM Z WHERE id <> query_id AND score >= 0.3) SELECT query_id, id, round(score, 4) AS weight FROM N WHERE rank <= 2")
 def similarity_join(spark, sf):
-    hits = vectors.search(probes(spark, sf), corpus(spark, sf), 2, least=0.3, exclude_self=True)
+    hits = vectors.similarity_join(probes(spark, sf), corpus(spark, sf), 2, 0.3, exclude_self=True)
     return hits.select("query_id", "id", F.round("score", 4).alias("weight"))
 
 
-@query("pairwise_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND b.vec_id % 50 = 0 AND a.vec_id < b.vec_id")
+@query("pairwise_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id")
 def pairwise(spark, sf):
-    some = corpus(spark, sf).where("id % 50 = 0")
-    n = some.count()
-    hits = vectors.search(probes(spark, sf), some, max(n, 1))
-    return hits.where("query_id < id").select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.round("score", 6).alias("score"))
+    """The stated queries with all rows."""
+    hits = vectors.every_score(probes(spark, sf), corpus(spark, sf), 6)
+    return hits.where("query_id <> id").select(F.col("query_id").alias("a"), F.col("id").alias("b"), "score")
 
 
 @query("bq_rescore")
@@ -84,7 +83,8 @@ def bq_rescore(spark, sf):
     WITH T AS (SELECT label, list(embedding::DOUBLE[] ORDER BY vec_id) AS l FROM embeddings WHERE vec_id % 50 = 0 GROUP BY label),
     Q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0 ORDER BY vec_id LIMIT 2),
     M AS (SELECT vec_id AS id, round(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT e FROM Q ORDER BY vec_id LIMIT 1)), 9) AS a, round(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT e FROM Q ORDER BY vec_id DESC LIMIT 1)), 9) AS b FROM embeddings)
-    SELECT id, round(least(a, b), 6) AS minimum, round(a + b, 6) AS total, round((a + b) / 2, 6) AS average, round(0.7 * a + 0.3 * b, 6) AS manual FROM M""")
+    SELECT id, round(least(a, b), 6) AS minimum, round(a + b, 6) AS total, round((a + b) / 2, 6) AS average, round(0.7 * a + 0.3 * b, 6) AS manual,
+      round(0.7 * (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) + 0.3 * (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()), 6) AS relative FROM M""")
 def multi_target(spark, sf):
     rows = probes(spark, sf).orderBy("query_id").limit(2).collect()
     a, b = (F.array(*[F.lit(float(v)) for v in r["query_vector"]]) for r in rows)
@@ -92,7 +92,8 @@ def multi_target(spark, sf):
     out = corpus(spark, sf).select("id", *[c.alias(k) for k, c in d.items()])
     named = {k: F.col(k) for k in d}
     ways = (("minimum", "minimum"), ("total", "sum"), ("average", "average"), ("manual", "manual"))
-    return out.select("id", *[F.round(vectors.joined_targets(named, how, {"a": 0.7, "b": 0.3}), 6).alias(n) for n, how in ways])
+    relative = vectors.relative_targets(out, {"a": 0.7, "b": 0.3}).select("id", *out.columns[1:], F.round("relative", 6).alias("relative"))
+    return relative.select("id", "relative", *[F.round(vectors.joined_targets(named, how, {"a": 0.7, "b": 0.3}), 6).alias(n) for n, how in ways])
 
 
 def bm25_sql(docs_sql: str, queries_sql: str, suffix: str = "") -> str:
@@ -136,16 +137,27 @@ def bm25_all(spark, sf):
     return lexical.search(every, items(spark, sf), 4)
 
 
-HALF = "SELECT item_id AS query_id, left(text, 100) AS query FROM benchmark"
-TWO = f"{bm25_sql(DOCS, ITEMS, '1')}, {bm25_sql(DOCS, HALF, '2')}, LISTS AS (SELECT query_id, 'a' AS list_id, id, {BEST} AS rank FROM M1 QUALIFY rank <= 8 UNION ALL SELECT query_id, 'b', id, {BEST} AS rank FROM M2 QUALIFY rank <= 8)"
+#: A document's and an item's vector is the one of their number; documents without one are in no vector list.
+NEAR = """SELECT q.item_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score
+    FROM (SELECT item_id, embedding FROM benchmark JOIN embeddings ON vec_id = item_id) q, embeddings e WHERE e.vec_id IN (SELECT doc_id FROM documents)"""
+TWO = f"{bm25_sql(DOCS, ITEMS, '1')}, M2 AS ({NEAR}), LISTS AS (SELECT query_id, 'a' AS list_id, id, {BEST} AS rank FROM M1 QUALIFY rank <= 8 UNION ALL SELECT query_id, 'b', id, {BEST} AS rank FROM M2 QUALIFY rank <= 8)"
+
+
+def doc_vectors(spark, sf):
+    """(id, vector) of the documents that have a vector."""
+    return corpus(spark, sf).select("id", "vector").join(docs(spark, sf).select("id"), "id", "left_semi")
+
+
+def item_vectors(spark, sf):
+    """(query_id, query_vector) of the items that have a vector."""
+    return items(spark, sf).select("query_id").join(corpus(spark, sf).select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector")), "query_id")
 
 
 def two_lists(spark, sf, k: int = 8):
-    """Hits of whole items and of their first hundred characters."""
-    d, q = docs(spark, sf), items(spark, sf)
-    half = q.withColumn("query", F.left("query", F.lit(100)))
-    parts = [lexical.search(d, part, k).withColumn("list_id", F.lit(name)) for name, part in (("a", q), ("b", half))]
-    return parts[0].unionByName(parts[1])
+    """Hits of whole items by their words and by their vectors."""
+    words = lexical.search(docs(spark, sf), items(spark, sf), k).withColumn("list_id", F.lit("a"))
+    near = vectors.search(item_vectors(spark, sf), doc_vectors(spark, sf), k).withColumn("score", F.round("score", 4)).withColumn("list_id", F.lit("b"))
+    return materialise(words.unionByName(near), "two-lists")
 
 
 def rrf_sql(base: int, k: int) -> str:
@@ -173,15 +185,22 @@ def hybrid_alpha(spark, sf):
 
 
 @query("multi_query_fanout", f"""WITH VAR AS (SELECT item_id * 10 + v AS query_id, CASE v WHEN 0 THEN text WHEN 1 THEN left(text, 100) WHEN 2 THEN substr(text, 51) ELSE lower(text) END AS query FROM benchmark, (SELECT unnest([0, 1, 2, 3]) AS v)),
-    {bm25_sql(DOCS, 'SELECT * FROM VAR')}, LI AS (SELECT query_id // 10 AS q, query_id % 10 AS list_id, id, {BEST} AS rank FROM M QUALIFY rank <= 5),
+    {bm25_sql(DOCS, 'SELECT * FROM VAR')}, VQ AS (SELECT VAR.query_id, embedding FROM VAR JOIN embeddings ON vec_id = VAR.query_id // 10 + VAR.query_id % 10),
+    VS AS (SELECT q.query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM VQ q, embeddings e WHERE e.vec_id IN (SELECT doc_id FROM documents)),
+    LI AS (SELECT query_id // 10 AS q, query_id % 10 AS list_id, id, {BEST} AS rank FROM M QUALIFY rank <= 5 UNION ALL SELECT query_id // 10, 4 + query_id % 10, id, {BEST} AS rank FROM VS QUALIFY rank <= 5),
     FU AS (SELECT q AS query_id, id, sum(1.0::DOUBLE / (rank - 1 + 60)) AS raw, min((list_id, rank)) AS first FROM LI GROUP BY ALL)
     SELECT query_id, id, round(raw, 6) AS score, position::INTEGER AS position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 12) DESC, first) AS position FROM FU) WHERE position <= 5""")
 def fanout(spark, sf):
+    """Each item and three variants, asked of a store by words and of one by vectors."""
     q = items(spark, sf)
     variants = F.array(F.col("query"), F.left("query", F.lit(100)), F.expr("substring(query, 51)"), F.lower("query"))
-    asked = q.select("query_id", F.posexplode(variants).alias("list_id", "query")).select((F.col("query_id") * 10 + F.col("list_id")).alias("query_id"), "query")
-    hits = lexical.search(docs(spark, sf), asked, 5)
-    lists = hits.select(F.floor(F.col("query_id") / 10).cast("long").alias("query_id"), (F.col("query_id") % 10).alias("list_id"), "rank", "id")
+    asked = q.select("query_id", F.posexplode(variants).alias("list_id", "query"))
+    number = (F.col("query_id") * 10 + F.col("list_id")).alias("query_id")
+    words = lexical.search(docs(spark, sf), asked.select(number, "query"), 5)
+    # a variant's vector is that of the item as many places on
+    near = vectors.search(asked.withColumn("id", F.col("query_id") + F.col("list_id")).join(corpus(spark, sf), "id").select(number, F.col("vector").alias("query_vector")), doc_vectors(spark, sf), 5)
+    item, variant = F.floor(F.col("query_id") / 10).cast("long").alias("query_id"), F.col("query_id") % 10
+    lists = words.select(item, variant.alias("list_id"), "rank", "id").unionByName(near.select(item, (variant + 4).alias("list_id"), "rank", "id"))
     return fusion.reciprocal_rank(lists, 5)
 
 
@@ -264,76 +283,160 @@ def hit_ratio(spark, sf):
     return cache.hit_ratio(rows.select((first > 1).alias("cached")))
 
 
-LOCAL = f"""{x.E}, {x.V}, HI AS (SELECT 's' || l_suppkey AS id, sum(l_extendedprice) AS score FROM lineitem GROUP BY l_suppkey),
-    KE AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM HI QUALIFY rank <= 5),
-    LO AS (SELECT E.src, E.dst, 0 AS list_id, row_number() OVER (ORDER BY KE.rank, E.src, E.dst) AS rank FROM KE JOIN E ON E.src = KE.id OR E.dst = KE.id),
-    GL AS (SELECT src, dst, 1 AS list_id, row_number() OVER (ORDER BY weight DESC, src, dst) AS rank FROM E QUALIFY rank <= 40)"""
+#: Vectors of entities, relations and chunks, by number modulo the number of vectors; the stated query set are the keywords.
+GRAPH = f"""{x.EA}, NV AS (SELECT count(*) AS nv FROM embeddings), KQ AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
+    SC AS (SELECT query_id, vec_id, round(list_cosine_similarity(v, embedding::DOUBLE[]), 9) AS score FROM KQ, embeddings),
+    EV AS (SELECT 's' || s_suppkey AS id, s_suppkey AS num FROM supplier UNION ALL SELECT 'p' || p_partkey, p_partkey + 1000000000 FROM part),
+    KE AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, num) AS rank FROM EV JOIN SC ON vec_id = num % (SELECT nv FROM NV) WHERE score >= 0.2 QUALIFY rank <= 40),
+    LO AS (SELECT query_id, src, dst, min(rank) AS krank FROM (SELECT query_id, E.src, E.dst, KE.rank FROM KE JOIN E ON E.src = KE.id UNION ALL SELECT query_id, E.src, E.dst, KE.rank FROM KE JOIN E ON E.dst = KE.id) GROUP BY ALL),
+    LR AS (SELECT query_id, src, dst, 0 AS list_id, row_number() OVER (PARTITION BY query_id ORDER BY krank, src, dst) AS rank FROM LO),
+    GL AS (SELECT query_id, src, dst, 1 AS list_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos, src, dst) AS rank FROM E JOIN SC ON vec_id = pos % (SELECT nv FROM NV) QUALIFY rank <= 40),
+    CH AS (SELECT query_id, o_orderkey::VARCHAR AS chunk_id, o_orderkey, score FROM orders JOIN SC ON vec_id = o_orderkey % (SELECT nv FROM NV)),
+    NA AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o_orderkey) AS rank FROM CH QUALIFY rank <= 20),
+    LC AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o_orderkey) AS rank FROM CH JOIN (SELECT DISTINCT query_id AS q, l_orderkey FROM KE JOIN lineitem ON id = 's' || l_suppkey WHERE rank <= 10) ON q = query_id AND l_orderkey = o_orderkey QUALIFY rank <= 20)"""
 
 
-def keyword_entities(spark, sf, k: int = 5):
-    hits = x.t(spark, sf, "lineitem").groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("id")).agg(F.sum("l_extendedprice").alias("score"))
-    return hits.orderBy(F.desc("score"), "id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+def graph_hits(spark, sf, rows, num, least: float | None = None):
+    """Rows with their score for each keyword vector, by the vector of their number.
 
+    Rows share vectors, so cosines are taken once a vector and keyword, not once a row.
+    """
+    v = corpus(spark, sf)
+    near = vectors.every_score(probes(spark, sf), v)
+    near = (near if least is None else near.where(F.col("score") >= least)).withColumnRenamed("id", "vnum")
+    return rows.withColumn("vnum", num % v.count()).join(near, "vnum")
 
-def local_edges(spark, sf):
-    """Relations of the entities nearest to the keywords."""
-    e = materialise(x.edges(spark, sf).select("src", "dst", "weight"), "edges")
-    k = F.broadcast(keyword_entities(spark, sf).select(F.col("id").alias("k"), F.col("rank").alias("krank")))  # five rows
-    at = e.join(k, F.col("src") == F.col("k")).unionByName(e.join(k, (F.col("dst") == F.col("k")) & (F.col("src") != F.col("k"))))
-    return at.select("src", "dst", F.lit(0).alias("list_id"), F.row_number().over(Window.orderBy("krank", "src", "dst")).alias("rank"))
+
+def keyword_entities(spark, sf, k: int = 40, least: float = 0.2):
+    """(query_id, id, rank): entities nearest to the keywords."""
+    s = x.t(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_suppkey").cast("long").alias("num"))
+    p = x.t(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), (F.col("p_partkey") + 1_000_000_000).cast("long").alias("num"))
+    hits = graph_hits(spark, sf, s.unionByName(p), F.col("num"), least)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "num"))
+    return materialise(hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "rank"), "entities")
+
+
+def local_edges(spark, sf, entities=None):
+    """Relations of the entities nearest to the keywords, by the entities' ranks."""
+    e = x.all_edges(spark, sf).select("src", "dst")
+    k = (entities or keyword_entities(spark, sf)).select("query_id", F.col("id").alias("k"), F.col("rank").alias("krank"))
+    at = e.join(k, F.col("src") == F.col("k")).unionByName(e.join(k, F.col("dst") == F.col("k"))).groupBy("query_id", "src", "dst").agg(F.min("krank").alias("krank"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("krank", "src", "dst"))
+    return at.select("query_id", "src", "dst", F.lit(0).alias("list_id"), rank.alias("rank"))
 
 
 def global_edges(spark, sf, k: int = 40):
     """Relations nearest to the keywords."""
-    top = x.edges(spark, sf).orderBy(F.desc("weight"), "src", "dst").limit(k)
-    return top.select("src", "dst", F.lit(1).alias("list_id"), F.row_number().over(Window.orderBy(F.desc("weight"), "src", "dst")).alias("rank"))
+    hits = graph_hits(spark, sf, x.all_edges(spark, sf).select("src", "dst", "pos"), F.col("pos"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "pos", "src", "dst"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "src", "dst", F.lit(1).alias("list_id"), "rank")
+
 
+def chunk_hits(spark, sf, entities=None, k: int = 20):
+    """Chunks nearest to the keywords: of all, or of those that the ten nearest entities come from."""
+    rows = x.t(spark, sf, "orders").select("o_orderkey")
+    hits = graph_hits(spark, sf, rows, F.col("o_orderkey"))
+    if entities is not None:
+        of = x.t(spark, sf, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("id"), F.col("l_orderkey").alias("o_orderkey"))
+        wanted = entities.where("rank <= 10").join(of, "id").select("query_id", "o_orderkey").distinct()
+        hits = hits.join(wanted, ["query_id", "o_orderkey"], "left_semi")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "o_orderkey"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("o_orderkey").cast("string").alias("chunk_id"), "rank")
 
-@query("graph_local", f"WITH {LOCAL} SELECT src, dst, rank::INTEGER AS rank FROM LO")
+
+@query("graph_naive", f"WITH {GRAPH} SELECT query_id, chunk_id, rank::INTEGER AS rank FROM NA")
+def graph_naive(spark, sf):
+    return chunk_hits(spark, sf)
+
+
+@query("graph_local", f"WITH {GRAPH} SELECT query_id, src, dst, rank::INTEGER AS rank FROM LR")
 def graph_local(spark, sf):
-    return local_edges(spark, sf).select("src", "dst", "rank")
+    return local_edges(spark, sf).select("query_id", "src", "dst", "rank")
+
 
+@query("graph_local_chunks", f"WITH {GRAPH} SELECT query_id, chunk_id, rank::INTEGER AS rank FROM LC")
+def graph_local_chunks(spark, sf):
+    return chunk_hits(spark, sf, keyword_entities(spark, sf))
 
-@query("graph_global", f"WITH {LOCAL} SELECT GL.rank::INTEGER AS rank, GL.src, GL.dst, a.name AS src_name, b.name AS dst_name FROM GL JOIN V a ON a.id = GL.src JOIN V b ON b.id = GL.dst")
+
+@query("graph_global", f"WITH {GRAPH}, {x.V} SELECT query_id, GL.rank::INTEGER AS rank, GL.src, GL.dst, a.name AS src_name, b.name AS dst_name FROM GL JOIN V a ON a.id = GL.src JOIN V b ON b.id = GL.dst")
 def graph_global(spark, sf):
     v = x.vertices(spark, sf)
     out = global_edges(spark, sf).join(v.select(F.col("id").alias("src"), F.col("name").alias("src_name")), "src").join(v.select(F.col("id").alias("dst"), F.col("name").alias("dst_name")), "dst")
-    return out.select("rank", "src", "dst", "src_name", "dst_name")
+    return out.select("query_id", "rank", "src", "dst", "src_name", "dst_name")
 
 
-HYBRID = f"WITH {LOCAL}, AL AS (SELECT * FROM LO UNION ALL SELECT * FROM GL), FI AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY rank, list_id) AS n FROM AL)"
+#: What a context takes of the fused relations.
+TRUNCATED = 60
+HYBRID = f"WITH {GRAPH}, AL AS (SELECT * FROM LR UNION ALL SELECT * FROM GL), FI AS (SELECT *, row_number() OVER (PARTITION BY query_id, src, dst ORDER BY rank, list_id) AS n FROM AL), PO AS (SELECT query_id, src, dst, row_number() OVER (PARTITION BY query_id ORDER BY rank, list_id) AS position FROM FI WHERE n = 1 QUALIFY position <= {TRUNCATED})"
 
 
-def hybrid_edges(spark, sf):
-    lists = local_edges(spark, sf).unionByName(global_edges(spark, sf)).withColumn("query_id", F.lit(0)).withColumn("pair", F.concat_ws("|", "src", "dst"))
-    return fusion.round_robin(lists, "pair")
+def hybrid_edges(spark, sf, entities=None):
+    """Local and global relations in turn, each once, cut to what a context takes."""
+    lists = local_edges(spark, sf, entities).unionByName(global_edges(spark, sf)).withColumn("pair", F.concat_ws("|", "src", "dst"))
+    return fusion.round_robin(lists, "pair", TRUNCATED)
 
 
-@query("graph_hybrid", f"{HYBRID} SELECT src, dst, row_number() OVER (ORDER BY rank, list_id)::INTEGER AS position FROM FI WHERE n = 1")
+@query("graph_hybrid", f"{HYBRID} SELECT query_id, src, dst, position::INTEGER AS position FROM PO")
 def graph_hybrid(spark, sf):
-    return hybrid_edges(spark, sf).select("src", "dst", "position")
+    return hybrid_edges(spark, sf).select("query_id", "src", "dst", "position")
 
 
-@query("context_only", f"{HYBRID}, PO AS (SELECT src, dst, row_number() OVER (ORDER BY rank, list_id) AS position FROM FI WHERE n = 1) SELECT 'relation' AS kind, src || '->' || dst AS item FROM PO WHERE position <= 20 UNION SELECT 'entity', src FROM PO WHERE position <= 20 UNION SELECT 'entity', dst FROM PO WHERE position <= 20")
+@query("context_only", f"{HYBRID} SELECT query_id, 'relation' AS kind, src || '->' || dst AS item FROM PO WHERE position <= 20 UNION SELECT query_id, 'entity', src FROM PO WHERE position <= 20 UNION SELECT query_id, 'entity', dst FROM PO WHERE position <= 20 UNION SELECT query_id, 'chunk', chunk_id FROM LC")
 def context_only(spark, sf):
-    top = materialise(hybrid_edges(spark, sf).where("position <= 20").select("src", "dst"), "context")
-    relations = top.select(F.lit("relation").alias("kind"), F.concat("src", F.lit("->"), "dst").alias("item"))
-    return relations.union(top.select(F.lit("entity"), "src")).union(top.select(F.lit("entity"), "dst")).distinct()
+    """What a prompt would be given: relations, their entities, and the chunks of the nearest entities."""
+    entities = keyword_entities(spark, sf)
+    top = materialise(hybrid_edges(spark, sf, entities).where("position <= 20").select("query_id", "src", "dst"), "context")
+    relations = top.select("query_id", F.lit("relation").alias("kind"), F.concat("src", F.lit("->"), "dst").alias("item"))
+    named = top.select("query_id", F.lit("entity"), "src").union(top.select("query_id", F.lit("entity"), "dst"))
+    chunks = chunk_hits(spark, sf, entities).select("query_id", F.lit("chunk"), "chunk_id")
+    return relations.union(named).union(chunks).distinct()
 
 
-@query("mode_comparison", f"{HYBRID} SELECT 'local' AS mode, count(*) AS n FROM LO UNION ALL SELECT 'global', count(*) FROM GL UNION ALL SELECT 'hybrid', count(*) FROM FI WHERE n = 1")
+@query("mode_comparison", f"{HYBRID} SELECT 'naive' AS mode, query_id, count(*) AS n FROM NA GROUP BY query_id UNION ALL SELECT 'local', query_id, count(*) FROM LR GROUP BY query_id UNION ALL SELECT 'global', query_id, count(*) FROM GL GROUP BY query_id UNION ALL SELECT 'hybrid', query_id, count(*) FROM PO GROUP BY query_id")
 def modes(spark, sf):
-    found = {"local": local_edges(spark, sf), "global": global_edges(spark, sf), "hybrid": hybrid_edges(spark, sf)}
+    """How much each mode finds for each query."""
+    entities = keyword_entities(spark, sf)
+    near, far = (materialise(rows, "relations") for rows in (local_edges(spark, sf, entities), global_edges(spark, sf)))
+    both = fusion.round_robin(near.unionByName(far).withColumn("pair", F.concat_ws("|", "src", "dst")), "pair", TRUNCATED)
+    found = {"naive": chunk_hits(spark, sf), "local": near, "global": far, "hybrid": both}
     out = None
     for name, rows in found.items():
-        part = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("mode"), "n")
+        part = rows.groupBy("query_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("mode"), "query_id", "n")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@query("agent_loop")
-def agent_loop(spark, sf):
-    requests = items(spark, sf).select(F.col("query_id").alias("request_id"), "query")
-    return agent.answered(requests, docs(spark, sf))[0]
+def asked_of_agent(spark, sf):
+    """(request_id, query): all items, and for every ticker a question about its price."""
+    q = items(spark, sf).select(F.col("query_id").alias("request_id"), "query")
+    tickers = x.prices(spark, sf).select("ticker").distinct()
+    return q.unionByName(tickers.select((1_000_000_000 + F.ascii("ticker")).cast("long").alias("request_id"), F.concat(F.lit("stock price of "), "ticker").alias("query")))
 
 
+@query("agent_loop", rf"""WITH VAR AS (SELECT item_id * 10 + v AS query_id, CASE v WHEN 0 THEN text ELSE array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: length(w) > 4), ' ') END AS query FROM benchmark, (SELECT unnest([0, 1]) AS v) WHERE item_id % 4 <> 0),
+    {bm25_sql(DOCS, 'SELECT * FROM VAR')}, LI AS (SELECT query_id // 10 AS q, query_id % 10 AS list_id, id, {BEST} AS rank FROM M QUALIFY rank <= 5),
+    FU AS (SELECT q AS query_id, id, sum(1.0::DOUBLE / (rank - 1 + 60)) AS raw, min((list_id, rank)) AS first FROM LI GROUP BY ALL),
+    PO AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 12) DESC, first) AS position FROM FU QUALIFY position <= 5),
+    CO AS (SELECT query_id, string_agg('[' || position || '] ' || source || chr(10) || text, chr(10) || chr(10) ORDER BY position) AS context FROM PO JOIN documents ON doc_id = id GROUP BY query_id),
+    {x.PRICES}, B AS (SELECT ticker, ts, close, lag(close) OVER (PARTITION BY ticker ORDER BY ts) AS previous FROM P),
+    L AS (SELECT ticker, max_by(close, ts) AS last_close, max_by(round(100 * (close - previous) / previous, 4), ts) AS change, round(100 * (max_by(close, ts) - min_by(close, ts)) / min_by(close, ts), 4) AS returned FROM B GROUP BY ticker)
+    SELECT item_id AS request_id, 'cache' AS route, md5('kept ' || item_id) AS digest, 0 AS corrections, true AS grounded FROM benchmark WHERE item_id % 4 = 0
+    UNION ALL SELECT item_id, 'rag', md5(coalesce(context, '(no documents)')), 0, true FROM benchmark LEFT JOIN CO ON query_id = item_id WHERE item_id % 4 <> 0
+    UNION ALL SELECT 1000000000 + ascii(ticker), 'stock', md5(ticker || ': ' || printf('%.2f', last_close) || ' (' || CASE WHEN change >= 0 THEN '+' ELSE '' END || printf('%.2f', change) || '%), return ' || printf('%.2f', returned) || '%'), 0, true FROM L""")
+def agent_loop(spark, sf):
+    """All requests with a cache that holds every fourth item's answer."""
+    requests = asked_of_agent(spark, sf)
+    known = requests.where("request_id < 1000000000 and request_id % 4 = 0")
+    entries = known.select(F.col("request_id").alias("id"), models.embedded(F.col("query")).alias("vector"), F.concat(F.lit("kept "), F.col("request_id").cast("string")).alias("answer"))
+    done = agent.answered(requests, docs(spark, sf), cached=entries, prices=x.prices(spark, sf), threshold=0.999)[0]
+    return done.select("request_id", "route", F.md5("answer").alias("digest"), "corrections", "grounded")
+
+
+@query("cache_round_trip", "SELECT item_id AS request_id, 'cache' AS route, true AS footed FROM benchmark")
+def cache_round_trip(spark, sf):
+    """What the agent stores answers the same requests the next time."""
+    requests = asked_of_agent(spark, sf).where("request_id < 1000000000")
+    entries = agent.answered(requests, docs(spark, sf))[1]
+    again = agent.answered(requests, docs(spark, sf), cached=materialise(entries, "cache"), threshold=0.999)[0]
+    return again.select("request_id", "route", F.endswith("answer", F.lit("(corrections: 0)")).alias("footed"))

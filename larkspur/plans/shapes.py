@@ -20,15 +20,23 @@ def vertices(spark: SparkSession, sf: str) -> DataFrame:
     return p.unionByName(s)
 
 
-def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Large deliveries, from part to supplier on odd lines, from supplier to part on even ones."""
-    rows = t(spark, sf, "lineitem").where("l_quantity >= 50")
+def edges(spark: SparkSession, sf: str, least: int = 50) -> DataFrame:
+    """Deliveries of ``least`` or more, from part to supplier on odd lines, from supplier to part on even ones.
+
+    The large ones leave some vertices isolated; see all_edges.
+    """
+    rows = t(spark, sf, "lineitem").where(F.col("l_quantity") >= least)
     p, s = (F.concat(F.lit(k), F.col(c).cast("string")) for k, c in (("p", "l_partkey"), ("s", "l_suppkey")))
     odd = F.col("l_linenumber") % 2 == 1
     ends = rows.select(F.when(odd, p).otherwise(s).alias("src"), F.when(odd, s).otherwise(p).alias("dst"), "l_quantity", "l_orderkey", "l_returnflag")
     return ends.groupBy("src", "dst").agg(F.sum("l_quantity").cast("double").alias("weight"), F.min("l_orderkey").cast("long").alias("pos"), F.min("l_returnflag").alias("keywords"))
 
 
+def all_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """All deliveries."""
+    return edges(spark, sf, 0)
+
+
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as chunks of text."""
     o = t(spark, sf, "orders")
@@ -37,7 +45,7 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def sourced(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers with the orders that they come from, as one string."""
-    rows = t(spark, sf, "lineitem").where("l_quantity >= 50").select("l_suppkey", "l_orderkey").distinct()
+    rows = t(spark, sf, "lineitem").select("l_suppkey", "l_orderkey").distinct()
     keys = F.array_join(F.transform(F.array_sort(F.collect_list("l_orderkey")), lambda x: x.cast("string")), "<SEP>")
     return rows.groupBy("l_suppkey").agg(keys.alias("source_id")).select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("id"), "source_id")
 
@@ -70,11 +78,12 @@ E = """E AS (
     sum(l_quantity)::DOUBLE AS weight, min(l_orderkey)::BIGINT AS pos, min(l_returnflag) AS keywords
   FROM lineitem WHERE l_quantity >= 50 GROUP BY 1, 2
 )"""
+EA = E.replace(" WHERE l_quantity >= 50", "")
 S = "S AS (SELECT src, dst FROM E UNION ALL SELECT dst, src FROM E)"
 D = "D AS (SELECT V.*, coalesce(n, 0)::BIGINT AS degree FROM V LEFT JOIN (SELECT src, count(*) AS n FROM S GROUP BY src) ON src = id)"
 START = "B AS (SELECT 's' || s_suppkey AS id FROM supplier WHERE s_nationkey = 7)"
 CHUNKS = "C AS (SELECT o_orderkey::VARCHAR AS chunk_id, o_orderpriority || ' ' || o_orderstatus || ' ' || o_custkey AS content FROM orders)"
-SOURCED = "X AS (SELECT 's' || l_suppkey AS id, string_agg(l_orderkey::VARCHAR, '<SEP>' ORDER BY l_orderkey) AS source_id FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem WHERE l_quantity >= 50) GROUP BY l_suppkey)"
+SOURCED = "X AS (SELECT 's' || l_suppkey AS id, string_agg(l_orderkey::VARCHAR, '<SEP>' ORDER BY l_orderkey) AS source_id FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem) GROUP BY l_suppkey)"
 CALLS = """L AS (
   SELECT event_id, user_id, event_type AS phase, ts, value AS sec, json_extract_string(props, '$.k')::BIGINT AS tokens_in, json_extract_string(props, '$.k')::BIGINT * 2 AS tokens_out,
     json_extract_string(props, '$.k')::BIGINT + 5 AS tokens_emb, CASE WHEN event_type = 'error' THEN 'failed' END AS error FROM events
