@@ -190,8 +190,11 @@ def title_of(path: Column) -> Column:
 
 
 def large_number(n: Column) -> Column:
-    """Amounts in trillions and hundred millions."""
-    return F.when(n.isNull(), "N/A").when(n >= 1e12, F.concat(F.format_string("%.2f", n / 1e12), F.lit(TRILLION))).when(n >= 1e8, F.concat(F.format_string("%.2f", n / 1e8), F.lit(HUNDRED_MILLION))).otherwise(F.format_number(n, 0))
+    """Amounts in trillions and hundred millions, rounded by their binary value (format_number does, format_string not)."""
+    def units(size: float, name: str) -> Column:
+        return F.concat(F.replace(F.format_number(n / size, 2), F.lit(","), F.lit("")), F.lit(name))
+
+    return F.when(n.isNull(), "N/A").when(n >= 1e12, units(1e12, TRILLION)).when(n >= 1e8, units(1e8, HUNDRED_MILLION)).otherwise(F.format_number(n, 0))
 
 
 def filled(template: str, values: dict[str, Column]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -87,9 +89,13 @@ def glyph_count(spark, sf):
     return rows.withColumn("needs_ocr", F.col("n") > 10)
 
 
-@query("footer_scrub", "SELECT doc_id, md5(trim(text)) AS digest FROM documents")
+NOISY = "CASE doc_id % 3 WHEN 0 THEN text || ' 사원번호 : 123 x' || chr(10) || 'y 이 문서는 SK케미칼 보안문서로서 외부반출을 금지합니다. ' WHEN 1 THEN left(text, 50) || '사원번호: ' || doc_id || ' 이 문서는 SK케미칼 보안문서로서 외부반출을 금지합니다' || substr(text, 51) ELSE text END"
+
+
+@query("footer_scrub", rf"SELECT doc_id, md5(trim(regexp_replace({NOISY}, '(?s)사원번호\s*:\s*\d+.*?이 문서는 SK케미칼 보안문서로서 외부반출을 금지합니다\.?', '', 'g'), ' ')) AS digest FROM documents")
 def footer_scrub(spark, sf):
-    noisy = F.concat("text", F.lit(" 사원번호 : 123 x\ny 이 문서는 SK케미칼 보안문서로서 외부반출을 금지합니다. "))
+    """Texts with a footer at the end, with one in the middle, and without."""
+    noisy = F.expr(NOISY.replace("chr(10)", "char(10)").replace("|| doc_id ||", "|| cast(doc_id as string) ||"))
     return docs(spark, sf).select("doc_id", F.md5(text.without_footer(noisy)).alias("digest"))
 
 
@@ -106,21 +112,38 @@ def source_names(spark, sf):
     return x.t(spark, sf, "supplier").select("s_suppkey", F.array_join(F.array_sort(text.source_names(p)), "|").alias("names"))
 
 
-@query("appendix_match")
+@query("appendix_match", """WITH A AS (SELECT c_custkey AS id, c_custkey % 7 AS k, CASE c_custkey % 3 WHEN 0 THEN '별지' WHEN 1 THEN '별표' ELSE '장부' END AS kind, c_custkey % 4 = 3 AS alone FROM customer),
+    L AS (SELECT *, unnest(['별지 1.pdf', '별지 제3호.pdf', '별표 2', '별표제5호.PDF', '장부.pdf', '']) AS name, unnest(range(6)) AS place FROM A),
+    M AS (SELECT *, lower(replace(name, '.pdf', '')) AS low FROM L)
+    SELECT id, coalesce(string_agg(name, ', ' ORDER BY place) FILTER (name <> '' AND CASE WHEN alone THEN contains(low, kind)
+      ELSE contains(low, kind || ' ' || k) OR contains(low, kind || ' 제' || k || '호') OR contains(low, kind || k) OR contains(low, kind || '제' || k || '호') END), '') AS matched FROM M GROUP BY id""")
 def appendix_match(spark, sf):
-    rows = values(spark, [(1, "별지 제3호 서식 참조", ["별지 제3호.pdf", "별표 2.pdf"]), (2, "(별표) 참고", ["별표 2.pdf", "장부.pdf"]), (3, "없음", ["별지.pdf"])], "id int, content string, appendices array<string>")
-    return rows.select("id", text.matched_appendices(F.col("content"), F.col("appendices")).alias("matched"))
+    k = F.col("c_custkey")
+    kind = F.element_at(F.array(*map(F.lit, ("별지", "별표", "장부"))), (k % 3 + 1).cast("int"))
+    said = F.when(k % 4 == 3, F.concat(F.lit("그 외는 ("), kind, F.lit(") 참고"))).otherwise(F.concat(F.lit("아래 "), kind, F.lit(" 제 "), (k % 7).cast("string"), F.lit("호 서식 참조")))
+    listed = F.array(*map(F.lit, ("별지 1.pdf", "별지 제3호.pdf", "별표 2", "별표제5호.PDF", "장부.pdf", "")))
+    return x.t(spark, sf, "customer").select(k.alias("id"), text.matched_appendices(said, listed).alias("matched"))
 
 
-@query("json_repair")
+@query("json_repair", """SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS n, CASE c_custkey % 6 WHEN 0 THEN c_custkey WHEN 1 THEN c_custkey WHEN 2 THEN c_nationkey END AS first FROM customer""")
 def json_repair(spark, sf):
-    rows = values(spark, [(1, '```json\n[{"a": 1}]\n```'), (2, 'well: [{"a": 2}] done'), (3, '{"a": 3}'), (4, "no"), (5, None)], "id int, raw string")
-    return rows.select("id", F.size(text.json_array(F.col("raw"), "array<struct<a:int>>")).alias("n"))
-
-
-@query("number_format", """SELECT o_orderkey, CASE WHEN v >= 1e12 THEN printf('%.2f', v / 1e12) || '조' WHEN v >= 1e8 THEN printf('%.2f', v / 1e8) || '억' END AS shown FROM (SELECT o_orderkey, floor(o_totalprice / 1000) * 1e10 AS v FROM orders WHERE o_totalprice >= 1000)""")
+    """Answers with a fence, in prose, with words around, without an array, broken and missing."""
+    k, n = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    ways = [
+        F.concat(F.lit('```json\n[{"a": '), k, F.lit("}]\n```")), F.concat(F.lit('[{"a": '), k, F.lit('}, {"a": '), n, F.lit("}]")), F.concat(F.lit('well: [{"a": '), n, F.lit("}] done")),
+        F.concat(F.lit('{"a": '), k, F.lit("}")), F.concat(F.lit('so [{"a": '), k), F.lit(None).cast("string"),
+    ]
+    raw = F.lit(None).cast("string")
+    for place, way in enumerate(ways):
+        raw = F.when(F.col("c_custkey") % 6 == place, way).otherwise(raw)
+    found = text.json_array(raw, "array<struct<a:int>>")
+    return x.t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.size(found).alias("n"), F.get(found, 0)["a"].alias("first"))
+
+
+@query("number_format", """SELECT o_orderkey, CASE WHEN v >= 1e12 THEN printf('%.2f', v / 1e12) || '조' WHEN v >= 1e8 THEN printf('%.2f', v / 1e8) || '억' ELSE format('{:,}', v::BIGINT) END AS shown FROM (SELECT o_orderkey, floor(o_totalprice) * CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1e4 ELSE 1e8 END::DOUBLE AS v FROM orders)""")
 def number_format(spark, sf):
-    return x.t(spark, sf, "orders").where("o_totalprice >= 1000").select("o_orderkey", text.large_number(F.floor(F.col("o_totalprice") / 1000) * F.lit(1e10)).alias("shown"))
+    scale = F.when(F.col("o_orderkey") % 3 == 0, 1.0).when(F.col("o_orderkey") % 3 == 1, 1e4).otherwise(1e8)
+    return x.t(spark, sf, "orders").select("o_orderkey", text.large_number(F.floor("o_totalprice").cast("double") * scale).alias("shown"))
 
 
 @query("preview_bar", """SELECT doc_id, CASE WHEN length(replace(text, chr(10), ' | ')) > 40 THEN left(replace(text, chr(10), ' | '), 40) || '...' ELSE replace(text, chr(10), ' | ') END AS preview,
@@ -177,13 +200,24 @@ def prefix_sums(spark, sf):
     return sections(spark, sf).select("doc_id", "pos", F.round(F.sum("l_quantity").over(over), 4).alias("running"))
 
 
-@query("even_split")
+#: Ranges of at most 60 by the cuts that come nearest to equal shares.
+EVEN = """I AS (SELECT doc_id, pos, l_quantity::BIGINT AS n_tokens, row_number() OVER w - 1 AS i, sum(l_quantity::BIGINT) OVER w AS upto, sum(l_quantity::BIGINT) OVER (PARTITION BY doc_id) AS total, count(*) OVER (PARTITION BY doc_id) AS n FROM A WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    G AS (SELECT doc_id, n, total, unnest(range(1, ceil(total / 60.0)::BIGINT)) AS t, ceil(total / 60.0)::BIGINT AS k FROM (SELECT DISTINCT doc_id, n, total FROM I) WHERE total > 60),
+    J AS (SELECT G.doc_id, G.n, G.t, t * total / k::DOUBLE AS goal, j, sums FROM G JOIN (SELECT doc_id, i + 1 AS j, upto AS sums FROM I UNION ALL SELECT DISTINCT doc_id, 0, 0 FROM I) P ON P.doc_id = G.doc_id),
+    W AS (SELECT doc_id, n, t, least(n - 1, CASE WHEN goal - max_by(sums, j) FILTER (sums < goal) < min_by(sums, j) FILTER (sums >= goal) - goal THEN max(j) FILTER (sums < goal) ELSE min(j) FILTER (sums >= goal) END) AS wanted, goal FROM J GROUP BY doc_id, n, t, goal),
+    K AS (SELECT doc_id, n, t + max(greatest(wanted - t, 0)) OVER (PARTITION BY doc_id ORDER BY t) AS cut FROM W)"""
+
+
+@query("even_split", x.given(SECTIONED, EVEN) + "SELECT I.doc_id, I.pos::BIGINT AS pos, n_tokens, count(K.cut) AS part FROM I LEFT JOIN K ON K.doc_id = I.doc_id AND K.cut <= i AND K.cut < K.n GROUP BY ALL")
 def even_split(spark, sf):
     rows = sections(spark, sf).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("l_quantity").cast("long").alias("n_tokens"))
     return chunking.even_split(rows, 60)
 
 
-@query("heading_stack")
+@query("heading_stack", x.given(SECTIONED) + """, T AS (SELECT doc_id, pos, CASE WHEN header <> 'N' THEN level + CASE header WHEN 'R' THEN 1 ELSE 0 END END AS level, header || '-' || pos AS text FROM A),
+    H AS (SELECT T.doc_id, T.pos, h.level, h.text FROM T JOIN T h ON h.doc_id = T.doc_id AND h.pos <= T.pos AND h.level IS NOT NULL
+      WHERE NOT EXISTS (SELECT 1 FROM T g WHERE g.doc_id = T.doc_id AND g.pos > h.pos AND g.pos <= T.pos AND g.level <= h.level))
+    SELECT T.doc_id, T.pos::BIGINT AS pos, coalesce(string_agg(H.text, ' > ' ORDER BY H.level), '') AS path FROM T LEFT JOIN H ON H.doc_id = T.doc_id AND H.pos = T.pos GROUP BY T.doc_id, T.pos""")
 def heading_stack(spark, sf):
     rows = sections(spark, sf).select("doc_id", F.col("pos").cast("long").alias("pos"), F.when(F.col("header") != "N", F.col("level") + F.when(F.col("header") == "R", 1).otherwise(0)).alias("level"), F.concat_ws("-", "header", F.col("pos").cast("string")).alias("text"))
     return chunking.heading_stack(rows).select("doc_id", "pos", text.context_path(F.col("headings")).alias("path"))
@@ -297,17 +331,16 @@ def summary_inject(spark, sf):
     return x.t(spark, sf, "orders").join(summaries, "o_custkey", "left").select("o_orderkey", text.with_summary(F.col("summary"), F.col("o_orderpriority")).alias("text"))
 
 
-PICTURES = "VALUES (1, 1, 10, 0.0::DOUBLE, 0.0::DOUBLE, 10.0::DOUBLE, 10.0::DOUBLE), (1, 1, 11, 8.0, 8.0, 18.0, 18.0), (1, 2, 12, 0.0, 0.0, 4.0, 4.0), (2, 1, 13, 1.0, 1.0, 3.0, 3.0)"
-TABLES_ = "VALUES (1, 1, 20, 0.0::DOUBLE, 0.0::DOUBLE, 12.0::DOUBLE, 12.0::DOUBLE), (1, 2, 21, 3.0, 3.0, 9.0, 9.0), (2, 1, 22, 0.0, 0.0, 9.0, 9.0)"
+#: Pictures are parts, tables are suppliers, on four pages of fifty documents.
+PICTURES = "SELECT p_partkey % 50 AS doc_id, p_size % 4 AS page, p_partkey AS id, (p_partkey % 9)::DOUBLE AS l, (p_size % 7)::DOUBLE AS t, (p_partkey % 9 + p_size % 5)::DOUBLE AS r, (p_size % 7 + 4)::DOUBLE AS b FROM part"
+TABLES_ = "SELECT s_suppkey % 50 AS doc_id, s_nationkey % 4 AS page, s_suppkey AS id, (s_suppkey % 6)::DOUBLE AS l, (s_nationkey % 3)::DOUBLE AS t, (s_suppkey % 6 + 7)::DOUBLE AS r, (s_nationkey % 3 + 6)::DOUBLE AS b FROM supplier"
 
 
-@query("picture_in_table", f"""WITH P(doc_id, page, id, l, t, r, b) AS ({PICTURES}), T(doc_id, page, id, l, t, r, b) AS ({TABLES_}),
-    J AS (SELECT P.doc_id, P.id AS picture_id, T.id AS table_id, greatest(least(P.r, T.r) - greatest(P.l, T.l), 0) * greatest(least(P.b, T.b) - greatest(P.t, T.t), 0) / ((P.r - P.l) * (P.b - P.t)) AS share FROM P JOIN T ON P.doc_id = T.doc_id AND P.page = T.page)
+@query("picture_in_table", f"""WITH P AS ({PICTURES}), T AS ({TABLES_}),
+    J AS (SELECT P.doc_id, P.id AS picture_id, T.id AS table_id, CASE WHEN P.r > P.l AND P.b > P.t THEN greatest(least(P.r, T.r) - greatest(P.l, T.l), 0) * greatest(least(P.b, T.b) - greatest(P.t, T.t), 0) / ((P.r - P.l) * (P.b - P.t)) ELSE 0 END AS share FROM P JOIN T ON P.doc_id = T.doc_id AND P.page = T.page)
     SELECT doc_id, picture_id, table_id, round(share, 6) AS share FROM J WHERE share > 0.5""")
 def picture_in_table(spark, sf):
-    names = "doc_id, page, id, l, t, r, b"
-    p, t = (spark.sql(f"SELECT * FROM {v.replace('::DOUBLE', 'D')} AS v({names})") for v in (PICTURES, TABLES_))
-    p, t = (d.select("doc_id", "page", "id", *[F.col(c).cast("double").alias(c) for c in "ltrb"]) for d in (p, t))
+    p, t = (x.t(spark, sf, name).selectExpr(*re.sub(r"\(([^()]*)\)::DOUBLE", r"cast(\1 as double)", sql).removeprefix("SELECT ").removesuffix(f" FROM {name}").split(", ")) for name, sql in (("part", PICTURES), ("supplier", TABLES_)))
     return chunking.pictures_in_tables(p, t)
 
 

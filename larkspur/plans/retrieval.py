@@ -74,7 +74,9 @@ def pairwise(spark, sf):
     return hits.where("query_id <> id").select(F.col("query_id").alias("a"), F.col("id").alias("b"), "score")
 
 
-@query("bq_rescore")
+@query("bq_rescore", """WITH Z AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score,
+      list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: CASE WHEN (q.embedding[i] > 0) <> (e.embedding[i] > 0) THEN 1 ELSE 0 END))::INTEGER AS distance FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0),
+    R AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM Z) SELECT query_id, id, score, distance, rank::INTEGER AS rank FROM R WHERE rank <= 10""")
 def bq_rescore(spark, sf):
     return vectors.rescored(probes(spark, sf), corpus(spark, sf), 10)
 
@@ -230,7 +232,10 @@ def rerank(spark, sf):
     return out.select("query_id", "id", F.round("rerank_score", 6).alias("score"), F.col("rerank_rank").alias("rank"))
 
 
-@query("cross_encoder_rerank")
+@query("cross_encoder_rerank", rf"""WITH {TWO}, C AS (SELECT DISTINCT query_id, id FROM LISTS),
+    W AS (SELECT query_id, id, list_distinct(regexp_extract_all(lower(b.text), '[\p{{L}}\p{{N}}_]+')) AS q, list_distinct(regexp_extract_all(lower(d.text), '[\p{{L}}\p{{N}}_]+')) AS t FROM C JOIN benchmark b ON item_id = query_id JOIN documents d ON doc_id = id),
+    S AS (SELECT query_id, id, round(CASE WHEN len(q) > 0 AND len(t) > 0 THEN len(list_intersect(q, t)) / sqrt(len(q) * len(t)) ELSE 0 END, 9) AS rerank_score FROM W),
+    R AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, id) AS rerank_rank FROM S) SELECT query_id, id, rerank_score, rerank_rank::INTEGER AS rerank_rank FROM R WHERE rerank_rank <= 4""")
 def cross_encoder(spark, sf):
     hits = two_lists(spark, sf).select("query_id", "id").distinct().join(items(spark, sf), "query_id").join(docs(spark, sf).select("id", "text"), "id")
     return fusion.reranked(hits, models.scored(F.col("query"), F.col("text")), 0.0, 4).select("query_id", "id", "rerank_score", "rerank_rank")
@@ -243,23 +248,37 @@ def context_pack(spark, sf):
     return fusion.context(hits, ["query_id"], ["rank"])
 
 
-@query("semantic_cache_lookup", f"""WITH {COS}, K AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM Z WHERE id <> query_id AND label <> 5)
-    SELECT query_id AS request_id, round(greatest(score, 0), 6) AS best_score, score >= 0.4 AS hit, CASE WHEN score >= 0.4 THEN 'label ' || label END AS answer FROM K WHERE n = 1""")
+@query("semantic_cache_lookup", f"""WITH {COS}, K AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM Z WHERE id % 50 <> 0 AND label <> 5),
+    Q AS (SELECT DISTINCT query_id FROM Z)
+    SELECT Q.query_id AS request_id, round(greatest(coalesce(score, 0), 0), 6) AS best_score, coalesce(score >= 0.4, false) AS hit, CASE WHEN score >= 0.4 THEN 'label ' || label END AS answer FROM Q LEFT JOIN K ON K.query_id = Q.query_id AND n = 1""")
 def cache_lookup(spark, sf):
+    """The stated queries among the entries of all other rows; those of label 5 have no answer."""
     rows = corpus(spark, sf)
-    # an entry must not answer its own request: each request is asked of the others' entries
-    hits = vectors.search(probes(spark, sf), rows.where("label <> 5"), 1, exclude_self=True).join(rows.select("id", F.concat(F.lit("label "), F.col("label").cast("string")).alias("answer")), "id")
-    score = F.greatest("score", F.lit(0.0))
-    return hits.select(F.col("query_id").alias("request_id"), F.round(score, 6).alias("best_score"), (score >= 0.4).alias("hit"), F.when(score >= 0.4, F.col("answer")).alias("answer"))
+    answer = F.when(F.col("label") != 5, F.concat(F.lit("label "), F.col("label").cast("string")))
+    entries = rows.where("id % 50 <> 0").select("id", "vector", answer.alias("answer"))
+    return cache.lookup(rows.where("id % 50 = 0").select(F.col("id").alias("request_id"), "vector"), entries, 0.4)
 
 
-@query("semantic_cache_exact", "SELECT vec_id AS request_id, 1.0::DOUBLE AS best_score, true AS hit, 'a' || vec_id AS answer FROM embeddings WHERE vec_id % 50 = 0")
+@query("semantic_cache_exact", """WITH Z AS (SELECT q.vec_id AS request_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0),
+    R AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) AS n FROM Z) SELECT request_id, round(greatest(score, 0), 6) AS best_score, score >= 0.85 AS hit, CASE WHEN score >= 0.85 THEN 'a' || id END AS answer FROM R WHERE n = 1""")
 def cache_exact(spark, sf):
     rows = corpus(spark, sf)
     entries = rows.select("id", "vector", F.concat(F.lit("a"), F.col("id").cast("string")).alias("answer"))
     return cache.lookup(rows.where("id % 50 = 0").select(F.col("id").alias("request_id"), "vector"), entries, 0.85)
 
 
+@query("cache_same_dimension", f"""WITH {COS}, K AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM Z WHERE id % 3 <> 0)
+    SELECT query_id AS request_id, round(greatest(score, 0), 6) AS best_score, (SELECT count(*) FROM embeddings WHERE vec_id % 3 = 0) AS n_aside FROM K WHERE n = 1""")
+def cache_dimension(spark, sf):
+    """Entries of another length, every third here, are set aside."""
+    rows = corpus(spark, sf)
+    entries = rows.select("id", F.when(F.col("id") % 3 == 0, F.slice("vector", 1, 8)).otherwise(F.col("vector")).alias("vector"), F.lit("a").alias("answer"))
+    size = len(rows.select("vector").first()["vector"])
+    usable, aside = cache.same_dimension(entries, size)
+    found = cache.lookup(rows.where("id % 50 = 0").select(F.col("id").alias("request_id"), "vector"), usable, 0.85)
+    return found.select("request_id", "best_score").crossJoin(F.broadcast(aside.agg(F.count("*").alias("n_aside"))))  # one row
+
+
 @query("cache_store_upsert", """
     WITH U AS (SELECT lang || '/' || source AS query, doc_id AS created_at, n_chars AS cost, 0 AS age FROM documents UNION ALL SELECT lang || '/' || source, doc_id, 0, 1 FROM documents WHERE lang = 'de')
     SELECT left(md5(query), 12) AS key, query, cost::BIGINT AS cost FROM (SELECT *, row_number() OVER (PARTITION BY left(md5(query), 12) ORDER BY age DESC, created_at DESC) AS n FROM U) WHERE n = 1""")
