@@ -4,40 +4,130 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-#: Distinct words in either of a worker's two generations: a full one becomes the
-#: older, from which words still in use come back without being learned again.
+import numpy as np
+
+#: Distinct words that a worker remembers; beyond it only those of the latest texts stay.
 WORD_CACHE = 600_000
+#: Bytes that are hashed at once.
+BLOCK = 1 << 20
+#: A random odd value for each byte of a word; words end at spaces and line feeds.
+VALUES = np.random.default_rng(20240517).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BREAK = np.isin(np.arange(256), [10, 32])
+BASE = 0x9E3779B97F4A7C15 | 5
+
+
+class Powers:
+    """Powers of BASE and of its inverse modulo 2^64."""
+
+    up = np.ones(0, np.uint64)
+    down = np.ones(0, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            made = []
+            for base in (BASE, pow(BASE, -1, 1 << 64)):
+                factors = np.full(n, base, np.uint64)
+                factors[0] = 1
+                made.append(np.cumprod(factors, dtype=np.uint64))
+            cls.up, cls.down = made
+        return cls.up, cls.down
+
+
+def finished(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(29)
+
+
+def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and stop of every word of a text, in order.
+
+    The hash is a polynomial of the bytes, taken block by block; a word that goes over
+    the end of a block adds up what it has in each.
+    """
+    data = np.frombuffer(raw, np.uint8)
+    inside = ~BREAK[data]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, stop = edges[::2], edges[1::2]
+    total = np.zeros(len(start), np.uint64)
+    for at in range(0, len(data), BLOCK):
+        end = min(at + BLOCK, len(data))
+        first, last = np.searchsorted(stop, at, side="right"), np.searchsorted(start, end)
+        if first == last:
+            continue
+        up, down = Powers.of(end - at)
+        sums = np.zeros(end - at + 1, np.uint64)
+        np.cumsum(VALUES[data[at:end]] * up[: end - at], out=sums[1:])
+        a, b = np.maximum(start[first:last], at) - at, np.minimum(stop[first:last], end) - at
+        part = (sums[b] - sums[a]) * down[a]
+        if start[first] < at:  # the rest of a word: its first byte has the power of its place in the word
+            part[0] = np.uint64(int(part[0]) * pow(BASE, at - int(start[first]), 1 << 64) % (1 << 64))
+        total[first:last] += part
+    # the length tells words apart that differ by bytes of a value that is a multiple of a power
+    return finished(total ^ (stop - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), start, stop
 
 
 class WordMemo:
     """Maps whole texts to bytes, word by word.
 
-    ``learn`` gives the bytes of many space-separated words at once. A word here
-    is what stands between spaces or line feeds; ``learn`` deals with whatever
-    else it holds, so that the bytes of a text are those of its words in turn.
+    ``learn`` gives the bytes of many space-separated words at once, a multiple of four
+    for each. A word here is what stands between spaces or line feeds; ``learn`` deals
+    with whatever else it holds, so that the bytes of a text are those of its words in
+    turn. Words are told apart by 64-bit hashes, and their bytes lie in one array, from
+    which those of many texts are taken at once.
     """
 
     def __init__(self, learn: Callable[[list[str]], list[bytes]], cache: int = WORD_CACHE):
-        self.learn, self.cache, self.known, self.older = learn, cache, {"": b""}, {}
+        self.learn, self.cache = learn, cache
+        self._keep(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32))
+
+    def _keep(self, keys: np.ndarray, first: np.ndarray, size: np.ndarray, store: np.ndarray) -> None:
+        self.keys, self.first, self.size, self.store = keys, first, size, store
+
+    def _add(self, keys: np.ndarray, found: list[bytes]) -> None:
+        """Remembers the bytes of new words, by sorted keys."""
+        size = np.array([len(x) for x in found], np.int64) // 4
+        first = len(self.store) + np.cumsum(size) - size
+        at = np.searchsorted(self.keys, keys)
+        self._keep(np.insert(self.keys, at, keys), np.insert(self.first, at, first), np.insert(self.size, at, size), np.append(self.store, np.frombuffer(b"".join(found), np.uint32)))
+
+    def _trim(self, used: np.ndarray) -> None:
+        """Forgets all words but those at ``used``."""
+        size = self.size[used]
+        store = self.store[_places(self.first[used], size)]
+        self._keep(self.keys[used], np.cumsum(size) - size, size, store)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.cache:
-            self.known, self.older = {"": b""}, self.known
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        out: list[bytes | None] = []
-        known, missing = self.known, set()
-        for words in split:
-            try:
-                out.append(b"".join([known[w] for w in words]))
-            except KeyError:
-                out.append(None)
-                missing.update([w for w in words if w not in known])
-        if missing:
-            older = self.older
-            known |= {w: older[w] for w in missing if w in older}
-            new = [w for w in missing if w not in older]
-            known |= dict(zip(new, self.learn(new), strict=True))
-        return [b"".join([known[w] for w in words]) if x is None else x for x, words in zip(out, split, strict=True)]
+        parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+        raw = b"\n".join(parts)
+        hashes, start, stop = word_spans(raw)
+        order = np.argsort(hashes)
+        ranked = hashes[order]
+        new = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.empty(0, np.int64)
+        keys = ranked[new]
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        missing = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(missing):
+            some = order[new[missing]]
+            words = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[some].tolist(), stop[some].tolist(), strict=True)]
+            self._add(keys[missing], self.learn(words))
+        place = np.searchsorted(self.keys, keys)
+        number = np.empty(len(hashes), np.int64)
+        number[order] = np.repeat(place, np.diff(np.append(new, len(ranked))))
+        size = self.size[number]
+        out = self.store[_places(self.first[number], size)].tobytes()
+        # where the words of each text begin, then their bytes
+        ends = np.cumsum([len(p) + 1 for p in parts]) if parts else np.empty(0, np.int64)
+        upto = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(start, ends)].tolist()
+        if len(self.keys) > self.cache:
+            self._trim(place)
+        return [out[4 * a : 4 * b] for a, b in zip([0, *upto[:-1]], upto, strict=True)] if parts else []
+
+
+def _places(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of runs, one after another."""
+    ends = np.cumsum(size)
+    return np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 def slices(texts: list[str], rows: int = 256, chars: int = 4_000_000):

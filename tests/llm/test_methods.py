@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from larkspur.llm import language, mpeg, ngrams, simhash, toxicity, urls, wrappers
+from larkspur.llm import language, mpeg, ngrams, simhash, toxicity, urls, words, wrappers
 
 # ---- op1
 
@@ -311,3 +311,26 @@ def test_palettes_round_down(p):
     assert len(values) <= 256 and (values[codes] <= np.array(p)).all()
     if len(set(p)) <= 256:
         assert (values[codes] == np.array(p)).all()
+
+
+# ---- words
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list("abé \n\t日Z")), max_size=40), max_size=5), st.integers(1, 60))
+def test_memo_equals_word_by_word(texts, cache):
+    memo = words.WordMemo(lambda new: [w.encode("utf-32-le") for w in new], cache)
+    want = ["".join(t.replace("\n", " ").split(" ")).encode("utf-32-le") for t in texts]
+    assert memo.encode(texts) == want == memo.encode(texts)
+    assert len(memo.keys) <= max(cache, len({w for t in texts for w in t.replace("\n", " ").split(" ")}))
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 64])
+def test_spans_do_not_depend_on_blocks(monkeypatch, block):
+    raw = "ab  cde\nfgh é 日本語 x".encode() + b"y" * 200 + b" z " + b"q" * 64
+    whole = words.word_spans(raw)
+    monkeypatch.setattr(words, "BLOCK", block)
+    assert all((a == b).all() for a, b in zip(words.word_spans(raw), whole, strict=True))
+    alone = [words.word_spans(raw[a:b])[0][0] for a, b in zip(*(x.tolist() for x in whole[1:]), strict=True)]
+    assert alone == whole[0].tolist() and len(set(alone)) == len(alone)
+    assert words.word_spans(b"")[0].tolist() == [] == words.word_spans(b" \n ")[0].tolist()
