@@ -36,6 +36,8 @@ PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+
 UNUSUAL = regex.compile(r"[\x00-\x08\x0e-\x1f\x7f-\xa0<\u03a3\u0130\p{M}]|[^\x00-\u024f]")
 
 
+#: Pre-tokens that a worker remembers.
+PIECE_CACHE = 600_000
 #: Letters up to here have one lower-case form each, but for U+0130.
 LATIN = "\u024f"
 
@@ -68,7 +70,7 @@ class WordEncoder(WordMemo):
 
     def __init__(self, path: str, cache: int = WORD_CACHE):
         super().__init__(self._learn, cache)
-        self.path, self.pieces = path, {}
+        self.path, self.pieces, self.most = path, {}, min(cache, PIECE_CACHE)
         self.ends: np.ndarray | None = None
 
     def _slow(self, words: list[str]) -> list[bytes]:
@@ -93,7 +95,7 @@ class WordEncoder(WordMemo):
 
     def _learn(self, words: list[str]) -> list[bytes]:
         """Ids of each word, as bytes: little-endian unsigned 32-bit numbers."""
-        if len(self.pieces) > self.cache:
+        if len(self.pieces) > self.most:
             self.pieces = {}
         odd = [w for w in words if not w.isascii() and (max(w) > LATIN or "\u0130" in w) or not w[:-1].isalpha() and UNUSUAL.search(w)]
         slow = dict(zip(odd, self._slow(odd), strict=True))

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Distinct words that a worker remembers; beyond it only those of the latest texts stay.
-WORD_CACHE = 600_000
+#: Distinct words that a worker remembers, at some 30 bytes each; beyond it only those of the latest texts stay.
+WORD_CACHE = 2_000_000
 #: Bytes that are hashed at once.
 BLOCK = 1 << 20
 #: A random odd value for each byte of a word; words end at spaces and line feeds.
@@ -79,23 +79,27 @@ class WordMemo:
 
     def __init__(self, learn: Callable[[list[str]], list[bytes]], cache: int = WORD_CACHE):
         self.learn, self.cache = learn, cache
-        self._keep(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32))
-
-    def _keep(self, keys: np.ndarray, first: np.ndarray, size: np.ndarray, store: np.ndarray) -> None:
-        self.keys, self.first, self.size, self.store = keys, first, size, store
+        # sorted hashes and the number of each, then by number the place of its bytes; numbers are given as words come
+        self.keys, self.number = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.first, self.size, self.store = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.uint32)
 
     def _add(self, keys: np.ndarray, found: list[bytes]) -> None:
         """Remembers the bytes of new words, by sorted keys."""
         size = np.array([len(x) for x in found], np.int64) // 4
-        first = len(self.store) + np.cumsum(size) - size
         at = np.searchsorted(self.keys, keys)
-        self._keep(np.insert(self.keys, at, keys), np.insert(self.first, at, first), np.insert(self.size, at, size), np.append(self.store, np.frombuffer(b"".join(found), np.uint32)))
+        self.number = np.insert(self.number, at, np.arange(len(self.size), len(self.size) + len(keys), dtype=np.int32))
+        self.keys = np.insert(self.keys, at, keys)
+        self.first = np.append(self.first, len(self.store) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size.astype(np.int32))
+        self.store = np.append(self.store, np.frombuffer(b"".join(found), np.uint32))
 
     def _trim(self, used: np.ndarray) -> None:
-        """Forgets all words but those at ``used``."""
-        size = self.size[used]
-        store = self.store[_places(self.first[used], size)]
-        self._keep(self.keys[used], np.cumsum(size) - size, size, store)
+        """Forgets all words but those at ``used`` of the sorted ones."""
+        number = self.number[used]
+        size = self.size[number].astype(np.int64)
+        self.store = self.store[_places(self.first[number], size)]
+        self.keys, self.number = self.keys[used], np.arange(len(used), dtype=np.int32)
+        self.first, self.size = np.cumsum(size) - size, size.astype(np.int32)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.encode("utf-8", "surrogatepass") for t in texts]
@@ -112,9 +116,9 @@ class WordMemo:
             words = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[some].tolist(), stop[some].tolist(), strict=True)]
             self._add(keys[missing], self.learn(words))
         place = np.searchsorted(self.keys, keys)
-        number = np.empty(len(hashes), np.int64)
-        number[order] = np.repeat(place, np.diff(np.append(new, len(ranked))))
-        size = self.size[number]
+        number = np.empty(len(hashes), np.int32)
+        number[order] = np.repeat(self.number[place], np.diff(np.append(new, len(ranked))))
+        size = self.size[number].astype(np.int64)
         out = self.store[_places(self.first[number], size)].tobytes()
         # where the words of each text begin, then their bytes
         ends = np.cumsum([len(p) + 1 for p in parts]) if parts else np.empty(0, np.int64)
