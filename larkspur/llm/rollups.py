@@ -53,7 +53,7 @@ def token_count(text: Column, tokenizer: str) -> Column:
 class RollupStore:
     """Entries and totals below a folder that driver and executors share."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, chain: int = 8, snapshot: int = 32):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 32, chain: int = 8, snapshot: int = 32):
         self.spark, self.path, self.chain, self.snapshot = spark, path.rstrip("/"), chain, snapshot
         jvm = spark.sparkContext._jvm
         self._at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
