@@ -248,12 +248,17 @@ def split_pieces(text: Column, most: int) -> Column:
     parts = F.filter(F.split(F.trim(text), r"(?<=[.!?。])\s+|\n+"), lambda x: F.trim(x) != "")
     small = F.flatten(F.transform(parts, lambda x: F.when(size(x) <= most, F.array(F.trim(x))).otherwise(F.transform(windows(F.filter(F.split(x, r"\s+"), lambda w: w != ""), most, 0), lambda ws: F.array_join(ws, " ")))))
 
-    def add(held: Column, x: Column) -> Column:
-        last = F.get(held, F.size(held) - 1)
-        fits = (F.size(held) > 0) & (size(last) + size(x) <= most)
-        return F.when(fits, F.concat(F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0))), F.array(F.concat(last, F.lit(" "), x)))).otherwise(F.concat(held, F.array(x)))
+    # each piece with its words, so that none is counted twice
+    sized = F.transform(small, lambda x: F.struct(size(x).alias("n"), x.alias("x")))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("last"), F.lit(0).alias("n"))
+
+    def add(held: Column, p: Column) -> Column:
+        fits = (held["n"] > 0) & (held["n"] + p["n"] <= most)
+        done = F.when(fits | (held["n"] == 0), held["done"]).otherwise(F.concat(held["done"], F.array(held["last"])))
+        last = F.when(fits, F.concat(held["last"], F.lit(" "), p["x"])).otherwise(p["x"])
+        return F.struct(done.alias("done"), last.alias("last"), F.when(fits, held["n"] + p["n"]).otherwise(p["n"]).alias("n"))
 
-    return F.aggregate(small, F.array().cast("array<string>"), add)
+    return F.aggregate(sized, start, add, lambda held: F.when(held["n"] > 0, F.concat(held["done"], F.array(held["last"]))).otherwise(held["done"]))
 
 
 def media_list(pictures: Column) -> Column:

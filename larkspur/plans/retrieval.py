@@ -315,22 +315,30 @@ GRAPH = f"""{x.EA}, NV AS (SELECT count(*) AS nv FROM embeddings), KQ AS (SELECT
     LC AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o_orderkey) AS rank FROM CH JOIN (SELECT DISTINCT query_id AS q, l_orderkey FROM KE JOIN lineitem ON id = 's' || l_suppkey WHERE rank <= 10) ON q = query_id AND l_orderkey = o_orderkey QUALIFY rank <= 20)"""
 
 
-def graph_hits(spark, sf, rows, num, least: float | None = None):
+def graph_hits(spark, sf, rows, num, k: int | None = None, least: float | None = None):
     """Rows with their score for each keyword vector, by the vector of their number.
 
     Rows share vectors, so cosines are taken once a vector and keyword, not once a row.
+    For the best ``k`` rows a keyword only vectors count before which fewer rows than
+    that are nearer.
     """
     v = corpus(spark, sf)
     near = vectors.every_score(probes(spark, sf), v)
     near = (near if least is None else near.where(F.col("score") >= least)).withColumnRenamed("id", "vnum")
-    return rows.withColumn("vnum", num % v.count()).join(near, "vnum")
+    numbered = rows.withColumn("vnum", num % v.count())
+    if k is not None:
+        # scores have nine places
+        nearer = Window.partitionBy("query_id").orderBy(-F.round(F.col("score") * 1e9).cast("long")).rangeBetween(Window.unboundedPreceding, -1)
+        sizes = numbered.groupBy("vnum").agg(F.count("*").alias("n"))
+        near = near.join(sizes, "vnum").withColumn("nearer", F.coalesce(F.sum("n").over(nearer), F.lit(0))).where(F.col("nearer") < k).select("query_id", "vnum", "score")
+    return numbered.join(near, "vnum")
 
 
 def keyword_entities(spark, sf, k: int = 40, least: float = 0.2):
     """(query_id, id, rank): entities nearest to the keywords."""
     s = x.t(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_suppkey").cast("long").alias("num"))
     p = x.t(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), (F.col("p_partkey") + 1_000_000_000).cast("long").alias("num"))
-    hits = graph_hits(spark, sf, s.unionByName(p), F.col("num"), least)
+    hits = graph_hits(spark, sf, s.unionByName(p), F.col("num"), k, least)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "num"))
     return materialise(hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "rank"), "entities")
 
@@ -346,7 +354,7 @@ def local_edges(spark, sf, entities=None):
 
 def global_edges(spark, sf, k: int = 40):
     """Relations nearest to the keywords."""
-    hits = graph_hits(spark, sf, x.all_edges(spark, sf).select("src", "dst", "pos"), F.col("pos"))
+    hits = graph_hits(spark, sf, x.all_edges(spark, sf).select("src", "dst", "pos"), F.col("pos"), k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "pos", "src", "dst"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "src", "dst", F.lit(1).alias("list_id"), "rank")
 
@@ -354,11 +362,12 @@ def global_edges(spark, sf, k: int = 40):
 def chunk_hits(spark, sf, entities=None, k: int = 20):
     """Chunks nearest to the keywords: of all, or of those that the ten nearest entities come from."""
     rows = x.t(spark, sf, "orders").select("o_orderkey")
-    hits = graph_hits(spark, sf, rows, F.col("o_orderkey"))
-    if entities is not None:
+    if entities is None:
+        hits = graph_hits(spark, sf, rows, F.col("o_orderkey"), k)
+    else:
         of = x.t(spark, sf, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("id"), F.col("l_orderkey").alias("o_orderkey"))
-        wanted = entities.where("rank <= 10").join(of, "id").select("query_id", "o_orderkey").distinct()
-        hits = hits.join(wanted, ["query_id", "o_orderkey"], "left_semi")
+        wanted = entities.where("rank <= 10").join(of, "id").select("query_id", "o_orderkey").distinct().withColumnRenamed("query_id", "q")
+        hits = graph_hits(spark, sf, wanted.join(rows, "o_orderkey", "left_semi"), F.col("o_orderkey")).where("q = query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "o_orderkey"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("o_orderkey").cast("string").alias("chunk_id"), "rank")
 

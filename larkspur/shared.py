@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,21 +21,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private one is set only where none is named."""
+    """The cluster's shared folder.
+
+    A private one is set only where none is named and all runs on this machine: on a
+    cluster each executor would write to its own disk.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("no shared folder: set spark.checkpoint.dir to one that the driver and all executors reach")
     own = f"file://{tempfile.mkdtemp(prefix='larkspur-')}"
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Paths that were given out and not yet removed.
+_GIVEN: list[str] = []
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _GIVEN.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _GIVEN[-1]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what was put into the shared folder since its beginning.
+
+    For a job whose results have been written elsewhere or read by then: intermediate
+    tables and models stay as long as some result may still be computed from them.
+    """
+    before = len(_GIVEN)
+    try:
+        yield
+    finally:
+        for path in _GIVEN[before:]:
+            discard(spark, path)
+        del _GIVEN[before:]
 
 
 def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
