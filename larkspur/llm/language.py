@@ -200,9 +200,9 @@ class Parser:
 def fit(labelled: DataFrame, sample_docs: int = 60, sample_chars: int = 40_000, longest: int = 20_000, total_chars: int = 4_000_000) -> Parser:
     """Fits on rows (doc_id, text, lang); rows without text or lang are ignored."""
     usable = labelled.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    ranked = Window.partitionBy("lang").orderBy("hash", "doc_id")
-    ids = usable.select("lang", "doc_id").distinct().withColumn("hash", F.xxhash64(F.col("doc_id").cast("string")))
-    few = ids.withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") <= sample_docs)
+    few = usable.select("lang", "doc_id").distinct().withColumn("hash", F.xxhash64(F.col("doc_id").cast("string"))).withColumn("salt", F.pmod("hash", F.lit(64)))
+    for part in (("lang", "salt"), ("lang",)):  # the smallest of each part, so that a frequent language is no hot key
+        few = few.withColumn("nth", F.row_number().over(Window.partitionBy(*part).orderBy("hash", "doc_id"))).where(F.col("nth") <= sample_docs)
     # only the texts of these are moved; equal doc_ids are told apart by the start of their texts
     chosen = usable.join(F.broadcast(few.select(F.col("lang").alias("l"), F.col("doc_id").alias("d"), "nth")), F.col("lang").eqNullSafe(F.col("l")) & F.col("doc_id").eqNullSafe(F.col("d")))
     ranked = Window.partitionBy("lang").orderBy("nth", "text")
