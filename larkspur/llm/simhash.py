@@ -245,6 +245,19 @@ def grouped(docs: DataFrame, radius: int, blocks: int, shard_size: int) -> tuple
     return prints, owner.select("fp", F.struct(named.alias("id"), F.col("label.fp").alias("fp")).alias("label"))
 
 
+def owned(rows: DataFrame, owner: DataFrame, most: int = 10_000) -> DataFrame:
+    """Rows (fp, ...) with the label of their fingerprint.
+
+    Fingerprints of more than a ``most``-th of all rows, of which there are at most
+    ``most``, are joined by broadcast: a text with many copies is no hot key.
+    """
+    counts = rows.groupBy("fp").agg(F.count("*").alias("n"))
+    total = rows.count()
+    often = materialise(counts.where(F.col("n") > max(500, total // most)).select("fp").join(owner, "fp"), "simhash-often")
+    rest = rows.join(F.broadcast(often.select("fp")), "fp", "left_anti").join(owner, "fp")
+    return rows.join(F.broadcast(often), "fp").unionByName(rest)
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, blocks: int = 6, shard_size: int = 2000) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document.
 
@@ -255,7 +268,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, blocks: int = 6, shard_siz
     table gives none; other columns are ignored.
     """
     prints, owner = grouped(docs, radius, blocks, shard_size)
-    return prints.join(owner, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("label.id").alias("component_id"))
+    return owned(prints, owner).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("label.id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, radius: int = 4, blocks: int = 6, shard_size: int = 2000) -> DataFrame:
@@ -270,7 +283,7 @@ def deduplicated(docs: DataFrame, radius: int = 4, blocks: int = 6, shard_size:
     """
     prints, owner = grouped(docs, radius, blocks, shard_size)
     rows = prints.where("doc_id is not null").groupBy("doc_id", "fp").agg(F.count("*").alias("n"))
-    rows = materialise(rows.join(owner, "fp").select("doc_id", "fp", "n", (F.col("label.id") == F.col("doc_id")).alias("own"), (F.col("label.fp") == F.col("fp")).alias("first")), "simhash-rows")
+    rows = materialise(owned(materialise(rows, "simhash-named-rows"), owner).select("doc_id", "fp", "n", (F.col("label.id") == F.col("doc_id")).alias("own"), (F.col("label.fp") == F.col("fp")).alias("first")), "simhash-rows")
     if rows.groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 1").isEmpty():
         dropped = rows.where("not own").select("doc_id")
         return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)

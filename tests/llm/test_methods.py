@@ -104,6 +104,13 @@ def test_repeated_ids_lose_no_other_text(spark):
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, a), (1, b), (3, c), (None, a)], key=repr)
 
 
+def test_frequent_fingerprints_keep_their_label(spark):
+    rows = [(i, "a b c d e") for i in range(1200)] + [(2000 + i, f"a b c d {i}") for i in range(5)] + [(3000, None)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(got) == len(rows) and {got[i] for i in range(1200)} == {0} and got[3000] == 3000
+    assert simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id < 2000").count() == 1
+
+
 # ---- op3
 
 
