@@ -114,7 +114,7 @@ class Parser:
     def _lookup(self) -> np.ndarray:
         if self.codes is None:
             code = {c: i + 3 for i, c in enumerate(self.alphabet)}
-            self.codes = np.zeros(0x110000, np.int32)
+            self.codes = np.zeros(0x110000, np.min_scalar_type(len(self.alphabet) + 2))  # as narrow as they go
             for point in range(1, 0x110000):
                 char = chr(point)
                 if char.isalpha():
@@ -126,7 +126,7 @@ class Parser:
         """Codes of all texts, runs of SPACE as one, and where each text ends."""
         joined = "\0".join(t.replace("\0", " ") for t in texts) + "\0"
         codes = self._lookup()[np.frombuffer(joined.encode("utf-32-le", "replace"), "<u4")]
-        before = np.concatenate([[END], codes[:-1]])
+        before = np.concatenate([np.array([END], codes.dtype), codes[:-1]])
         codes = codes[(codes != SPACE) | (before > SPACE) & (before != END)]
         ends = np.flatnonzero(codes == END)
         return np.delete(codes, ends), ends - np.arange(len(ends))
@@ -164,7 +164,7 @@ class Parser:
         lengths = np.diff(ends, prepend=0)
         parts = -(-lengths // SEGMENT)
         first = np.concatenate([[0], np.cumsum(parts)[:-1]])
-        grid = np.full(int(parts.sum()) * SEGMENT, END, np.int32)
+        grid = np.full(int(parts.sum()) * SEGMENT, END, codes.dtype)
         at = np.arange(len(codes)) + np.repeat(first * SEGMENT - (ends - lengths), lengths)
         grid[at] = codes
         grid = np.ascontiguousarray(grid.reshape(-1, SEGMENT).T)
@@ -237,7 +237,7 @@ def identify(docs: DataFrame, parser: Parser, fold: int = 2, folds: int = 4) ->
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             names, scores = [], []
-            for start, stop in slices(texts, 2000):
+            for start, stop in slices(texts, 2000, 1_500_000):
                 found = model.value.predict(texts[start:stop])
                 names += found[0]
                 scores.append(found[1])
@@ -260,7 +260,7 @@ def accepted(docs: DataFrame, parser: Parser, most: float = 0.85) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column(column).to_pylist()]
             mask = np.zeros(len(texts), bool)
-            for start, stop in slices(texts, 2000):
+            for start, stop in slices(texts, 2000, 1_500_000):
                 names, _, rates = model.value.predict(texts[start:stop])
                 mask[start:stop] = (rates < most) & np.array([n != UNKNOWN for n in names])
             yield batch.filter(pa.array(mask))

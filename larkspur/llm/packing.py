@@ -37,7 +37,7 @@ UNUSUAL = regex.compile(r"[\x00-\x08\x0e-\x1f\x7f-\xa0<\u03a3\u0130\p{M}]|[^\x00
 
 
 #: Pre-tokens that a worker remembers.
-PIECE_CACHE = 600_000
+PIECE_CACHE = 400_000
 #: Letters up to here have one lower-case form each, but for U+0130.
 LATIN = "\u024f"
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Distinct words that a worker remembers, at some 30 bytes each; beyond it only those of the latest texts stay.
-WORD_CACHE = 2_000_000
+WORD_CACHE = 1_200_000
 #: Bytes that are hashed at once.
 BLOCK = 1 << 20
 #: A random odd value for each byte of a word; words end at spaces and line feeds.
