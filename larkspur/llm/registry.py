@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import decontaminate, language, mpeg, ngrams, packing, rollups, simhash, toxicity, urls, wrappers
+from larkspur.llm import codebooks, decontaminate, language, mpeg, ngrams, packing, rollups, simhash, toxicity, urls, wrappers
 from larkspur.shared import shared_path, table
 
 
@@ -57,6 +57,10 @@ def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -68,10 +72,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_token_rollups": op10_token_rollups,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 SQL: dict[str, str] = {
     "op4_benchmark_decontamination": decontaminate.SQL,
     "op8_url_filters": urls.SQL,
     "op10_token_rollups": rollups.SQL,
+    "op13_vector_codes": codebooks.SQL,
 }
