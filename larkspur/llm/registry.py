@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import codebooks, decontaminate, language, mpeg, ngrams, packing, rollups, simhash, toxicity, urls, wrappers
+from larkspur.llm import codebooks, decontaminate, language, mpeg, ngrams, packing, phrases, rollups, simhash, tokenfiles, toxicity, urls, wrappers
 from larkspur.shared import shared_path, table
 
 
@@ -57,6 +57,14 @@ def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.tokens_of(table(spark, sf_dir, "documents"), shared_path(spark, "token-files"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.compress(table(spark, sf_dir, "embeddings"))
 
@@ -72,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_token_rollups": op10_token_rollups,
+    "op11_token_files": op11_token_files,
+    "op12_phrases": op12_phrases,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -79,5 +89,6 @@ SQL: dict[str, str] = {
     "op4_benchmark_decontamination": decontaminate.SQL,
     "op8_url_filters": urls.SQL,
     "op10_token_rollups": rollups.SQL,
+    "op12_phrases": phrases.SQL,
     "op13_vector_codes": codebooks.SQL,
 }

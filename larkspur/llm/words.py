@@ -39,16 +39,12 @@ def finished(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
-def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and stop of every word of a text, in order.
+def span_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of spans of bytes that follow each other.
 
-    The hash is a polynomial of the bytes, taken block by block; a word that goes over
+    The hash is a polynomial of the bytes, taken block by block; a span that goes over
     the end of a block adds up what it has in each.
     """
-    data = np.frombuffer(raw, np.uint8)
-    inside = ~BREAK[data]
-    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    start, stop = edges[::2], edges[1::2]
     total = np.zeros(len(start), np.uint64)
     for at in range(0, len(data), BLOCK):
         end = min(at + BLOCK, len(data))
@@ -60,11 +56,20 @@ def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         np.cumsum(VALUES[data[at:end]] * up[: end - at], out=sums[1:])
         a, b = np.maximum(start[first:last], at) - at, np.minimum(stop[first:last], end) - at
         part = (sums[b] - sums[a]) * down[a]
-        if start[first] < at:  # the rest of a word: its first byte has the power of its place in the word
+        if start[first] < at:  # the rest of a span: its first byte has the power of its place in the span
             part[0] = np.uint64(int(part[0]) * pow(BASE, at - int(start[first]), 1 << 64) % (1 << 64))
         total[first:last] += part
-    # the length tells words apart that differ by bytes of a value that is a multiple of a power
-    return finished(total ^ (stop - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), start, stop
+    # the length tells spans apart that differ by bytes of a value that is a multiple of a power
+    return finished(total ^ (stop - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and stop of every word of a text, in order."""
+    data = np.frombuffer(raw, np.uint8)
+    inside = ~BREAK[data]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, stop = edges[::2], edges[1::2]
+    return span_hashes(data, start, stop), start, stop
 
 
 class WordMemo:
@@ -101,10 +106,15 @@ class WordMemo:
         self.keys, self.number = self.keys[used], np.arange(len(used), dtype=np.int32)
         self.first, self.size = np.cumsum(size) - size, size.astype(np.int32)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+    def spans(self, parts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All texts as one, hashes, starts and stops of their words, and where each text ends."""
         raw = b"\n".join(parts)
-        hashes, start, stop = word_spans(raw)
+        return raw, *word_spans(raw), np.cumsum([len(p) + 1 for p in parts])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        raw, hashes, start, stop, ends = self.spans([t.encode("utf-8", "surrogatepass") for t in texts])
         order = np.argsort(hashes)
         ranked = hashes[order]
         new = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.empty(0, np.int64)
@@ -121,11 +131,10 @@ class WordMemo:
         size = self.size[number].astype(np.int64)
         out = self.store[_places(self.first[number], size)].tobytes()
         # where the words of each text begin, then their bytes
-        ends = np.cumsum([len(p) + 1 for p in parts]) if parts else np.empty(0, np.int64)
         upto = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(start, ends)].tolist()
         if len(self.keys) > self.cache:
             self._trim(place)
-        return [out[4 * a : 4 * b] for a, b in zip([0, *upto[:-1]], upto, strict=True)] if parts else []
+        return [out[4 * a : 4 * b] for a, b in zip([0, *upto[:-1]], upto, strict=True)]
 
 
 def _places(first: np.ndarray, size: np.ndarray) -> np.ndarray:
