@@ -51,9 +51,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 CUT = re.compile(f"[{BREAKS}]")
 #: Characters of a shard.
-SHARD = 8_000_000
+SHARD = 6_000_000
 #: Bytes of text for each bucket of keys; keys that a task holds before it adds them up.
-BUCKET_BYTES, PENDING = 6_000_000, 4_000_000
+BUCKET_BYTES, PENDING = 6_000_000, 1_500_000
 #: Unequal odd factors for the two sides of a transition.
 LEFT, RIGHT = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
@@ -142,6 +142,23 @@ class Shard:
             keys = extended(whole[ends - 1], own[ends])
             yield keys, ends
 
+    def counted(self, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Sorted keys of a level and their endpos counts, the roots' last."""
+        for keys, _ in self.levels(depth):
+            yield np.unique(keys, return_counts=True)
+        n = np.bincount(self.lang, minlength=len(self.langs))
+        roots = np.concatenate([root_key(x) for x in self.langs])
+        order = np.argsort(roots)
+        yield roots[order][n[order] > 0], n[order][n[order] > 0]
+
+    def runs(self, depth: int, bits: int) -> Iterator[list[tuple[int, bytes]]]:
+        """(bucket, run) of all levels, one level after another, a few at a time."""
+        for keys, counts in self.counted(depth):
+            bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]]).tolist() if len(keys) else [0]
+            for at in range(0, len(edges) - 1, 64):
+                yield [(int(bucket[x]), packed_run(keys[x:y], counts[x:y])) for x, y in zip(edges[at : at + 64], edges[at + 1 : at + 65], strict=False)]
+
     def phrase(self, end: int, words: int) -> str:
         """The words up to and with that at ``end``."""
         picked = self.number[end - words + 1 : end + 1].tolist()
@@ -182,26 +199,18 @@ def shard_runs(docs: DataFrame, path: str, depth: int, bits: int) -> DataFrame:
                     continue
                 no += 1
                 write_arrays(f"{path}/shard-{name}", shard.arrays())
-                found = [np.unique(keys, return_counts=True) for keys, _ in shard.levels(depth)]
-                n = np.bincount(shard.lang, minlength=len(shard.langs))
-                roots = np.concatenate([root_key(x) for x in shard.langs])
-                order = np.argsort(roots[n > 0])
-                found.append((roots[n > 0][order], n[n > 0][order]))
-                out = []
-                for keys, counts in found:  # level by level, so that each run is sorted
-                    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-                    edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]]) if len(keys) else [0]
-                    out += [(int(bucket[x]), name, packed_run(keys[x:y], counts[x:y])) for x, y in zip(edges[:-1], edges[1:], strict=True)]
-                for at in range(0, len(out), 256):
-                    columns = zip(*out[at : at + 256], strict=True)
+                for at in shard.runs(depth, bits):
+                    columns = zip(*((bucket, name, raw) for bucket, raw in at), strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "shard", "run"])
 
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
     return rows.mapInArrow(run, "bucket int, shard long, run binary")
 
 
-def added(keys: np.ndarray, counts: np.ndarray, shards: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of counts by key, with one of the key's shards, spread over them all."""
+def added(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the counts of runs (keys, counts, shards) by key, with one of the key's shards, spread over them all."""
+    keys, counts, shards = (np.concatenate(c) for c in zip(*runs, strict=True))
+    runs.clear()
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
@@ -219,17 +228,18 @@ def frequent(runs: DataFrame, least: int) -> DataFrame:
                 yield from zip(*(batch.column(c).to_pylist() for c in ("bucket", "shard", "run")), strict=True)
 
         for _, group in groupby(rows(), key=lambda r: r[0]):
-            held, pending = [], 0
+            held, pending, names = [], 0, {}
             for _, shard, raw in group:
                 keys, counts = read_run(raw)
-                held.append((keys, counts, np.full(len(keys), shard)))
+                held.append((keys, counts, np.full(len(keys), names.setdefault(shard, len(names)), np.int32)))
                 pending += len(keys)
                 if pending > PENDING:
-                    held = [added(*(np.concatenate(c) for c in zip(*held, strict=True)))]
-                    pending = max(0, len(held[0][0]) - PENDING // 2)
-            keys, counts, shards = added(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                    held = [added(held)]
+                    pending = 0
+            keys, counts, shards = added(held)
             keep = counts >= least
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(counts[keep]), pa.array(shards[keep])], names=["key", "n", "shard"])
+            every = np.array(list(names), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(counts[keep]), pa.array(every[shards[keep]])], names=["key", "n", "shard"])
 
     return runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, n long, shard long")
 
@@ -314,7 +324,7 @@ def mine(docs: DataFrame, least: int = 30, depth: int = 4, most: int = 2000, sha
     rows = found.where("words >= 2").select("key", "lang", "phrase", F.col("n").alias("a")).join(links, "key", "left_anti").join(best, "key")
     rows = rows.select("lang", "phrase", "a", "best.l", "best.r", "best.score")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    # first within parts of a language, so that none is sorted by one task
+    # first within parts of a language, of which each leaves ``most`` rows at most: no task sorts a whole language
     part = F.pmod(F.xxhash64("phrase"), F.lit(64))
     rows = rows.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= most)
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= most)

@@ -96,7 +96,7 @@ def test_runs_and_sums():
     back = phrases.read_run(phrases.packed_run(keys, counts))
     assert (back[0] == keys).all() and (back[1] == counts).all()
     some, many = rng.integers(0, 9, 100).astype(np.uint64), rng.integers(1, 5, 100)
-    got = phrases.added(some, many, np.arange(100))
+    got = phrases.added([(some[:40], many[:40], np.arange(40)), (some[40:], many[40:], np.arange(40, 100))])
     assert dict(zip(got[0].tolist(), got[1].tolist())) == {k: int(many[some == k].sum()) for k in set(some.tolist())}
     assert all(some[s] == k for k, s in zip(got[0].tolist(), got[2].tolist()))
 
