@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.plans import corpus, relational, retrieval
+from larkspur.plans import corpus, indexes, relational, retrieval
 
-QUERIES = relational.QUERIES | retrieval.QUERIES | corpus.QUERIES
-SQL = relational.SQL | retrieval.SQL | corpus.SQL
+QUERIES = relational.QUERIES | retrieval.QUERIES | corpus.QUERIES | indexes.QUERIES
+SQL = relational.SQL | retrieval.SQL | corpus.SQL | indexes.SQL
