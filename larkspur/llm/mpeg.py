@@ -6,7 +6,7 @@ declares no coded samples, so a player hears silence and the payload lies in the
 frames' main data, byte for byte; the last frame takes the lowest bitrate that
 holds the rest. The tag records payload length and CRC-32.
 
-The reader is general: it skips ID3v2 and ID3v1 tags, finds frame headers by their
+The reader is general: it reads ID3v2 tags and, where the last frame has ended, an ID3v1 tag, finds frame headers by their
 sync word and confirms each by the header after it, resynchronises after damage,
 reads Xing, Info and VBRI tables, checks the CRC-16 of protected frames, and gives
 the exact duration and the byte offset of every frame.
@@ -181,9 +181,9 @@ class Stream:
         return [self.offsets[min(s * self.rate // each, len(self.offsets) - 1)] for s in range(0, int(self.duration) + 1, step)]
 
 
-def _tags(raw: bytes) -> tuple[dict[str, str], int, int]:
-    """Tag texts and where the audio starts and ends."""
-    tags, start, stop = {}, 0, len(raw)
+def _tags(raw: bytes) -> tuple[dict[str, str], int]:
+    """Texts of the leading tags and where the audio starts."""
+    tags, start = {}, 0
     while raw[start : start + 3] == b"ID3" and len(raw) >= start + 10:
         size = 0
         for byte in raw[start + 6 : start + 10]:
@@ -199,10 +199,14 @@ def _tags(raw: bytes) -> tuple[dict[str, str], int, int]:
                 tags[raw[at : at + 4].decode()] = body[1:].decode("latin-1").rstrip("\0")
             at += 10 + length
         start = end + 10 * bool(raw[start + 5] & 0x10)
-    if raw[-128:-125] == b"TAG" and stop - 128 >= start:
-        stop -= 128
-        tags |= {k: v for k, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)) if (v := raw[stop + a : stop + b].decode("latin-1").rstrip("\0 "))}
-    return tags, start, stop
+    return tags, start
+
+
+def _last_tag(raw: bytes, at: int) -> dict[str, str] | None:
+    """Texts of an ID3v1 tag. It counts only where a frame has ended: inside frames the same bytes are data."""
+    if at != len(raw) - 128 or raw[at : at + 3] != b"TAG":
+        return None
+    return {k: v for k, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)) if (v := raw[at + a : at + b].decode("latin-1").rstrip("\0 "))}
 
 
 def _table(frame: bytes, info: Header) -> dict:
@@ -224,9 +228,12 @@ def _table(frame: bytes, info: Header) -> dict:
 def read(raw: bytes) -> Stream:
     """Reads a stream; damaged parts are skipped and counted."""
     out = Stream()
-    out.tags, at, stop = _tags(raw)
+    (out.tags, at), stop = _tags(raw), len(raw)
     kept, good = [], {}
     while at + 4 <= stop:
+        if (last := _last_tag(raw, at)) is not None:
+            out.tags, at = out.tags | last, stop
+            break
         info = header(raw[at : at + 4])
         end = at + info.size if info else 0
         start = at + 4 + 2 * info.protected + info.side * (info.layer == 3) if info else at
@@ -239,7 +246,7 @@ def read(raw: bytes) -> Stream:
                     good[covered] = value
             sound = value == int.from_bytes(raw[at + 4 : at + 6], "big")
         # a header counts if its checksum holds, or its frame ends where another begins or the stream does
-        if not info or end > stop or not sound and end + 4 <= stop and header(raw[end : end + 4]) is None:
+        if not info or end > stop or not sound and end + 4 <= stop and header(raw[end : end + 4]) is None and _last_tag(raw, end) is None:
             found = raw.find(b"\xff", at + 1, stop)
             found = stop if found < 0 else found
             out.skipped += found - at
