@@ -1,18 +1,18 @@
 """Size-partitioned MinHash containment search for benchmark items in documents.
 
 Words are runs of letters, digits and underscores of the lower-cased text;
-shingles are five consecutive words (fewer words: the whole sequence; none: no
+shingles are five consecutive words (an item of fewer words: the whole sequence; none: no
 shingle). An item is found in a document that holds at least ``threshold`` of
-its distinct shingles. So an item below five words is found only in a document of
-exactly these words, never inside a longer one (the SQL does the same).
+its distinct shingles: one of fewer words, in every document that holds them in turn.
 
 Items are partitioned by size (powers of two of their distinct shingles). An
 item's sketch is its k smallest shingle hashes, k being one more than the misses
 that the threshold allows at the partition's upper size. An item of size n may
 miss at most floor((1 - threshold) * n) shingles, so every document that
 qualifies holds at least one shingle of the sketch: the search loses nothing,
-however long the document. Every shingle of a document probes the sketches; the
-pairs that meet are verified on the words themselves.
+however long the document. Every shingle of a document, of five words and of each
+smaller number that some item has, probes the sketches; the pairs that meet are verified
+on the words themselves.
 
 Sketches and item words are broadcast in blocks of at most ``block_words`` words
 of items; a larger benchmark takes further passes over the documents.
@@ -67,6 +67,8 @@ class Sketches:
     def __init__(self, items: list[tuple[int, str]], width: int, threshold: float):
         self.width, self.threshold = width, Fraction(str(threshold))
         self.items = [(i, s) for i, text in items if (s := shingles(text or "", width))]
+        self.sizes = [len(next(iter(s))) for _, s in self.items]  # words of their shingles
+        self.widths = sorted(set(self.sizes))
         memo, found = WordMemo(word_hashes), defaultdict(list)
         for at, (_, own) in enumerate(self.items):
             upper = (1 << len(own).bit_length()) - 1
@@ -82,7 +84,8 @@ class Sketches:
 
     def matches(self, text: str, hashes: np.ndarray) -> list[tuple[int, int, int]]:
         """(item id, its shingles, those that the text holds) of each item found."""
-        own = shingle_hashes(hashes, self.width)
+        widths = [w for w in self.widths if w <= len(hashes)]
+        own = np.concatenate([shingle_hashes(hashes, w) for w in widths]) if widths else hashes[:0]
         own = own[self.seen[(own >> np.uint64(44)).view(np.int64)]] if len(self.hashes) else own[:0]
         if not len(own):
             return []
@@ -90,10 +93,10 @@ class Sketches:
         hit = np.unique(at[self.hashes[at] == own])
         if not len(hit):
             return []
-        held, found = shingles(text, self.width), []
+        held, found = {w: shingles(text, w) for w in widths}, []
         for item in sorted({i for h in hit.tolist() for i in self.owners[h]}):
             name, wanted = self.items[item]
-            if (shared := len(wanted & held)) >= self.threshold * len(wanted):
+            if (shared := len(wanted & held.get(self.sizes[item], set()))) >= self.threshold * len(wanted):
                 found.append((name, len(wanted), shared))
         return found
 
@@ -149,7 +152,12 @@ def contained(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8, block_words: int = 2_000_000) -> DataFrame:
-    """The documents, with all their columns, that hold no benchmark item."""
+    """The documents, with all their columns, that hold no benchmark item.
+
+    Null and empty texts hold none and stay; repeated rows stay or go alike; with an empty
+    benchmark, or one without a word, all stay; an empty table stays empty. Texts are
+    searched whole, in the rows where they lie; columns of any names stay as they are.
+    """
     column = docs.columns.index("text")
     for block in _blocks(benchmark, width, threshold, block_words):
 
@@ -166,18 +174,20 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: floa
 
 SQL = r"""
 WITH words AS (
-  SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w FROM documents
+  SELECT 'd' AS kind, row_number() OVER () AS r, doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w FROM documents
   UNION ALL
-  SELECT 'b', item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '') FROM benchmark
+  SELECT 'b', row_number() OVER (), item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '') FROM benchmark
+), widths AS (
+  SELECT DISTINCT least(len(w), 5) AS z FROM words WHERE kind = 'b' AND len(w) > 0
 ), shingled AS (
-  SELECT kind, id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM words
+  SELECT kind, r, id, unnest(list_distinct(list_transform(range(1, len(w) - z + 2), lambda i: array_to_string(w[i:i + z - 1], ' ')))) AS s
+  FROM words JOIN widths ON len(w) >= z AND (kind = 'd' OR z = least(len(w), 5))
 ), sizes AS (
-  SELECT id AS item_id, count(*) AS n FROM shingled WHERE kind = 'b' GROUP BY id
+  SELECT r, count(*) AS n FROM shingled WHERE kind = 'b' GROUP BY r
 ), shared AS (
-  SELECT d.id AS doc_id, b.id AS item_id, count(*) AS k
-  FROM shingled d JOIN shingled b ON d.s = b.s AND d.kind = 'd' AND b.kind = 'b' GROUP BY d.id, b.id
+  SELECT d.r, any_value(d.id) AS doc_id, b.r AS item, any_value(b.id) AS item_id, count(*) AS k
+  FROM shingled d JOIN shingled b ON d.s = b.s AND d.kind = 'd' AND b.kind = 'b' GROUP BY d.r, b.r
 )
 SELECT doc_id, item_id, n AS item_shingles, k AS shared_shingles, k / n AS containment
-FROM shared JOIN sizes USING (item_id) WHERE k * 10 >= n * 8
+FROM shared JOIN sizes ON sizes.r = item WHERE k * 10 >= n * 8
 """
