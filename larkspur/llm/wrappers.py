@@ -9,16 +9,17 @@ all pages of a host (pages equal to the reference tell nothing and are left out)
 summed per task before it is shuffled, so a host of any size costs a few rows a
 task.
 
-The wrapper decides: template nodes without a slot below them are cut, slots are
-content. An element that declares itself the article (article, then main, then a named
+Template nodes without a slot below them are cut, slots are content. An element that declares itself the article (article, then main, then a named
 content container) is a prior only: slots outside it are left out as long as those
 inside hold at least as much text, else it is overruled. Pages of hosts with too few
-pages for a wrapper are read by their elements alone. ``decided`` says which it was.
+pages for a wrapper are read by their elements alone. ``decided`` says which it was:
+``wrapper`` where the text is not the one that the elements alone give.
 
 Menus, page headers, footers, sidebars, notices, adverts, forms, comments and the like
 are cut by element and by words of class, id and role, also if their text varies. Words
 that tell a state (has-sidebar, with-share) name nothing, headings are not cut by
-words, and no element is cut that holds the article. Inline elements within a text of
+words, and no element is cut that holds the article. Words that articles use as well
+(search, related) cut no paragraphs of it, and nothing if the page would be empty. Inline elements within a text of
 their own block stay with it. Without an article element, blocks that are mostly links
 are cut, too.
 
@@ -57,13 +58,16 @@ CUT_WORDS = frozenset(
     "header login masthead menu menus modal nav navbar navigation newsletter notice notices notification notifications pager pagination popup promo promotion promoted related "
     "replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget widgets alert complementary contentinfo".split()
 )
+#: Of these, words that articles use as well: they cut nothing that reads like an article's text.
+WEAK_WORDS = frozenset("banner discussion header masthead related search".split())
 CONTENT_WORDS = frozenset("article content entry post story main body text".split())
 #: Words of a class that tell a state of the page, not what the element is.
 STATE_WORDS = frozenset("has with no without on off".split())
 #: Elements that words of class, id or role never cut.
 KEPT_TAGS = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+START = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+EDGE = re.compile("[\"'>]")
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -77,13 +81,14 @@ class Node:
     label: str
     cut: bool = False
     words: frozenset = frozenset()
+    weak: bool = False
     children: list = field(default_factory=list)
 
 
-def _attributes(tag: str, raw: str) -> tuple[str, bool, frozenset]:
-    """Label, whether the element is cut, and the words that name it."""
+def _attributes(tag: str, raw: str) -> tuple[str, bool, frozenset, bool]:
+    """Label, whether the element is cut, the words that name it, and whether weak words alone cut it."""
     if not raw.strip():
-        return tag, tag in CUT_TAGS, frozenset()
+        return tag, tag in CUT_TAGS, frozenset(), False
     found, hidden = {}, False
     for name, value in ATTRIBUTE.findall(raw):
         name, value = name.lower(), value.strip("\"'")
@@ -92,60 +97,111 @@ def _attributes(tag: str, raw: str) -> tuple[str, bool, frozenset]:
     named = [{w.lower() for w in WORDS.findall(part)} for name in ("class", "id", "role") for part in found.get(name, "").split()]
     words = frozenset(w for part in named if not part & STATE_WORDS for w in part)
     cut = tag not in KEPT_TAGS and bool(words & CUT_WORDS) and not (tag == "article" and words & CONTENT_WORDS)
-    return f"{tag}.{found.get('class', '')}#{found.get('id', '')}".rstrip("#."), hidden or tag in CUT_TAGS or cut, words
+    return f"{tag}.{found.get('class', '')}#{found.get('id', '')}".rstrip("#."), hidden or tag in CUT_TAGS or cut, words, cut and not (hidden or tag in CUT_TAGS or words & CUT_WORDS - WEAK_WORDS)
 
 
-_ATTRIBUTES: dict[tuple[str, str], tuple[str, bool, frozenset]] = {}
+_ATTRIBUTES: dict[tuple[str, str], tuple[str, bool, frozenset, bool]] = {}
+
+
+class Source:
+    """Tags, comments and texts of a page, each character looked at a bounded number of times."""
+
+    def __init__(self, html: str):
+        self.html, self.last, self.quoted, self.missing = html, html.rfind(">"), True, set()
+
+    def _end(self, at: int) -> int:
+        """Where a tag ends: at the first > that no quotes hold.
+
+        A quote that nothing closes is a character like others. If quotes hold all that
+        is left, they are no quotes from there on.
+        """
+        place = at
+        while self.quoted and (m := EDGE.search(self.html, place)):
+            if m[0] == ">":
+                return m.end()
+            close = -1 if m[0] in self.missing else self.html.find(m[0], m.end())
+            if close < 0:
+                self.missing.add(m[0])
+            place = max(close + 1, m.end())
+        self.quoted = False
+        return self.html.find(">", at) + 1
+
+    def __iter__(self) -> Iterator[tuple[str | None, bool, str]]:
+        """(tag, whether it closes, attributes) or (None, _, text)."""
+        html, at, end = self.html, 0, len(self.html)
+        while at < end:
+            if html.startswith("<!--", at):
+                at = html.find("-->", at + 4)
+                at = end if at < 0 else at + 3
+            elif at > self.last:  # no tag ends any more
+                yield None, False, html[at:]
+                return
+            elif html.startswith(("<!", "<?"), at):
+                at = html.find(">", at) + 1
+            elif m := START.match(html, at):
+                at = self._end(m.end())
+                yield m[2].lower(), bool(m[1]), html[m.end() : at - 1]
+                if not m[1]:
+                    at = self._after(m[2].lower(), at)
+            else:
+                stop = html.find("<", at + 1)
+                stop = end if stop < 0 else stop
+                yield None, False, html[at:stop]
+                at = stop
+
+    def _after(self, tag: str, at: int) -> int:
+        """Where reading goes on: after the end of what is no markup."""
+        if tag not in RAW or tag in ("head", "svg", "math", "object", "audio", "video", "canvas", "select"):
+            return at
+        close = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(self.html, at)
+        return close.end() if close else len(self.html)
 
 
 def parse(html: str) -> Node:
     """A tree from any text: unclosed, crossed and stray tags included."""
     root = Node("#", "#")
-    stack, at, end = [root], 0, len(html)
-    while at < end:
-        m = TOKEN.match(html, at)
-        at = m.end()
-        tag = m[2]
+    stack: list[Node] = [root]
+    open_tags: Counter[str] = Counter()
+
+    def close(depth: int) -> None:
+        open_tags.subtract(n.tag for n in stack[depth:])
+        del stack[depth:]
+
+    for tag, closes, rest in Source(html):
         if tag is None:
-            text = m[0]
-            if text[:2] not in ("<!", "<?"):
-                stack[-1].children.append(text)
+            stack[-1].children.append(rest)
             continue
-        tag = tag.lower()
-        if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
+        if closes:
+            if open_tags[tag] > 0:
+                close(next(d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == tag))
             continue
-        if tag in BLOCKS:
+        if tag in BLOCKS and open_tags["p"] > 0:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == "p":  # a block ends an open paragraph
-                    del stack[depth:]
+                    close(depth)
                     break
                 if stack[depth].tag in BLOCKS:
                     break
-        if tag in ENDS:
+        if tag in ENDS and any(open_tags[t] > 0 for t in ENDS[tag]):
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag in ENDS[tag]:
-                    del stack[depth:]
+                    close(depth)
                     break
                 if stack[depth].tag in ("ul", "ol", "dl", "table", "select"):
                     break
-        key = (tag, m[3])
+        key = (tag, rest)
         if (known := _ATTRIBUTES.get(key)) is None:
             known = _attributes(*key)
-            if len(_ATTRIBUTES) < 50_000:
+            if len(_ATTRIBUTES) < 50_000 and len(rest) < 1000:
                 _ATTRIBUTES[key] = known
         node = Node(tag, *known)
         stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
+        if tag in VOID or rest.endswith("/") and tag not in BLOCKS:
             continue
         if tag in RAW and tag not in ("head", "svg", "math", "object", "audio", "video", "canvas", "select"):
-            close = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(html, at)
-            at = close.end() if close else end
-            continue
+            continue  # what it holds has been passed over
         stack.append(node)
+        open_tags[tag] += 1
     return root
 
 
@@ -331,19 +387,51 @@ def article(root: Node, wrapper: tuple[Reference, list[int]] | None) -> str:
 
 
 def main_text(root: Node, wrapper: tuple[Reference, list[int]] | None) -> tuple[str, str]:
-    """The main text of a parsed page, and what decided: wrapper, element or page."""
+    """The main text of a parsed page, and what decided: wrapper, element or page.
+
+    ``wrapper`` is told only where the text is not the one that the page's elements give.
+    """
     tops = _declared(root)
-    template = _constant(root, wrapper) if wrapper else set()
-    skip = frozenset(template)
+    _settle(root, tops)
+    plain, by = _read(root, tops, None)
+    if wrapper:
+        text, _ = _read(root, tops, _constant(root, wrapper))
+        if text != plain:
+            return text, "wrapper"
+    if not plain and _settle(root, tops, everywhere=True):
+        return _read(root, tops, None)
+    return plain, by
+
+
+def _read(root: Node, tops: list[Node], template: set[int] | None) -> tuple[str, str]:
+    """The text that is left of a page, without a wrapper (none) or without its template nodes."""
+    skip = frozenset(template or ())
     inner = [t for n in tops for t in blocks(n, skip=skip)]
-    if tops and not wrapper:
+    if tops and (template is None or not template and not _outside(root, tops)):  # all slots but those of menus and the like are inside
         return "\n".join(inner), "element"
-    if tops and not template and not _outside(root, tops):
-        return "\n".join(inner), "wrapper"  # all slots but those of menus and the like are inside
     whole = blocks(root, skip=skip | _furniture(root, tops), only=_holding(root, tops))
     if tops and 2 * sum(map(len, inner)) >= sum(map(len, whole)):
-        return "\n".join(inner), "wrapper"
-    return "\n".join(whole), "wrapper" if wrapper else "page"
+        return "\n".join(inner), "element"
+    return "\n".join(whole), "page"
+
+
+def _settle(root: Node, tops: list[Node], everywhere: bool = False) -> bool:
+    """Keeps elements that weak words alone would cut, if they read like an article's text; whether any is kept.
+
+    That is one with a word for content beside, or one in the article: its header, a
+    paragraph, or what has paragraphs and does not call itself related.
+    """
+    wanted, kept, todo = {id(n) for n in tops}, False, [(root, False)]
+    while todo:
+        node, inside = todo.pop()
+        inside = inside or id(node) in wanted
+        if node.cut and node.weak and not _mostly_links(node):
+            named = bool(node.words & CONTENT_WORDS)
+            prose = node.tag == "p" or "header" in node.words or "search" in node.words and any(n.tag == "p" for n in _below(node))
+            if everywhere or named or inside and prose:
+                node.cut, kept = False, True
+        todo += [(c, inside) for c in node.children if not isinstance(c, str)]
+    return kept
 
 
 def _declared(root: Node) -> list[Node]:
@@ -532,7 +620,8 @@ def extract(pages: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
 
     Null html is empty text (decided by nothing: null), as is html without an article;
     equal rows give equal rows; an empty table gives none; pages without a host are one
-    host; other columns are ignored.
+    host; other columns are ignored. Pages of any length and depth are parsed in time that
+    grows with their length, whatever tags, quotes and comments they leave open.
     """
     wrappers, size = induce(pages, broadcast_bytes=broadcast_bytes)
     joined = _beside(hosted(pages), wrappers, size, broadcast_bytes).select("page_id", "url", "html", "host", "reference", "template")
