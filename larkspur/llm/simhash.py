@@ -3,6 +3,11 @@
 Fingerprints come from 4-word shingles (see :func:`fingerprint`). Equal
 fingerprints become one before any search, so copies cost nothing further.
 
+Removing copies (:func:`deduplicated`) takes pairs of words and a wider radius, as 4-word
+shingles tell texts apart by 8 bits and more that share four fifths of their 5-word
+shingles. What chance brings that near among very many fingerprints is held back by a second, independent
+fingerprint of the same shingles, which must be near, too.
+
 Two fingerprints that differ in at most ``radius`` of 64 bits agree on at least
 ``blocks - radius`` of ``blocks`` bit blocks. Every choice of that many blocks
 gives a table of shards keyed by the bits of those blocks, so each linked pair
@@ -34,12 +39,14 @@ from pyspark.sql.types import LongType, StructField, StructType
 from larkspur.shared import materialise
 
 SHINGLE, SEED, BITS = 4, 42, 64
+#: Seed of the second fingerprint.
+CHECK_SEED = 43
 
 
-def fingerprint(text: bytes) -> int:
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """64 bits, each set in over half the XXH64 of the text's shingles.
 
-    A-Z are lower-cased; words stand between ASCII white space; shingles are four
+    A-Z are lower-cased; words stand between ASCII white space; shingles are ``shingle``
     words joined by spaces, repeats included; fewer words give the whole sequence,
     none gives zero.
     """
@@ -48,9 +55,9 @@ def fingerprint(text: bytes) -> int:
         return 0
     joined = b" ".join(words)
     starts = np.cumsum([0] + [len(w) + 1 for w in words]).tolist()
-    width = min(SHINGLE, len(words))
+    width = min(shingle, len(words))
     digest = xxhash.xxh64_digest
-    raw = b"".join([digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[width:], strict=False)])
+    raw = b"".join([digest(joined[a : b - 1], seed) for a, b in zip(starts, starts[width:], strict=False)])
     bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
     total = bits.sum(axis=0, dtype=np.int64) if len(bits) > 255 else bits.sum(axis=0, dtype=np.uint8).astype(np.int64)
     return int.from_bytes(np.packbits(2 * total > len(bits)).tobytes(), "big")
@@ -115,8 +122,11 @@ class Groups:
         return a != b
 
 
-def shard_links(left: list[int], right: list[int] | None, radius: int) -> list[tuple[int, int]]:
-    """Links that join the groups of one piece, or of two, of a shard."""
+def shard_links(left: list[int], right: list[int] | None, radius: int, checks: dict[int, int] | None = None, check_radius: int = 0) -> list[tuple[int, int]]:
+    """Links that join the groups of one piece, or of two, of a shard.
+
+    With ``checks``, the second fingerprint of each, these must be within ``check_radius``, too.
+    """
     tree, out = BKTree(), []
     place = {v: i for i, v in enumerate(left + (right or []))}
     groups = Groups(len(place))
@@ -124,6 +134,8 @@ def shard_links(left: list[int], right: list[int] | None, radius: int) -> list[t
     def search(value: int) -> None:
         for at in tree.within(value, radius):
             other = tree.values[at]
+            if checks is not None and (checks[value] ^ checks[other]).bit_count() > check_radius:
+                continue
             if groups.join(place[value], place[other]):
                 out.append((other, value))
 
@@ -148,16 +160,20 @@ def _keys(fp: Column, blocks: int, radius: int) -> list[Column]:
     return [F.xxhash64(F.lit(n), fp.bitwiseAND(F.lit(m))) for n, m in enumerate(signed)]
 
 
-def links(prints: DataFrame, radius: int = 4, blocks: int = 6, shard_size: int = 2000) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp``; enough of them to join every group."""
-    keyed = prints.select("fp", F.explode(F.array(*_keys(F.col("fp"), blocks, radius))).alias("key"))
+def links(prints: DataFrame, radius: int = 4, blocks: int = 6, shard_size: int = 2000, check_radius: int | None = None) -> DataFrame:
+    """Links (a, b) between distinct fingerprints ``fp``; enough of them to join every group.
+
+    With ``check_radius`` a second one of each, ``check``, must be that near, too.
+    """
+    check = F.lit(0).cast("long") if check_radius is None else F.col("check")
+    keyed = prints.select("fp", check.alias("check"), F.explode(F.array(*_keys(F.col("fp"), blocks, radius))).alias("key"))
     full = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     full = full.select("key", F.ceil(F.col("n") / shard_size).cast("int").alias("pieces"))
     held = keyed.join(full, "key")
     own = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
     dealt = held.withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("second"), "fp")
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("second"), "fp", "check")
     # a piece meets itself in (own, own), where it is sent once
     dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "second", "fp")
 
@@ -166,16 +182,17 @@ def links(prints: DataFrame, radius: int = 4, blocks: int = 6, shard_size: int =
             fps, second = rows["fp"].tolist(), rows["second"]
             cut = int(len(fps) - second.sum())
             alone = rows["low"][0] == rows["high"][0]
-            return shard_links(fps[:cut], None if alone else fps[cut:], radius)
+            checks = None if check_radius is None else dict(zip(fps, rows["check"].tolist(), strict=True))
+            return shard_links(fps[:cut], None if alone else fps[cut:], radius, checks, check_radius or 0)
 
-        kind = np.dtype([("key", np.int64), ("low", np.int32), ("high", np.int32), ("second", bool), ("fp", np.uint64)])
+        kind = np.dtype([("key", np.int64), ("low", np.int32), ("high", np.int32), ("second", bool), ("fp", np.uint64), ("check", np.uint64)])
         kept = np.empty(0, kind)
         for batch in [*batches, None]:
             if batch is not None:
                 rows = np.empty(batch.num_rows, kind)
                 for name in kind.names:
                     values = batch.column(name).to_numpy(zero_copy_only=False)
-                    rows[name] = values.view(np.uint64) if name == "fp" else values
+                    rows[name] = values.view(np.uint64) if name in ("fp", "check") else values
                 kept = np.concatenate([kept, rows])
             if not len(kept):
                 continue
@@ -216,28 +233,29 @@ def components(edges: DataFrame, ids: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"groups were not closed after {rounds} rounds")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed number."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, checked: bool = False) -> DataFrame:
+    """(doc_id, fp, check) of every row; fp is the fingerprint as a signed number, check a second one (0 unless ``checked``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
-            found = np.fromiter((fingerprint(t.as_py() or b"") for t in texts), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in texts), np.uint64, batch.num_rows)
+            check = np.fromiter((fingerprint(t.as_py() or b"", shingle, CHECK_SEED) if checked else 0 for t in texts), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64)), pa.array(check.view(np.int64))], names=["doc_id", "fp", "check"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, check long")
 
 
-def grouped(docs: DataFrame, radius: int, blocks: int, shard_size: int) -> tuple[DataFrame, DataFrame]:
+def grouped(docs: DataFrame, radius: int, blocks: int, shard_size: int, shingle: int = SHINGLE, check_radius: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of every row, and (fp, label) of every fingerprint.
 
     ``label`` is the smallest (doc_id, fp) of the group, so that groups that share a
     doc_id stay apart; its doc_id is null if no row of the group has one.
     """
-    prints = materialise(fingerprints(docs), "simhash-prints")
+    prints = materialise(fingerprints(docs, shingle, check_radius is not None), "simhash-prints")
     lowest = F.struct(F.coalesce(F.min("doc_id"), F.lit(2**63 - 1)).alias("id"), "fp").alias("first")
-    ids = materialise(prints.groupBy("fp").agg(lowest), "simhash-distinct")
-    edges = materialise(links(ids, radius, blocks, shard_size), "simhash-edges")
+    ids = materialise(prints.groupBy("fp").agg(lowest, F.min("check").alias("check")), "simhash-distinct")
+    edges = materialise(links(ids, radius, blocks, shard_size, check_radius), "simhash-edges")
     owner = ids.select("fp", F.col("first").alias("label"))
     if not edges.isEmpty():
         owner = owner.join(components(edges, ids).withColumnRenamed("label", "joined"), "fp", "left").select("fp", F.coalesce("joined", "label").alias("label"))
@@ -268,12 +286,15 @@ def near_duplicates(docs: DataFrame, radius: int = 4, blocks: int = 6, shard_siz
     table gives none; other columns are ignored.
     """
     prints, owner = grouped(docs, radius, blocks, shard_size)
-    return owned(prints, owner).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("label.id").alias("component_id"))
+    return owned(prints.drop("check"), owner).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("label.id").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame, radius: int = 4, blocks: int = 6, shard_size: int = 2000) -> DataFrame:
+def deduplicated(docs: DataFrame, radius: int = 8, blocks: int = 10, shard_size: int = 2000, shingle: int = 2, check_radius: int = 12) -> DataFrame:
     """The documents, with all their columns, of which one of each group stays.
 
+    Two are linked if their fingerprints over runs of ``shingle`` words are within ``radius``
+    and second ones, over the same runs, within ``check_radius``.
+
     The smallest doc_id of a group stays. Where a doc_id names several rows, they are
     told apart by their fingerprints: rows that share a doc_id but no group lose
     nothing, and of equal or near-equal rows of one doc_id one stays (the smallest
@@ -281,7 +302,7 @@ def deduplicated(docs: DataFrame, radius: int = 4, blocks: int = 6, shard_size:
     copies and stay. Null and empty texts are copies of each other; an empty table
     gives none.
     """
-    prints, owner = grouped(docs, radius, blocks, shard_size)
+    prints, owner = grouped(docs, radius, blocks, shard_size, shingle, check_radius)
     rows = prints.where("doc_id is not null").groupBy("doc_id", "fp").agg(F.count("*").alias("n"))
     rows = materialise(owned(materialise(rows, "simhash-named-rows"), owner).select("doc_id", "fp", "n", (F.col("label.id") == F.col("doc_id")).alias("own"), (F.col("label.fp") == F.col("fp")).alias("first")), "simhash-rows")
     if rows.groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 1").isEmpty():
@@ -295,7 +316,7 @@ def deduplicated(docs: DataFrame, radius: int = 4, blocks: int = 6, shard_size:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py() or b"") for t in batch.column(text).cast(pa.binary())), np.uint64, batch.num_rows)
+            found = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in batch.column(text).cast(pa.binary())), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=names)
 
     known = materialise(docs.mapInArrow(run, schema), "simhash-named")

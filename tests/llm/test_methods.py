@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from functools import lru_cache
 
@@ -91,9 +92,85 @@ def test_the_wrapper_overrules_a_lesser_article(spark):
     assert all(decided == "wrapper" and "real story" in text for text, decided in got.values())
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<article><p>One</p><p class="related">In related work of others</p><section class="search"><p>Search algorithms are old</p></section></article>', "One\nIn related work of others\nSearch algorithms are old"),
+        ('<div class="content-header"><p>All there is</p></div>', "All there is"),
+        ('<div class="entry-search"><p>All there is</p></div>', "All there is"),
+        ('<div class="main-banner"><p>All there is</p></div>', "All there is"),
+        ('<div class="search"><p>All there is</p></div>', "All there is"),
+        ('<article><p>Text</p><div class="related"><a href="/x">Next story</a></div><div class="comment-content"><p>First!</p></div></article>', "Text"),
+        ('<article><p>Text</p></article><div class="related"><p>Other stories</p></div>', "Text"),
+        ('<div class="ad"><p>Buy</p></div><nav><a>x</a></nav>', ""),
+    ],
+)
+def test_words_that_articles_use_cut_no_prose(html, text):
+    assert wrappers.article(wrappers.parse(html), None) == text
+
+
+MALFORMED = ["<div ", "<div \"", "<a b='", "<!", "<!--", "<?", "</p>", "<", "<b>", "<p><b>", "<div a=\"x>y\"", "<td><b>", "<script>", "<textarea>", "<li>", "&#", "<a \">"]
+
+
+def test_malformed_pages_parse_in_linear_time():
+    for piece in MALFORMED:
+        took = []
+        for size in (100_000, 1_000_000):
+            html = piece * (size // len(piece)) + (">" if "\"" in piece else "")
+            began = time.perf_counter()
+            wrappers.parse(html)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 30 * took[0] + 1, (piece, took)
+    deep = "<div>" * 100_000 + "</b></p>" * 100_000
+    began = time.perf_counter()
+    wrappers.parse(deep)
+    assert time.perf_counter() - began < 10
+
+
+def test_open_quotes_and_tags_keep_their_text():
+    read = lambda html: wrappers.article(wrappers.parse(html), None)
+    assert read('<p title="a>b">x</p>') == "x" and read("<p title='a>b'>x</p>") == "x"
+    assert read('<p title="open>x</p><p>y</p>') == "x\ny"
+    assert read("<p>a < b and c</p>") == "a < b and c" and read("<p>x</p><div ") == "x\n<div"
+    assert read("<p>x</p><!-- open <p>y</p>") == "x" and read("<script>var a = '<p>'</script><p>z</p>") == "z"
+
+
+def test_what_the_wrapper_changes_is_told(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    for r in wrappers.extract(pages).join(pages.select("page_id", "html"), "page_id").collect():
+        assert (wrappers.article(wrappers.parse(r.html), None) != r.text) == (r.decided == "wrapper")
+
+
 # ---- op2
 
 
+def test_near_copies_of_four_fifths_go(spark):
+    rng = random.Random(31)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(3000)]
+    share = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)}
+    rows, caught = [], []
+    for i in range(300):
+        words = rng.choices(vocabulary, k=rng.randint(80, 400))
+        copy = list(words)
+        for at in rng.sample(range(len(copy)), max(1, len(copy) // 60)):
+            copy[at] = rng.choice(vocabulary)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+        a, b = share(rows[-2][1]), share(rows[-1][1])
+        if len(a & b) >= 0.8 * len(a | b):
+            caught.append(2 * i + 1)
+    kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert set(range(0, 600, 2)) <= kept and len(caught) > 200
+    assert sum(i not in kept for i in caught) >= 0.9 * len(caught)
+
+
+def test_a_second_fingerprint_holds_chance_back():
+    one, near, far = 0b1111, 0b0111, 0b1110
+    assert simhash.shard_links([one, near], None, 1, {one: 0, near: 1}, 1) == [(one, near)]
+    assert simhash.shard_links([one, far], None, 1, {one: 0, far: 255}, 1) == []
+    assert simhash.shard_links([one], [far], 1, {one: 0, far: 255}, 8) == [(one, far)]
+
+
+
 def test_repeated_ids_lose_no_other_text(spark):
     rng = random.Random(8)
     a, b, c = (" ".join(rng.choices("abcdefghijklmnopqrst", k=60)) for _ in range(3))
@@ -341,3 +418,24 @@ def test_spans_do_not_depend_on_blocks(monkeypatch, block):
     alone = [words.word_spans(raw[a:b])[0][0] for a, b in zip(*(x.tolist() for x in whole[1:]), strict=True)]
     assert alone == whole[0].tolist() and len(set(alone)) == len(alone)
     assert words.word_spans(b"")[0].tolist() == [] == words.word_spans(b" \n ")[0].tolist()
+
+
+# ---- op5: marks of tags and tables are data inside frames
+
+
+def kept_whole(text):
+    raw = text.encode()
+    payload = raw + bytes(-len(raw) % 64 if raw else 64)
+    got, n = mpeg.payload_of(mpeg.read(mpeg.write(payload, len(raw))))
+    return got == payload and n == len(raw)
+
+
+def test_tag_marks_in_texts_are_no_tags():
+    assert all(kept_whole(("TAG" * 834)[:n]) for n in range(1, 2500))
+    assert kept_whole("a plain sentence " * 86 + "TAG" + "x" * 39)
+
+
+@pytest.mark.parametrize("mark", ["TAG", "ID3", "ID3\x03\x00\x00\x00\x00\x00\x7f", "Xing", "Info", "VBRI", "TXXX", "\u07fa\x10", "\x00\x00"])
+def test_marks_at_every_offset_of_the_last_frames(mark):
+    for n in (900, 1300):
+        assert all(kept_whole("a" * at + mark + "b" * max(0, n - at - len(mark))) for at in range(0, n, 1))
