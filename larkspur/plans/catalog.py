@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.plans import corpus, indexes, relational, retrieval
+from larkspur.plans import corpus, indexes, relational, retrieval, techniques
 
-QUERIES = relational.QUERIES | retrieval.QUERIES | corpus.QUERIES | indexes.QUERIES
-SQL = relational.SQL | retrieval.SQL | corpus.SQL | indexes.SQL
+QUERIES = relational.QUERIES | retrieval.QUERIES | corpus.QUERIES | indexes.QUERIES | techniques.QUERIES
+SQL = relational.SQL | retrieval.SQL | corpus.SQL | indexes.SQL | techniques.SQL
