@@ -80,14 +80,14 @@ def isolated_detail(vertices: DataFrame, edges: DataFrame, limit: int = 50) -> D
     return rows.select("id", F.coalesce("type", F.lit("UNKNOWN")).alias("type"), F.length(text).alias("n_description"), F.left(F.replace(text, F.lit("\n"), F.lit(" ")), F.lit(45)).alias("preview"))
 
 
-def components(vertices: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id of each (weak) component.
 
     Labels fall along edges and are then followed to the label of their label.
     """
     pairs = materialise(symmetric(edges).distinct(), "component-edges")
     labels = materialise(vertices.select("id", F.col("id").alias("component")), "component-labels")
-    for _ in range(rounds):
+    while True:  # the number of rounds grows with the logarithm of the longest chain
         near = pairs.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("component"))
         follow = lower.select(F.col("id").alias("component"), F.col("component").alias("next"))
@@ -95,7 +95,6 @@ def components(vertices: DataFrame, edges: DataFrame, rounds: int = 60) -> DataF
         labels = after.select("id", "component")
         if after.where("component <> was").isEmpty():
             return labels
-    raise RuntimeError(f"components were not closed after {rounds} rounds")
 
 
 def stats(vertices: DataFrame, edges: DataFrame) -> DataFrame:

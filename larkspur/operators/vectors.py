@@ -131,6 +131,50 @@ def every_score(queries: DataFrame, corpus: DataFrame, places: int = 9, block: i
     return reduce(DataFrame.unionAll, parts) if parts else corpus.sparkSession.createDataFrame([], SEARCHED)
 
 
+def nearest_until(queries: DataFrame, corpus: DataFrame, k: int, places: int = 9, block: int = 1024) -> DataFrame:
+    """(query_id, id, score): of corpus (id, vector, n), n rows sharing a vector, those that may be among a query's k nearest rows.
+
+    A vector counts if fewer than k rows are strictly nearer. Each task keeps its nearest vectors until
+    they stand for k rows, and only these are shuffled and counted again over all tasks: no
+    more than k vectors, but for equal scores at the end, leave a task for a query.
+    """
+    parts = []
+    send = corpus.sparkSession.sparkContext.broadcast
+
+    def enough(scores: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Places of scores before which fewer than k rows stand."""
+        order = np.argsort(-scores, kind="stable")
+        ranked = scores[order]
+        before = np.cumsum(weights[order]) - weights[order]
+        first = np.searchsorted(-ranked, -ranked, side="left")  # of equal scores, the first
+        return order[before[first] < k]
+
+    for ids, matrix in _blocks(queries, block):
+        sent = send((ids, _unit(matrix)))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, wanted = sent.value
+            held = [(np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)) for _ in names]
+            for batch in batches:
+                own, rows = _fitting(batch, wanted.shape[1])
+                many = batch.column("n").to_numpy(zero_copy_only=False)[batch.column("vector").value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == wanted.shape[1]]
+                scores = np.round(rows @ wanted.T, places) if len(own) else np.empty((0, len(names)))
+                for q in range(len(names)):
+                    i, s, n = (np.append(a, b) for a, b in zip(held[q], (own, scores[:, q], many), strict=True))
+                    keep = enough(s, n)
+                    held[q] = i[keep], s[keep], n[keep]
+            columns = [np.repeat(names, [len(i) for i, *_ in held]), *(np.concatenate(c) for c in zip(*held, strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "score", "n"])
+
+        rows = corpus.select(F.col("id").cast("long").alias("id"), "vector", F.col("n").cast("long").alias("n"))
+        parts.append(rows.mapInArrow(run, f"{SEARCHED}, n long"))
+    if not parts:
+        return corpus.sparkSession.createDataFrame([], SEARCHED)
+    nearer = Window.partitionBy("query_id").orderBy(-F.round(F.col("score") * 10**places).cast("long")).rangeBetween(Window.unboundedPreceding, -1)
+    out = reduce(DataFrame.unionAll, parts).withColumn("nearer", F.coalesce(F.sum("n").over(nearer), F.lit(0)))
+    return out.where(F.col("nearer") < k).select("query_id", "id", "score")
+
+
 def similarity_join(queries: DataFrame, corpus: DataFrame, k: int, least: float, cells: int = 64, piece: int = 20_000, exclude_self: bool = False) -> DataFrame:
     """As :func:`search` with ``least`` above 0, for queries (query_id, query_vector) that grow with the corpus (id, vector).
 
@@ -207,15 +251,16 @@ def mean_pooled(rows: DataFrame) -> DataFrame:
     return pooled.select("id", F.transform("vector", lambda x: F.when(norm > 0, x / norm).otherwise(0.0)).alias("vector"))
 
 
-def relative_targets(distances: DataFrame, weights: dict[str, float]) -> DataFrame:
+def relative_targets(distances: DataFrame, weights: dict[str, float], by: str | None = None) -> DataFrame:
     """Rows with ``relative``: the weighted sum of each target's distances stretched to 0..1 (equal ones are all 0).
 
-    Least and largest distances are one row.
+    Over all rows, whose least and largest distances are one row, or over those of each ``by``.
     """
-    ends = distances.agg(*[f(k).alias(f"_{n}_{k}") for k in weights for n, f in (("low", F.min), ("high", F.max))])
-    rows = distances.crossJoin(F.broadcast(ends))
+    extremes = [f(k).alias(f"_{n}_{k}") for k in weights for n, f in (("low", F.min), ("high", F.max))]
+    ends = distances.groupBy(by).agg(*extremes) if by else distances.agg(*extremes)
+    rows = distances.join(ends, by) if by else distances.crossJoin(F.broadcast(ends))
     parts = [F.when(F.col(f"_high_{k}") > F.col(f"_low_{k}"), (F.col(k) - F.col(f"_low_{k}")) / (F.col(f"_high_{k}") - F.col(f"_low_{k}"))).otherwise(0.0) * w for k, w in weights.items()]
-    return rows.withColumn("relative", reduce(lambda a, b: a + b, parts)).drop(*ends.columns)
+    return rows.withColumn("relative", reduce(lambda a, b: a + b, parts)).drop(*[c for c in ends.columns if c != by])
 
 
 def scaled(hits: DataFrame) -> DataFrame:

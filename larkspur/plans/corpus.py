@@ -99,10 +99,10 @@ def footer_scrub(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(text.without_footer(noisy)).alias("digest"))
 
 
-@query("section_skip", "SELECT doc_id, lang AS header FROM documents WHERE NOT (lang = 'de' OR (n_chars % 2 <= 1 AND trim(text) = ''))")
+@query("section_skip", "SELECT doc_id, lang AS header FROM documents WHERE NOT (lang = 'de' OR (n_chars % 4 <= 1 AND trim(CASE WHEN n_chars % 3 = 0 THEN '' ELSE text END) = ''))")
 def section_skip(spark, sf):
     header = F.when(F.col("lang") == "de", "References").otherwise(F.col("lang"))
-    return docs(spark, sf).where(~text.skipped_section(header, F.trim("text"), F.col("n_chars") % 2)).select("doc_id", F.col("lang").alias("header"))
+    return docs(spark, sf).where(~text.skipped_section(header, F.trim(F.when(F.col("n_chars") % 3 == 0, "").otherwise(F.col("text"))), F.col("n_chars") % 4)).select("doc_id", F.col("lang").alias("header"))
 
 
 @query("source_names", r"""WITH A AS (SELECT s_suppkey, 'entity_name: ' || s_name || ', "Nation ' || s_nationkey || '" and "x" entity name "' || s_name || '"' AS p FROM supplier)
@@ -268,12 +268,14 @@ def kept_together(spark, sf):
     return chunking.kept_together(items, up).select("doc_id", "pos", F.col("group_pos").cast("int").alias("group_pos"))
 
 
-@query("table_text", """SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(replace(l, '|', ' '), ' ')), lambda l: l <> ''), ' ')) AS digest FROM documents WHERE NOT regexp_matches(text, '(?i)<t[dh]\\b|[\\t\\r]')""")
+@query("table_text", r"""SELECT doc_id, md5(array_to_string(list_filter(CASE WHEN regexp_matches(text, '(?i)<t[dh]\b')
+      THEN list_transform(regexp_extract_all(text, '(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>', 1), lambda c: trim(regexp_replace(regexp_replace(c, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'), ' '))
+      ELSE list_transform(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(l, '^[\s|:-]*$')), lambda l: trim(replace(l, '|', ' '), ' ')) END, lambda l: l <> ''), ' ')) AS digest FROM documents""")
 def table_text(spark, sf):
-    # each line a row of one cell
+    """Texts with HTML cells as they are; of the others each line is a row of one cell."""
     lines = F.array_join(F.transform(F.split("text", "\n"), lambda l: F.concat(F.lit("| "), F.replace(l, F.lit("|"), F.lit(" ")), F.lit(" |"))), "\n")
-    rows = docs(spark, sf).where(~F.col("text").rlike(r"(?i)<t[dh]\b|[\t\r]"))
-    return rows.select("doc_id", F.md5(text.table_text(lines)).alias("digest"))
+    markup = F.when(F.col("text").rlike(r"(?i)<t[dh]\b"), F.col("text")).otherwise(lines)
+    return docs(spark, sf).select("doc_id", F.md5(text.table_text(markup)).alias("digest"))
 
 
 @query("piecewise_tokens")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import graph, heal
 from larkspur.plans import shapes as x
-from larkspur.plans.shapes import CHUNKS, EA, SOURCED, START, D, E, S, V, given
+from larkspur.plans.shapes import CHUNKS, DC, EA, SOURCED, START, VC, D, S, V, given
 from larkspur.shared import materialise
 from larkspur.sources.sinks import insert_if_absent
 
@@ -101,20 +101,24 @@ def bfs(spark, sf):
     return graph.reachable(x.all_edges(spark, sf), x.starts(spark, sf), directed=False)
 
 
-COMPONENTS = """N AS (SELECT id, id AS component FROM V UNION SELECT S.dst, N.component FROM N JOIN S ON S.src = N.id WHERE S.dst > N.component),
-    K AS (SELECT id, min(component) AS component FROM N GROUP BY id)"""
+#: Labels fall along edges; twelve rounds are more than any shortest path here has steps.
+COMPONENTS = ", ".join(
+    ["G0 AS (SELECT id, id AS component FROM VC)"]
+    + [f"G{k + 1} AS (SELECT id, min(component) AS component FROM (SELECT id, component FROM G{k} UNION ALL SELECT S.dst, G{k}.component FROM G{k} JOIN S ON S.src = G{k}.id) GROUP BY id)" for k in range(12)]
+    + ["K AS (SELECT * FROM G12)"]
+)
 
 
-@query("graph_stats", given(V, E, S, D, COMPONENTS, recursive=True) + """
-    SELECT (SELECT count(*) FROM V) AS n_nodes, (SELECT count(*) FROM E) AS n_edges, (SELECT round(avg(degree), 6) FROM D) AS avg_degree, (SELECT max(degree) FROM D) AS max_degree,
+@query("graph_stats", given(VC, EA, S, DC, COMPONENTS) + """
+    SELECT (SELECT count(*) FROM VC) AS n_nodes, (SELECT count(*) FROM E) AS n_edges, (SELECT round(avg(degree), 6) FROM D) AS avg_degree, (SELECT max(degree) FROM D) AS max_degree,
       (SELECT count(*) FROM D WHERE degree = 0) AS n_isolated, (SELECT round(100 * avg(CASE WHEN degree = 0 THEN 1.0 ELSE 0.0 END), 4) FROM D) AS isolated_pct, (SELECT count(DISTINCT component) FROM K) AS n_components""")
 def graph_stats(spark, sf):
-    return graph.stats(materialise(x.vertices(spark, sf), "v"), materialise(x.edges(spark, sf), "e"))
+    return graph.stats(materialise(x.people(spark, sf), "v"), materialise(x.all_edges(spark, sf), "e"))
 
 
-@query("connected_components", given(V, E, S, COMPONENTS, recursive=True) + "SELECT id, component FROM K")
+@query("connected_components", given(VC, EA, S, COMPONENTS) + "SELECT id, component FROM K")
 def connected(spark, sf):
-    return graph.components(x.vertices(spark, sf), x.edges(spark, sf))
+    return graph.components(x.people(spark, sf), x.all_edges(spark, sf))
 
 
 @query("degree_topk", given(V, EA, S, D) + "SELECT id, degree FROM D ORDER BY degree DESC, pos LIMIT 20")
@@ -122,9 +126,9 @@ def degree_topk(spark, sf):
     return graph.top_degree(x.vertices(spark, sf), x.all_edges(spark, sf), 20).select("id", "degree")
 
 
-@query("isolated_nodes", given(V, E, S) + "SELECT id, coalesce(type, 'UNKNOWN') AS type, length(coalesce(description, ''))::INTEGER AS n_description, left(replace(coalesce(description, ''), chr(10), ' '), 45) AS preview FROM V WHERE id NOT IN (SELECT src FROM S) ORDER BY pos LIMIT 50")
+@query("isolated_nodes", given(VC, EA, S) + "SELECT id, coalesce(type, 'UNKNOWN') AS type, length(coalesce(description, ''))::INTEGER AS n_description, left(replace(coalesce(description, ''), chr(10), ' '), 45) AS preview FROM VC WHERE id NOT IN (SELECT src FROM S) ORDER BY pos LIMIT 50")
 def isolated_nodes(spark, sf):
-    return graph.isolated_detail(x.vertices(spark, sf), x.edges(spark, sf))
+    return graph.isolated_detail(x.people(spark, sf), x.all_edges(spark, sf))
 
 
 @query("top_degree_subgraph", given(V, EA, S, D, "T AS (SELECT id FROM D ORDER BY degree DESC, pos LIMIT 200)") + "SELECT src, dst, weight FROM E WHERE src IN (SELECT id FROM T) AND dst IN (SELECT id FROM T)")
@@ -158,20 +162,26 @@ def type_union(spark, sf):
     return graph.compared_types(v, v.where("description <> ''"))
 
 
-@query("heal_prune", given(V, E, S) + "SELECT id, type, description FROM V WHERE id NOT IN (SELECT src FROM S) AND (trim(coalesce(description, '')) = '' OR (coalesce(type, 'UNKNOWN') = 'UNKNOWN' AND length(trim(coalesce(description, ''))) < 10))")
+@query("heal_prune", given(VC, EA, S) + "SELECT id, type, description FROM VC WHERE id NOT IN (SELECT src FROM S) AND (trim(coalesce(description, '')) = '' OR (coalesce(type, 'UNKNOWN') = 'UNKNOWN' AND length(trim(coalesce(description, ''))) < 10))")
 def heal_prune(spark, sf):
-    return heal.prunable(x.vertices(spark, sf), x.edges(spark, sf)).select("id", "type", "description")
+    return heal.prunable(x.people(spark, sf), x.all_edges(spark, sf)).select("id", "type", "description")
 
 
 def embedded_graph(spark, sf):
-    """Vectors as vertices; those of label 3 have no edges."""
+    """Vectors as vertices; neighbours by number are linked unless one of them has label 3."""
     v = x.t(spark, sf, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("id"), F.col("vec_id").alias("num"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"), "label")
-    e = v.where("label <> 3").select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("weight"))
+    linked = v.where("label <> 3")
+    after = linked.select((F.col("num") - 1).alias("num"), F.col("id").alias("dst"))
+    e = linked.select("num", F.col("id").alias("src")).join(after, "num").select("src", "dst", F.lit(1.0).alias("weight"))
     return v, e
 
 
-@query("heal_embed", """
-    WITH P AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings a, embeddings b WHERE a.label = 3 AND b.label <> 3),
+LINKED = """VE AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), LE AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM VE a JOIN VE b ON b.vec_id = a.vec_id + 1 WHERE a.label <> 3 AND b.label <> 3),
+    CO AS (SELECT src AS id FROM LE UNION SELECT dst FROM LE)"""
+
+
+@query("heal_embed", f"""
+    WITH {LINKED}, P AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 9) AS s FROM VE a, VE b WHERE a.vec_id NOT IN (SELECT id FROM CO) AND b.vec_id IN (SELECT id FROM CO)),
     R AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM P WHERE s >= 0.3)
     SELECT 'v' || a AS src, 'v' || b AS dst, round(s, 4) AS weight, 'semantic_similarity' AS relation_name FROM R WHERE n <= 2""")
 def heal_embed(spark, sf):
@@ -201,13 +211,29 @@ def heal_relink(spark, sf):
     return heal.relinked(v, named).select("src", "dst", "weight")
 
 
-@query("healed_count", given(V, E, S, PROPOSED) + "SELECT count(DISTINCT source_id) AS n_healed FROM Q WHERE confidence >= 0.5 AND source_id NOT IN (SELECT src FROM S) AND target_id IN (SELECT id FROM V)")
+@query("healed_count", given(VC, EA, S, PROPOSED) + """, QC AS (SELECT * FROM Q UNION ALL SELECT 'c' || c_custkey, 's' || (c_custkey % 70), (c_custkey % 11) / 10.0::DOUBLE FROM customer)
+    SELECT count(DISTINCT source_id) AS n_healed FROM QC WHERE confidence >= 0.5 AND source_id NOT IN (SELECT src FROM S) AND target_id IN (SELECT id FROM VC)""")
 def healed_count(spark, sf):
-    v, e = x.vertices(spark, sf), x.edges(spark, sf)
-    return heal.accepted(v, proposals(spark, sf)).join(graph.isolated(v, e).select(F.col("id").alias("src")), "src", "left_semi").agg(F.count_distinct("src").alias("n_healed"))
-
-
-@query("heal_pipeline")
+    """Proposals for parts, which deliveries connect, and for customers."""
+    v, e = x.people(spark, sf), x.all_edges(spark, sf)
+    c = x.t(spark, sf, "customer")
+    more = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("source_id"), F.concat(F.lit("s"), (F.col("c_custkey") % 70).cast("string")).alias("target_id"), ((F.col("c_custkey") % 11) / F.lit(10.0)).alias("confidence"), F.lit("proposed").alias("relation"))
+    taken = heal.accepted(v, proposals(spark, sf).unionByName(more))
+    return taken.join(graph.isolated(v, e).select(F.col("id").alias("src")), "src", "left_semi").agg(F.count_distinct("src").alias("n_healed"))
+
+
+@query("heal_pipeline", f"""
+    WITH {LINKED}, V1 AS (SELECT * FROM VE WHERE vec_id IN (SELECT id FROM CO) OR vec_id % 5 > 0),
+    P AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(a.e, b.e), 9) AS s FROM V1 a, V1 b WHERE a.vec_id NOT IN (SELECT id FROM CO) AND b.vec_id IN (SELECT id FROM CO)),
+    E1 AS (SELECT src, dst FROM LE UNION ALL SELECT src, dst FROM P WHERE s >= 0.3 QUALIFY row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) <= 2),
+    AL AS (SELECT vec_id, (vec_id % 10) / 10.0::DOUBLE AS sure FROM VE WHERE label = 3 AND vec_id IN (SELECT vec_id FROM V1)),
+    E2 AS (SELECT * FROM E1 UNION ALL SELECT vec_id, vec_id + 1 FROM AL WHERE sure >= 0.5 AND vec_id + 1 IN (SELECT vec_id FROM V1)), E3 AS (SELECT * FROM E2 UNION ALL SELECT vec_id, vec_id + 2 FROM AL WHERE sure >= 0.6 AND vec_id + 2 IN (SELECT vec_id FROM V1)),
+    T AS (SELECT 'start' AS step, (SELECT count(*) FROM VE) AS n_nodes, (SELECT count(*) FROM LE) AS n_edges, (SELECT count(*) FROM VE WHERE vec_id NOT IN (SELECT id FROM CO)) AS n_isolated
+      UNION ALL SELECT 'prune', (SELECT count(*) FROM V1), (SELECT count(*) FROM LE), (SELECT count(*) FROM V1 WHERE vec_id NOT IN (SELECT id FROM CO))
+      UNION ALL SELECT 'embed', (SELECT count(*) FROM V1), (SELECT count(*) FROM E1), (SELECT count(*) FROM V1 WHERE vec_id NOT IN (SELECT src FROM E1 UNION SELECT dst FROM E1))
+      UNION ALL SELECT 'propose', (SELECT count(*) FROM V1), (SELECT count(*) FROM E2), (SELECT count(*) FROM V1 WHERE vec_id NOT IN (SELECT src FROM E2 UNION SELECT dst FROM E2))
+      UNION ALL SELECT 'relink', (SELECT count(*) FROM V1), (SELECT count(*) FROM E3), (SELECT count(*) FROM V1 WHERE vec_id NOT IN (SELECT src FROM E3 UNION SELECT dst FROM E3)))
+    SELECT step, n_nodes, n_edges, n_isolated, round(100.0::DOUBLE * ((SELECT n_isolated FROM T WHERE step = 'start') - n_isolated) / (SELECT n_isolated FROM T WHERE step = 'start'), 4) AS resolved_pct FROM T""")
 def heal_pipeline(spark, sf):
     v, e = embedded_graph(spark, sf)
     # every fifth vector says nothing; the offline model links vectors without edges to those after them, by id and by name

@@ -20,23 +20,23 @@ def vertices(spark: SparkSession, sf: str) -> DataFrame:
     return p.unionByName(s)
 
 
-def edges(spark: SparkSession, sf: str, least: int = 50) -> DataFrame:
-    """Deliveries of ``least`` or more, from part to supplier on odd lines, from supplier to part on even ones.
+def people(spark: SparkSession, sf: str) -> DataFrame:
+    """All vertices: parts, suppliers and customers, whom no delivery connects. Those in debt have no description, those of little money no type."""
+    c = t(spark, sf, "customer")
+    money = F.col("c_acctbal")
+    rows = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"), F.when(money >= 2000, "CUSTOMER").alias("type"), F.when(money >= 0, F.col("c_mktsegment")).otherwise(" ").alias("description"), (F.col("c_custkey") + 2_000_000_000_000).cast("long").alias("pos"))
+    return vertices(spark, sf).unionByName(rows)
 
-    The large ones leave some vertices isolated; see all_edges.
-    """
-    rows = t(spark, sf, "lineitem").where(F.col("l_quantity") >= least)
+
+def all_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Deliveries, from part to supplier on odd lines, from supplier to part on even ones."""
+    rows = t(spark, sf, "lineitem")
     p, s = (F.concat(F.lit(k), F.col(c).cast("string")) for k, c in (("p", "l_partkey"), ("s", "l_suppkey")))
     odd = F.col("l_linenumber") % 2 == 1
     ends = rows.select(F.when(odd, p).otherwise(s).alias("src"), F.when(odd, s).otherwise(p).alias("dst"), "l_quantity", "l_orderkey", "l_returnflag")
     return ends.groupBy("src", "dst").agg(F.sum("l_quantity").cast("double").alias("weight"), F.min("l_orderkey").cast("long").alias("pos"), F.min("l_returnflag").alias("keywords"))
 
 
-def all_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """All deliveries."""
-    return edges(spark, sf, 0)
-
-
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as chunks of text."""
     o = t(spark, sf, "orders")
@@ -73,13 +73,18 @@ V = """V AS (
   SELECT 'p' || p_partkey AS id, p_name AS name, CASE WHEN p_size <= 45 THEN p_type END AS type, CASE WHEN p_size > 5 THEN p_brand ELSE '' END AS description, p_partkey::BIGINT AS pos FROM part
   UNION ALL SELECT 's' || s_suppkey, s_name, 'SUPPLIER', s_name, s_suppkey + 1000000000000 FROM supplier
 )"""
-E = """E AS (
+_CUSTOMERS = """, VC AS (
+  SELECT * FROM V UNION ALL SELECT 'c' || c_custkey, c_name, CASE WHEN c_acctbal >= 2000 THEN 'CUSTOMER' END, CASE WHEN c_acctbal >= 0 THEN c_mktsegment ELSE ' ' END, c_custkey + 2000000000000 FROM customer
+)"""
+#: Parts, suppliers and customers.
+VC = V + _CUSTOMERS
+EA = """E AS (
   SELECT CASE WHEN l_linenumber % 2 = 1 THEN 'p' || l_partkey ELSE 's' || l_suppkey END AS src, CASE WHEN l_linenumber % 2 = 1 THEN 's' || l_suppkey ELSE 'p' || l_partkey END AS dst,
     sum(l_quantity)::DOUBLE AS weight, min(l_orderkey)::BIGINT AS pos, min(l_returnflag) AS keywords
-  FROM lineitem WHERE l_quantity >= 50 GROUP BY 1, 2
+  FROM lineitem GROUP BY 1, 2
 )"""
-EA = E.replace(" WHERE l_quantity >= 50", "")
 S = "S AS (SELECT src, dst FROM E UNION ALL SELECT dst, src FROM E)"
+DC = "D AS (SELECT VC.*, coalesce(n, 0)::BIGINT AS degree FROM VC LEFT JOIN (SELECT src, count(*) AS n FROM S GROUP BY src) ON src = id)"
 D = "D AS (SELECT V.*, coalesce(n, 0)::BIGINT AS degree FROM V LEFT JOIN (SELECT src, count(*) AS n FROM S GROUP BY src) ON src = id)"
 START = "B AS (SELECT 's' || s_suppkey AS id FROM supplier WHERE s_nationkey = 7)"
 CHUNKS = "C AS (SELECT o_orderkey::VARCHAR AS chunk_id, o_orderpriority || ' ' || o_orderstatus || ' ' || o_custkey AS content FROM orders)"

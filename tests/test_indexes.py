@@ -189,3 +189,17 @@ def test_late_interaction(spark):
             want = sorted((-round(float((unit(own) @ unit(held).T).max(axis=1).sum()), 9), d) for d, held in docs.items())[:k]
             assert [i for _, i, _ in sorted(got[q])] == [d for _, d in want]
             assert np.allclose([s for *_, s in sorted(got[q])], [-s for s, _ in want])
+
+
+def test_nearest_until_rows_are_enough(spark):
+    from larkspur.operators import vectors
+
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.choice([-1.0, 0.0, 1.0], 3).tolist(), int(rng.integers(1, 6))) for i in range(200)] + [(900, None, 3), (901, [1.0], 2)]
+    corpus = spark.createDataFrame(rows, "id long, vector array<double>, n int").repartition(5)
+    asked = spark.createDataFrame([(q, rng.normal(0, 1, 3).tolist()) for q in range(6)], "query_id long, query_vector array<double>")
+    full = vectors.every_score(asked, corpus).collect()
+    many = {i: n for i, _, n in rows}
+    for k in (1, 7, 60, 10_000):
+        want = {(r.query_id, r.id, r.score) for r in full if sum(many[o.id] for o in full if o.query_id == r.query_id and o.score > r.score) < k}
+        assert {tuple(r) for r in vectors.nearest_until(asked, corpus, k).collect()} == want

