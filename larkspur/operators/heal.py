@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import json_array
+from larkspur.functions.text import json_array, tokens
 from larkspur.operators import graph, vectors
 from larkspur.shared import materialise
 
@@ -118,3 +118,58 @@ def healed(vertices: DataFrame, edges: DataFrame, threshold: float = 0.75, k: in
     return v, e, spark.createDataFrame(rows, "step string, n_nodes long, n_edges long, n_isolated long, resolved_pct double")
 
 
+def cascaded(vertices: DataFrame, edges: DataFrame, thresholds: tuple[float, ...] = (0.75, 0.70, 0.65), k: int = 2) -> DataFrame:
+    """(src, dst, weight, step, same_source): links of isolated vertices (id, num, vector, source) in falling steps.
+
+    Each step works on the vertices that the ones before have left isolated, with all others,
+    those linked by then included, as candidates. A vertex takes its ``k`` nearest of its own source;
+    only if none there reaches the step's threshold, the nearest of all. Null sources are no source.
+    """
+    spark = vertices.sparkSession
+    every = materialise(vertices.select("id", "num", "vector", "source"), "cascade-v")
+    held = edges.select("src", "dst")
+    made = []
+    for step in thresholds:
+        alone = materialise(graph.isolated(every, held), "cascade-alone")
+        rest = every.join(alone.select("id"), "id", "left_anti")
+        asked = alone.select(F.col("num").alias("query_id"), F.col("vector").alias("query_vector"), F.col("source").alias("part"))
+        known = rest.select(F.col("num").alias("id"), "vector", F.col("source").alias("part"))
+        near = materialise(vectors.similarity_join(asked, known, k, step, grouped=True).withColumn("same_source", F.lit(True)), "cascade-near")
+        others = asked.join(near.select("query_id").distinct(), "query_id", "left_anti")
+        far = vectors.similarity_join(others, known, k, step).withColumn("same_source", F.lit(False))
+        hits = near.unionByName(far).withColumnRenamed("id", "hit")
+        named = hits.join(alone.select(F.col("num").alias("query_id"), F.col("id").alias("src")), "query_id").join(rest.select(F.col("num").alias("hit"), F.col("id").alias("dst")), "hit")
+        links = materialise(named.select("src", "dst", F.round("score", 4).alias("weight"), F.format_string("%.2f", F.lit(step)).alias("step"), "same_source"), "cascade-links")
+        made.append(links)
+        held = held.unionByName(links.select("src", "dst"))
+    out = spark.createDataFrame([], "src string, dst string, weight double, step string, same_source boolean")
+    for links in made:
+        out = out.unionByName(links)
+    return out
+
+
+def normalised_types(vertices: DataFrame, likeness: float = 0.7) -> DataFrame:
+    """(type, canonical, n): every type name, the name that stands for its cluster, and how many vertices have it.
+
+    Names are sets of lower-cased words; two are alike if the Jaccard share of their words is at least
+    ``likeness``, and clusters close over likeness. Only names that share one of their rarest words
+    are compared: as many as leave too few for the share to be reached by the others alone (prefix
+    filtering, which loses nothing). The commonest name stands for its cluster, of equal ones the
+    first. Null types and names without a word are left as they are (the latter for themselves).
+    """
+    names = materialise(vertices.where("type is not null").groupBy("type").agg(F.count("*").alias("n")).withColumn("words", F.array_distinct(tokens(F.col("type")))), "type-names")
+    each = names.select("type", F.explode("words").alias("word"))
+    rare = each.groupBy("word").agg(F.count("*").alias("df"))
+    ordered = each.join(rare, "word").groupBy("type").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("ordered"))
+    size = F.size("ordered")
+    kept = F.slice("ordered", F.lit(1), (size - F.ceil(size * F.lit(likeness) - 1e-9) + 1).cast("int"))
+    first = ordered.select("type", F.transform("ordered", lambda x: x["word"]).alias("words"), F.explode(F.transform(kept, lambda x: x["word"])).alias("word"))
+    a, b = (first.select("word", F.col("type").alias(f"{n}_type"), F.col("words").alias(f"{n}_words")) for n in "ab")
+    shared = F.size(F.array_intersect("a_words", "b_words"))
+    share = shared / (F.size("a_words") + F.size("b_words") - shared)
+    long_enough = F.least(F.size("a_words"), F.size("b_words")) >= F.greatest(F.size("a_words"), F.size("b_words")) * likeness - 1e-9
+    pairs = a.join(b, "word").where((F.col("a_type") < F.col("b_type")) & long_enough).where(share >= likeness - 1e-12).select(F.col("a_type").alias("src"), F.col("b_type").alias("dst")).distinct()
+    of = graph.components(names.select(F.col("type").alias("id")), pairs).select(F.col("id").alias("type"), "component")
+    rows = names.select("type", "n").join(of, "type")
+    best = rows.groupBy("component").agg(F.min_by("type", F.struct(-F.col("n"), "type")).alias("canonical"))
+    return rows.join(best, "component").select("type", "canonical", "n")

@@ -175,7 +175,7 @@ def nearest_until(queries: DataFrame, corpus: DataFrame, k: int, places: int = 9
     return out.where(F.col("nearer") < k).select("query_id", "id", "score")
 
 
-def similarity_join(queries: DataFrame, corpus: DataFrame, k: int, least: float, cells: int = 64, piece: int = 20_000, exclude_self: bool = False) -> DataFrame:
+def similarity_join(queries: DataFrame, corpus: DataFrame, k: int, least: float, cells: int = 64, piece: int = 20_000, exclude_self: bool = False, grouped: bool = False) -> DataFrame:
     """As :func:`search` with ``least`` above 0, for queries (query_id, query_vector) that grow with the corpus (id, vector).
 
     Rows go to the cell of the nearest of ``cells`` pivots (rows of the smallest id
@@ -184,10 +184,14 @@ def similarity_join(queries: DataFrame, corpus: DataFrame, k: int, least: float,
     within arccos(least) of the query's own, so nothing is lost. Cells and their queries
     are split into pieces of about ``piece`` rows, each pair of pieces is a task of its
     own, and a task keeps k rows a query. The driver sees pivots and counts only.
+
+    With ``grouped`` both sides have a column ``part`` and only rows of an equal one (nulls equal none) are hits;
+    parts are told apart by 64-bit hashes.
     """
     spark = corpus.sparkSession
-    rows = corpus.select(F.col("id").cast("long").alias("id"), "vector").where("vector is not null")
-    asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col("query_vector").alias("vector")).where("vector is not null")
+    part = F.when(F.col("part").isNotNull(), F.xxhash64("part")) if grouped else F.lit(0).cast("long")
+    rows = corpus.select(F.col("id").cast("long").alias("id"), "vector", part.alias("part")).where("vector is not null and part is not null")
+    asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col("query_vector").alias("vector"), part.alias("part")).where("vector is not null and part is not null")
     pivots = [r["vector"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(cells).collect()]
     wide = max((len(v) for v in pivots), default=0)
     center = _unit(np.array([v for v in pivots if len(v) == wide], np.float64)) if wide else np.empty((0, 0))
@@ -195,14 +199,17 @@ def similarity_join(queries: DataFrame, corpus: DataFrame, k: int, least: float,
         return spark.createDataFrame([], f"{SEARCHED}, rank int")
     sent, reach = spark.sparkContext.broadcast(center), float(np.arccos(np.clip(least, -1, 1))) + 1e-6
 
+    def parts(batch: pa.RecordBatch) -> np.ndarray:
+        return np.asarray(batch.column("part"))[batch.column("vector").value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == sent.value.shape[1]]
+
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, m = _fitting(batch, sent.value.shape[1])
             angles = np.arccos(np.clip(m @ sent.value.T, -1, 1))
             cell = angles.argmin(axis=1) if len(ids) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(m), pa.list_(pa.float64())), pa.array(cell, pa.int64()), pa.array(angles[np.arange(len(ids)), cell], pa.float64())], names=["id", "vector", "cell", "angle"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(m), pa.list_(pa.float64())), pa.array(parts(batch), pa.int64()), pa.array(cell, pa.int64()), pa.array(angles[np.arange(len(ids)), cell], pa.float64())], names=["id", "vector", "part", "cell", "angle"])
 
-    held = materialise(rows.mapInArrow(placed, "id long, vector array<double>, cell long, angle double"), "similarity-cells")
+    held = materialise(rows.mapInArrow(placed, "id long, vector array<double>, part long, cell long, angle double"), "similarity-cells")
     known = {r["cell"]: r for r in held.groupBy("cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("n")).collect()}
     low, high = (np.array([known[c][n] if c in known else np.nan for c in range(len(center))]) for n in ("low", "high"))
 
@@ -211,16 +218,16 @@ def similarity_join(queries: DataFrame, corpus: DataFrame, k: int, least: float,
             ids, m = _fitting(batch, sent.value.shape[1])
             angles = np.arccos(np.clip(m @ sent.value.T, -1, 1))
             at, cell = np.nonzero((angles - reach <= high) & (angles + reach >= low))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(list(m[at]), pa.list_(pa.float64())), pa.array(cell, pa.int64())], names=["id", "vector", "cell"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(list(m[at]), pa.list_(pa.float64())), pa.array(parts(batch)[at], pa.int64()), pa.array(cell, pa.int64())], names=["id", "vector", "part", "cell"])
 
-    wanted = asked.mapInArrow(met, "id long, vector array<double>, cell long")
+    wanted = asked.mapInArrow(met, "id long, vector array<double>, part long, cell long")
     numbers = {r["cell"]: r["n"] for r in wanted.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     sizes = [(c, -(-known[c]["n"] // piece), -(-numbers[c] // piece)) for c in numbers]
     pieces = F.broadcast(spark.createDataFrame(sizes, "cell long, here int, there int"))  # a row a cell
 
     def split(rows: DataFrame, own: str, other: str, names: tuple[str, str]) -> DataFrame:
         mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(names[0])
-        return rows.join(pieces, "cell").select("cell", "id", "vector", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[1]))
+        return rows.join(pieces, "cell").select("cell", "id", "vector", "part", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[1]))
 
     left, right = split(wanted, "there", "here", ("q", "c")), split(held, "here", "there", ("c", "q"))
 
@@ -228,11 +235,12 @@ def similarity_join(queries: DataFrame, corpus: DataFrame, k: int, least: float,
         out = []
         if a.num_rows and b.num_rows:
             ids, own = a.column("id").to_numpy(), b.column("id").to_numpy()
+            asked_of, part_of = a.column("part").to_numpy(), b.column("part").to_numpy()
             mine, theirs = (np.stack([np.asarray(v) for v in t.column("vector").to_pylist()]) for t in (a, b))
             for start in range(0, len(ids), 1024):
                 scores = np.round(mine[start : start + 1024] @ theirs.T, 9)
-                for name, found in zip(ids[start : start + 1024].tolist(), scores, strict=True):
-                    keep = np.flatnonzero((found >= least) & ((own != name) | (not exclude_self)))
+                for name, of, found in zip(ids[start : start + 1024].tolist(), asked_of[start : start + 1024].tolist(), scores, strict=True):
+                    keep = np.flatnonzero((found >= least) & (part_of == of) & ((own != name) | (not exclude_self)))
                     keep = keep[_best(found[keep], own[keep], k)]
                     out += [(name, i, x) for i, x in zip(own[keep].tolist(), found[keep].tolist(), strict=True)]
         columns = list(zip(*out, strict=True)) or [()] * 3

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from larkspur.functions import text
+from larkspur.functions import models, text
 from larkspur.operators import batches, chunking, history, market, usage
 from larkspur.plans import shapes as x
 from larkspur.plans.shapes import CALLS, PRICES
@@ -147,9 +147,57 @@ def number_format(spark, sf):
 
 
 @query("preview_bar", """SELECT doc_id, CASE WHEN length(replace(text, chr(10), ' | ')) > 40 THEN left(replace(text, chr(10), ' | '), 40) || '...' ELSE replace(text, chr(10), ' | ') END AS preview,
-    CASE WHEN length(text) > 5000 THEN left(text, 5000) || '...(생략)' ELSE text END = text AS whole FROM documents""")
+    CASE WHEN length(text) > 5000 THEN left(text, 5000) || '...(생략)' ELSE text END = text AS whole, repeat('#', round_even((doc_id % 101) / 100.0::DOUBLE * 12, 0)::INTEGER) AS bar FROM documents""")
 def preview_bar(spark, sf):
-    return docs(spark, sf).select("doc_id", text.preview(F.col("text"), 40).alias("preview"), (text.capped(F.col("text"), 5000) == F.col("text")).alias("whole"))
+    """Previews with a bar for a score of 0 to 100."""
+    bar = text.score_bar((F.col("doc_id") % 101).cast("double"), 100.0)
+    return docs(spark, sf).select("doc_id", text.preview(F.col("text"), 40).alias("preview"), (text.capped(F.col("text"), 5000) == F.col("text")).alias("whole"), bar.alias("bar"))
+
+
+@query("headed_prompts", """WITH A AS (SELECT doc_id, text, lang, source, CASE WHEN doc_id % 3 > 0 THEN ['Root', lang, source][1:doc_id % 3 + 1] ELSE [] END AS headers FROM documents)
+    SELECT doc_id, array_to_string(headers, ' > ') AS path, md5(CASE WHEN len(headers) > 0 THEN 'HEADER: ' || array_to_string(headers, ', ') || chr(10) || text ELSE text END) AS headed,
+      md5(concat_ws(chr(10) || chr(10), CASE WHEN lang <> '' THEN '[Language]' || chr(10) || lang END, CASE WHEN doc_id % 2 = 0 THEN '[Text]' || chr(10) || left(text, 200) END)) AS sections,
+      md5('Summarise ' || coalesce(source, '') || ': ' || left(text, 100)) AS prompt FROM A""")
+def headed_prompts(spark, sf):
+    """Texts after their headings, as sections of an input (those that are there), and in a template."""
+    k = F.col("doc_id") % 3
+    headers = F.when(k > 0, F.slice(F.array(F.lit("Root"), "lang", "source"), F.lit(1), (k + 1).cast("int"))).otherwise(F.array().cast("array<string>"))
+    rows = docs(spark, sf).withColumn("headers", headers)
+    some = F.when(F.col("doc_id") % 2 == 0, F.left("text", F.lit(200)))
+    return rows.select(
+        "doc_id", text.context_path(F.col("headers")).alias("path"), F.md5(text.with_headers(F.col("headers"), F.col("text"))).alias("headed"),
+        F.md5(text.sections_input({"Language": F.col("lang"), "Text": some})).alias("sections"), F.md5(text.filled("Summarise {source}: {text}", {"source": F.col("source"), "text": F.left("text", F.lit(100))})).alias("prompt"),
+    )
+
+
+@query("page_boxes", """WITH B AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS x, l_linenumber * 10.0::DOUBLE AS y FROM lineitem)
+    SELECT l_orderkey, l_linenumber, round(x / 612, 9) AS l, round(y / 792, 9) AS t, round((x + 50) / 612, 9) AS r, round((y + 8) / 792, 9) AS b FROM B""")
+def page_boxes(spark, sf):
+    """Boxes in shares of a letter page."""
+    x0, y0 = F.col("l_quantity").cast("double"), F.col("l_linenumber") * 10.0
+    box = F.struct(x0.alias("l"), y0.alias("t"), (x0 + 50).alias("r"), (y0 + 8).alias("b"))
+    rows = x.t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", text.normalised_bbox(box, F.lit(612.0), F.lit(792.0)).alias("box"))
+    return rows.select("l_orderkey", "l_linenumber", *[F.round(f"box.{c}", 9).alias(c) for c in "ltrb"])
+
+
+@query("guarded_items", """SELECT c_custkey AS doc_id, coalesce((o_orderkey % 5)::INTEGER + 2, 1) AS page, coalesce(o_orderpriority, '.') AS text, count(*) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY ALL""")
+def guarded_items(spark, sf):
+    """Customers as documents with their open orders as items; those without any get one."""
+    o = x.t(spark, sf, "orders").where("o_orderstatus = 'P'")
+    items = o.select(F.col("o_custkey").alias("doc_id"), ((F.col("o_orderkey") % 5).cast("int") + 2).alias("page"), F.col("o_orderpriority").alias("text"))
+    found = chunking.guarded(x.t(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id")), items)
+    return found.groupBy("doc_id", "page", "text").agg(F.count("*").alias("n"))
+
+
+@query("rewritten_questions", """WITH D AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) FILTER (role <> 'user') AS dialogue, max_by(text, turn) FILTER (role = 'user') AS question FROM conversations GROUP BY conv_id)
+    SELECT conv_id, md5(question) AS question, md5(CASE WHEN coalesce(dialogue, '') <> '' AND trim(left(dialogue || chr(10) || chr(10) || question, 80), ' ') <> '' THEN trim(left(dialogue || chr(10) || chr(10) || question, 80), ' ') ELSE question END) AS rewritten FROM D WHERE question IS NOT NULL""")
+def rewritten_questions(spark, sf):
+    """The last question of every conversation, rewritten by a model (here the first words of what it is given) that sees the rest."""
+    c = x.t(spark, sf, "conversations")
+    others = c.where("role <> 'user'").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda m: m["text"]), " ").alias("text"))
+    asked = c.where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("question")).where("question is not null")
+    found = history.rewritten_questions(asked, others, models.template_generator(most=80))
+    return found.select("conv_id", F.md5("question").alias("question"), F.md5("rewritten").alias("rewritten"))
 
 
 @query("node_texts", x.given(x.V) + "SELECT id, CASE WHEN trim(coalesce(name, '') || ': ' || coalesce(description, ''), ': ') = '' THEN 'unknown' ELSE trim(coalesce(name, '') || ': ' || coalesce(description, ''), ': ') END AS node_text FROM V")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import tokens
-from larkspur.operators import evaluation, lexical, passages
+from larkspur.operators import evaluation, heal, lexical, passages, waves
+from larkspur.plans import relational
 from larkspur.plans import retrieval as r
 from larkspur.plans import shapes as x
 from larkspur.shared import materialise
@@ -149,3 +150,67 @@ def graph_mix(spark, sf):
     chunks = r.chunk_hits(spark, sf).join(x.chunks(spark, sf), "chunk_id").select("query_id", F.lit("chunk").alias("part"), "rank", F.col("chunk_id").alias("item"), F.length("content").alias("cost"))
     parts = materialise(named.unionByName(relations).unionByName(chunks), "mix-parts")
     return passages.budgeted(parts, BUDGET, SHARES)
+
+
+DECOMPOSED = r"""IT AS (SELECT item_id, string_split(text, ' ') AS ws, len(string_split(text, ' ')) // 2 AS h FROM benchmark WHERE text IS NOT NULL),
+    Q1 AS (SELECT item_id * 10 + 1 AS query_id, array_to_string(ws[1:h], ' ') AS query FROM IT UNION ALL SELECT item_id * 10 + 2, array_to_string(ws[h + 1:len(ws)], ' ') FROM IT)"""
+
+
+@query("query_decomposition", f"""WITH {DECOMPOSED}, {r.bm25_sql(r.DOCS, 'SELECT * FROM Q1', '1')},
+    A1 AS (SELECT Q1.query_id, Q1.query, coalesce(left(text, 60), '') AS answer FROM Q1 LEFT JOIN (SELECT *, {r.BEST} AS rank FROM M1) B ON B.query_id = Q1.query_id AND rank = 1 LEFT JOIN documents ON doc_id = id),
+    Q2 AS (SELECT item_id * 10 + 3 AS query_id, a.answer || ' ' || b.answer AS query FROM IT JOIN A1 a ON a.query_id = item_id * 10 + 1 JOIN A1 b ON b.query_id = item_id * 10 + 2), {r.bm25_sql(r.DOCS, 'SELECT * FROM Q2', '2')},
+    A2 AS (SELECT Q2.query_id, Q2.query, coalesce(left(text, 60), '') AS answer FROM Q2 LEFT JOIN (SELECT *, {r.BEST} AS rank FROM M2) B ON B.query_id = Q2.query_id AND rank = 1 LEFT JOIN documents ON doc_id = id)
+    SELECT query_id // 10 AS request_id, (query_id % 10)::INTEGER AS sub_id, CASE WHEN query_id % 10 = 3 THEN 2 ELSE 1 END AS wave, 'answered' AS status, md5(query) AS question, md5(answer) AS answer FROM (SELECT * FROM A1 UNION ALL SELECT * FROM A2)
+    UNION ALL SELECT item_id, sub_id, NULL, CASE WHEN sub_id <= 5 THEN 'cycle' ELSE 'missing' END, md5('what of ' || CASE sub_id WHEN 4 THEN '{{5}}' WHEN 5 THEN '{{4}}' WHEN 6 THEN '{{9}}' ELSE '{{6}}' END), NULL FROM IT, (SELECT unnest([4, 5, 6, 7]) AS sub_id) WHERE item_id % 5 = 0""")
+def query_decomposition(spark, sf):
+    """Both halves of every item, and a question made of their answers; every fifth item also asks what cannot be answered."""
+    q = r.items(spark, sf).where("query is not null").select(F.col("query_id").alias("request_id"), F.split("query", " ").alias("ws"))
+    half = F.floor(F.size("ws") / 2).cast("int")
+
+    def sub(number, question, *needs):
+        return F.struct(F.lit(number).alias("sub_id"), question.alias("question"), F.array(*map(F.lit, needs)).cast("array<int>").alias("needs"))
+
+    own = [sub(1, F.array_join(F.slice("ws", F.lit(1), half), " ")), sub(2, F.array_join(F.slice("ws", half + 1, F.size("ws")), " ")), sub(3, F.lit("{1} {2}"), 1, 2)]
+    odd = [sub(n, F.lit(f"what of {{{m}}}"), m) for n, m in ((4, 5), (5, 4), (6, 9), (7, 6))]
+    every = F.when(F.col("request_id") % 5 == 0, F.array(*own, *odd)).otherwise(F.array(*own))
+    subs = materialise(q.select("request_id", F.explode(every).alias("s")).select("request_id", "s.*"), "sub-questions")
+    docs = r.docs(spark, sf).select("id", "text")
+
+    def answer(asked):
+        keyed = asked.select((F.col("request_id") * 10 + F.col("sub_id")).alias("query_id"), F.col("question").alias("query"))
+        best = lexical.search(docs, keyed, 1).join(docs, "id")
+        return best.select(F.floor(F.col("query_id") / 10).cast("long").alias("request_id"), (F.col("query_id") % 10).cast("int").alias("sub_id"), F.left("text", F.lit(60)).alias("answer"))
+
+    return waves.answered(subs, answer).select("request_id", "sub_id", "wave", "status", F.md5("question").alias("question"), F.md5("answer").alias("answer"))
+
+
+VARIANT = "CASE p_partkey % 4 WHEN 0 THEN p_type WHEN 1 THEN lower(p_type) WHEN 2 THEN p_type || ' GOODS' ELSE 'the ' || p_type END"
+
+
+@query("type_clusters", f"""WITH RECURSIVE T AS (SELECT {VARIANT} AS type, count(*) AS n FROM part GROUP BY 1), W AS (SELECT type, n, list_distinct({TOKENS.format('type')}) AS ws FROM T),
+    P AS (SELECT a.type AS src, b.type AS dst FROM W a JOIN W b ON a.type <> b.type WHERE len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))) >= 0.7),
+    C AS (SELECT type AS a, type AS b FROM T UNION SELECT C.a, P.dst FROM C JOIN P ON P.src = C.b), R AS (SELECT a AS type, arg_min(b, (-n, b)) AS canonical FROM C JOIN T ON T.type = C.b GROUP BY a)
+    SELECT type, canonical, n FROM R JOIN T USING (type)""")
+def type_clusters(spark, sf):
+    """Four spellings of the parts' types."""
+    return heal.normalised_types(x.t(spark, sf, "part").select(F.expr(VARIANT).alias("type")))
+
+
+def _cascade_sql() -> str:
+    steps, before = [], "LE"
+    for n, t in enumerate(("0.50", "0.40", "0.30")):
+        near = "round(list_cosine_similarity(a.e, b.e), 9)"
+        steps.append(f"CO{n} AS (SELECT src AS id FROM {before} UNION SELECT dst FROM {before})")
+        steps.append(f"P{n} AS (SELECT a.vec_id AS src, b.vec_id AS dst, {near} AS s, a.vec_id % 20 = b.vec_id % 20 AS same FROM VE a, VE b WHERE a.vec_id NOT IN (SELECT id FROM CO{n}) AND b.vec_id IN (SELECT id FROM CO{n}) AND {near} >= {t})")
+        steps.append(f"N{n} AS (SELECT * FROM P{n} WHERE same OR src NOT IN (SELECT src FROM P{n} WHERE same) QUALIFY row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) <= 2)")
+        steps.append(f"L{n} AS (SELECT src, dst FROM {before} UNION ALL SELECT src, dst FROM N{n})")
+        before = f"L{n}"
+    every = " UNION ALL ".join(f"SELECT 'v' || src AS src, 'v' || dst AS dst, round(s, 4) AS weight, '{t}' AS step, same AS same_source FROM N{n}" for n, t in enumerate(("0.50", "0.40", "0.30")))
+    return f"WITH {relational.LINKED}, {', '.join(steps)} {every}"
+
+
+@query("heal_cascade", _cascade_sql())
+def heal_cascade(spark, sf):
+    """Vectors without an edge, linked at falling thresholds, those of their own source first."""
+    v, e = relational.embedded_graph(spark, sf)
+    return heal.cascaded(v.withColumn("source", F.col("num") % 20), e, (0.5, 0.4, 0.3))

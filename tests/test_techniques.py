@@ -166,3 +166,91 @@ def test_faithfulness(spark):
     contexts = spark.createDataFrame([(1, "a cat sat on the mat"), (1, "dog ran"), (3, None)], "query_id long, text string")
     got = {r.query_id: (r.n_claims, r.n_supported, r.faithfulness) for r in evaluation.faithfulness(answers, contexts).collect()}
     assert got == {1: (2, 1, 0.5), 3: (1, 0, 0.0)}
+
+
+def test_waves_are_those_of_a_plain_interpreter(spark):
+    from larkspur.operators import waves
+
+    rng, rows = random.Random(7), []
+    for q in range(40):
+        n = rng.randint(1, 7)
+        for s in range(1, n + 1):
+            needs = rng.sample([x for x in range(1, n + 2) if x != s or q % 7 == 0], rng.choice([0, 0, 1, 1, 2]) if n > 1 else 0)
+            rows.append((q, s, f"q{q}.{s}(" + ",".join(f"{{{x}}}" for x in needs) + ")", needs or None if rng.random() < 0.5 else needs))
+    want = {}
+    for q in range(40):
+        own = {s: (t, n or []) for a, s, t, n in rows if a == q}
+        answers, wave = {}, {}
+        go = True
+        while go:
+            ready = [s for s, (_, n) in own.items() if s not in wave and all(x in wave for x in n)]
+            go = bool(ready)
+            for s in ready:
+                text = own[s][0]
+                for x in own[s][1]:
+                    text = text.replace(f"{{{x}}}", answers[x])
+                want[q, s] = (1 + max((wave[x] for x in own[s][1]), default=0), "answered", text, text.upper() if s % 3 else "")
+            for s in ready:
+                wave[s], answers[s] = want[q, s][0], want[q, s][3]
+
+        def lost(s, seen=()):
+            return any(x not in own or x not in seen and x not in wave and lost(x, (*seen, s)) for x in own[s][1])
+
+        want |= {(q, s): (None, "missing" if lost(s) else "cycle", own[s][0], None) for s in own if s not in wave}
+    assert {v[1] for v in want.values()} == {"answered", "missing", "cycle"} and max(v[0] or 0 for v in want.values()) > 3
+
+    def answer(asked):
+        return asked.where("sub_id % 3 <> 0").select("request_id", "sub_id", F.upper("question").alias("answer"))
+
+    subs = spark.createDataFrame(rows, "request_id long, sub_id int, question string, needs array<int>").repartition(3)
+    got = {(r.request_id, r.sub_id): (r.wave, r.status, r.question, r.answer) for r in waves.answered(subs.unionAll(subs), answer).collect()}
+    assert got == want
+    assert waves.answered(subs.limit(0), answer).collect() == []
+    assert [r.status for r in waves.answered(spark.createDataFrame([(1, 1, "{1}", [1])], "request_id long, sub_id int, question string, needs array<int>"), answer).collect()] == ["cycle"]
+
+
+def test_type_clusters_are_closed_likeness(spark):
+    from larkspur.operators import heal
+
+    rng = random.Random(8)
+    names = {" ".join(rng.sample(["red", "green", "blue", "Big", "small", "old", "new", "the"], rng.randint(1, 5))) for _ in range(70)} | {"", "--", "RED green", "Red  GREEN"}
+    rows = [(n,) for n in sorted(names) for _ in range(rng.randint(1, 4))] + [(None,)]
+    for likeness in (0.6, 0.75, 1.0):
+        found = {n: set(words(n)) for n in names}
+        group = {n: n for n in names}
+        go = True
+        while go:
+            go = False
+            for a in names:
+                for b in names:
+                    if found[a] and found[b] and len(found[a] & found[b]) / len(found[a] | found[b]) >= likeness - 1e-12 and group[b] < group[a]:
+                        group[a], go = group[b], True
+        many = {n: sum(r == (n,) for r in rows) for n in names}
+        want = {n: min((m for m in names if group[m] == group[n]), key=lambda m: (-many[m], m)) for n in names}
+        got = {r.type: (r.canonical, r.n) for r in heal.normalised_types(spark.createDataFrame(rows, "type string"), likeness).collect()}
+        assert got == {n: (want[n], many[n]) for n in names}
+
+
+def test_cascade_is_plain_search_in_falling_steps(spark):
+    import numpy as np
+
+    from larkspur.operators import heal
+
+    rng = np.random.default_rng(2)
+    m = rng.normal(0, 1, (160, 4))
+    source = [None if i % 11 == 0 else f"s{i % 4}" for i in range(160)]
+    unit = m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+    cos = np.round(unit @ unit.T, 9)
+    edges = [(f"v{i}", f"v{i + 1}") for i in range(0, 60, 2)]
+    linked, want = {int(x[1:]) for e in edges for x in e}, set()
+    for step in (0.99, 0.9, 0.6):
+        made = set()
+        for i in set(range(160)) - linked:
+            hits = [(-cos[i, j], j) for j in linked if cos[i, j] >= step]
+            own = [h for h in hits if source[i] is not None and source[h[1]] == source[i]]
+            made |= {(f"v{i}", f"v{j}", round(float(-s), 4), f"{step:.2f}", bool(own)) for s, j in sorted(own or hits)[:2]}
+        linked |= {int(x[1:]) for e in made for x in e[:2]}
+        want |= made
+    v = spark.createDataFrame([(f"v{i}", i, i, m[i].tolist(), source[i]) for i in range(160)], "id string, num long, pos long, vector array<double>, source string")
+    got = {tuple(r) for r in heal.cascaded(v, spark.createDataFrame(edges, "src string, dst string"), (0.99, 0.9, 0.6)).collect()}
+    assert got == want and len({w[3:] for w in want}) >= 4
