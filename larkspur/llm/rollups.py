@@ -6,7 +6,9 @@ of a document under a tokenizer version; the store looks up what the document
 counted before and emits its negative together with the new count. Totals by
 source, language and tokenizer version are the sums of all committed deltas.
 
-Entries lie in buckets by hash of doc_id. A batch reads the files of the buckets that
+Entries lie in buckets by hash of doc_id, as many as the first batch asks for at
+``bucket_rows`` entries each (32 at least). When the live entries have outgrown them by four, the next batch first
+deals them anew into more, as a commit of its own, whole like any other. A batch reads the files of the buckets that
 it touches, back to the last batch that wrote such a bucket whole, and writes a
 bucket whole when ``chain`` batches have added to it. Every ``snapshot`` batches
 totals are summed up. So a batch costs what it changes and the buckets of that, not
@@ -53,13 +55,13 @@ def token_count(text: Column, tokenizer: str) -> Column:
 class RollupStore:
     """Entries and totals below a folder that driver and executors share."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 32, chain: int = 8, snapshot: int = 32):
-        self.spark, self.path, self.chain, self.snapshot = spark, path.rstrip("/"), chain, snapshot
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, chain: int = 8, snapshot: int = 32, bucket_rows: int = 500_000):
+        self.spark, self.path, self.chain, self.snapshot, self.bucket_rows = spark, path.rstrip("/"), chain, snapshot, bucket_rows
         jvm = spark.sparkContext._jvm
         self._at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._at("").getFileSystem(self._conf)
-        self.buckets = next((c["of"] for c in self.commits()), buckets)  # as the store was made
+        self.buckets = next((c["of"] for c in reversed(self.commits())), buckets)  # as the store was made or dealt last
 
     def _numbers(self) -> list[int]:
         """Numbers of all markers, readable or not."""
@@ -72,7 +74,7 @@ class RollupStore:
         """Committed batches in order."""
         if not self._numbers():
             return []
-        kind = "batch_id string, number long, folder string, of int, buckets array<int>, whole array<int>, summed boolean"
+        kind = "batch_id string, number long, folder string, of int, buckets array<int>, whole array<int>, summed boolean, dealt boolean"
         rows = self.spark.read.schema(kind).json(f"{self.path}/commits/*.json").where("folder is not null").collect()
         return sorted((r.asDict() for r in rows), key=lambda r: r["number"])
 
@@ -88,6 +90,8 @@ class RollupStore:
             for k in set(c["buckets"]) - done:
                 out.setdefault(k, []).append(c)
             done |= set(c["whole"])
+            if c.get("dealt"):  # all entries lie here or later
+                break
         return out
 
     def entry_files(self, buckets: list[int] | None = None) -> list[str]:
@@ -146,9 +150,15 @@ class RollupStore:
         commits = self.commits()
         if any(c["batch_id"] == batch_id for c in commits):
             return False
+        usable = changes.where("doc_id is not null and tokenizer is not null")
+        self.buckets = next((c["of"] for c in reversed(commits)), self.buckets)
+        if self.buckets is None:
+            self.buckets = self.enough(usable.count())
+        elif commits and self.enough(self._sums(commits).agg(F.sum("n_docs")).first()[0] or 0) >= 4 * max(self.buckets, 32):
+            self.deal(self.enough(self._sums(commits).agg(F.sum("n_docs")).first()[0]))
+            commits = self.commits()
         number, folder = max(self._numbers(), default=-1) + 1, f"batches/{uuid.uuid4().hex}"
         target, bucket = f"{self.path}/{folder}", F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")
-        usable = changes.where("doc_id is not null and tokenizer is not null")
         touched = sorted(r["bucket"] for r in usable.select(bucket.alias("bucket")).distinct().collect())
         chains = self.chains(commits)
         whole = [k for k in touched if k not in chains or len(chains[k]) >= self.chain]
@@ -176,6 +186,24 @@ class RollupStore:
         self._publish(number, marker)
         return True
 
+    def enough(self, rows: int) -> int:
+        """Buckets for so many entries: a power of two, 32 at least."""
+        return max(32, 1 << (-(-rows // self.bucket_rows) - 1).bit_length()) if rows else 32
+
+    def deal(self, buckets: int) -> None:
+        """Deals the live entries into so many buckets, as a commit that changes no total.
+
+        What was deleted is forgotten; a writer that dies before its marker changes nothing.
+        """
+        number, folder = max(self._numbers(), default=-1) + 1, f"batches/{uuid.uuid4().hex}"
+        target, bucket = f"{self.path}/{folder}", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+        live = self.entries().where("live").withColumn("batch", F.lit(number).cast("long"))
+        live.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "doc_id").write.partitionBy("bucket").parquet(f"{target}/entries")
+        self.spark.createDataFrame([], TOTALS).coalesce(1).write.parquet(f"{target}/deltas")
+        written = self._written(target)
+        self._publish(number, {"batch_id": f"dealt {number}", "number": number, "folder": folder, "of": buckets, "buckets": written, "whole": written, "summed": False, "dealt": True})
+        self.buckets = buckets
+
     def _written(self, target: str) -> list[int]:
         """Buckets of which a batch has entries (deletions of what is not there leave none)."""
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/entries")

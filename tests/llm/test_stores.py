@@ -67,6 +67,23 @@ def test_a_small_batch_reads_its_buckets_only(spark, path):
     assert sums(store) == {("a", "en", "words"): (200, 204)} and store.entries().where("live").count() == 200
 
 
+def test_buckets_follow_the_entries(spark, path):
+    store = rollups.RollupStore(spark, path, bucket_rows=2)
+    assert [store.enough(n) for n in (0, 1, 64, 65, 129, 1000)] == [32, 32, 32, 64, 128, 512]
+    assert store.commit("load", changes(spark, [(i, "a", "en", "words", 1, "insert") for i in range(40)])) and store.buckets == 32
+    assert store.commit("more", changes(spark, [(i, "b", "en", "words", 2, "insert") for i in range(40, 400)] + [(0, None, None, "words", None, "delete")]))
+    before = sums(store)
+    assert before == {("a", "en", "words"): (39, 39), ("b", "en", "words"): (360, 720)}
+    # the next batch finds 399 entries in 32 buckets for 64 and deals them anew first
+    assert store.commit("next", changes(spark, [(1, "a", "en", "words", 5, "revise"), (0, "c", "en", "words", 9, "insert"), (399, None, None, "words", None, "delete")]))
+    assert store.buckets == 256 == store.commits()[-1]["of"] and not store.commit("next", changes(spark, [(1, "a", "en", "words", 5, "revise")]))
+    want = {("a", "en", "words"): (39, 43), ("b", "en", "words"): (359, 718), ("c", "en", "words"): (1, 9)}
+    assert sums(store) == want and store.entries().where("live").count() == 399
+    again = rollups.RollupStore(spark, path, bucket_rows=2)
+    assert again.buckets == 256 and again.commit("last", changes(spark, [(2, None, None, "words", None, "delete")]))
+    assert sums(again)["a", "en", "words"] == (38, 42) and again.entries().where("live").count() == 398
+
+
 def test_deltas_against_a_dictionary(spark, path):
     rng, store, known = random.Random(3), rollups.RollupStore(spark, path, buckets=4, chain=2, snapshot=3), {}
     for n in range(8):
