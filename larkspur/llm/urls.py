@@ -127,10 +127,23 @@ def judge(pages: DataFrame, rules=LISTED, default: str = "allow", **mining) -> D
     met = met.withColumn("parts", F.transform("wanted", lambda own: F.array_min(F.array_intersect(own, "tokens")))).where(F.forall("parts", lambda x: x.isNotNull()))
     strength = F.struct((-F.col("right") / F.col("held")).alias("c"), (-F.col("right")).alias("s"), F.size("parts").alias("l"), F.array_sort("parts").alias("w"), "verdict")
     judged = met.groupBy("tokens").agg(F.min(strength)["verdict"].alias("mined"))
-    out = rows.join(judged, "tokens", "left")
+    out = _with_verdicts(rows, judged)
     return out.select("page_id", "host", "path", "rule", F.coalesce("listed", "mined", F.lit(default)).alias("verdict"))
 
 
+def _with_verdicts(rows: DataFrame, judged: DataFrame, most: int = 10_000) -> DataFrame:
+    """Rows with the verdict of their token set.
+
+    Sets of more than a ``most``-th of all rows, of which there are at most ``most``, meet theirs by
+    broadcast: a set that a third of the pages share is no hot key.
+    """
+    counts = rows.groupBy("tokens").agg(F.count("*").alias("n"))
+    total = rows.count()
+    often = materialise(counts.where(F.col("n") > max(500, total // most)).select("tokens").join(judged, "tokens", "left"), "url-often")
+    rest = rows.join(F.broadcast(often.select("tokens")), "tokens", "left_anti").join(judged, "tokens", "left")
+    return rows.join(F.broadcast(often), "tokens").unionByName(rest)
+
+
 SQL = r"""
 WITH a AS (
   SELECT row_number() OVER () AS r, page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
