@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.words import slices
+from larkspur.shared import materialise
 
 SEGMENT = 512
 UNKNOWN = "und"
@@ -198,20 +199,27 @@ class Parser:
 
 
 def fit(labelled: DataFrame, sample_docs: int = 60, sample_chars: int = 40_000, longest: int = 20_000, total_chars: int = 4_000_000) -> Parser:
-    """Fits on rows (doc_id, text, lang); rows without text or lang are ignored."""
+    """Fits on rows (doc_id, text, lang); rows without text or lang are ignored.
+
+    Of each language at most ``sample_chars`` characters, and ``total_chars`` of all together, reach
+    the driver: the samples are cut where they lie.
+    """
     usable = labelled.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.length("text") > 0))
     few = usable.select("lang", "doc_id").distinct().withColumn("hash", F.xxhash64(F.col("doc_id").cast("string"))).withColumn("salt", F.pmod("hash", F.lit(64)))
     for part in (("lang", "salt"), ("lang",)):  # the smallest of each part, so that a frequent language is no hot key
         few = few.withColumn("nth", F.row_number().over(Window.partitionBy(*part).orderBy("hash", "doc_id"))).where(F.col("nth") <= sample_docs)
+    few = materialise(few.select("lang", "doc_id", "nth"), "language-sample")
+    most = min(sample_chars, total_chars // max(1, few.select("lang").distinct().count()))
     # only the texts of these are moved; equal doc_ids are told apart by the start of their texts
     chosen = usable.join(F.broadcast(few.select(F.col("lang").alias("l"), F.col("doc_id").alias("d"), "nth")), F.col("lang").eqNullSafe(F.col("l")) & F.col("doc_id").eqNullSafe(F.col("d")))
     ranked = Window.partitionBy("lang").orderBy("nth", "text")
     some = chosen.select("lang", "nth", F.substring("text", 1, longest).alias("text")).withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") <= sample_docs)
-    found = sorted(some.collect(), key=lambda r: (r["lang"], r["nth"]))
-    most = min(sample_chars, total_chars // max(1, len({r["lang"] for r in found})))
+    # each text stands after a line break
+    before = F.coalesce(F.sum(F.length("text") + 1).over(Window.partitionBy("lang").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = some.withColumn("left", F.lit(most) - before - 1).where(F.col("left") >= 0).select("lang", "nth", F.expr("substring(text, 1, cast(left as int))").alias("text"))
     samples: dict[str, str] = {}
-    for row in found:
-        samples[row["lang"]] = (samples.get(row["lang"], "") + "\n" + row["text"])[:most]
+    for row in sorted(cut.collect(), key=lambda r: (r["lang"], r["nth"])):
+        samples[row["lang"]] = samples.get(row["lang"], "") + "\n" + row["text"]
     return Parser(samples)
 
 
@@ -251,7 +259,9 @@ def accepted(docs: DataFrame, parser: Parser, most: float = 0.85) -> DataFrame:
     """The documents, with all their columns, that are in some learned language.
 
     Rejected are texts without a letter and those that need ``most`` or more
-    phrases a character in every language, so that no learned text resembles them.
+    phrases a character in every language, so that no learned text resembles them. Null
+    texts have no letter; equal rows stay or go alike; without a learned language none
+    stays; an empty table stays empty.
     """
     model = docs.sparkSession.sparkContext.broadcast(parser)
     column = docs.columns.index("text")
