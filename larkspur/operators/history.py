@@ -88,7 +88,8 @@ def detected(texts: DataFrame, dictionary: DataFrame, only: DataFrame | None = N
     distinct words of all texts, by the ``gram`` characters that it begins with; the
     words that hold one lead from texts to candidates, and names of more than that word
     are then looked for in the text itself. No text is compared with every name and no
-    text is copied per word. Names without a letter or digit are tried on every text.
+    text is copied per word. Names without a letter or digit are looked for by their first
+    mark, among the marks of each text.
     """
     word = r"[^\p{L}\p{N}]+"
     names = (dictionary if only is None else only).where("name <> ''").select("kind", "name", F.lower("name").alias("low")).distinct()
@@ -107,11 +108,11 @@ def detected(texts: DataFrame, dictionary: DataFrame, only: DataFrame | None = N
     met = held.join(hold.hint("shuffle_hash"), "word").select("id", "first").distinct().join(names, "first").select("id", "kind", "name", "low", "first")
     several = met.where("low <> first").join(rows, "id").where(F.contains("low_text", F.col("low")))
     hits = met.where("low = first").select("id", "kind", "name").unionByName(several.select("id", "kind", "name"))
-    odd = [(r["kind"], r["name"], r["low"]) for r in names.where("first is null").collect()]  # marks alone: a few
-    if odd:
-        listed = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name"), F.lit(x).alias("low")) for k, n, x in odd])
-        marks = rows.select("id", F.explode(F.filter(listed, lambda x: F.contains("low_text", x["low"]))).alias("x"))
-        hits = hits.unionByName(marks.select("id", "x.kind", "x.name"))
+    odd = names.where("first is null").select("kind", "name", "low", F.left("low", F.lit(1)).alias("mark"))
+    if not odd.isEmpty():  # marks alone: by the first, among the distinct ones of each text
+        marks = F.array_distinct(F.split(F.regexp_replace("low_text", r"[\p{L}\p{N}]+", ""), ""))
+        each = rows.select("id", "low_text", F.explode(marks).alias("mark")).join(odd.hint("shuffle_hash"), "mark")
+        hits = hits.unionByName(each.where(F.contains("low_text", F.col("low"))).select("id", "kind", "name"))
     return hits.groupBy("id", "kind").agg(F.array_sort(F.collect_set("name")).alias("names"))
 
 

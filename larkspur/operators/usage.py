@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.shared import materialise
+
 # Prices for 1000 tokens.
 RATES = {
     "mini": {"in": 0.000150, "out": 0.000600, "batch_in": 0.000075, "batch_out": 0.000300},
@@ -42,12 +46,19 @@ def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, fl
     """Values at place floor(n * share), from 0, of each group in order, at most the last.
 
     Values are counted before they are ordered, so a group of many equal values is
-    a few rows.
+    a few rows. They are dealt by range, and each range goes on from the count of the ones before,
+    so no task orders a whole group.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
+    ranged = materialise(counts.repartitionByRange(*by, value).withColumn("range", F.spark_partition_id()), "percentile-ranges")
     over = Window.partitionBy(*by)
-    upto = F.sum("c").over(over.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    placed = counts.withColumn("upto", upto).withColumn("n", F.sum("c").over(over))
+    earlier = F.coalesce(F.sum("s").over(over.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row a group and range
+    sums = ranged.groupBy(*by, "range").agg(F.sum("c").alias("s")).withColumn("earlier", earlier).withColumn("n", F.sum("s").over(over))
+    named = sums.select(*[F.col(c).alias(f"of_{c}") for c in (*by, "range")], "earlier", "n")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*by, "range")])
+    within = F.sum("c").over(Window.partitionBy(*by, "range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.withColumn("within", within).join(named, same).withColumn("upto", F.col("earlier") + F.col("within"))
     place = {k: F.least(F.floor(F.col("n") * s), F.col("n") - 1) for k, s in shares.items()}
     return placed.groupBy(*by).agg(*[F.min(F.when(F.col("upto") > p, F.col(value))).alias(k) for k, p in place.items()])
 

@@ -254,3 +254,35 @@ def test_cascade_is_plain_search_in_falling_steps(spark):
     v = spark.createDataFrame([(f"v{i}", i, i, m[i].tolist(), source[i]) for i in range(160)], "id string, num long, pos long, vector array<double>, source string")
     got = {tuple(r) for r in heal.cascaded(v, spark.createDataFrame(edges, "src string, dst string"), (0.99, 0.9, 0.6)).collect()}
     assert got == want and len({w[3:] for w in want}) >= 4
+
+
+def test_percentiles_go_on_from_range_to_range(spark):
+    from larkspur.operators import usage
+
+    rng = random.Random(11)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, float(rng.randint(0, 40)), rng.random()])) for _ in range(3000)] + [("c", 7.0)] * 500 + [("d", None)]
+    shares = {"p0": 0.0, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    df = spark.createDataFrame(rows, "phase string, sec double").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.phase: tuple(r[k] for k in shares) for r in usage.percentiles(df, ["phase"], "sec", shares).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for phase in ("a", "b", None, "c"):
+        own = sorted(s for p, s in rows if p == phase and s is not None)
+        assert got[phase] == tuple(own[min(int(len(own) * q), len(own) - 1)] for q in shares.values())
+    assert got.keys() == {"a", "b", None, "c"}
+
+
+def test_names_of_marks_are_found_by_their_first(spark):
+    from larkspur.operators import history
+
+    texts = {1: "a ++ b", 2: "c+", 3: "++", 4: None, 5: "?! x", 6: "Alpha ++"}
+    names = [("k", "++"), ("k", "+"), ("m", "?!"), ("k", "alpha"), ("k", "..")]
+    got = {(r.id, r.kind): r.names for r in history.detected(spark.createDataFrame(list(texts.items()), "id long, text string"), spark.createDataFrame(names, "kind string, name string")).collect()}
+    want = {}
+    for i, t in texts.items():
+        for kind, name in names:
+            if t and name in t.lower():
+                want.setdefault((i, kind), []).append(name)
+    assert got == {k: sorted(v) for k, v in want.items()}
