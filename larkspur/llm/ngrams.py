@@ -16,7 +16,7 @@ rounded or left out. All counts are exact, up to 64-bit collisions of words.
 The discount of an order is given or estimated from how many of its n-grams occur
 once and twice.
 
-Building takes two passes over the texts:
+Building sums up the lengths of the texts and then takes two passes over them:
 
 1. Tasks send sorted runs of (word hash, count) to shards by range of the hash, one
    binary row a run. A shard's words become an Elias-Fano file; a word's id is its
