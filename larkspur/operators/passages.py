@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import tokens
-from larkspur.shared import materialise
+from larkspur.shared import materialise, spread
 
 #: A sentence: what stands up to a run of closing marks or a line's end.
 SENTENCE = r"[^.!?\n]+[.!?]*"
@@ -46,11 +46,12 @@ def semantic_chunks(docs: DataFrame, share: float = 0.9, likeness=None, parts=No
     ``share`` of such distances, so every document is judged by its own style. ``likeness`` maps
     two elements of ``parts`` (arrays of words unless given: one element a sentence, vectors, say) to a
     cosine. A document of one sentence is one chunk, one without a sentence gives no row;
-    repeated rows give repeated chunks. Cut where it lies, without a shuffle.
+    repeated rows give repeated chunks. Cut where it lies, without a shuffle (a small table is
+    spread over all cores first).
     """
     likeness = likeness or word_cosine
     parts = parts if parts is not None else F.transform("sentences", lambda s: F.array_distinct(tokens(s)))
-    rows = docs.select("doc_id", *[c for c in docs.columns if c not in ("doc_id", "sentences")], sentences(F.col("text")).alias("sentences")).where(F.size("sentences") > 0)
+    rows = spread(docs).select("doc_id", *[c for c in docs.columns if c not in ("doc_id", "sentences")], sentences(F.col("text")).alias("sentences")).where(F.size("sentences") > 0)
     rows = rows.select("doc_id", "sentences", parts.alias("parts"))
     n = F.size("sentences")
     neighbours = F.zip_with(F.slice("parts", F.lit(1), n - 1), F.slice("parts", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: 1 - likeness(a, b))
