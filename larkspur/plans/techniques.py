@@ -1,11 +1,11 @@
-"""Chunking by meaning, parents of hits, compressed contexts, budgets and measures of quality."""
+"""Chunking by meaning, parents of hits, compressed contexts, budgets, measures of quality, routes and drafts that retrieve."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import tokens
-from larkspur.operators import evaluation, heal, lexical, passages, waves
+from larkspur.operators import adaptive, evaluation, heal, lexical, passages, waves
 from larkspur.plans import relational
 from larkspur.plans import retrieval as r
 from larkspur.plans import shapes as x
@@ -214,3 +214,67 @@ def heal_cascade(spark, sf):
     """Vectors without an edge, linked at falling thresholds, those of their own source first."""
     v, e = relational.embedded_graph(spark, sf)
     return heal.cascaded(v.withColumn("source", F.col("num") % 20), e, (0.5, 0.4, 0.3))
+
+
+#: Items asked by their first half; their second half is what the evidence should cover.
+HALVES = f"""IT AS (SELECT item_id, string_split(text, ' ') AS ws, len(string_split(text, ' ')) // 2 AS h FROM benchmark WHERE text IS NOT NULL),
+    AD AS (SELECT item_id AS query_id, array_to_string(ws[1:h], ' ') AS query, list_distinct({TOKENS.format("array_to_string(ws[h + 1:len(ws)], ' ')")}) AS want FROM IT)"""
+
+
+@query("adaptive_route", f"""WITH {HALVES}, {r.bm25_sql(r.DOCS, 'SELECT query_id, query FROM AD', '1')}, B1 AS (SELECT query_id, id, text FROM (SELECT *, {r.BEST} AS rank FROM M1) JOIN documents ON doc_id = id WHERE rank = 1),
+    Q2 AS (SELECT query_id, query || ' ' || left(coalesce(text, ''), 200) AS query FROM AD JOIN B1 USING (query_id)), {r.bm25_sql(r.DOCS, 'SELECT * FROM Q2', '2')},
+    B2 AS (SELECT query_id, text FROM (SELECT *, {r.BEST} AS rank FROM M2 WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM B1)) JOIN documents ON doc_id = id WHERE rank = 1),
+    EV AS (SELECT query_id, want, {TOKENS.format('query')} AS w0, {TOKENS.format("coalesce(B1.text, '')")} AS w1, {TOKENS.format("coalesce(B2.text, '')")} AS w2 FROM AD LEFT JOIN B1 USING (query_id) LEFT JOIN B2 USING (query_id)),
+    CV AS (SELECT query_id, [CASE WHEN len(want) > 0 THEN len(list_intersect(want, w)) / len(want) ELSE 1 END FOR w IN [w0, list_concat(w0, w1), list_concat(w0, w1, w2)]] AS c FROM EV),
+    OC AS (SELECT query_id, c, CASE WHEN c[1] >= 0.7 THEN 0 WHEN c[2] >= 0.7 THEN 1 WHEN c[3] >= 0.7 THEN 2 WHEN c[3] > c[2] THEN 2 WHEN c[2] > c[1] THEN 1 ELSE 0 END AS outcome FROM CV),
+    FT AS (SELECT query_id, count(*) AS m, round(avg(i), 6) AS mean, round(max(i), 6) AS most, count(*) FILTER (df IS NULL) AS unknown FROM (SELECT query_id, df, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS i FROM QT1 LEFT JOIN DF1 USING (term), ST1) GROUP BY query_id),
+    FB AS (SELECT AD.query_id, [0, coalesce(least(floor(m / 4), 7), 0)::INTEGER, coalesce(least(floor(mean * 2), 7), 0)::INTEGER, coalesce(least(floor(unknown * 8 / m), 7), 0)::INTEGER, coalesce(least(floor(most), 7), 0)::INTEGER] AS fs FROM AD LEFT JOIN FT USING (query_id)),
+    LB AS (SELECT * FROM OC JOIN FB USING (query_id)), TR AS (SELECT outcome AS route, fs FROM LB WHERE query_id % 4 <> 0), RN AS (SELECT k AS route, (SELECT count(*) FROM TR WHERE route = k) AS n FROM unnest([0, 1, 2]) AS u(k)),
+    TC AS (SELECT route, f, b, count(*) AS hits FROM (SELECT route, unnest(fs) AS b, unnest(range(len(fs))) AS f FROM TR) GROUP BY ALL),
+    AF AS (SELECT query_id, unnest(fs) AS b, unnest(range(len(fs))) AS f FROM LB),
+    SC AS (SELECT query_id, RN.route, round(sum(CASE WHEN AF.f = 0 THEN ln((n + 1) / ((SELECT count(*) FROM TR) + 3)) ELSE ln((coalesce(hits, 0) + 1) / (n + 8)) END), 9) AS score FROM AF CROSS JOIN RN LEFT JOIN TC ON TC.route = RN.route AND TC.f = AF.f AND TC.b = AF.b GROUP BY query_id, RN.route),
+    RT AS (SELECT query_id, arg_max(route, (score, -route)) AS route, round(1 / sum(exp(score - top)), 6) AS confidence FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM SC) GROUP BY query_id)
+    SELECT query_id, query_id % 4 = 0 AS held_out, outcome::INTEGER AS outcome, route::INTEGER AS route, confidence, round(c[route + 1], 9) AS coverage FROM RT JOIN OC USING (query_id)""")
+def adaptive_route(spark, sf):
+    """How many rounds of retrieval an item's first half is given, by what sufficed for three quarters of the items."""
+    ws = F.split("query", " ")
+    half = F.floor(F.size(ws) / 2).cast("int")
+    want = F.array_distinct(tokens(F.array_join(F.slice(ws, half + 1, F.size(ws)), " ")))
+    asked = materialise(r.items(spark, sf).where("query is not null").select("query_id", F.array_join(F.slice(ws, F.lit(1), half), " ").alias("query"), want.alias("want")), "adaptive-questions")
+    docs = r.docs(spark, sf).select("id", "text")
+    index = lexical.index(docs, asked)
+    first = materialise(lexical.search(index, asked, 1).join(docs, "id").select("query_id", "id", F.coalesce("text", F.lit("")).alias("first")), "adaptive-first")
+    longer = asked.join(first, "query_id").select("query_id", F.concat_ws(" ", "query", F.left("first", F.lit(200))).alias("query"))
+    more = lexical.scores(docs, longer).join(first, ["query_id", "id"], "left_anti")
+    second = lexical.ranked(more, 1).join(docs, "id").select("query_id", F.coalesce("text", F.lit("")).alias("second"))
+    held = asked.join(first.drop("id"), "query_id", "left").join(second, "query_id", "left")
+    given = [F.concat_ws(" ", *names) for names in (("query",), ("query", "first"), ("query", "first", "second"))]
+    each = F.array(*[F.struct(F.lit(n).alias("route"), adaptive.covered(F.col("want"), tokens(text)).alias("coverage")) for n, text in enumerate(given)])
+    reached = materialise(held.select("query_id", F.explode(each).alias("e")).select("query_id", "e.*"), "adaptive-reached")
+    known = adaptive.outcomes(reached, 0.7).withColumnRenamed("route", "outcome")
+    rows = materialise(known.join(adaptive.question_features(index, asked), "query_id"), "adaptive-outcomes")
+    model = adaptive.fit(rows.where("query_id % 4 <> 0").withColumnRenamed("outcome", "route"), 4)
+    out = adaptive.routed(model, rows).join(rows, "query_id").join(reached, ["query_id", "route"])
+    return out.select("query_id", (F.col("query_id") % 4 == 0).alias("held_out"), "outcome", "route", "confidence", F.round("coverage", 9).alias("coverage"))
+
+
+def _active_sql(rounds: int = 3, least: float = 0.8) -> str:
+    spans = f"SELECT item_id * 1000 + n AS query_id, s AS query FROM (SELECT item_id, unnest({SENTENCES.format('text')}) AS s, unnest(range(len({SENTENCES.format('text')}))) AS n FROM benchmark)"
+    steps = [r.bm25_sql(r.DOCS, spans), "SW AS (SELECT query_id // 1000 AS q, query_id % 1000 AS span, term FROM QT)", "SP AS (SELECT query_id // 1000 AS q, query_id % 1000 AS span FROM QQ)"]
+    steps.append("H0 AS (SELECT NULL::BIGINT AS q, NULL::BIGINT AS span, NULL::INTEGER AS round, NULL::BIGINT AS id WHERE false)")
+    for n in range(rounds + 1):
+        steps.append(f"K{n} AS (SELECT DISTINCT q, term FROM H{n} JOIN TF USING (id))")
+        steps.append(f"C{n} AS (SELECT SP.q, SP.span, coalesce(avg(CASE WHEN SW.term IS NULL THEN NULL WHEN K{n}.term IS NULL THEN 0 ELSE 1 END), 1) AS confidence FROM SP LEFT JOIN SW ON SW.q = SP.q AND SW.span = SP.span LEFT JOIN K{n} ON K{n}.q = SW.q AND K{n}.term = SW.term GROUP BY SP.q, SP.span)")
+        if n < rounds:
+            steps.append(f"U{n} AS (SELECT q, min(span) AS span FROM C{n} WHERE confidence < {least} AND span > coalesce((SELECT max(span) FROM H{n} WHERE H{n}.q = C{n}.q), -1) GROUP BY q)")
+            steps.append(f"F{n} AS (SELECT q, arg_min(id, (-round(score, 9), id)) AS id FROM M JOIN U{n} ON query_id = q * 1000 + span WHERE NOT EXISTS (SELECT 1 FROM H{n} WHERE H{n}.q = U{n}.q AND H{n}.id = M.id) GROUP BY q)")
+            steps.append(f"H{n + 1} AS (SELECT * FROM H{n} UNION ALL SELECT q, span, {n + 1}, F{n}.id FROM U{n} LEFT JOIN F{n} USING (q))")
+    return f"WITH {', '.join(steps)} SELECT q AS query_id, span::INTEGER AS span, round(confidence, 9) AS confidence, round, id FROM C{rounds} LEFT JOIN H{rounds} USING (q, span)"
+
+
+@query("active_retrieval", _active_sql())
+def active_retrieval(spark, sf):
+    """Items as drafts that retrieve, in three rounds at most, before the sentences that their documents do not bear out."""
+    spans = r.items(spark, sf).select("query_id", F.posexplode(passages.sentences(F.col("query"))).alias("span", "text"))
+    out = adaptive.active(spans, r.docs(spark, sf).select("id", "text"))
+    return out.select("query_id", "span", F.round("confidence", 9).alias("confidence"), "round", "id")
