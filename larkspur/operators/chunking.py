@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.folds import folded
+from larkspur.shared import materialise
 
 
 def merged_runs(sections: DataFrame) -> DataFrame:
@@ -173,12 +174,20 @@ def used_headers(items: DataFrame) -> DataFrame:
 def kept_together(items: DataFrame, parents: DataFrame) -> DataFrame:
     """Items (doc_id, pos, id) with ``group_pos``: where the outermost of their parents (id, parent_id) stands, or they themselves.
 
-    Parents are followed two steps: a caption of a picture in a table goes with the table.
+    Parents are followed to the last, each round twice as far as the one before: a caption of a
+    picture in a table goes with the table. Of several parents the smallest counts. Items whose parents
+    go round in a circle have none, nor does one whose outermost parent is no item of its document.
     """
-    up = parents.groupBy("id").agg(F.min("parent_id").alias("parent_id"))
-    twice = up.alias("a").join(up.alias("b"), F.col("a.parent_id") == F.col("b.id"), "left").select(F.col("a.id").alias("id"), F.coalesce("b.parent_id", "a.parent_id").alias("top"))
+    up = materialise(parents.where("parent_id is not null").groupBy("id").agg(F.min("parent_id").alias("top")), "parents")
+    for _ in range(max(up.count(), 1).bit_length()):  # then only circles go on
+        over = up.select(F.col("id").alias("top"), F.col("top").alias("over"))
+        after = materialise(up.join(over, "top", "left").select("id", F.coalesce("over", "top").alias("top"), F.col("over").isNotNull().alias("more")), "parents")
+        up = after.select("id", "top")
+        if after.where("more").isEmpty():
+            break
+    last = up.join(parents.where("parent_id is not null").select(F.col("id").alias("top")), "top", "left_anti")
     at = items.select("doc_id", F.col("id").alias("top"), F.col("pos").alias("top_pos"))
-    rows = items.join(twice, "id", "left").join(at, ["doc_id", "top"], "left")
+    rows = items.join(last, "id", "left").join(at, ["doc_id", "top"], "left")
     return rows.select("doc_id", "pos", "id", F.coalesce("top_pos", "pos").alias("group_pos"))
 
 

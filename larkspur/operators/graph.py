@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.shared import materialise
+from larkspur.shared import looked_up, materialise
 
 SEPARATOR = "<SEP>"
 
@@ -83,15 +83,17 @@ def isolated_detail(vertices: DataFrame, edges: DataFrame, limit: int = 50) -> D
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id of each (weak) component.
 
-    Labels fall along edges and are then followed to the label of their label.
+    Labels fall along edges and are then followed to the label of their label; labels that very
+    many vertices share are followed by broadcast. A repeated vertex counts once.
     """
     pairs = materialise(symmetric(edges).distinct(), "component-edges")
-    labels = materialise(vertices.select("id", F.col("id").alias("component")), "component-labels")
+    labels = materialise(vertices.select("id", F.col("id").alias("component")).distinct(), "component-labels")
     while True:  # the number of rounds grows with the logarithm of the longest chain
         near = pairs.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("component"))
-        follow = lower.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        after = materialise(lower.join(follow, "component", "left").select("id", "was", F.least("component", F.coalesce("next", "component")).alias("component")), "component-labels")
+        lower = materialise(lower, "component-lower")
+        follow = lower.select(F.col("id").alias("component"), F.col("component").alias("next"))  # a label is some vertex's id
+        after = materialise(looked_up(lower, follow, "component").select("id", "was", F.least("component", "next").alias("component")), "component-labels")
         labels = after.select("id", "component")
         if after.where("component <> was").isEmpty():
             return labels

@@ -30,15 +30,18 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, rows = [], []
+    """Queries of one dimension each; when two blocks are held in all, the fullest goes."""
+    held: dict[int, list] = {}
     for row in queries.select("query_id", "query_vector").where("query_vector is not null").toLocalIterator():
-        ids.append(row[0])
-        rows.append(row[1])
-        if len(ids) == block:
-            yield np.array(ids, np.int64), np.array(rows, np.float64)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids, np.int64), np.array(rows, np.float64)
+        held.setdefault(len(row[1]), []).append(row)
+        full = len(row[1]) if len(held[len(row[1])]) == block else max(held, key=lambda d: len(held[d])) if sum(map(len, held.values())) >= 2 * block else None
+        if full is not None:
+            yield _stacked(held.pop(full))
+    yield from map(_stacked, held.values())
+
+
+def _stacked(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1 if len(rows[0][1]) else 0)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -52,8 +55,8 @@ def _fitting(batch: pa.RecordBatch, dimensions: int) -> tuple[np.ndarray, np.nda
     sizes = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
     fits = np.flatnonzero(sizes == dimensions)
     own = batch.column("id").to_numpy(zero_copy_only=False)[fits]
-    if not len(fits):
-        return own, np.empty((0, dimensions))
+    if not len(fits) or not dimensions:
+        return own, np.zeros((len(fits), dimensions))
     return own, _unit(vectors.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), -1))
 
 
@@ -185,18 +188,24 @@ def similarity_join(queries: DataFrame, corpus: DataFrame, k: int, least: float,
     are split into pieces of about ``piece`` rows, each pair of pieces is a task of its
     own, and a task keeps k rows a query. The driver sees pivots and counts only.
 
-    With ``grouped`` both sides have a column ``part`` and only rows of an equal one (nulls equal none) are hits;
-    parts are told apart by 64-bit hashes.
+    With ``grouped`` both sides have a column ``part`` and only rows of an equal one (nulls equal none) are hits.
+    Vectors may differ in length: all are filled up with zeros, which changes no cosine, and only those of
+    one length are hits. Parts and lengths are told apart by 64-bit hashes; null and empty vectors have no hits.
     """
     spark = corpus.sparkSession
-    part = F.when(F.col("part").isNotNull(), F.xxhash64("part")) if grouped else F.lit(0).cast("long")
-    rows = corpus.select(F.col("id").cast("long").alias("id"), "vector", part.alias("part")).where("vector is not null and part is not null")
-    asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col("query_vector").alias("vector"), part.alias("part")).where("vector is not null and part is not null")
+    wide = max(corpus.agg(F.max(F.size("vector"))).first()[0] or 0, 0)
+
+    def filled(df: DataFrame, name: str, vector: str) -> DataFrame:
+        own = df.where(F.size(vector).between(1, wide) & (F.col("part").isNotNull() if grouped else F.lit(True)))
+        part = F.xxhash64("part", F.size(vector)) if grouped else F.size(vector).cast("long")
+        zeros = F.array_repeat(F.lit(0.0), F.lit(wide) - F.size(vector))
+        return own.select(F.col(name).cast("long").alias("id"), F.concat(F.col(vector).cast("array<double>"), zeros).alias("vector"), part.alias("part"))
+
+    rows, asked = filled(corpus, "id", "vector"), filled(queries, "query_id", "query_vector")
     pivots = [r["vector"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(cells).collect()]
-    wide = max((len(v) for v in pivots), default=0)
-    center = _unit(np.array([v for v in pivots if len(v) == wide], np.float64)) if wide else np.empty((0, 0))
-    if not len(center):
+    if not pivots:
         return spark.createDataFrame([], f"{SEARCHED}, rank int")
+    center = _unit(np.array(pivots, np.float64))
     sent, reach = spark.sparkContext.broadcast(center), float(np.arccos(np.clip(least, -1, 1))) + 1e-6
 
     def parts(batch: pa.RecordBatch) -> np.ndarray:

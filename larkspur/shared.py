@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +92,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if small else df
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, most: int = 10_000, least: int = 500) -> DataFrame:
+    """Rows joined with a table of one row a ``key``; rows without a match fall away.
+
+    Keys of more than a ``most``-th of all rows (and more than ``least``), of which there are at most
+    ``most``, are joined by broadcast, so a key that a third of the rows share meets in no single
+    task. ``rows`` are read three times: written ones are best.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    often = counts.where(F.col("n") > max(least, rows.count() // most)).select(key)
+    often = materialise(often.join(table, key), "frequent-keys")
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(table, key)
+    return rows.join(F.broadcast(often), key).unionByName(rest)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Removes a table that :func:`shared_path` named."""
     jvm = spark.sparkContext._jvm

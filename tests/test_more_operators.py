@@ -35,6 +35,26 @@ def test_similarity_join_loses_nothing(spark, least, cells, piece):
     assert vectors.similarity_join(asked.limit(0), rows, 3, least).collect() == [] == vectors.similarity_join(asked, rows.limit(0), 3, least).collect()
 
 
+def test_vectors_of_different_lengths_meet_only_their_own(spark):
+    rng = np.random.default_rng(9)
+    sizes = rng.choice([0, 2, 3, 5], 150, p=[0.1, 0.6, 0.2, 0.1])
+    m = [rng.normal(size=n) for n in sizes]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(900, None)], "id long, vector array<double>").repartition(3)
+    asked = rows.unionByName(spark.createDataFrame([(901, [1.0] * 9)], "id long, vector array<double>")).select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+
+    def best(least, self_too, k=4):
+        out = {}
+        for q, v in enumerate(m):
+            scores = [(-round(float(v @ w / np.sqrt((v @ v) * (w @ w))) if len(v) else 0.0, 9), i) for i, w in enumerate(m) if len(w) == len(v) and (self_too or i != q)]
+            out |= {(q, n + 1): i for n, (s, i) in enumerate(sorted((s, i) for s, i in scores if -s >= least)[:k])}
+        return out
+
+    got = {(r.query_id, r["rank"]): r.id for r in vectors.similarity_join(asked, rows, 4, 0.3, 6, 20, exclude_self=True).collect()}
+    assert got == best(0.3, False)
+    for block in (1000, 7):
+        assert {(r.query_id, r["rank"]): r.id for r in vectors.search(asked, rows, 4, block=block).collect()} == best(-2, True)
+
+
 def test_search_keeps_the_best_over_batches(spark):
     rng = np.random.default_rng(6)
     m = np.round(rng.normal(size=(3000, 4)), 1)
@@ -60,6 +80,14 @@ def test_pooling_and_relative_targets(spark):
     assert {r.id: r.relative for r in vectors.relative_targets(d, {"a": 0.7, "b": 0.3}).collect()} == {1: 0.0, 2: 0.7, 3: 0.35}
 
 
+def test_frequent_keys_are_looked_up_alike(spark):
+    rows = spark.createDataFrame([(n, 0 if n % 3 else n % 7) for n in range(600)] + [(601, None), (602, 99)], "n long, k long")
+    table = spark.createDataFrame([(k, f"v{k}") for k in range(7)], "k long, v string")
+    want = sorted((r.k, r.n, r.v) for r in rows.join(table, "k").collect())
+    for most, least in ((10_000, 500), (4, 0), (600, 0)):
+        assert sorted((r.k, r.n, r.v) for r in shared.looked_up(rows, table, "k", most, least).collect()) == want
+
+
 # ---- lexical
 
 
@@ -75,6 +103,15 @@ def test_an_index_answers_for_its_terms(spark):
 # ---- chunking
 
 
+def test_kept_together_follows_parents_to_the_last(spark):
+    items = spark.createDataFrame([(1, n, f"i{n}") for n in range(40)] + [(2, 0, "other")], "doc_id long, pos long, id string")
+    chain = [(f"i{n}", f"i{n - 1}") for n in range(4, 20)] + [("i25", "i26"), ("i26", "i27"), ("i27", "i25"), ("i28", "i25"), ("i30", "nowhere"), ("i31", "other"), ("i32", None), ("i33", "i35"), ("i33", "i34")]
+    got = {r.pos: r.group_pos for r in chunking.kept_together(items, spark.createDataFrame(chain, "id string, parent_id string")).where("doc_id = 1").collect()}
+    assert got == {n: 3 if 4 <= n < 20 else 34 if n == 33 else n for n in range(40)}
+    none = spark.createDataFrame([], "id string, parent_id string")
+    assert all(r.pos == r.group_pos for r in chunking.kept_together(items, none).collect())
+
+
 def naive_cuts(counts, most):
     total, n = sum(counts), len(counts)
     if total <= most:
