@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from larkspur.shared import materialise
+from larkspur.shared import looked_up, materialise
 
 SHINGLE, SEED, BITS = 4, 42, 64
 #: Seed of the second fingerprint.
@@ -211,26 +211,26 @@ def links(prints: DataFrame, radius: int = 4, blocks: int = 6, shard_size: int =
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(edges: DataFrame, ids: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(fp, label) of every linked fingerprint: the smallest ``first`` of its group.
 
     ``ids`` has (fp, first), ``first`` being of any type that can be ordered. Labels fall along links and are then followed to the
-    label of their label, so that chains close in few rounds.
+    label of their label, so that the number of rounds grows with the logarithm of the longest chain. A label
+    that very many fingerprints share is followed by broadcast.
     """
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")), "simhash-links")
     nodes = both.select(F.col("a").alias("fp")).distinct()
     labels = materialise(nodes.join(ids, "fp").select("fp", F.col("first").alias("label")), "simhash-labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("fp").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(near, labels.fp == near.a, "left").select("fp", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        # every label is some document's own fingerprint's: follow it one step
+        lower = materialise(lower, "simhash-lower")
+        # every label is some linked fingerprint's own: follow it one step
         owners = lower.join(ids.select("fp", "first"), "fp").groupBy(F.col("first").alias("label")).agg(F.min("label").alias("next"))
-        jumped = lower.join(owners, "label", "left").select("fp", "was", F.least("label", F.coalesce("next", "label")).alias("label"))
-        after = materialise(jumped, "simhash-labels")
+        after = materialise(looked_up(lower, owners, "label").select("fp", "was", F.least("label", "next").alias("label")), "simhash-labels")
         labels = after.select("fp", "label")
         if after.where(F.col("label") != F.col("was")).isEmpty():
             return labels
-    raise RuntimeError(f"groups were not closed after {rounds} rounds")
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, checked: bool = False) -> DataFrame:
@@ -263,19 +263,6 @@ def grouped(docs: DataFrame, radius: int, blocks: int, shard_size: int, shingle:
     return prints, owner.select("fp", F.struct(named.alias("id"), F.col("label.fp").alias("fp")).alias("label"))
 
 
-def owned(rows: DataFrame, owner: DataFrame, most: int = 10_000) -> DataFrame:
-    """Rows (fp, ...) with the label of their fingerprint.
-
-    Fingerprints of more than a ``most``-th of all rows, of which there are at most
-    ``most``, are joined by broadcast: a text with many copies is no hot key.
-    """
-    counts = rows.groupBy("fp").agg(F.count("*").alias("n"))
-    total = rows.count()
-    often = materialise(counts.where(F.col("n") > max(500, total // most)).select("fp").join(owner, "fp"), "simhash-often")
-    rest = rows.join(F.broadcast(often.select("fp")), "fp", "left_anti").join(owner, "fp")
-    return rows.join(F.broadcast(often), "fp").unionByName(rest)
-
-
 def near_duplicates(docs: DataFrame, radius: int = 4, blocks: int = 6, shard_size: int = 2000) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document.
 
@@ -286,7 +273,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, blocks: int = 6, shard_siz
     table gives none; other columns are ignored.
     """
     prints, owner = grouped(docs, radius, blocks, shard_size)
-    return owned(prints.drop("check"), owner).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("label.id").alias("component_id"))
+    return looked_up(prints.drop("check"), owner, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("label.id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, radius: int = 8, blocks: int = 10, shard_size: int = 2000, shingle: int = 2, check_radius: int = 12) -> DataFrame:
@@ -304,7 +291,7 @@ def deduplicated(docs: DataFrame, radius: int = 8, blocks: int = 10, shard_size:
     """
     prints, owner = grouped(docs, radius, blocks, shard_size, shingle, check_radius)
     rows = prints.where("doc_id is not null").groupBy("doc_id", "fp").agg(F.count("*").alias("n"))
-    rows = materialise(owned(materialise(rows, "simhash-named-rows"), owner).select("doc_id", "fp", "n", (F.col("label.id") == F.col("doc_id")).alias("own"), (F.col("label.fp") == F.col("fp")).alias("first")), "simhash-rows")
+    rows = materialise(looked_up(materialise(rows, "simhash-named-rows"), owner, "fp").select("doc_id", "fp", "n", (F.col("label.id") == F.col("doc_id")).alias("own"), (F.col("label.fp") == F.col("fp")).alias("first")), "simhash-rows")
     if rows.groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 1").isEmpty():
         dropped = rows.where("not own").select("doc_id")
         return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
