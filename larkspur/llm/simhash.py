@@ -13,9 +13,10 @@ Two fingerprints that differ in at most ``radius`` of 64 bits agree on at least
 gives a table of shards keyed by the bits of those blocks, so each linked pair
 meets in some shard. In a shard a BK-tree is grown over its fingerprints: the
 children of a node are keyed by their Hamming distance to it, and a search
-follows only edges within the radius of its own distance. A shard returns the
-links that join its groups, at most one less than it has fingerprints, never all
-pairs of a group.
+follows only edges within the radius of its own distance. A shard returns a star for
+each of its groups, at most one link less than it has fingerprints, never all
+pairs of a group. As a group meets in many tables, a fingerprint then keeps its smallest
+centre only, to which its other centres are linked.
 
 A shard of over ``shard_size`` fingerprints is split into pieces, and each pair of
 pieces is a task of its own: the tree of one piece is asked for the other's
@@ -151,6 +152,16 @@ def shard_links(left: list[int], right: list[int] | None, radius: int, checks: d
     return out
 
 
+def stars(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same groups as (member, smallest member)."""
+    place = {v: i for i, v in enumerate(sorted({v for link in found for v in link}))}
+    groups = Groups(len(place))
+    for a, b in found:
+        groups.join(place[a], place[b])
+    values = list(place)
+    return [(v, values[groups.root(i)]) for i, v in enumerate(values) if groups.root(i) != i]
+
+
 def _keys(fp: Column, blocks: int, radius: int) -> list[Column]:
     """A 64-bit key of each table: the chosen blocks' bits, hashed with the table's number."""
     edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
@@ -161,7 +172,7 @@ def _keys(fp: Column, blocks: int, radius: int) -> list[Column]:
 
 
 def links(prints: DataFrame, radius: int = 4, blocks: int = 6, shard_size: int = 2000, check_radius: int | None = None) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp``; enough of them to join every group.
+    """Links (a, b) between distinct fingerprints ``fp``; enough of them to join every group, of each ``a`` one but for centres of stars.
 
     With ``check_radius`` a second one of each, ``check``, must be that near, too.
     """
@@ -183,7 +194,7 @@ def links(prints: DataFrame, radius: int = 4, blocks: int = 6, shard_size: int =
             cut = int(len(fps) - second.sum())
             alone = rows["low"][0] == rows["high"][0]
             checks = None if check_radius is None else dict(zip(fps, rows["check"].tolist(), strict=True))
-            return shard_links(fps[:cut], None if alone else fps[cut:], radius, checks, check_radius or 0)
+            return stars(shard_links(fps[:cut], None if alone else fps[cut:], radius, checks, check_radius or 0))
 
         kind = np.dtype([("key", np.int64), ("low", np.int32), ("high", np.int32), ("second", bool), ("fp", np.uint64), ("check", np.uint64)])
         kept = np.empty(0, kind)
@@ -208,7 +219,11 @@ def links(prints: DataFrame, radius: int = 4, blocks: int = 6, shard_size: int =
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
     found = dealt.mapInArrow(search, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # a fingerprint has a centre a table and pair of pieces at most
+    centres = found.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("centres"))
+    least = F.get("centres", F.lit(0))
+    kept = F.transform("centres", lambda c, i: F.struct(F.when(i == 0, F.col("a")).otherwise(c).alias("a"), least.alias("b")))
+    return centres.select("a", F.explode(kept).alias("link")).select("link.a", "link.b").distinct()
 
 
 def components(edges: DataFrame, ids: DataFrame) -> DataFrame:

@@ -439,3 +439,14 @@ def test_tag_marks_in_texts_are_no_tags():
 def test_marks_at_every_offset_of_the_last_frames(mark):
     for n in (900, 1300):
         assert all(kept_whole("a" * at + mark + "b" * max(0, n - at - len(mark))) for at in range(0, n, 1))
+
+
+def test_links_of_a_large_family_grow_with_its_members(spark):
+    rng = np.random.default_rng(5)
+    base = int(rng.integers(2**62))
+    family = {base} | {base ^ sum(1 << int(b) for b in rng.choice(63, 3, replace=False)) for _ in range(400)}
+    ids = spark.createDataFrame([(v, i) for i, v in enumerate(sorted(family))], "fp long, first long")
+    for shard_size in (2000, 50):
+        edges = simhash.links(ids, 8, 10, shard_size)
+        assert edges.count() < 3 * len(family)
+        assert {r.label for r in simhash.components(edges, ids).collect()} == {0}
