@@ -101,7 +101,8 @@ def active(spans: DataFrame, docs: DataFrame, least: float = 0.8, rounds: int =
     def confidences() -> DataFrame:
         rows = words.withColumn("held", F.lit(0))
         if held is not None:
-            known = held.join(index.postings, "id").select("query_id", "term", F.lit(1).alias("_held")).distinct()
+            own = lexical.with_documents(held.where("id is not null").select("id").distinct(), docs).select("id", F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit(""))))).alias("term"))
+            known = held.join(own, "id").select("query_id", "term", F.lit(1).alias("_held")).distinct()
             rows = words.join(known, ["query_id", "term"], "left").withColumn("held", F.coalesce("_held", F.lit(0)))
         share = rows.groupBy("query_id", "span").agg(F.avg("held").alias("confidence"))
         return spans.select("query_id", "span").join(share, ["query_id", "span"], "left").withColumn("confidence", F.coalesce("confidence", F.lit(1.0)))
@@ -115,7 +116,7 @@ def active(spans: DataFrame, docs: DataFrame, least: float = 0.8, rounds: int =
         if now.isEmpty():
             break
         asked = now.join(words, ["query_id", "span"]).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("term")), " ").alias("query"))
-        hits = lexical.scores(index, asked)
+        hits = lexical.search(index, asked, number, places=15).drop("rank")  # a draft has number - 1 at most
         if held is not None:
             hits = hits.join(held.where("id is not null").select("query_id", "id"), ["query_id", "id"], "left_anti")
         found = now.join(lexical.ranked(hits, 1).select("query_id", "id"), "query_id", "left").select("query_id", "span", F.lit(number).alias("round"), "id")

@@ -100,7 +100,7 @@ def answered(
         if index is None or not index.answers(keyed):
             index = lexical.index(docs, keyed)
         hits = lexical.search(index, keyed, k).select(F.floor(F.col("query_id") / 10).cast("long").alias("query_id"), (F.col("query_id") % 10).alias("list_id"), "rank", "id")
-        top = fusion.reciprocal_rank(hits, k).join(docs.select("id", F.col("source").alias("title"), "text"), "id")
+        top = lexical.with_documents(fusion.reciprocal_rank(hits, k), docs.select("id", F.col("source").alias("title"), "text"))
         packed = fusion.context(top, ["query_id"], ["position"]).withColumnRenamed("query_id", "request_id")
         rows = open_.join(packed, "request_id", "left")
         prompt = F.coalesce("context", F.lit(fusion.EMPTY_CONTEXT))

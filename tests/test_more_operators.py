@@ -349,3 +349,21 @@ def test_scratch_tables_are_removed(spark):
         (path,) = (p.removeprefix("file:") for p in shared._GIVEN[first:])
         assert os.path.isdir(path)
     assert not os.path.exists(path) and len(shared._GIVEN) == first
+
+
+def test_a_search_shuffles_the_best_of_each_task_only(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(rng.choice(words, int(rng.integers(1, 30))))) for i in range(300)] + [(i, "w1 w2 w3") for i in range(300, 340)]
+    odd = [(5, "w1 w7"), (5, "w9 w9"), (5, "w1"), (None, "w3 w4"), (None, "w4 w4"), (1000, None), (1001, "")]
+    asked = spark.createDataFrame([(i, " ".join(rng.choice(words, 5))) for i in range(20)] + [(3, "w1 w8"), (None, "w2"), (77, None), (78, "nowhere")], "query_id long, query string")
+    for rows in (docs, docs + odd, []):
+        table = spark.createDataFrame(rows, "id long, text string").repartition(3)
+        want = sorted(map(str, lexical.ranked(lexical.scores(table, asked), 4).select("query_id", "id", F.round("score", 6), "rank").collect()))
+        for block in (1 << 17, 7):
+            monkeypatch.setattr(lexical, "BLOCK", block)
+            assert sorted(map(str, lexical.search(table, asked, 4).select("query_id", "id", F.round("score", 6), "rank").collect())) == want
+    found = lexical.best_hits(spark.createDataFrame(docs, "id long, text string").coalesce(2), asked, 4).groupBy("query_id").count()
+    assert max(r["count"] for r in found.collect()) <= 4 * spark.sparkContext.defaultParallelism
+    named = spark.createDataFrame([(f"d{i}", t) for i, t in docs], "id string, text string")
+    assert lexical.search(named, asked, 4).count() == 84
