@@ -12,6 +12,10 @@ The documents of the highest bounds are scored exactly, then those others that r
 k-th score found. While a document in no probed cell could reach it, too, the number of
 probes is doubled. So results are those of scoring all documents with all their tokens.
 
+Each block of queries reads the lists and takes some jobs, which pays for a few queries. More than a
+block of them are scored with all documents instead, in larger blocks and a single job: every task reads whole
+documents, takes the products with a block of bounded size and keeps its own best k a query.
+
 Tokens without a vector or of another dimension than most count nothing; a document or
 query without a token is in no result. Equal scores (by nine places) go to the smaller id.
 """
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.vectorindex import GROUP, k_means
-from larkspur.operators.vectors import _fitting, _unit
+from larkspur.operators.vectors import SEARCHED, _best, _fitting, _slices, _unit
 from larkspur.shared import materialise
 
 LISTS = "cell int, doc_id long, low double, high double, n long"
@@ -89,6 +94,52 @@ class LateIndex:
         if ids:
             yield ids, np.array(owner), _unit(np.array(tokens, np.float64))
 
+    def _scanned(self, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+        """(query_id, id, score): the best k documents of each task a query, from all tokens."""
+        held = self.spark.read.schema("doc_id long, vector array<float>").parquet(f"{self.path}/tokens")
+        whole = held.withColumnRenamed("doc_id", "id").repartition("id").sortWithinPartitions("id")
+        parts = []
+        for ids, owner, tokens in self._queries(queries, block):
+            first = np.searchsorted(owner, np.arange(len(ids)))
+            sent = self.spark.sparkContext.broadcast((np.array(ids), first, tokens))
+
+            def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                names, first, tokens = sent.value
+                best = [(np.empty(0, np.int64), np.empty(0)) for _ in names]
+                floor = np.full(len(names), -np.inf)
+                last = None  # the document that may go on, with its best cosines so far
+
+                def done(docs: np.ndarray, cosines: np.ndarray) -> None:
+                    scores = np.round(np.add.reduceat(cosines, first, axis=1), 9)
+                    for q in np.flatnonzero(scores.max(axis=0) >= floor):
+                        hit = np.flatnonzero(scores[:, q] >= floor[q])
+                        own, found = np.append(best[q][0], docs[hit]), np.append(best[q][1], scores[hit, q])
+                        keep = _best(found, own, k)
+                        best[q] = own[keep], found[keep]
+                        if len(keep) == k:
+                            floor[q] = found[keep[-1]]
+
+                for batch in _slices(batches, len(tokens)):
+                    doc, m = _fitting(batch, tokens.shape[1])
+                    if not len(doc):
+                        continue
+                    starts = np.append(0, np.flatnonzero(doc[1:] != doc[:-1]) + 1)
+                    docs, cosines = doc[starts], np.maximum.reduceat(m @ tokens.T, starts, axis=0)
+                    if last is not None and last[0] == docs[0]:
+                        cosines[0] = np.maximum(cosines[0], last[1])
+                    elif last is not None:
+                        docs, cosines = np.append(last[0], docs), np.vstack([last[1], cosines])
+                    last = docs[-1], cosines[-1].copy()
+                    if len(docs) > 1:
+                        done(docs[:-1], cosines[:-1])
+                if last is not None:
+                    done(np.array([last[0]]), last[1][None])
+                columns = [np.repeat(names, [len(i) for i, _ in best]), *(np.concatenate(c) for c in zip(*best, strict=True))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "score"])
+
+            parts.append(whole.mapInArrow(run, SEARCHED))
+        return reduce(DataFrame.unionAll, parts)
+
     def _bounds(self, ids: list[int], owner: np.ndarray, tokens: np.ndarray, probes: int) -> tuple[DataFrame, np.ndarray]:
         """(query_id, id, bound) of the documents in probed cells, and the bound of all others by query."""
         theta = np.arccos(np.clip(tokens @ self.centroids.T, -1, 1))
@@ -137,10 +188,18 @@ class LateIndex:
         best = each.mapInArrow(run, "query_id long, id long, token int, best double").groupBy("query_id", "id", "token").agg(F.max("best").alias("best"))
         return best.groupBy("query_id", "id").agg(F.round(F.sum("best"), 9).alias("score"))
 
-    def search(self, queries: DataFrame, k: int = 10, probes: int = 8, block: int = 256) -> DataFrame:
-        """The best k documents of each query (query_id, vector), a row a token: query_id, id, score, rank."""
+    def search(self, queries: DataFrame, k: int = 10, probes: int = 8, block: int = 256, scan: bool | None = None) -> DataFrame:
+        """The best k documents of each query (query_id, vector), a row a token: query_id, id, score, rank.
+
+        ``scan`` chooses whether all documents are scored (unless given, for more than ``block`` tokens).
+        """
         parts = []
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        asked = queries.where("query_id is not null").where(F.size("vector") == self.centroids.shape[1])
+        if scan is None:
+            scan = len(asked.limit(block + 1).select(F.lit(1)).collect()) > block
+        if scan and not asked.isEmpty():
+            return self._scanned(queries, k).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         for ids, owner, tokens in self._queries(queries, block):
             many = probes
             while ids:

@@ -5,10 +5,12 @@ import re
 from math import log
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from py4j.protocol import Py4JJavaError
+from pyspark.sql import functions as F
 
-from larkspur.operators import vectorindex
+from larkspur.operators import vectorindex, vectors
 from larkspur.operators.late import LateIndex
 from larkspur.operators.textindex import TextIndex
 from larkspur.operators.vectorindex import VectorIndex
@@ -192,7 +194,6 @@ def test_late_interaction(spark):
 
 
 def test_nearest_until_rows_are_enough(spark):
-    from larkspur.operators import vectors
 
     rng = np.random.default_rng(9)
     rows = [(i, rng.choice([-1.0, 0.0, 1.0], 3).tolist(), int(rng.integers(1, 6))) for i in range(200)] + [(900, None, 3), (901, [1.0], 2)]
@@ -203,3 +204,41 @@ def test_nearest_until_rows_are_enough(spark):
     for k in (1, 7, 60, 10_000):
         want = {(r.query_id, r.id, r.score) for r in full if sum(many[o.id] for o in full if o.query_id == r.query_id and o.score > r.score) < k}
         assert {tuple(r) for r in vectors.nearest_until(asked, corpus, k).collect()} == want
+
+
+def test_late_interaction_scans_and_probes_alike(spark):
+    rng = np.random.default_rng(6)
+    rows = [(d, rng.normal(0, 1, 6).astype(np.float32).tolist()) for d in range(120) for _ in range(1 + d % 5)] + [(3, [1.0]), (None, [0.5] * 6)]
+    rows += [(200, [1.0] * 6)] * 700 + [(201, rows[0][1])] * 3
+    index = LateIndex.build(spark.createDataFrame(rows, "doc_id long, vector array<float>").repartition(3), shared_path(spark, "test-late"), cells=8, sample=200)
+    asked = spark.createDataFrame([(q, rng.normal(0, 1, 6).astype(np.float32).tolist()) for q in range(30) for _ in range(1 + q % 3)] + [(99, None)], "query_id long, vector array<float>")
+    probed, scanned, chosen = (sorted(map(tuple, index.search(asked, 5, block=b, scan=s).collect())) for b, s in ((256, False), (256, True), (20, None)))
+    assert probed == scanned == chosen and len(probed) == 150
+    assert index.search(asked.limit(0), 5, scan=True).count() == 0
+
+
+def test_targets_are_measured_together(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(0, 1, 4).tolist()) for i in range(200)] + [(300, None), (301, [1.0]), (302, [0.0] * 4)]
+    corpus = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, rows[i][1], rows[i + 1][1]) for i in range(0, 200, 20)] + [(7, rows[7][1], None), (8, rows[8][1], [1.0])], "query_id long, a array<double>, b array<double>")
+    far = {k: vectors.every_score(asked.select("query_id", F.col(k).alias("query_vector")), corpus) for k in "ab"}
+    want = {(r.query_id, r.id): [] for r in far["a"].join(far["b"], ["query_id", "id"]).collect()}
+    for k in "ab":
+        for r in far[k].collect():
+            if (r.query_id, r.id) in want:
+                want[r.query_id, r.id].append(round(1 - r.score, 9))
+    for block in (1024, 3):
+        found = vectors.target_distances(asked, corpus, ["a", "b"], block=block)
+        assert not any(step in found._jdf.queryExecution().executedPlan().toString() for step in ("hashpartitioning", "Join", "Aggregate"))
+        got = found.collect()
+        assert {(r.query_id, r.id): [round(x, 9) for x in r.distances] for r in got} == want and len(got) == len(want)
+        for r in got:
+            own = [w for (q, _), w in want.items() if q == r.query_id]
+            assert [round(x, 9) for x in r.low] == [min(w[i] for w in own) for i in (0, 1)] and [round(x, 9) for x in r.high] == [max(w[i] for w in own) for i in (0, 1)]
+
+
+def test_scores_of_a_batch_are_held_in_parts(spark):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000))], names=["id"])
+    parts = list(vectors._slices([batch], 1024))
+    assert max(p.num_rows for p in parts) * 1024 <= vectors.HELD and sum(p.num_rows for p in parts) == 10_000
