@@ -52,15 +52,22 @@ def guarded(documents: DataFrame, items: DataFrame) -> DataFrame:
     return rows.withColumn("page", F.coalesce("page", F.lit(1))).withColumn("text", F.coalesce("text", F.lit(".")))
 
 
-def pictures_in_tables(pictures: DataFrame, tables: DataFrame, share: float = 0.5) -> DataFrame:
-    """(picture_id, table_id) on one page of a document where over ``share`` of the picture lies in the table."""
+def pictures_in_tables(pictures: DataFrame, tables: DataFrame, share: float = 0.5, piece: int = 500) -> DataFrame:
+    """(picture_id, table_id) on one page of a document where over ``share`` of the picture lies in the table.
+
+    A page's pictures are dealt to pieces of about ``piece``, which all its tables meet, so a full page is not one task's.
+    """
     p = pictures.select("doc_id", "page", F.col("id").alias("picture_id"), *[F.col(c).alias(f"p{c}") for c in "ltrb"])
     t = tables.select("doc_id", "page", F.col("id").alias("table_id"), *[F.col(c).alias(f"t{c}") for c in "ltrb"])
     width = F.greatest(F.least("pr", "tr") - F.greatest("pl", "tl"), F.lit(0.0))
     height = F.greatest(F.least("pb", "tb") - F.greatest("pt", "tt"), F.lit(0.0))
     area = (F.col("pr") - F.col("pl")) * (F.col("pb") - F.col("pt"))
     ios = F.when(area > 0, width * height / area).otherwise(0.0)
-    return p.join(t, ["doc_id", "page"]).where(ios > share).select("doc_id", "picture_id", "table_id", F.round(ios, 6).alias("share"))
+    sizes = p.groupBy("doc_id", "page").agg(F.ceil(F.count("*") / piece).cast("int").alias("pieces"))
+    own = F.pmod(F.xxhash64("picture_id"), F.col("pieces")).cast("int").alias("piece")
+    p, t = p.join(sizes, ["doc_id", "page"]).select(*p.columns, own), t.join(sizes, ["doc_id", "page"]).select(*t.columns, F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    rows = p.repartition("doc_id", "page", "piece").join(t, ["doc_id", "page", "piece"])
+    return rows.where(ios > share).select("doc_id", "picture_id", "table_id", F.round(ios, 6).alias("share"))
 
 
 def captions(items: DataFrame, texts: DataFrame) -> DataFrame:

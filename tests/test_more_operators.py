@@ -367,3 +367,13 @@ def test_a_search_shuffles_the_best_of_each_task_only(spark, monkeypatch):
     assert max(r["count"] for r in found.collect()) <= 4 * spark.sparkContext.defaultParallelism
     named = spark.createDataFrame([(f"d{i}", t) for i, t in docs], "id string, text string")
     assert lexical.search(named, asked, 4).count() == 84
+
+
+def test_a_full_page_is_dealt_to_pieces(spark):
+    shape = "doc_id long, page int, id long, l double, t double, r double, b double"
+    p = [(1, 1, i, float(i % 3), 0.0, float(i % 3 + i % 4), 2.0) for i in range(60)] + [(2, None, 70, 0.0, 0.0, 1.0, 1.0), (3, 1, 71, 0.0, 0.0, 1.0, 1.0)]
+    t = [(1, 1, 100 + i, float(i % 2), 0.0, float(i % 2 + 2), 3.0) for i in range(9)] + [(2, None, 200, 0.0, 0.0, 1.0, 1.0), (4, 1, 201, 0.0, 0.0, 1.0, 1.0)]
+    pictures, tables = spark.createDataFrame(p, shape), spark.createDataFrame(t, shape)
+    whole, dealt = (sorted(map(tuple, chunking.pictures_in_tables(pictures, tables, piece=n).collect())) for n in (500, 7))
+    want = [(a[0], a[2], c[2]) for a in p for c in t if a[0] == c[0] and a[1] == c[1] is not None and a[5] > a[3] and max(min(a[5], c[5]) - max(a[3], c[3]), 0) * max(min(a[6], c[6]) - max(a[4], c[4]), 0) > 0.5 * (a[5] - a[3]) * (a[6] - a[4])]
+    assert whole == dealt and [w[:3] for w in whole] == sorted(want) and want
