@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.vectorindex import GROUP, k_means
-from larkspur.operators.vectors import SEARCHED, _best, _fitting, _slices, _unit
+from larkspur.operators.vectors import SEARCHED, _best, _fitting, _slices, _unit, lowest
 from larkspur.shared import materialise
 
 LISTS = "cell int, doc_id long, low double, high double, n long"
@@ -56,7 +56,7 @@ class LateIndex:
         rows = tokens.where("doc_id is not null and vector is not null").select(F.col("doc_id").cast("long").alias("id"), "vector")
         kinds = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
         wide = kinds["d"] if kinds else 1
-        fitted = rows.where(F.size("vector") == wide).orderBy(F.xxhash64("id", "vector"), "id").limit(sample).collect()
+        fitted = lowest(rows.where(F.size("vector") == wide), F.xxhash64("id", "vector"), sample)
         known = _unit(np.array([r["vector"] for r in fitted], np.float64)) if fitted else np.zeros((1, wide))
         centroids = _unit(k_means(known, cells))
         held = io.BytesIO()

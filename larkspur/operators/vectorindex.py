@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.operators.vectors import SEARCHED, _best, _blocks, _fitting, _unit
+from larkspur.operators.vectors import SEARCHED, _best, _blocks, _fitting, _unit, lowest
 from larkspur.shared import materialise
 
 CODES = "id long, cell int, code binary, error float"
@@ -107,7 +107,7 @@ class VectorIndex:
         rows = corpus.where("vector is not null").select(F.col("id").cast("long").alias("id"), "vector")
         kinds = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
         wide, n = (kinds["d"], kinds["n"]) if kinds else (1, 0)
-        fitted = rows.where(F.size("vector") == wide).orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+        fitted = lowest(rows.where(F.size("vector") == wide), F.xxhash64("id"), sample)
         known = _unit(np.array([r["vector"] for r in fitted], np.float64).reshape(-1, wide)) if fitted else np.zeros((1, wide))
         centroids = k_means(known, cells or min(4096, max(1, int(n**0.5))))
         left = cls._parts(known - centroids[nearest(known, centroids)[0]], parts)

@@ -242,3 +242,10 @@ def test_scores_of_a_batch_are_held_in_parts(spark):
     batch = pa.RecordBatch.from_arrays([pa.array(range(10_000))], names=["id"])
     parts = list(vectors._slices([batch], 1024))
     assert max(p.num_rows for p in parts) * 1024 <= vectors.HELD and sum(p.num_rows for p in parts) == 10_000
+
+
+def test_samples_are_cut_before_they_are_sorted(spark):
+    rows = spark.range(5000).select("id", F.array(F.col("id").cast("double")).alias("vector")).repartition(4)
+    for table in (rows, rows.unionByName(rows), rows.limit(90), rows.withColumn("id", F.lit(7).cast("long")), rows.limit(0)):
+        got = [r.id for r in vectors.lowest(table, F.xxhash64("id"), 100)]
+        assert got == [r.id for r in table.orderBy(F.xxhash64("id"), "id").limit(100).collect()]
