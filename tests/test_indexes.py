@@ -10,7 +10,7 @@ import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
-from larkspur.operators import vectorindex, vectors
+from larkspur.operators import textindex, vectorindex, vectors
 from larkspur.operators.late import LateIndex
 from larkspur.operators.textindex import TextIndex
 from larkspur.operators.vectorindex import VectorIndex
@@ -124,6 +124,24 @@ def test_one_of_two_writers_fails(spark):
     assert {r[1] for r in found(index, spark, {1: "w1"})} == {1, 2}
 
 
+def test_texts_and_postings_stay_in_their_tasks(spark, monkeypatch):
+    docs = texts(random.Random(5), 200)
+    index = TextIndex(spark, shared_path(spark, "test-text"), block=4)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan(textindex.forward(frame(spark, docs)))
+    assert "max(" not in plan(index.changes(frame(spark, docs)))
+    for name, small in (("DOCS", 7), ("POSTS", 60), ("PUSHED", 3), ("HELD", 200)):  # many chunks, of few documents or few postings
+        monkeypatch.setattr(textindex, name, small)
+    index.apply(frame(spark, docs))
+    places = spark.read.parquet(f"{index.path}/{index.version()['segments'][0]}/postings").where("term = ''")
+    assert places.agg(F.sum("n"), F.max("n")).first() == (200, 7) and places.select("chunk").distinct().count() == places.count() > 200 / 7
+    docs = {i: f"{t} w58" if i % 5 == 0 else t for i, t in docs.items() if i % 7} | {1000: None, 1001: "w1 w59"}
+    index.refresh(frame(spark, docs))
+    assert found(index, spark, QUERIES, 4, first=1) == bm25(docs, QUERIES, 4)
+    n = sum(w in words(t) for t in docs.values() for w in ("w59", "w58"))
+    assert [tuple(r)[:2] for r in index.work(spark.createDataFrame([(2, QUERIES[2])], "query_id long, query string")).collect()] == [(2, n)]
+
+
 def vectors_of(spark, rng, n, wide=24):
     centres = rng.normal(0, 1, (12, wide))
     rows = [(i, (centres[i % 12] * (1 if i % 3 else 3) + rng.normal(0, 0.5, wide)).astype(np.float32).tolist()) for i in range(n)]
