@@ -51,14 +51,18 @@ def semantic_chunks(docs: DataFrame, share: float = 0.9, likeness=None, parts=No
     """
     likeness = likeness or word_cosine
     parts = parts if parts is not None else F.transform("sentences", lambda s: F.array_distinct(tokens(s)))
-    rows = spread(docs).select("doc_id", *[c for c in docs.columns if c not in ("doc_id", "sentences")], sentences(F.col("text")).alias("sentences")).where(F.size("sentences") > 0)
+    # a text has a sentence if it has a letter or digit; asked of the sentences, they would be made twice
+    rows = spread(docs).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
+    rows = rows.select("doc_id", *[c for c in docs.columns if c not in ("doc_id", "sentences")], sentences(F.col("text")).alias("sentences"))
     rows = rows.select("doc_id", "sentences", parts.alias("parts"))
     n = F.size("sentences")
     neighbours = F.zip_with(F.slice("parts", F.lit(1), n - 1), F.slice("parts", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: 1 - likeness(a, b))
     rows = rows.select("doc_id", "sentences", neighbours.alias("distances"))
-    rows = rows.withColumn("limit", quantile(F.col("distances"), share))
+    # the limit as an array: inside a function of an element it would be worked out for each
+    limits = F.array_repeat(quantile(F.col("distances"), share), F.size("distances"))
+    above = F.zip_with("distances", limits, lambda d, limit: d > limit)
     # the number of the last sentence before each cut
-    cuts = F.filter(F.transform("distances", lambda d, i: F.when(d > F.col("limit"), i + 1)), lambda i: i.isNotNull())
+    cuts = F.filter(F.transform(above, lambda d, i: F.when(d, i + 1)), lambda i: i.isNotNull())
     rows = rows.select("doc_id", "sentences", cuts.alias("cuts"))
     starts = F.concat(F.array(F.lit(1)), F.transform("cuts", lambda i: i + 1))
     ends = F.concat("cuts", F.array(F.size("sentences")))

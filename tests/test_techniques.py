@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,14 @@ def test_chunks_are_those_of_a_plain_walk(spark):
     assert passages.semantic_chunks(frame(spark, rows).limit(0)).collect() == []
 
 
+def test_chunks_of_a_long_text_take_no_quadratic_time(spark):
+    ends = [f"w{i % 7} w{i % 3} w{i % 11}." for i in range(6000)]
+    began = time.monotonic()
+    got = passages.semantic_chunks(frame(spark, [" ".join(ends), "...\n?", None])).collect()
+    assert sum(r.n_sentences for r in got) == 6000 and {r.doc_id for r in got} == {0}
+    assert time.monotonic() - began < 45  # a limit that is worked out for each distance takes minutes
+
+
 def test_chunks_by_vectors(spark):
     docs = spark.createDataFrame([(1, "a. b. c. d.", [[1.0, 0.0], [1.0, 0.1], [0.0, 1.0], [0.1, 1.0]])], "doc_id long, text string, vectors array<array<double>>")
     from larkspur.operators.vectors import cosine
