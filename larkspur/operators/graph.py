@@ -6,6 +6,10 @@ stay short and survive lost executors.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,23 +84,98 @@ def isolated_detail(vertices: DataFrame, edges: DataFrame, limit: int = 50) -> D
     return rows.select("id", F.coalesce("type", F.lit("UNKNOWN")).alias("type"), F.length(text).alias("n_description"), F.left(F.replace(text, F.lit("\n"), F.lit(" ")), F.lit(45)).alias("preview"))
 
 
+#: Edges that a task folds at once, and nodes of a forest that it holds before it gives it away.
+FOLDED, FOREST = 1 << 20, 1 << 18
+#: Rows of a table that is broadcast whole.
+SENT = 200_000
+
+
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of each of n nodes' component by edges between them."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what edges (a, b) connect: each task gives stars, at most one edge a node that it has seen lately."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def folded() -> pa.RecordBatch:
+            ends = [pa.concat_arrays([x.column(c) for x in held]) for c in ("a", "b")]
+            nodes = pa.concat_arrays(ends).dictionary_encode()
+            code = nodes.indices.to_numpy().astype(np.int64)
+            root = _roots(code[: len(ends[0])], code[len(ends[0]) :], len(nodes.dictionary))
+            below = np.flatnonzero(root != np.arange(len(root)))
+            return pa.RecordBatch.from_arrays([nodes.dictionary.take(pa.array(x)) for x in (below, root[below])], names=["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= FOLDED:
+                stars = folded()
+                if stars.num_rows > FOREST:
+                    yield stars
+                    held, n = [], 0
+                else:
+                    held, n = [stars], 0
+        if held:
+            yield folded()
+
+    pairs = edges.where("a is not null and b is not null and a <> b").select("a", "b")
+    return pairs.mapInArrow(run, pairs.schema)
+
+
+def _followed(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Rows joined with a written table of one row a key, by broadcast if that is small."""
+    return rows.join(F.broadcast(table), key) if table.limit(SENT + 1).count() <= SENT else looked_up(rows, table, key)
+
+
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id of each (weak) component.
 
-    Labels fall along edges and are then followed to the label of their label; labels that very
-    many vertices share are followed by broadcast. A repeated vertex counts once.
+    Tasks first cut their edges to forests. In each round every node takes the name of the first of itself and its neighbours,
+    by an order drawn anew, so that a constant share of the names that have edges is left, whatever the graph; edges between
+    these names are cut to forests again, until none is left. Keys that very many nodes share are followed
+    by broadcast. A repeated vertex counts once, an edge to what is no vertex counts nothing.
     """
-    pairs = materialise(symmetric(edges).distinct(), "component-edges")
-    labels = materialise(vertices.select("id", F.col("id").alias("component")).distinct(), "component-labels")
-    while True:  # the number of rounds grows with the logarithm of the longest chain
-        near = pairs.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("component"))
-        lower = materialise(lower, "component-lower")
-        follow = lower.select(F.col("id").alias("component"), F.col("component").alias("next"))  # a label is some vertex's id
-        after = materialise(looked_up(lower, follow, "component").select("id", "was", F.least("component", "next").alias("component")), "component-labels")
-        labels = after.select("id", "component")
-        if after.where("component <> was").isEmpty():
-            return labels
+    ids = vertices.select("id").distinct()
+    pairs = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    links = materialise(forest(pairs), "component-edges")
+    ends = links.select("a").union(links.select("b")).distinct()
+    if not ends.join(ids, F.col("a") == F.col("id"), "left_anti").isEmpty():
+        for end in ("a", "b"):
+            pairs = pairs.join(ids.withColumnRenamed("id", end), end, "left_semi")
+        links = materialise(forest(pairs), "component-edges")
+    labels, turn = None, 0
+    while not links.isEmpty():  # the number of rounds grows with the logarithm of the number of nodes
+        drawn = lambda c, turn=turn: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("place"), F.col(c).alias("id"))
+        both = links.select("a", "b").union(links.select("b", "a"))
+        near = both.groupBy("a").agg(F.min(drawn("b")).alias("near")).select(F.col("a").alias("id"), F.least(drawn("a"), "near")["id"].alias("to"))
+        near = materialise(near, "component-near")
+        for end in ("a", "b"):
+            links = _followed(links, near.withColumnRenamed("id", end), end).drop(end).withColumnRenamed("to", end)
+            links = materialise(links if end == "a" else forest(links), "component-edges")
+        if labels is None:
+            labels = near
+        else:
+            tops = labels.select("to").distinct().join(near.select(F.col("id").alias("to"), F.col("to").alias("next")), "to", "left")
+            tops = materialise(tops.select("to", F.coalesce("next", "to").alias("next")), "component-tops")
+            labels = materialise(_followed(labels, tops, "to").select("id", F.col("next").alias("to")), "component-labels")
+        turn += 1
+    if labels is None:
+        return ids.select("id", F.col("id").alias("component"))
+    least = materialise(labels.groupBy("to").agg(F.min("id").alias("component")), "component-least")
+    return ids.join(_followed(labels, least, "to").drop("to"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def stats(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -118,7 +118,7 @@ def graph_stats(spark, sf):
 
 @query("connected_components", given(VC, EA, S, COMPONENTS) + "SELECT id, component FROM K")
 def connected(spark, sf):
-    return graph.components(x.people(spark, sf), x.all_edges(spark, sf))
+    return graph.components(x.people(spark, sf), x.deliveries(spark, sf))
 
 
 @query("degree_topk", given(V, EA, S, D) + "SELECT id, degree FROM D ORDER BY degree DESC, pos LIMIT 20")

@@ -1,6 +1,7 @@
 """Operators on hand-made cases."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -92,6 +93,33 @@ def test_components_of_a_long_path(spark):
     assert graph.components(v, e).select("component").distinct().count() == 1
 
 
+def test_components_of_forests(spark, monkeypatch):
+    rng = random.Random(7)
+    pairs = [(f"{g}{rng.randint(0, 60):03d}", f"{g}{rng.randint(0, 60):03d}") for g in "abc" for _ in range(50 if g == "b" else 400)]
+    pairs += [("hub", f"leaf{i}") for i in range(1200)] + [("a001", "nowhere"), ("nowhere", "b001"), (None, "a001"), ("a001", None)]
+    known = {x for pair in pairs for x in pair} - {None, "nowhere"} | {"alone"}
+    want = {x: x for x in known}
+    while True:
+        low = [(a, b, min(want[a], want[b])) for a, b in pairs if a in known and b in known]
+        if all(want[a] == want[b] for a, b, _ in low):
+            break
+        for a, b, x in low:
+            want[a] = want[b] = min(x, want[a], want[b])
+    v, e = spark.createDataFrame([(x,) for x in [*known, "alone"]], "id string"), spark.createDataFrame(pairs, "src string, dst string").repartition(5)
+    for folded, held in ((1 << 20, 1 << 18), (1, 3)):  # whole forests, and pieces of a few edges
+        monkeypatch.setattr(graph, "FOLDED", folded)
+        monkeypatch.setattr(graph, "FOREST", held)
+        monkeypatch.setattr(graph, "SENT", 200_000 if folded > 1 else 10)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000 if folded > 1 else 50)
+        try:
+            assert sorted(map(tuple, graph.components(v, e).collect())) == sorted(want.items())
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    lines = spark.createDataFrame([(f"p{i % 40}", f"s{i % 3}") for i in range(9000)], "a string, b string").coalesce(2)
+    monkeypatch.undo()
+    assert graph.forest(lines).count() <= 2 * 42  # so few of the lines are shuffled
+
+
 def test_load_integrity(spark):
     v = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "id string, pos long")
     e = spark.createDataFrame([("a", "b", "2.5", "17", 1), ("a", "b", "9", "x", 2), ("b", "a", "bad", "1x", 3), ("a", "gone", "1", "1", 4)], "src string, dst string, weight string, created_at string, pos long")
