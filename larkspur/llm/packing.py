@@ -271,5 +271,5 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int =
             got |= {"sequence_id": pa.array(start + step // each), "offset": pa.array(offset + step % each * size)}
             yield pa.RecordBatch.from_pydict(got)
 
-    ranked = pieces.join(base, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
+    ranked = pieces.join(base.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
     return ranked.mapInArrow(place, PLACED)

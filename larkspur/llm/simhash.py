@@ -22,6 +22,9 @@ A shard of over ``shard_size`` fingerprints is split into pieces, and each pair
 pieces is a task of its own: the tree of one piece is asked for the other's
 members, in blocks of bounded size. Groups are then closed by minimum-label
 propagation with pointer jumping over written tables.
+
+Tables that grow with the input are joined by merging: Spark sizes what is read by its compressed
+files, and a table's rows once a fingerprint, so it would broadcast them far above its threshold.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ from larkspur.shared import looked_up, materialise
 SHINGLE, SEED, BITS = 4, 42, 64
 #: Seed of the second fingerprint.
 CHECK_SEED = 43
+#: Ids that may be broadcast.
+FEW = 100_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -180,7 +185,7 @@ def links(prints: DataFrame, radius: int = 4, blocks: int = 6, shard_size: int =
     keyed = prints.select("fp", check.alias("check"), F.explode(F.array(*_keys(F.col("fp"), blocks, radius))).alias("key"))
     full = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     full = full.select("key", F.ceil(F.col("n") / shard_size).cast("int").alias("pieces"))
-    held = keyed.join(full, "key")
+    held = keyed.join(full.hint("merge"), "key")
     own = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
     dealt = held.withColumn("own", own).withColumn("other", other)
@@ -235,13 +240,13 @@ def components(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")), "simhash-links")
     nodes = both.select(F.col("a").alias("fp")).distinct()
-    labels = materialise(nodes.join(ids, "fp").select("fp", F.col("first").alias("label")), "simhash-labels")
+    labels = materialise(nodes.join(ids.hint("merge"), "fp").select("fp", F.col("first").alias("label")), "simhash-labels")
     while True:
-        near = both.join(labels.select(F.col("fp").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near, labels.fp == near.a, "left").select("fp", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        near = both.join(labels.select(F.col("fp").alias("b"), "label").hint("merge"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        lower = labels.join(near.hint("merge"), labels.fp == near.a, "left").select("fp", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
         lower = materialise(lower, "simhash-lower")
         # every label is some linked fingerprint's own: follow it one step
-        owners = lower.join(ids.select("fp", "first"), "fp").groupBy(F.col("first").alias("label")).agg(F.min("label").alias("next"))
+        owners = lower.join(ids.select("fp", "first").hint("merge"), "fp").groupBy(F.col("first").alias("label")).agg(F.min("label").alias("next"))
         after = materialise(looked_up(lower, owners, "label").select("fp", "was", F.least("label", "next").alias("label")), "simhash-labels")
         labels = after.select("fp", "label")
         if after.where(F.col("label") != F.col("was")).isEmpty():
@@ -273,7 +278,7 @@ def grouped(docs: DataFrame, radius: int, blocks: int, shard_size: int, shingle:
     edges = materialise(links(ids, radius, blocks, shard_size, check_radius), "simhash-edges")
     owner = ids.select("fp", F.col("first").alias("label"))
     if not edges.isEmpty():
-        owner = owner.join(components(edges, ids).withColumnRenamed("label", "joined"), "fp", "left").select("fp", F.coalesce("joined", "label").alias("label"))
+        owner = owner.join(components(edges, ids).withColumnRenamed("label", "joined").hint("merge"), "fp", "left").select("fp", F.coalesce("joined", "label").alias("label"))
     named = F.when(F.col("label.id") < 2**63 - 1, F.col("label.id"))
     return prints, owner.select("fp", F.struct(named.alias("id"), F.col("label.fp").alias("fp")).alias("label"))
 
@@ -309,6 +314,7 @@ def deduplicated(docs: DataFrame, radius: int = 8, blocks: int = 10, shard_size:
     rows = materialise(looked_up(materialise(rows, "simhash-named-rows"), owner, "fp").select("doc_id", "fp", "n", (F.col("label.id") == F.col("doc_id")).alias("own"), (F.col("label.fp") == F.col("fp")).alias("first")), "simhash-rows")
     if rows.groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 1").isEmpty():
         dropped = rows.where("not own").select("doc_id")
+        dropped = dropped.hint("merge") if dropped.count() > FEW else dropped  # few may be broadcast, so that texts stay where they lie
         return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     column = "simhash of the text"
     while column in docs.columns:  # a name that no column has
@@ -323,5 +329,5 @@ def deduplicated(docs: DataFrame, radius: int = 8, blocks: int = 10, shard_size:
 
     known = materialise(docs.mapInArrow(run, schema), "simhash-named")
     kept = rows.where("own and first").select("doc_id", F.col("fp").alias(column))
-    named = known.where("doc_id is not null").join(kept, ["doc_id", column], "left_semi").dropDuplicates(["doc_id", column])
+    named = known.where("doc_id is not null").join(kept.hint("merge"), ["doc_id", column], "left_semi").dropDuplicates(["doc_id", column])
     return named.unionByName(known.where("doc_id is null")).select(*docs.columns)

@@ -12,7 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from larkspur.llm import language, mpeg, ngrams, simhash, toxicity, urls, words, wrappers
+from larkspur.llm import language, mpeg, ngrams, packing, simhash, toxicity, urls, words, wrappers
+from larkspur.shared import looked_up, materialise
 
 # ---- op1
 
@@ -450,3 +451,18 @@ def test_links_of_a_large_family_grow_with_its_members(spark):
         edges = simhash.links(ids, 8, 10, shard_size)
         assert edges.count() < 3 * len(family)
         assert {r.label for r in simhash.components(edges, ids).collect()} == {0}
+
+
+def test_tables_that_grow_are_not_broadcast_by_their_estimated_size(spark):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    ids = spark.range(200).select(F.xxhash64("id").alias("fp"), F.xxhash64("id").alias("check"))
+    ids = materialise(ids.withColumn("first", F.struct(F.lit(1).cast("long").alias("id"), "fp")), "test-ids")
+    found = simhash.links(ids, 8, 10, check_radius=12)  # a fingerprint is 45 rows, which Spark takes for one
+    assert "SortMergeJoin" in plan(found) and "Broadcast" not in plan(found)
+    owner = ids.select("fp", "first")
+    joined = plan(looked_up(ids.select("fp", "check"), owner, "fp"))
+    assert joined.count("SortMergeJoin") == 1 and joined.count("BroadcastHashJoin") == 2  # both of frequent keys, of which there are few
+    docs = spark.createDataFrame([(i, "a b " * i) for i in range(50)], "doc_id long, text string")
+    assert "Broadcast" not in plan(packing.pack(docs))
