@@ -4,15 +4,16 @@ Rows (id, vector) of length 1 go to the cell of their nearest centroid; what a c
 is cut into parts, and each part is known by the nearest of its codebook's entries: a
 byte a part. Centroids and codebooks are fitted by k-means on a bounded sample of rows
 (``sample``, those of the smallest id hashes); every row is indexed. Codes lie sorted by
-cell, a hot cell in many files, and the whole vectors apart, sorted by id.
+cell, a hot cell in many files, with the whole vectors as a column that is read only where it is needed.
 
-A search takes a stated query set in blocks. A block's tables of products between its parts and all
+A search takes a stated query set in blocks, whose hits are written one after another. A block's tables of products between its parts and all
 entries are broadcast (their size is bounded); tasks read the cells that some query probes,
 add up a product a part and keep the best rows a query, which are then scored exactly.
 For a unit query the product misses the cosine by no more than the length of what the code leaves out,
 which is stored, and a cell holds nothing above its centroid's product plus its radius:
-an exact search also scores the rows whose bound reaches the k-th score found, in all cells
-whose bound does, so it gives the answer of a full scan. Without that step it is as good as its
+an exact search then scores the rows whose bound reaches the k-th score found, in all cells
+whose bound does, in the task that reads them, and so gives the answer of a full scan. However many
+rows these are, k of them a query leave a task. Without that step it is as good as its
 recall, which ``recall`` measures: the number of cells to probe is the least by which ``aim`` of the
 sample's own nearest neighbours are reached, found when the index is built.
 
@@ -30,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.operators.vectors import SEARCHED, _best, _blocks, _fitting, _unit, lowest
+from larkspur.operators.vectors import HELD, SEARCHED, _best, _blocks, _fitting, _unit, lowest
 from larkspur.shared import materialise
 
 CODES = "id long, cell int, code binary, error float"
+VECTOR = "vector array<float>"
 CELLS = "cell int, n long, radius double"
 GROUP = 1 << 20
 #: Slack of bounds, as products are sums of rounded numbers.
@@ -58,20 +60,23 @@ def nearest(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Nearest centre of each row and its squared distance."""
     lengths = (centres**2).sum(axis=1)
     near, far = np.zeros(len(rows), np.int64), np.zeros(len(rows))
-    for at in range(0, len(rows), 8192):
-        some = rows[at : at + 8192]
+    step = min(8192, max(1, 4 * HELD // len(centres)))
+    for at in range(0, len(rows), step):
+        some = rows[at : at + step]
         d = lengths - 2 * some @ centres.T
-        near[at : at + 8192] = d.argmin(axis=1)
-        far[at : at + 8192] = d.min(axis=1) + (some**2).sum(axis=1)
+        near[at : at + step] = d.argmin(axis=1)
+        far[at : at + step] = d.min(axis=1) + (some**2).sum(axis=1)
     return near, far
 
 
 def enough_probes(rows: np.ndarray, centroids: np.ndarray, aim: float, queries: int = 500, k: int = 10) -> int:
     """The least number of probes that reach the share ``aim`` of some rows' k nearest others."""
     some = np.linspace(0, len(rows) - 1, min(queries, len(rows))).astype(int)
-    scores = rows[some] @ rows.T
-    scores[np.arange(len(some)), some] = -np.inf
-    near = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(rows) - 1)]
+    near, step = np.zeros((len(some), min(k, len(rows) - 1)), np.int64), max(1, HELD // len(rows))
+    for at in range(0, len(some), step):
+        scores = rows[some[at : at + step]] @ rows.T
+        scores[np.arange(len(scores)), some[at : at + step]] = -np.inf
+        near[at : at + step] = np.argsort(-scores, axis=1, kind="stable")[:, : near.shape[1]]
     cell = nearest(rows, centroids)[0]
     order = np.argsort(-(rows[some] @ centroids.T), axis=1, kind="stable")
     place = np.argsort(order, axis=1)  # of each cell in a query's order
@@ -130,14 +135,14 @@ class VectorIndex:
                     codes[:, p] = near
                     missed += np.maximum(far, 0)
                 raw, size = codes.tobytes(), len(books)
-                columns = [pa.array(ids, pa.int64()), pa.array(cell, pa.int32()), pa.array([raw[i : i + size] for i in range(0, len(raw), size)], pa.binary()), pa.array(np.nextafter(np.sqrt(missed).astype(np.float32), np.float32(9))), pa.array(np.sqrt((rest**2).sum(axis=1)), pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "cell", "code", "error", "reach"])
+                fits = np.flatnonzero(batch.column("vector").value_lengths().to_numpy(zero_copy_only=False) == centroids.shape[1])
+                columns = [pa.array(ids, pa.int64()), pa.array(cell, pa.int32()), pa.array([raw[i : i + size] for i in range(0, len(raw), size)], pa.binary()), pa.array(np.nextafter(np.sqrt(missed).astype(np.float32), np.float32(9))), batch.column("vector").take(pa.array(fits)).cast(pa.list_(pa.float32())), pa.array(np.sqrt((rest**2).sum(axis=1)), pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "cell", "code", "error", "vector", "reach"])
 
-        coded = materialise(rows.mapInArrow(encoded, f"{CODES}, reach double"), "vector-codes")
-        names = [c.split()[0] for c in CODES.split(", ")]
+        coded = materialise(rows.mapInArrow(encoded, f"{CODES}, {VECTOR}, reach double"), "vector-codes")
+        names = [c.split()[0] for c in f"{CODES}, {VECTOR}".split(", ")]
         coded.select(*names).repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").write.option("parquet.block.size", GROUP).parquet(f"{path}/codes")
         coded.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("radius")).coalesce(1).write.parquet(f"{path}/cells")
-        rows.where(F.size("vector") == wide).select("id", F.col("vector").cast("array<float>").alias("vector")).repartitionByRange("id").sortWithinPartitions("id").write.option("parquet.block.size", GROUP).parquet(f"{path}/vectors")
         return cls(spark, path)
 
     @staticmethod
@@ -146,55 +151,51 @@ class VectorIndex:
         wide = -(-rows.shape[1] // parts)
         return np.pad(rows, ((0, 0), (0, wide * parts - rows.shape[1]))).reshape(len(rows), parts, wide).transpose(1, 0, 2)
 
-    def _candidates(self, names: np.ndarray, q: np.ndarray, probed: np.ndarray, keep: int | None, floor: np.ndarray | None) -> DataFrame:
-        """(query_id, id) by codes: the best ``keep`` a query and task, or all whose bound reaches the query's floor.
+    def _read(self, schema: str, cells: np.ndarray) -> DataFrame:
+        """Columns of the rows of some cells."""
+        codes = self.spark.read.schema(f"{CODES}, {VECTOR}").parquet(f"{self.path}/codes")
+        return codes.where(F.col("cell").isin(np.flatnonzero(cells).tolist())).select(*[c.split()[0] for c in schema.split(", ")])
 
+    def _found(self, names: np.ndarray, q: np.ndarray, probed: np.ndarray, keep: int, floor: np.ndarray | None = None) -> DataFrame:
+        """(query_id, id, score): of each query the best ``keep`` rows of the cells that it probes.
+
+        By the products of codes, or, given each query's ``floor``, by rounded cosines of the rows whose bound reaches it.
         ``probed`` has a row a query and a column a cell.
         """
         centroids, books = self.centroids, self.books
         tables = np.einsum("pqd,ped->qpe", self._parts(q, len(books)), books)
-        sent = self.spark.sparkContext.broadcast((names, q @ centroids.T, tables, probed, floor))
-        schema = "query_id long, id long, score double"
+        sent = self.spark.sparkContext.broadcast((names, q, q @ centroids.T, tables, probed, floor))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, centre, tables, probed, floor = sent.value
+            names, q, centre, tables, probed, floor = sent.value
             held = [(np.empty(0, np.int64), np.empty(0)) for _ in names]
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 ids, cell, error = (np.asarray(batch.column(c)) for c in ("id", "cell", "error"))
                 codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-                out = []
+                whole = None if floor is None else _fitting(batch, q.shape[1])[1]
                 for i in range(len(names)):
                     at = np.flatnonzero(probed[i, cell])
                     if not len(at):
                         continue
                     score = centre[i, cell[at]] + tables[i, np.arange(codes.shape[1]), codes[at]].sum(axis=1)
-                    if keep is None:
+                    if whole is not None:
                         at = at[score + error[at] >= floor[i] - SLACK]
-                        out.append((np.full(len(at), names[i]), ids[at], np.zeros(len(at))))
-                    else:
-                        own, found = np.append(held[i][0], ids[at]), np.append(held[i][1], score)
-                        best = _best(found, own, keep)
-                        held[i] = own[best], found[best]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "id", "score"])
-            if keep is not None:
-                columns = [np.repeat(names, [len(i) for i, _ in held]), *(np.concatenate(c) for c in zip(*held, strict=True))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "score"])
-
-        wanted = np.flatnonzero(probed.any(axis=0)).tolist()
-        codes = self.spark.read.schema(CODES).parquet(f"{self.path}/codes")
-        found = codes.where(F.col("cell").isin(wanted)).mapInArrow(run, schema)
-        if keep is None:
-            return found.select("query_id", "id")
-        nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-        return found.withColumn("nth", nth).where(F.col("nth") <= keep).select("query_id", "id")
+                        score = np.round((whole[at] * q[i]).sum(axis=1), 9)
+                    own, found = np.append(held[i][0], ids[at]), np.append(held[i][1], score)
+                    best = _best(found, own, keep)
+                    held[i] = own[best], found[best]
+            columns = [np.repeat(names, [len(i) for i, _ in held]), *(np.concatenate(c) for c in zip(*held, strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "score"])
+
+        found = self._read(CODES if floor is None else f"{CODES}, {VECTOR}", probed.any(axis=0)).mapInArrow(run, SEARCHED)
+        return _ranked(found, keep)
 
     def _exact(self, names: np.ndarray, q: np.ndarray, pairs: DataFrame) -> DataFrame:
-        """Rounded cosines of pairs (query_id, id)."""
+        """Rounded cosines of a block's pairs (query_id, id), which are broadcast."""
         sent = self.spark.sparkContext.broadcast((names, q))
-        vectors = self.spark.read.schema("id long, vector array<float>").parquet(f"{self.path}/vectors")
+        vectors = self.spark.read.schema(f"id long, {VECTOR}").parquet(f"{self.path}/codes")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = sent.value
@@ -205,7 +206,7 @@ class VectorIndex:
                 own = q[order[np.searchsorted(names[order], asked)]]
                 yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(ids), pa.array(np.round((m * own).sum(axis=1), 9))], names=["query_id", "id", "score"])
 
-        return pairs.join(vectors, "id").select("query_id", "id", "vector").mapInArrow(run, SEARCHED)
+        return vectors.join(F.broadcast(pairs), "id").select("query_id", "id", "vector").mapInArrow(run, SEARCHED)
 
     def search(self, queries: DataFrame, k: int = 10, probes: int | None = None, oversample: int = 10, exact: bool = False, block: int = 256) -> DataFrame:
         """The k rows most alike to each of ``queries`` (query_id, query_vector), ranked by rounded cosine, then id.
@@ -219,23 +220,23 @@ class VectorIndex:
             order = np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, : probes or self.probes]
             probed = np.zeros((len(q), len(self.centroids)), bool)
             np.put_along_axis(probed, order, True, axis=1)
-            near = self._candidates(names, q, probed, k * oversample, None)
+            near = materialise(self._found(names, q, probed, k * oversample).select("query_id", "id"), "vector-near")
+            hits = materialise(_ranked(self._exact(names, q, near), k), "vector-hits")
             if exact:
-                near = materialise(near, "vector-near")
-                hits = materialise(self._exact(names, q, near), "vector-hits")
-                nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-                floors = dict(hits.withColumn("nth", nth).where(F.col("nth") == k).select("query_id", "score").collect())  # a row a query of the block
+                floors = dict(hits.where(F.col("rank") == k).select("query_id", "score").collect())  # a row a query of the block
                 floor = np.array([floors.get(i, -np.inf) for i in names.tolist()])
                 reach = (q @ self.centroids.T + self.radius >= floor[:, None] - SLACK) & (self.sizes > 0)
-                more = self._candidates(names, q, reach, None, floor).join(near, ["query_id", "id"], "left_anti")
-                hits = hits.unionByName(self._exact(names, q, more))
-            else:
-                hits = self._exact(names, q, near)
+                hits = materialise(self._found(names, q, reach, k, floor), "vector-hits")
             parts.append(hits)
         if not parts:
             return self.spark.createDataFrame([], f"{SEARCHED}, rank int")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-        return reduce(DataFrame.unionAll, parts).withColumn("rank", rank).where(F.col("rank") <= k)
+        return _ranked(reduce(DataFrame.unionAll, parts).drop("rank"), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query with their ``rank``, by score and id."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:

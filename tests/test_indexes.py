@@ -184,6 +184,17 @@ def test_vector_index_of_little(spark):
     assert (r.id, r.score) == (5, 0.96)
 
 
+def test_vector_index_joins_no_bounds(spark):
+    rng = np.random.default_rng(5)
+    corpus = spark.createDataFrame([(i, rng.normal(0, 1, 24).tolist()) for i in range(1200)], "id long, vector array<float>")
+    index = VectorIndex.build(corpus, shared_path(spark, "test-vectors"), cells=8, parts=2, entries=2)  # whose bounds hold back little
+    queries = corpus.where("id % 50 = 0").selectExpr("id AS query_id", "vector AS query_vector")
+    got = index.search(queries, 10, probes=1, oversample=1, exact=True, block=10)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" not in plan  # what is left to do is to rank k rows a query
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, vectors.search(queries, corpus, 10).collect()))
+
+
 def test_late_interaction(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(0, 1, (9, 12))
